@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import containment, quality_rules, superminhash
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES: dict[str, Query] = {
+    "op3_containment": op3_containment,
+    "op8_superminhash": op8_superminhash,
     "op10_quality_rules": op10_quality_rules,
 }
 

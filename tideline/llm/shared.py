@@ -75,3 +75,12 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id's decimal text, modulo `by`; a null id counts as the text '' does (0)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % by
+
+
+#: Rows of narrow key tables that are broadcast at most; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a held table of a few narrow columns, marked for broadcast where its counted size is within `rows`."""
+    return F.broadcast(df) if df.count() <= rows else df
