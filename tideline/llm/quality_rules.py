@@ -143,6 +143,12 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     )
 
 
+def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of `df` that no rule rejects, with its columns as they were, whatever their names."""
+    held = df.select(F.struct("*").alias("__row"), F.col(text).alias("text"))
+    return apply_rules(held, rules).filter("kept").select("__row.*")
+
+
 def op10_quality_rules(documents: DataFrame) -> DataFrame:
     return apply_rules(documents.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"

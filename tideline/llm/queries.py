@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, quality_rules, superminhash
+from . import containment, cube_mix, language_id, quality_rules, suffix_tree, superminhash, training_order
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.op1_suffix_tree(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op2_language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.op4_cube_mix(table(spark, sf_dir, "documents"))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.sequences(table(spark, sf_dir, "documents"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_tree": op1_suffix_tree,
+    "op2_language_id": op2_language_id,
     "op3_containment": op3_containment,
+    "op4_cube_mix": op4_cube_mix,
+    "op6_training_order": op6_training_order,
     "op8_superminhash": op8_superminhash,
     "op10_quality_rules": op10_quality_rules,
 }
