@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, cube_mix, language_id, quality_rules, suffix_tree, superminhash, training_order
+from . import containment, cube_mix, language_id, quality_model, quality_rules, suffix_tree, superminhash, training_order
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op9_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op4_cube_mix": op4_cube_mix,
     "op6_training_order": op6_training_order,
     "op8_superminhash": op8_superminhash,
+    "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
 
