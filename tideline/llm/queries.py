@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, cube_mix, language_id, quality_model, quality_rules, suffix_tree, superminhash, training_order
+from . import containment, cube_mix, language_id, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.sequences(table(spark, sf_dir, "documents"))
 
 
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_containment": op3_containment,
     "op4_cube_mix": op4_cube_mix,
     "op6_training_order": op6_training_order,
+    "op7_wrappers": op7_wrappers,
     "op8_superminhash": op8_superminhash,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
