@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, cube_mix, language_id, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
+from . import containment, cube_mix, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.op4_cube_mix(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.op5_pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.sequences(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_containment": op3_containment,
     "op4_cube_mix": op4_cube_mix,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_training_order": op6_training_order,
     "op7_wrappers": op7_wrappers,
     "op8_superminhash": op8_superminhash,
