@@ -28,10 +28,14 @@ from . import hashing as H
 from .components import connected
 from .shared import hold, sized
 
-#: Signature length and its division. 24 bands of 4 miss a pair at similarity 0.8 with probability 0.5904 ** 24 = 3e-6.
-COMPONENTS, BANDS = 96, 24
-#: Two bits of each component go into a fingerprint; pairs at 0.8 differ in more than 36 of 96 with probability 1e-8.
-MOST_DIFFERENT = 36
+#: Length of a signature, of which each document has two. The first `BANDS * BAND` components of the first one make the bands:
+#: 24 of 4 miss a pair at similarity 0.8 with probability 0.5904 ** 24 = 3e-6.
+COMPONENTS, BANDS, BAND = 256, 24, 4
+#: Four bits of each of the 512 components go into the fingerprint, 16 components to a word. Components of a pair at
+#: similarity s differ with probability (1 - s) * 15 / 16. At 0.8, that is 96 of 512 with a deviation of 9 (less, by the
+#: correlated ranks), and 18 with one of 3.8 among the first six words; these bounds are five deviations above.
+WORDS = 2 * COMPONENTS // 16
+MOST_DIFFERENT, FIRST_WORDS, MOST_FIRST = 140, 6, 38
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -88,15 +92,14 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
         raw, offs = H.text_buffers(batch.column("text"))
         for lo, hi in H.row_chunks(offs):
             sh, so = distinct_shingles(*H.word_hashes(raw, offs[lo : hi + 1]), width)
-            sig = signatures(sh, so)
+            sig = np.concatenate([signatures(sh, so), signatures(H.mix(sh ^ _U(0xA0761D6478BD642F)), so)], axis=1)
             n = np.diff(so)
-            per_band = COMPONENTS // BANDS
             key = np.zeros((hi - lo, BANDS), _U)
-            for k in range(per_band):
-                key = key * _U(0xD6E8FEB86659FD93) + sig.reshape(-1, BANDS, per_band)[:, :, k]
+            for k in range(BAND):
+                key = key * _U(0xD6E8FEB86659FD93) + sig[:, : BANDS * BAND].reshape(-1, BANDS, BAND)[:, :, k]
             key = H.mix(key + np.arange(BANDS, dtype=_U))
-            two = (H.mix(sig) & _U(3)).reshape(-1, COMPONENTS // 32, 32)
-            fp = np.bitwise_or.reduce(two << (_U(2) * np.arange(32, dtype=_U)), axis=2)
+            four = (H.mix(sig) & _U(15)).reshape(-1, WORDS, 16)
+            fp = np.bitwise_or.reduce(four << (_U(4) * np.arange(16, dtype=_U)), axis=2)
             sums = [np.concatenate([np.zeros(1, _U), np.cumsum(f(sh))]) for f in (lambda v: v, lambda v: H.mix(v ^ _U(0x5851F42D4C957F2D)))]
             d1, d2 = ((s[so[1:]] - s[so[:-1]]).view(np.int64) for s in sums)
             fixed = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.reshape(-1).view(np.int64)))
@@ -138,15 +141,27 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return full.mapInArrow(lambda it: _verify_batches(it, width, percent), "a long, b long")
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """How many of 16 components differ between two words of fingerprints."""
+    z = x.bitwiseXOR(y)
+    any_bit = z
+    for k in (1, 2, 3):
+        any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(z, k))
+    return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _alike(percent: int) -> Column:
-    """What pairs at the threshold meet: set sizes, exactly, and fingerprints, but for a negligible share."""
+    """What pairs at the threshold meet: set sizes, exactly, and fingerprints, but for a negligible share.
+
+    The bounds on fingerprints hold for similarities of 0.8 and more; below that only sizes are compared.
+    """
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    unlike = []
-    for k in range(COMPONENTS // 32):
-        x = F.get("fp_a", F.lit(k)).bitwiseXOR(F.get("fp_b", F.lit(k)))
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        unlike.append(F.bit_count(either))
-    return (100 * low >= percent * high) & (reduce(lambda p, q: p + q, unlike) <= MOST_DIFFERENT)
+    sizes = 100 * low >= percent * high
+    if percent < 80:
+        return sizes
+    first = reduce(lambda p, q: p + q, (_differing(F.get("fp_a", F.lit(k)), F.get("fp_b", F.lit(k))) for k in range(FIRST_WORDS)))
+    every = F.aggregate(F.zip_with("fp_a", "fp_b", _differing), F.lit(0), lambda acc, x: acc + x)
+    return sizes & (first <= MOST_FIRST) & (every <= MOST_DIFFERENT)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -169,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ranked = members.join(central, "rep").select("key", "rep", F.struct("weight", (-F.col("rep")).alias("low")).alias("rank"))
     centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
     spokes = members.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    tall = reps.select(F.col("doc_id").alias("rep"), "n", "fp")
+    tall = reps.select(F.col("doc_id").alias("rep"), "n", "fp", "bands")
     side = lambda c: tall.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
     candidates = spokes.join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b")
     links = hold(verified(candidates, docs, width, percent).distinct(), "links")
@@ -179,9 +194,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     spread = hold(placed.join(mixed, "key").join(tall, "rep"), "spread")
-    left = spread.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"))
-    right = spread.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"))
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike(percent)).select("a", "b").distinct()
+    half = lambda c: spread.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("rep", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"), ("bands", "bands_"))))
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike(percent)
+    # A pair is made in the first bucket that it shares, once.
+    shared_first = F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
+    across = half("a").join(half("b"), "key").filter(apart & shared_first).select("a", "b")
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = hold(verified(across.join(tried, ["a", "b"], "left_anti"), docs, width, percent), "more")
     if not more.isEmpty():
