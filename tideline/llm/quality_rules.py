@@ -29,7 +29,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A row of the table: it fails a text when `low` <= `when` <= words and `measure` is not within [least, most]."""
+    """A row of the table: a text of `from_words` words or more fails where `measure` is not within [least, most]."""
 
     name: str
     measure: str
@@ -151,5 +151,5 @@ def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
 
 def op10_quality_rules(documents: DataFrame) -> DataFrame:
     return apply_rules(documents.select("doc_id", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
     )
