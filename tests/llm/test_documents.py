@@ -1,0 +1,237 @@
+"""The operators on documents: awkward rows, empty tables, clashing columns, and brute-force versions."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from . import edge
+
+from tideline.llm import containment, cube_mix, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, training_order
+from tideline.llm.components import connected
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(edge.rows(), edge.DOCUMENTS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], edge.DOCUMENTS)
+
+
+def test_quality_counts_match_brute_force(docs, none):
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.op10_quality_rules(docs).collect())
+    assert got == Counter((i, *edge.quality_counts(t)) for i, t, *_ in edge.rows())
+    assert quality_rules.op10_quality_rules(none).count() == 0
+
+
+def test_quality_keeps_columns_whatever_their_names(docs):
+    odd = docs.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit("x"))
+    out = quality_rules.keep(odd)
+    assert out.columns == odd.columns
+    assert {r.kept for r in out.collect()} == {"mine"}
+    assert 11 in {r.doc_id for r in out.collect()}
+
+
+def test_near_duplicates_match_brute_force(docs, none):
+    texts = {i: t for i, t, *_ in edge.rows() if i != 11}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in superminhash.near_duplicates(docs.filter("doc_id <> 11"), 4, 80).collect()}
+    want = edge.components(texts, 4, 80)
+    assert {i: g[1] for i, g in got.items()} == want
+    assert all(g[2] == (g[1] == i) for i, g in got.items())
+    assert superminhash.near_duplicates(none, 4, 80).count() == 0
+
+
+def test_repeated_ids_do_not_break_near_duplicates(docs):
+    rows = superminhash.near_duplicates(docs.unionByName(docs.filter("doc_id = 1")), 4, 80).collect()
+    assert len(rows) == len(edge.rows()) + 1
+    kept = superminhash.keep_first(docs.withColumn("rep", F.lit(1)), 4, 80)
+    assert "rep" in kept.columns and {1} == {r.doc_id for r in kept.filter("doc_id < 4").collect()}
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    gaps = []
+    for n in (5, 40, 400):
+        u = rng.integers(0, 2**63, n + n // 5 * 2 + 1).astype(np.uint64)
+        a, b = u[: n + n // 5], u[n // 5 :]
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        sig = superminhash.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        gaps.append(abs((sig[0] == sig[1]).mean() - true))
+    assert max(gaps) < 0.15
+
+
+def test_components_by_stars_and_by_one_union_find(spark):
+    rng = np.random.default_rng(1)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(4)
+    one = {(r.node, r.root) for r in connected(table).collect()}
+    many = {(r.node, r.root) for r in connected(table, in_one=0).collect()}
+    assert one == many and (1060, 1000) in one
+    assert connected(table.limit(0)).count() == 0 and connected(table.limit(0), in_one=0).count() == 0
+
+
+def test_containment_matches_brute_force(spark, docs, none):
+    rng = __import__("random").Random(8)
+    items = [(k, edge.prose(rng, n)) for k, n in enumerate((3, 5, 12, 40, 90))] + [(9, None), (10, ""), (11, "..."), (12, "twin tale of a kind here"), (13, "twin tale of a kind here")]
+    planted = [(500 + k, f"{edge.prose(rng, 300)} {t} {edge.prose(rng, 300)}", "en", "a", 1) for k, t in items if t] + [(600, items[3][1][: len(items[3][1]) // 2], "en", "a", 1)]
+    all_ = docs.unionByName(spark.createDataFrame(planted, edge.DOCUMENTS))
+    got = {(r.doc_id, r.item_id) for r in containment.contained_items(all_, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(500 + k, k) for k, t in items if t and t != "..."} | {(512, 13), (513, 12)} <= got
+    assert not any(d == 600 and i == 3 for d, i in got)
+    want = set()
+    token = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    for d, text in [(r.doc_id, r.text) for r in all_.collect()]:
+        for i, t in items:
+            q, w = token(t), token(text)
+            n = min(len(q), 5)
+            own = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if q else set()
+            if own and 100 * len(own & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) >= 80 * len(own):
+                want.add((d, i))
+    assert got == want
+    clean = containment.decontaminate(all_.withColumn("item_id", F.lit(0)), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in clean.collect()}.isdisjoint(d for d, _ in want) and "item_id" in clean.columns
+    assert containment.contained_items(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert containment.contained_items(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_flight_keeps_totals_and_leaves_two():
+    rng = __import__("random").Random(4)
+    sizes = [rng.choice([0, 3, 50, 51, 900]) for _ in range(500)]
+    pi = cube_mix.fly([0.37] * 500, sizes, rng)
+    assert sum(0 < p < 1 for p in pi) <= 2
+    assert math.isclose(sum(pi), 185, abs_tol=1e-5)
+    assert math.isclose(sum(p * s for p, s in zip(pi, sizes, strict=True)), 0.37 * sum(sizes), rel_tol=1e-6)
+    assert set(cube_mix.land(pi, sizes)) <= {0.0, 1.0}
+
+
+def test_mix_meets_targets(spark, docs, none):
+    rng = __import__("random").Random(4)
+    many = spark.createDataFrame([(k, "w " * rng.randint(1, 90), "en", rng.choice(["x", "y", "y", "y", None]), 1) for k in range(9000)], edge.DOCUMENTS)
+    out = cube_mix.op4_cube_mix(many).toPandas()
+    by = out.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= 90).all() and (out.taken <= 2 * out["size"]).all()
+    assert math.isclose(by.target.sum(), 1.5 * by["size"].sum()) and (by.target <= 2 * by["size"] + 1e-6).all()
+    again = cube_mix.op4_cube_mix(many.repartition(7)).toPandas()
+    assert out.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+    assert cube_mix.op4_cube_mix(docs).count() == len(edge.rows()) and cube_mix.op4_cube_mix(none).count() == 0
+    mixed = cube_mix.mix(docs.withColumn("size", F.lit("own")))
+    assert mixed.columns[-1] == "size" and {r.size for r in mixed.select("size").distinct().collect()} == {"own"}
+
+
+def test_base_scores_match_brute_force(docs, none):
+    out = suffix_tree.op1_suffix_tree(docs).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter()
+    for i, t, *_ in edge.rows():
+        if not held(i):
+            counts.update([*edge.words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t, *_ in edge.rows():
+        w = [*edge.words(t), None]
+        want[i, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out) == want
+    assert all(r.held_out == held(r.doc_id) and r.score <= 0 and math.isfinite(r.score) for r in out)
+    assert suffix_tree.op1_suffix_tree(none).count() == 0
+
+
+def test_tree_is_a_distribution():
+    import pyarrow as pa
+
+    rng = __import__("random").Random(1)
+    from tideline.llm import hashing as H
+
+    raw, offs = H.text_buffers(pa.array([edge.prose(rng, 300) for _ in range(5)]))
+    rows = suffix_tree.symbol_stream(raw, offs)
+    grams = Counter()
+    s, d = rows.symbols, suffix_tree.DEPTH
+    for t in range(d, len(s)):
+        for k in range(d + 1):
+            grams[k, int.from_bytes(bytes(s[t - k : t]), "big"), int(s[t])] += 1
+    tree = suffix_tree.build_tree(np.array([(*k, n) for k, n in grams.items()]))
+    states = tree.logp.reshape(-1, tree.width)
+    rare = 256 - (tree.width - 1)
+    assert np.allclose((10.0 ** states[:, :-1]).sum(axis=1) + rare * 10.0 ** states[:, -1], 1, atol=1e-4)
+    assert np.allclose(suffix_tree.stream_scores(tree, s, lanes=1)[d:], suffix_tree.stream_scores(tree, s, lanes=64)[d:], atol=1e-6)
+
+
+def test_languages(spark, none):
+    rng = __import__("random").Random(2)
+    parts = {"aa": ["pelo", "marta", "sin", "cora"], "bb": ["strum", "knich", "zwort", "bluf"]}
+    rows = [(k, edge.prose(rng, rng.randint(4, 60), parts[g]), g, "s", 1) for k in range(300) for g in [rng.choice(["aa", "bb"])]]
+    rows += [(900, None, "aa", "s", 1), (901, "12 34 !!", "aa", "s", 1), (902, "中文", None, "s", 1), (903, "", None, None, 0), (904, "pelo marta", None, None, 0)]
+    out = {r.doc_id: r for r in language_id.op2_language_id(spark.createDataFrame(rows, edge.DOCUMENTS)).collect()}
+    assert out[900].lang_pred == out[901].lang_pred == out[903].lang_pred == "und" and out[902].lang_pred in parts and out[904].lang_pred == "aa"
+    held = [r for r in rows[:300] if out[r[0]].held_out]
+    assert len(held) > 30 and sum(out[r[0]].lang_pred == r[2] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert language_id.op2_language_id(none).count() == 0
+
+
+def test_quality_model(spark, docs, none):
+    rng = __import__("random").Random(2)
+    rows = [(k, edge.prose(rng, 50) if k % 3 else " ".join(w + "%%%" for w in edge.prose(rng, 50).split()), "en", "s", 1) for k in range(400)] + [(900, None, None, None, None)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(400)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality_model.op9_quality_model(spark.createDataFrame(rows, edge.DOCUMENTS), labels).collect()}
+    held = [k for k in range(400) if out[k].held_out]
+    assert sum(out[k].predicted == int(k % 3 > 0) for k in held) >= 0.95 * len(held)
+    assert len(out) == 401 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.values())
+    assert quality_model.op9_quality_model(none, labels).count() == 0
+    assert quality_model.op9_quality_model(docs, labels.limit(0)).count() == len(edge.rows())
+
+
+def test_pseudonyms_keep_format_and_links(spark, none):
+    texts = [
+        "card 4111 1111 1111 1111 then 4111111111111111", "born 2021-02-28 or 28.02.2021, not 2021-02-31", "ssn 123-45-6789", "iban DE89 3704 0044 0532 0130 00", "ip 10.0.0.1",
+        "call +1 (682) 555-5413", "mail Jo.x@mail8.example.com", "plain 3.14 in 2024", None, "",
+    ]
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, pii int")
+    out = {r.doc_id: r for r in pseudonyms.op5_pseudonyms(df).collect()}
+    a, b = out[0].text[5:24].replace(" ", ""), out[0].text[-16:]
+    assert a == b != "4111111111111111" and out[0].kinds == ["card", "card"]
+    digits = [int(c) for c in reversed(b)]
+    assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    day = __import__("datetime").date.fromisoformat(out[1].text[5:15])
+    assert out[1].text[19:29] == day.strftime("%d.%m.%Y") and out[1].text.endswith("not 2021-02-31")
+    flat = out[3].text[5:].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert [out[k].kinds for k in (2, 4, 5, 6, 7)] == [["ssn"], ["ip"], ["phone"], ["email"], []]
+    assert out[7].text == texts[7] and out[8].text is None and out[9].text == ""
+    assert pseudonyms.op5_pseudonyms(none).count() == 0
+
+
+def test_permutations_are_one_to_one(spark):
+    for n in (10, 99, 1000):
+        assert spark.range(n).select(pseudonyms.permute_below(F.col("id"), F.lit(n), "k").alias("x")).filter(f"x between 0 and {n - 1}").distinct().count() == n
+    for n in (1, 2, 3, 1001):
+        assert sorted(training_order.permute(np.arange(n), n, 5)) == list(range(n))
+
+
+def test_training_order_round_trip(spark, docs, none, tmp_path):
+    few = docs.filter("doc_id <> 9")
+    out = training_order.sequences(few, length=32, shard=16)
+    rows = out.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    manifest = training_order.write_shards(out, str(tmp_path), length=32).collect()
+    assert sum(r.rows for r in manifest) == len(rows)
+    by_slot = {r.slot: np.frombuffer(r.tokens, "<u2") for r in rows}
+    part = training_order.read_slots(str(tmp_path), 7, 21, length=32, shard=16)
+    assert all((part[k] == by_slot[7 + k]).all() for k in range(21))
+    with open(training_order.tokenizer_path(), "rb") as f:
+        decode = training_order._encoder(f.read()).decode
+    stream = Counter()
+    for r in rows:
+        stream[tuple(r.doc_ids)] += r.n_tokens
+    assert {i for r in rows for i in r.doc_ids} == {i for i, *_ in edge.rows() if i != 9}
+    one = training_order.sequences(spark.createDataFrame([(1, "Héllo  <|endoftext|> wörld", "", "", 0)], edge.DOCUMENTS), length=64).collect()[0]
+    ids = np.frombuffer(one.tokens, "<u2")[: one.n_tokens]
+    assert ids[-1] == 50256 and decode(ids[:-1].tolist()) == "Héllo  <|endoftext|> wörld"
+    assert training_order.sequences(none).count() == 0
