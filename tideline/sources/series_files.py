@@ -18,7 +18,7 @@ class SourceError(ValueError):
 
 def data_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """(n, line): lines in order without the leading run of # lines, blank ones and `skip` titles; BOM and CR are gone."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     clean = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
     body = F.regexp_replace(clean, r"\A(?:[ \t]*\n|#[^\n]*(?:\n|\z))+", "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
