@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import operations as O
+from .operators import records as D
 from .operators import retrieval as R
 from .operators import series as S
 from .operators.blocks import html_blocks
@@ -485,6 +486,94 @@ def occurrence_ordinal(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.row_number().over(w) - 1).alias("occurrence"))
 
 
+# ---- records -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 3 = 0 AND event_id % 5 <> 0 AND user_id % 2 = 0 AND event_id % 7 <> 0 THEN true ELSE false END AS cacheable FROM events""")
+def cacheable_exchange(spark, sf):
+    unknown = F.when(F.col("event_id") % 7 != 0, F.lit(False))
+    flag = D.cacheable(F.when(F.col("event_type") == "view", "in_scope"), F.col("user_id") % 3, F.col("event_id") % 5 == 0, F.col("user_id") % 2, unknown)
+    return table(spark, sf, "events").select("event_id", flag.alias("cacheable"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'retrieve' WHEN 1 THEN 'chart' ELSE 'canned' END AS action, CASE WHEN doc_id % 4 < 2 THEN CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END END AS query FROM documents""")
+def route_classification(spark, sf):
+    label = F.element_at(F.array(*map(F.lit, ("in_scope", "chart", "unsafe", "out_of_scope"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rewrite = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", D.decide_route(label, rewrite, F.col("source")).alias("r")).select("doc_id", "r.*")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'flagged' WHEN doc_id % 7 = 0 THEN 'rejected' WHEN doc_id % 6 = 0 THEN 'flagged' WHEN doc_id % 5 = 0 THEN 'flagged' WHEN source <> 'src1' AND doc_id % 4 = 0 THEN 'flagged' ELSE 'confirmed' END AS verdict FROM documents""")
+def licence_gate(spark, sf):
+    k = F.col("doc_id")
+    verdict = D.gate_document(k % 10 == 0, F.when(k % 7 != 0, "src1"), F.when(k % 6 != 0, F.lit("page")), F.when(k % 4 == 0, F.col("source")), k % 5 == 0)
+    return table(spark, sf, "documents").select("doc_id", verdict.alias("verdict"))
+
+
+@query("""WITH j AS (SELECT d.doc_id AS item, length(text) // 4 AS tokens, quality = 1 AS answered, toxic FROM documents d JOIN labels USING (doc_id))
+ SELECT item, 'generate' AS call, tokens FROM j WHERE answered UNION ALL SELECT item, 'refusal_quality', tokens FROM j WHERE toxic = 1 UNION ALL SELECT item, 'answer_quality', tokens FROM j WHERE answered
+ UNION ALL SELECT item, 'citation_support', tokens FROM j WHERE answered AND item % 3 > 0 UNION ALL SELECT item, 'severity', tokens FROM j WHERE answered AND item % 4 = 0""")
+def planned_judge_calls(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    kinds = D.judge_kinds(F.when(F.col("toxic") == 1, "refusal").otherwise("answer"), F.col("quality") == 1, F.col("doc_id") % 3, F.when(F.col("doc_id") % 4 == 0, 1))
+    return D.planned_calls(rows.select(F.col("doc_id").alias("item"), "text", (F.col("quality") == 1).alias("answerable"), kinds.alias("kinds")))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS answer, l_linenumber AS sentence, l_suppkey % 5 AS document FROM lineitem WHERE l_linenumber <= 4), p AS (SELECT l_orderkey AS answer, l_suppkey % 5 AS document, arg_max(l_partkey, l_linenumber * 10000000 + l_partkey) AS passage FROM lineitem GROUP BY 1, 2)
+ SELECT answer, CAST(row_number() OVER (PARTITION BY answer ORDER BY sentence, document) - 1 AS INTEGER) AS pair, sentence, document, passage FROM s JOIN p USING (answer, document)""")
+def entailment_pairs(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("sentence"), (F.col("l_suppkey") % 5).alias("document"), F.col("l_partkey").alias("passage"))
+    return D.entailment_pairs(rows.filter("sentence <= 4").drop("passage"), rows.withColumnRenamed("sentence", "seq"))
+
+
+@query("""SELECT l_orderkey AS answer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n, l_linenumber % 3 AS index, 'p' || (l_linenumber % 3) AS passage FROM lineitem""")
+def citation_resolution(spark, sf):
+    by = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("answer")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
+    rows = by.select("answer", F.array(F.lit("p0"), F.lit("p1"), F.lit("p2")).alias("passages"), F.transform("lines", lambda x: (x % 3).cast("int")).alias("indices"))
+    return D.resolve_citations(rows)
+
+
+@query("""SELECT o.o_orderkey AS serving, s.o_orderkey AS source, s.o_orderpriority AS source_answer FROM orders o LEFT JOIN orders s ON s.o_orderkey = o.o_custkey""")
+def serving_to_source(spark, sf):
+    orders = table(spark, sf, "orders")
+    return D.serving_sources(orders.select(F.col("o_orderkey").alias("serving"), F.col("o_custkey").alias("cached_from")), orders.select(F.col("o_orderkey").alias("exchange"), F.col("o_orderpriority").alias("answer")))
+
+
+@query("""SELECT conv_id AS answer, coalesce(string_agg(CASE WHEN turn % 2 = 0 THEN substr(text, 1, 5) END, '' ORDER BY turn), '') AS text, count(*) AS n_events, CASE WHEN max(turn) % 2 = 0 THEN 'token' ELSE 'done' END AS ended,
+ max(turn) % 2 = 1 AS complete FROM conversations GROUP BY 1""")
+def event_fold(spark, sf):
+    events = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, "token").otherwise("done").alias("event"), F.substring("text", 1, 5).alias("data"))
+    return D.fold_events(events).join(D.transcript_complete(events), "answer")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderpriority END AS verdict FROM orders""")
+def verdict_upsert(spark, sf):
+    old = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("verdict"))
+    return D.upsert(old, old.filter("o_orderkey % 3 = 0").withColumn("verdict", F.lit("new")), "o_orderkey")
+
+
+@query("""SELECT o_orderkey AS chunk, o_custkey AS doc, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey""")
+def chunk_to_document(spark, sf):
+    chunks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("doc"))
+    return D.document_chunks(chunks, table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_mktsegment").alias("segment")))
+
+
+@query("""SELECT substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS version FROM (SELECT sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS h FROM documents)""")
+def corpus_version(spark, sf):
+    return D.corpus_version(table(spark, sf, "documents"), "source", "lang")
+
+
+@query("""SELECT label AS arm, round(avg(vec_id), 3) AS cost FROM embeddings GROUP BY 1 HAVING bool_and(vec_id % 400 <> 0) ORDER BY 2, 1 LIMIT 1""")
+def cheapest_passing_arm(spark, sf):
+    arms = table(spark, sf, "embeddings").withColumn("cost", F.round(F.avg("vec_id").over(Window.partitionBy("label")), 3))
+    return E.cheapest_passing(arms.select(F.col("label").alias("arm"), (F.col("vec_id") % 400 != 0).alias("passed"), "cost"))
+
+
+@query("""SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source NOT IN ('src0', 'src1')""")
+def source_type_filter(spark, sf):
+    return table(spark, sf, "documents").filter(F.col("lang").isin("en", "de") & ~F.col("source").isin("src0", "src1")).select("doc_id")
+
+
 # ---- text ----------------------------------------------------------------------------------------------------------
 
 
