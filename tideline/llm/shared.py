@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trimmed(text: Column) -> Column:
     """`text` without outer ASCII white space; a null is empty."""
-    return F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM x)") if text is None else F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
