@@ -13,7 +13,8 @@ from .operators import operations as O
 from .operators import records as D
 from .operators import retrieval as R
 from .operators import series as S
-from .operators.blocks import html_blocks
+from .operators import structure as X
+from .operators.blocks import exploded, html_blocks, mark_furniture, section_paths, split_references
 from .operators.chunking import chunk_documents
 from .sources.tables import daily_events, day_number, monthly, table
 
@@ -630,3 +631,52 @@ def html_block_stream(spark, sf):
 def chunk_pack(spark, sf):
     blocks = html_blocks(table(spark, sf, "pages"))
     return chunk_documents(blocks.select(F.col("page_id").cast("string").alias("doc_id"), "title", "blocks"))
+
+
+@query("""SELECT o_orderkey, round(floor(round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 1), 9) + 0.5) * pow(10, floor(log10(o_totalprice)) - 1), 6) AS point,
+ round(floor(round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 1), 9)) * pow(10, floor(log10(o_totalprice)) - 1), 6) AS low,
+ round(ceil(round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 1), 9)) * pow(10, floor(log10(o_totalprice)) - 1), 6) AS high FROM orders""")
+def two_significant_figures(spark, sf):
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").select("o_orderkey", *(F.round(T.two_figures(price, how), 6).alias(how) for how in ("point", "low", "high")))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN '10.0.0.' || (c_custkey % 250) WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS ip FROM customer""")
+def client_address(spark, sf):
+    k = F.col("c_custkey")
+    forwarded = F.when(k % 5 != 0, F.concat(F.lit(" 10.0.0."), (k % 250).cast("string"), F.lit(", 1.1.1.1")))
+    host = F.when(k % 3 != 0, F.col("c_name"))
+    return table(spark, sf, "customer").select("c_custkey", T.client_ip(host, forwarded, k % 2 == 0).alias("ip"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'cc-by' WHEN 1 THEN 'cc-by-nc-nd' WHEN 2 THEN 'cc0' WHEN 3 THEN NULL ELSE 'cc-by-sa' END AS licence FROM part""")
+def licence_url(spark, sf):
+    parts = ("licenses/by/4.0/", "licenses/by-nc-nd/3.0/", "publicdomain/zero/1.0/", "about/", "licenses/by-sa/4.0/")
+    url = F.concat(F.lit("https://creativecommons.org/"), F.element_at(F.array(*map(F.lit, parts)), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", T.licence_of_url(url).alias("licence"))
+
+
+@query("""SELECT conv_id, turn, 'It is ' || CASE conv_id % 3 WHEN 0 THEN 'very likely' WHEN 1 THEN 'not likely' ELSE 'unlikely' END || ' with high confidence' AS sentence,
+ CASE conv_id % 3 WHEN 0 THEN 'very likely,high confidence' WHEN 1 THEN 'high confidence' ELSE 'unlikely,high confidence' END AS markers FROM conversations""")
+def confidence_markers(spark, sf):
+    words = F.element_at(F.array(F.lit("very likely"), F.lit("not likely"), F.lit("unlikely")), (F.col("conv_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("It is "), words, F.lit(" with high confidence")).alias("sentence"))
+    return rows.withColumn("markers", F.array_join(T.confidence_markers(F.col("sentence")), ","))
+
+
+@query()
+def section_walk(spark, sf):
+    rows = split_references(section_paths(mark_furniture(exploded(html_blocks(table(spark, sf, "pages"))))))
+    return rows.select("page_id", "pos", "type", F.array_join("path", " > ").alias("path"), "reference")
+
+
+@query()
+def structure_repair(spark, sf):
+    rows = exploded(html_blocks(table(spark, sf, "pages")))
+    return X.attach_captions(X.front_matter(X.repair_levels(rows))).select("page_id", "pos", "type", "level", "caption", "dropped")
+
+
+@query()
+def sentence_span_table(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("s", T.split_sentences(F.col("text")))
+    return rows.select("conv_id", "turn", F.posexplode(T.sentence_spans(F.col("text"), F.col("s"))).alias("n", "span")).select("conv_id", "turn", "n", "span.start", "span.end")
