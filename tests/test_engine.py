@@ -90,6 +90,15 @@ def test_text_functions(spark):
     assert [(s.start, s.end) for s in spans] == [(0, 3), (4, 7), (8, 10)]
 
 
+def test_more_text_functions(spark):
+    assert one(spark, T.chart_slug(F.lit(" CO2_level, (ppm) -- x "))) == "co2-level-ppm-x"
+    assert [one(spark, T.degenerate(F.lit(t))) for t in ("café 5 °C – CO₂", "ＧＩＳ", "a\ufeff", "𝐀bc")] == [False, True, True, True]
+    assert one(spark, T.tokens_at_least(F.lit("-" * 400 + "abcd" * 4))) == 4
+    fields = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("3"))
+    assert one(spark, T.differing_fields(*fields, ["a", "b", "c"])) == ["b", "c"]
+    assert one(spark, T.verdict_of(F.lit("no json"), "verdict string"))["verdict"] is None
+
+
 def test_canonical_hash(spark):
     assert canonical.digest('{"b": 2.0, "a": [1], "_meta": {}}', frozenset({"_meta"})) == canonical.digest('{"a":[1],"b":2}')
     with pytest.raises(ValueError):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,8 +140,77 @@ def veto_profile(question: Column) -> Column:
 
 
 def chart_slug(raw: Column) -> Column:
-    low = F.regexp_replace(F.lower(raw), r"[^a-z0-9]+", "-")
-    return F.rtrim(F.substring(F.btrim(low, F.lit("-")), 1, 64), F.lit("-"))
+    """Blanks and underscores as hyphens, other signs gone, hyphens single and inside, 64 characters at most."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(raw), r"(?U)[\s_]+", "-"), r"[^a-z0-9-]+", "")
+    return F.rtrim(F.substring(F.btrim(F.regexp_replace(low, "-+", "-"), F.lit("-")), 1, 64), F.lit("-"))
+
+
+NEGATIONS = ("not", "never", "no", "cannot")
+
+
+def _term_in(text: Column, term: str) -> tuple[Column, Column]:
+    """Whether a phrase stands in the text as whole words in a row, and whether the first time right behind a negation."""
+    words = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), " ")
+    phrase = " ".join(term.lower().split())
+    padded = F.concat(F.lit(" "), words, F.lit(" "))
+    before = F.substring_index(padded, f" {phrase} ", 1)
+    there = F.instr(padded, f" {phrase} ") > 0
+    return there, there & F.element_at(F.split(before, " "), -1).isin(*NEGATIONS)
+
+
+def term_preserved(source: Column, answer: Column, term: str) -> Column:
+    """Whether the answer has a calibrated term with the polarity that it has in the source."""
+    (_, source_negated), (there, negated) = _term_in(source, term), _term_in(answer, term)
+    return there & (source_negated == negated)
+
+
+def any_calibrated(text: Column) -> Column:
+    out = F.lit(False)
+    for term in CALIBRATED:
+        out = out | _term_in(text, term)[0]
+    return out
+
+
+def strip_json_fence(text: Column) -> Column:
+    """Without one fence around the whole text."""
+    return F.regexp_replace(text, r"(?s)\A\s*```(?:json)?\s*\n(.*?)\n?```\s*\z", "$1")
+
+
+def verdict_of(text: Column, schema: str) -> Column:
+    """A verdict as a struct; null fields where it cannot be read."""
+    return F.from_json(strip_json_fence(text), schema, {"mode": "PERMISSIVE"})
+
+
+def tokens_at_least(text: Column) -> Column:
+    """A low estimate: a quarter of the length, runs of four equal signs or more counted once."""
+    return F.floor(F.length(F.regexp_replace(text, r"([^\w\s])\1{3,}|(\s)\2{3,}", "$1$2")) / 4)
+
+
+def within_budget(seconds: Column, budget: float) -> Column:
+    return seconds <= budget
+
+
+def differing_fields(published: Column, current: Column, fields: list[str]) -> Column:
+    """Names of the fields that differ between two maps; one that is missing differs."""
+    return F.array_compact(F.array(*(F.when(published[f].isNull() | ~published[f].eqNullSafe(current[f]), F.lit(f)) for f in fields)))
+
+
+def degenerate(text: Column) -> Column:
+    """Whether text is garbled: a byte order mark, full-width forms, or signs that stand for plain letters it does not have."""
+    def one(t: str | None) -> bool | None:
+        if t is None:
+            return None
+        if any(c == "\ufeff" or 0xFF00 <= ord(c) <= 0xFFEF for c in t):
+            return True
+        plain = {c for c in t if c.isascii() and c.isalnum()}
+        strange = {c for c in t if not c.isascii() and not unicodedata.decomposition(c).startswith(("<sub>", "<super>"))}
+        return any(n.isascii() and n.isalnum() and n not in plain for c in strange for n in unicodedata.normalize("NFKC", c))
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(one)
+
+    return run(text)
 
 
 def carries_terms(text: Column, groups: list[list[str]]) -> Column:

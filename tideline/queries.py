@@ -610,7 +610,7 @@ def veto_profile(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.nullif(F.array_join(T.veto_profile(F.col("text")), ","), F.lit("")).alias("profile"))
 
 
-@query(r"""SELECT p_partkey, rtrim(substr(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64), '-') AS slug FROM part""")
+@query(r"""SELECT p_partkey, rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[\s_]+', '-', 'g'), '[^a-z0-9-]+', '', 'g'), '-+', '-', 'g'), '-'), 1, 64), '-') AS slug FROM part""")
 def chart_slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.chart_slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
 
@@ -664,6 +664,27 @@ def confidence_markers(spark, sf):
     return rows.withColumn("markers", F.array_join(T.confidence_markers(F.col("sentence")), ","))
 
 
+@query("""SELECT conv_id, turn, conv_id % 3 <> 1 AS preserved, conv_id % 3 <> 2 AS calibrated FROM conversations""")
+def calibrated_terms(spark, sf):
+    k = F.col("conv_id") % 3
+    answer = F.when(k == 0, "It is very likely so").when(k == 1, "It is not very likely so").otherwise("very  Likely, and likely")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", T.term_preserved(F.lit("Very likely it rains"), answer, "very likely").alias("preserved"))
+    return rows.withColumn("calibrated", T.any_calibrated(F.when(k == 2, "nothing of the kind").otherwise(answer)))
+
+
+@query("""SELECT event_id, event_type || CAST(user_id % 3 AS VARCHAR) AS verdict, CAST(user_id % 3 AS BIGINT) AS score FROM events""")
+def verdict_parse(spark, sf):
+    body = F.concat(F.lit('```json\n{"verdict": "'), "event_type", (F.col("user_id") % 3).cast("string"), F.lit('", "score": '), (F.col("user_id") % 3).cast("string"), F.lit("}\n```"))
+    return table(spark, sf, "events").select("event_id", T.verdict_of(body, "verdict string, score bigint").alias("v")).select("event_id", "v.*")
+
+
+@query("""SELECT conv_id, turn, s.doc AS starter FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations) c JOIN (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q, min(conv_id) AS doc FROM conversations WHERE turn = 0 GROUP BY 1) s USING (q)""")
+def starter_exact_match(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("q", T.normalise_question(F.col("text")))
+    starters = rows.filter("turn = 0").groupBy("q").agg(F.min("conv_id").alias("starter"))
+    return rows.join(starters, "q").select("conv_id", "turn", "starter")
+
+
 @query()
 def section_walk(spark, sf):
     rows = split_references(section_paths(mark_furniture(exploded(html_blocks(table(spark, sf, "pages"))))))
