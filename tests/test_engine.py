@@ -168,6 +168,36 @@ def test_journal(spark, tmp_path):
     assert json.loads(journal.run_record(df, ["exchange_id"]))[0]["question"] == "q"
 
 
+def test_logs_with_torn_tails(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n{"id": 2}\n{"id": 3')
+    rows, torn = journal.read_log(spark, f"file://{tmp_path}/a.jsonl", "id long")
+    assert sorted(r.id for r in rows.collect()) == [1, 2] and [r.line for r in torn.collect()] == ['{"id": 3']
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n{"id"\n{"id": 3}\n')
+    with pytest.raises(Exception, match="broken line 1"):
+        journal.read_log(spark, f"file://{tmp_path}/b.jsonl", "id long")[0].collect()
+    (tmp_path / "l.csv").write_text("# note\nday,usd\n1,2.5\n")
+    assert journal.read_ledger_csv(spark, f"file://{tmp_path}/l.csv", "day int, usd double").first().usd == 2.5
+    specs = spark.createDataFrame([("a" * 64, "x"), ("a" * 64, "x"), ("no", "y")], "hash string, spec string")
+    for _ in range(2):
+        journal.put_specs(specs, f"file://{tmp_path}/store")
+    store = spark.read.parquet(f"file://{tmp_path}/store")
+    assert store.count() == 1 and journal.get_one(store, "hash", "a" * 64)["spec"] == "x"
+    with pytest.raises(KeyError):
+        journal.get_one(store, "hash", "b")
+    frames = one(spark, journal.event_frames(F.lit("event: token\ndata: a\ndata: b\n\nevent: done\ndata: {}\n\n")))
+    assert [(f.event, f.data) for f in frames] == [("token", "a\nb"), ("done", "{}")]
+    journal.write_atomically(str(tmp_path / "x"), b"1")
+    assert (tmp_path / "x").read_bytes() == b"1"
+    gates = spark.createDataFrame([("b", "passed", 1, 2, 0.5), ("a", "failed", 0, 2, None)], "name string, status string, numerator long, denominator long, threshold double")
+    assert journal.gate_report(gates).splitlines()[2:] == ["| a | failed | 0/2 |  |", "| b | passed | 1/2 | 0.5 |"]
+
+
+def test_rights_statements(spark):
+    page = "<h1>T</h1><p>Figure licence: CC BY</p><h2>Text</h2><p>© Someone, all rights reserved</p><h2>Licence</h2><p>This is Creative Commons</p>"
+    rows = B.exploded(B.html_blocks(spark.createDataFrame([(1, page), (2, page.split("<h2>Licence")[0]), (3, "<p>none</p>")], "page_id long, html string")))
+    assert {r.page_id: r.text for r in B.rights_statements(rows).collect()} == {1: "This is Creative Commons", 2: "© Someone, all rights reserved"}
+
+
 def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(f"file://{tmp_path}/in")

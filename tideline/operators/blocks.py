@@ -177,3 +177,23 @@ def boilerplate_audit(rows: DataFrame) -> DataFrame:
     named = rows.withColumn("reason", boilerplate_reason(F.col("container"))).filter("reason is not null")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason", "text"))), lambda x: F.concat_ws(": ", x["reason"], x["text"]))
     return named.groupBy("page_id").agg(F.count(F.lit(1)).alias("dropped"), lines.alias("lines"))
+
+
+# Words that mark a paragraph about rights, headings above such ones, and words of a page's own statement.
+TRIGGERS = r"creative commons|rights reserved|public domain|cc0|cc by|licence|license"
+RIGHTS_HEADINGS = r"copyright|licence|license|rights|permissions"
+RIGHTS_WORDS = r"all rights reserved|©|copyright|open access article"
+
+
+def rights_statements(rows: DataFrame) -> DataFrame:
+    """page_id, pos, heading, text: the paragraph of each page that most likely states its rights.
+
+    Of paragraphs with a trigger word, the first below a heading about rights; else the first that speaks of the page's own
+    rights; else the first.
+    """
+    upto = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    under = F.last(F.when(F.col("type").isin("title", "heading"), F.col("text")), ignorenulls=True).over(upto)
+    found = rows.withColumn("heading", F.coalesce(under, F.lit(""))).filter((F.col("type") == "text") & F.lower("text").rlike(TRIGGERS))
+    rank = F.when(F.lower("heading").rlike(RIGHTS_HEADINGS), 0).when(F.lower("text").rlike(RIGHTS_WORDS), 1).otherwise(2)
+    best = found.groupBy("page_id").agg(F.min(F.struct(rank.alias("rank"), "pos", "heading", "text")).alias("x"))
+    return best.select("page_id", "x.pos", "x.heading", "x.text")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,3 +59,67 @@ def harvest(df: DataFrame, forbidden: set[str]) -> DataFrame:
 def run_record(rows: DataFrame, order: list[str]) -> str:
     """A small result as sorted, indented JSON, the same on every run."""
     return json.dumps([r.asDict(recursive=True) for r in rows.orderBy(*order).collect()], sort_keys=True, indent=2, default=str) + "\n"
+
+
+def write_atomically(path: str, data: bytes) -> None:
+    """A small file on the driver's disk, whole or not at all."""
+    part = f"{path}.part"
+    with open(part, "wb") as f:
+        f.write(data)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON-line logs, and the broken last lines of files (a write cut off). A broken line before the last is an error when it is read."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = whole.select("file", F.size("lines").alias("of"), F.posexplode("lines").alias("n", "line"))
+    parsed = F.from_json("line", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    read = lines.withColumn("r", parsed).withColumn("broken", F.col("r._broken").isNotNull())
+    stop = F.raise_error(F.concat(F.lit("broken line "), F.col("n").cast("string"), F.lit(" in "), F.col("file"))).cast("boolean")
+    checked = read.filter(F.when(F.col("broken") & (F.col("n") < F.col("of") - 1), stop).otherwise(~F.col("broken")))
+    torn = read.filter(F.col("broken") & (F.col("n") == F.col("of") - 1)).select("file", "line")
+    return checked.select("r.*").drop("_broken"), torn
+
+
+def read_ledger_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A CSV ledger with # comments; other columns than those stated are an error."""
+    return spark.read.schema(columns).option("header", True).option("comment", "#").option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+def put_specs(specs: DataFrame, store: str) -> None:
+    """Adds specifications (hash, spec) that the store does not hold; the same one again changes nothing."""
+    new = specs.filter(F.col("hash").rlike("^[0-9a-f]{64}$")).dropDuplicates(["hash"])
+    spark = specs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        new = new.join(spark.read.parquet(store).select("hash"), "hash", "left_anti")
+    new.write.mode("append").parquet(store)
+
+
+def get_one(df: DataFrame, key: str, value: str) -> dict:
+    """The row of a key; none is an error. The filter reaches the scan."""
+    row = df.filter(F.col(key) == value).first()
+    if row is None:
+        raise KeyError(value)
+    return row.asDict(recursive=True)
+
+
+def remaining(planned: DataFrame, journal: DataFrame, key: str = "item") -> DataFrame:
+    """Planned items that the journal does not have yet."""
+    return planned.join(journal.select(key), key, "left_anti")
+
+
+def event_frames(text: Column) -> Column:
+    """The frames of a server-sent stream: an array of event and data."""
+    frames = F.filter(F.split(text, "\n\n"), lambda f: F.trim(f) != "")
+    return F.transform(frames, lambda f: F.struct(F.regexp_extract(f, r"(?m)^event: ?(.*)$", 1).alias("event"), F.array_join(F.regexp_extract_all(f, F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n").alias("data")))
+
+
+def gate_report(gates: DataFrame) -> str:
+    """A gate table (a few rows) as Markdown, in the order of names."""
+    lines = ["| gate | status | result | threshold |", "|---|---|---|---|"]
+    for r in gates.orderBy("name").collect():
+        lines.append(f"| {r['name']} | {r['status']} | {r['numerator']}/{r['denominator']} | {'' if r['threshold'] is None else f'{r["threshold"]:g}'} |")
+    return "\n".join(lines) + "\n"
