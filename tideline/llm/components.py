@@ -41,13 +41,16 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield stars()
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 60, in_one: int = BLOCK // 2) -> DataFrame:
     """node and root (the least id of its component) for every node of the links (a, b) that is not itself a root.
 
-    An empty table gives an empty one. Self links are ignored. Each round replaces the links by ones to lesser nodes
-    (large star, then small star) and is written out, until a round changes nothing.
+    An empty table gives an empty one. Self links are ignored. Up to `in_one` links, a bound well within a task's memory,
+    are joined at once; beyond it, each round replaces the links by ones to lesser nodes (large star, then small star) and is written out, until a round changes nothing.
     """
     edges = hold(links.select("a", "b").mapInArrow(_local_forest, "u long, v long"), "stars")
+    if edges.count() <= in_one:  # few enough for one union-find, whose result is the whole answer
+        edges = hold(edges.coalesce(1).mapInArrow(_local_forest, "u long, v long"), "forest")
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

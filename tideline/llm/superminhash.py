@@ -131,8 +131,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    pairs = hold(pairs, "pairs")
+    """Those of the held table `pairs` (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     sides = {}
     for c in ("a", "b"):
         wanted = sized(hold(pairs.select(F.col(c).alias("doc_id")).distinct(), "wanted"))
@@ -174,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     filled = sketch.filter("n > 0 and doc_id is not null")
     classes = hold(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "doc_id").filter("d1 = e1 and d2 = e2")
-    reps = reps.dropDuplicates(["doc_id"])
+    reps = hold(reps.dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "fp"), "reps")
 
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -187,6 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tall = reps.select(F.col("doc_id").alias("rep"), "n", "fp", "bands")
     side = lambda c: tall.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
     candidates = spokes.join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b")
+    candidates = hold(candidates, "candidates")
     links = hold(verified(candidates, docs, width, percent).distinct(), "links")
     found = connected(links)
 
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared_first = F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
     across = half("a").join(half("b"), "key").filter(apart & shared_first).select("a", "b")
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = hold(verified(across.join(tried, ["a", "b"], "left_anti"), docs, width, percent), "more")
+    untried = hold(across.join(tried, ["a", "b"], "left_anti"), "untried")
+    more = hold(verified(untried, docs, width, percent), "more")
     if not more.isEmpty():
         found = connected(links.unionByName(more))
 
