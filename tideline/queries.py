@@ -559,7 +559,9 @@ def chunk_to_document(spark, sf):
     return D.document_chunks(chunks, table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_mktsegment").alias("segment")))
 
 
-@query("""SELECT substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS version FROM (SELECT sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS h FROM documents)""")
+@query("""WITH h AS (SELECT sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS h FROM documents)
+ SELECT substr(sha256(count(*) || '/' || CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || '/' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) || '/'
+ || CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS VARCHAR) || '/' || CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS VARCHAR)), 1, 16) AS version FROM h""")
 def corpus_version(spark, sf):
     return D.corpus_version(table(spark, sf, "documents"), "source", "lang")
 
