@@ -31,7 +31,7 @@ from .shared import remainder
 
 ORDER = 5
 #: Labelled texts of each language that the models are fitted on, and characters of them that are counted.
-SAMPLE, SAMPLE_CHARS = 1500, 4_000_000
+SAMPLE, SAMPLE_CHARS = 1500, 1_500_000
 #: Precision that the rejection threshold is set for.
 PRECISION = 0.995
 
@@ -133,12 +133,18 @@ class Model:
         return out
 
 
+def _counted(keys: np.ndarray, suffix: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct strings, ascending, with their suffix, context and summed counts."""
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, suffix[first], context[first], np.bincount(inverse, n, len(keys))
+
+
 def fit(samples: dict[str, pa.Array]) -> Model:
     """Interpolated Kneser-Ney models of the texts of each language."""
     languages = sorted(samples)
     counts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
     for language in languages:
-        parts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
         for _, _, letters, starts, ends, _ in letter_words(samples[language]):
             strings, offs = grams(letters, starts, ends)
             inner = np.ones(len(strings[0]), bool)
@@ -147,12 +153,12 @@ def fit(samples: dict[str, pa.Array]) -> Model:
                 suffix = strings[k - 1] if k else np.zeros_like(strings[0])
                 context = np.concatenate([np.zeros(1, _U), (strings[k - 1] if k else np.zeros_like(strings[0]))[:-1]])
                 use = inner & (strings[k] != 0)
-                parts[k].append(np.stack([strings[k][use], suffix[use], context[use]], 1))
+                parts[k].append(_counted(strings[k][use], suffix[use], context[use], np.ones(int(use.sum()))))
         by_order = []
         for k in range(ORDER):
-            rows = np.concatenate(parts[k]) if parts[k] else np.zeros((0, 3), _U)
-            keys, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
-            by_order.append((keys, rows[first, 1], rows[first, 2], n.astype(float)))
+            whole = [np.concatenate(c) for c in zip(*parts[k], strict=True)] if parts[k] else [np.zeros(0, _U)] * 3 + [np.zeros(0)]
+            by_order.append(_counted(*whole))
+            parts[k] = []
         counts.append(by_order)
     symbols = max((len(c[0][0]) for c in counts), default=0) + 64
     floor = -np.log(symbols * 4.0)
