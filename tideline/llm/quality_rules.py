@@ -132,9 +132,18 @@ def _fails(rule: Rule, by: dict[str, Column]) -> Column:
     return bad & (F.col("n_words") >= rule.from_words)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_exclamations", "n_ellipsis_lines")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """`df` with its counts behind a one-row generator, past which a later filter does not copy their expressions."""
+    others = [c for c in df.columns if c not in COUNTS]
+    return df.select(*others, F.explode(F.array(F.struct(*COUNTS))).alias("__counts")).select(*others, "__counts.*")
+
+
 def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Adds the counts, `base_failed`, `failed_rules` (names) and `kept` to each row, in one projection."""
-    counted, by = with_counts(df, text), measures()
+    counted, by = _settled(with_counts(df, text)), measures()
     failed = F.array_compact(F.array(*(F.when(_fails(r, by), F.lit(r.name)) for r in rules)))
     base = [r for r in rules if r.name in BASE]
     verdict = counted.withColumn("failed_rules", failed)
