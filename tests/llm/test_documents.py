@@ -235,3 +235,49 @@ def test_training_order_round_trip(spark, docs, none, tmp_path):
     ids = np.frombuffer(one.tokens, "<u2")[: one.n_tokens]
     assert ids[-1] == 50256 and decode(ids[:-1].tolist()) == "Héllo  <|endoftext|> wörld"
     assert training_order.sequences(none).count() == 0
+
+
+def test_tree_over_buckets_matches_one_machine(docs):
+    import pyarrow as pa
+
+    from tideline.llm import hashing as H
+
+    least, d = 4, suffix_tree.DEPTH
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, t or "") for i, t, *_ in edge.rows()]
+    grams, words = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            words.update([*edge.words(t), None])
+            s = suffix_tree.symbol_stream(*H.text_buffers(pa.array([t]))).symbols
+            grams.update((k, int.from_bytes(bytes(s[x - k : x]), "big"), int(s[x])) for x in range(d, len(s)) for k in range(d + 1))
+    every = Counter()
+    for (k, c, _), n in grams.items():
+        every[k, c] += n
+    tree = suffix_tree.build_tree(np.array([(*g, n) for g, n in grams.items() if every[g[:2]] >= least]))
+    kinds = Counter(words.values())
+    base = suffix_tree.Base(sum(words.values()), len(words), words[None], *(sum(1 for w, c in words.items() if w is not None and c == k) for k in (1, 2)))
+    assert kinds and any(k == d for k, _ in tree.retained)
+    want = Counter()
+    for i, t in rows:
+        stream = suffix_tree.symbol_stream(*H.text_buffers(pa.array([t])))
+        run = np.concatenate([[0.0], np.cumsum(suffix_tree.stream_scores(tree, stream.symbols).astype(float))])
+        logs = [*(run[stream.word_stop] - run[stream.word]), run[-1] - run[-2]]
+        want[i, round(sum(float(base.mixed(words[w], x)) for w, x in zip([*edge.words(t), None], logs, strict=True)), 1)] += 1
+    out = suffix_tree.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, least).collect()
+    got = Counter()
+    for r in out:
+        near = [w for w in want if w[0] == r.doc_id and abs(w[1] - r.score) <= 0.1 + 1e-5 * abs(r.score)]
+        assert near, (r.doc_id, r.score)
+        got[near[0]] += 1
+    assert got == want and {r.n_contexts for r in out} == {len(tree.retained)}
+
+
+def test_tree_grows_by_evidence_not_by_share():
+    """A context seen 64 times is retained, however large the rest of the corpus is."""
+    rare, common = (int.from_bytes(t, "big") for t in (b"abcdeX", b"qbcdeY"))
+    strings = np.array([rare, common], np.uint64)
+    below = (strings & np.uint64((1 << 40) - 1), np.array([1e-3, 1e-3]))
+    for n in (64, 10**9):
+        _, p, retained = suffix_tree._grow(strings, np.array([64, n]), below, range(5, 6), suffix_tree.LEAST)
+        assert retained == 2 and p[0] > 0.8

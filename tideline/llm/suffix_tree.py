@@ -1,16 +1,21 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a word-unigram base.
 
 A text is its lower-cased (A-Z) words, closed by a gap each and, at last, an end symbol. Candidate contexts are the byte
-strings of up to `DEPTH` symbols that precede at least a share `LEAST` of all training symbols; that share alone bounds
-their number, whatever the corpus. A candidate is retained where its next-symbol distribution diverges from the one of
-its longest retained suffix. Distributions are smoothed towards that suffix's. A position is scored by its longest
-retained context. The contexts make an automaton whose state after any `DEPTH` symbols depends on these alone, so a batch
-of texts is cut into lanes that are scored side by side.
+strings of up to `DEPTH` symbols that precede at least `LEAST` training symbols, a number that does not depend on the corpus:
+so the tree grows with it. A candidate is retained where its next-symbol distribution diverges from the one of its longest
+retained suffix by `GAIN` nats over all its occurrences. Distributions are smoothed towards that suffix's. A position is
+scored by its longest retained context.
+
+The tree has no bound, so no task and not the driver holds it. Texts are dealt into chunks of about `PIECE` bytes. Each chunk
+sends its distinct words and its distinct strings of `DEPTH` + 1 symbols, with their training counts, to buckets: a string by the
+three symbols before its last. A bucket so has every context that ends in these whole, builds that part of the tree, and sends to
+each chunk the probabilities of the strings it asked for. Only strings of three symbols, which the alphabet bounds, go to all.
+Strings travel as packed arrays, one row for each chunk and bucket.
+`build_tree` and `stream_scores` are the same model for one machine; the tests compare the two.
 
 The tree's distribution over whole tokens (a word's bytes and its gap, or the end) makes up `TREE_SHARE` of a token's
 probability. The rest is that of the token counts under absolute discounting: what is taken off them is shared out as the
-tree has it. So an unseen word costs what its spelling costs. Word counts for the base cover all training words: the most frequent are carried to the scoring tasks in a table of
-bounded size, the rest is joined by shuffle.
+tree has it. So an unseen word costs what its spelling costs. Word counts for the base cover all training words.
 
 Defined results: a null or empty text is its end token alone. With no training text, known counts are 0 and the base is
 that of an empty count table. Rows that repeat a doc_id are scored each.
@@ -28,19 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import hold, remainder, sized
+from .shared import hold, remainder
 
 DEPTH = 5
-#: Share of the training symbols that a context precedes at least.
-LEAST = 1e-5
-#: Divergence in nats from which a context is retained.
-DIVERGENCE = 0.01
+#: Training symbols that a context precedes at least.
+LEAST = 16
+#: Divergence in nats, summed over a context's occurrences, from which it is retained.
+GAIN = 8.0
 #: Observations that the shorter context's distribution counts as.
 WEIGHT = 8.0
 #: Share of the tree in a token's probability; the rest is that of the discounted counts, which the tree smooths as well.
 TREE_SHARE = 0.8
-#: Words in the table that every scoring task holds, at most.
-FREQUENT = 200_000
+#: Bytes of text in a chunk, about; a longer text is one of its own.
+PIECE = 16 << 20
+#: Bytes of text for which there is one bucket of strings and one of words.
+BUCKET = 12 << 20
+#: Symbols of the contexts that all tasks have.
+LOW = 2
 
 END, GAP = 0xFF, 0x20
 _U = np.uint64
@@ -81,40 +90,143 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[edge], np.add.reduceat(counts, edge) if len(edge) else counts
 
 
-def _count(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Counts by kind: 0 words by hash, 1 strings of DEPTH + 1 symbols, 2 texts."""
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the number of its chunk beside each row."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        _, offs = H.text_buffers(batch.column("text"))
+        of = np.empty(batch.num_rows, np.int64)
+        for lo, hi in H.row_chunks(offs, PIECE):
+            more = int(offs[hi] - offs[lo]) + 16 * (hi - lo)
+            if size and size + more > PIECE:
+                chunk, size = chunk + 1, 0
+            of[lo:hi], size = chunk, size + more
+        yield pa.RecordBatch.from_arrays([pa.array(of), *batch.columns], names=["chunk", *batch.schema.names])
+
+
+def _strings(rows: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The string of `DEPTH` + 1 symbols that ends at each place from `DEPTH` on, and whether its last symbol is no padding."""
+    stream = rows.symbols
+    gram = np.zeros(max(len(stream) - DEPTH, 0), _U)
+    for k in range(DEPTH + 1):
+        gram = (gram << _U(8)) | stream[k : len(stream) - DEPTH + k]
+    keep = np.ones(len(gram), bool)
+    for k in range(DEPTH):
+        keep[rows.first[1:] + k - DEPTH] = False
+    return gram, keep
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, best ascending ones: their steps, byte by byte of these, compressed."""
+    steps = np.diff(values.view(_U), prepend=_U(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(_U).reshape(-1), dtype=_U)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of `LOW` + 1 symbols with their counts in training rows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for learned, column in _sides(batches):
+        raw, offs = H.text_buffers(column)
+        for lo, hi in H.row_chunks(offs):
+            gram, keep = _strings(symbol_stream(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+            keys, n = np.unique((gram[keep] & _U((1 << (8 * (LOW + 1))) - 1)).astype(np.uint32), return_counts=True)
+            held.append((keys, n * learned))
+        held = [_merge(held)] if len(held) > 16 else held
+    if held:
+        keys, n = _merge(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Array]]:
+    """The training texts of each batch, then its others."""
+    for batch in batches:
+        held_out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for learned in (True, False):
+            yield learned, batch.column("text").take(pa.array(np.flatnonzero(held_out != learned)))
+
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct strings (buckets from 0) and words (from `buckets`, by hash) of each chunk with their counts in its training rows, packed by bucket."""
     held: dict[int, list] = {0: [], 1: []}
-    texts = 0
+    most = [3_000_000, 3_000_000]
+    at = None
 
     def rows(kind: int) -> pa.RecordBatch:
-        keys, counts = _merge(held[kind]) if held[kind] else (np.zeros(0, _U), np.zeros(0, np.int64))
-        held[kind] = []
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
+        keys, counts = _merge(held[kind])
+        held[kind], most[kind] = [], 3_000_000
+        place = (keys if kind else H.mix((keys >> _U(8)) & _U((1 << (8 * (LOW + 1))) - 1))) % _U(buckets)
+        order = np.argsort(place, kind="stable")  # keys ascend in each bucket
+        keys, counts, place = keys[order], counts[order], place[order]
+        cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([at] * len(pieces), pa.int64()), pa.array([int(place[a]) + kind * buckets for a, _ in pieces], pa.int64()), pa.array([b - a for a, b in pieces], pa.int64()),
+                pa.array([_packed(keys[a:b]) for a, b in pieces], pa.binary()), pa.array([_packed(counts[a:b]) for a, b in pieces], pa.binary()),
+            ],
+            names=["chunk", "bucket", "size", "keys", "counts"],
+        )
 
     for batch in batches:
-        raw, offs = H.text_buffers(batch.column("text"))
-        texts += batch.num_rows
-        for lo, hi in H.row_chunks(offs):
-            words, _ = H.word_hashes(raw, offs[lo : hi + 1])
-            held[0].append(np.unique(words, return_counts=True))
-            rows_ = symbol_stream(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            stream, first = rows_.symbols, rows_.first
-            gram = np.zeros(len(stream) - DEPTH, _U)
-            for k in range(DEPTH + 1):
-                gram = (gram << _U(8)) | stream[k : len(stream) - DEPTH + k]
-            keep = np.ones(len(gram), bool)
-            for k in range(DEPTH):  # strings that end in padding
-                inner = first[1:] + k - DEPTH
-                keep[inner] = False
-            held[1].append(np.unique(gram[keep], return_counts=True))
-            for kind, parts in held.items():
-                if sum(len(k) for k, _ in parts) > most:
-                    held[kind] = [_merge(parts)]
-                    if len(held[kind][0][0]) > most // 2:
-                        yield rows(kind)
-    yield rows(0)
-    yield rows(1)
-    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
+        chunks = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            if at is not None and at != chunks[start]:
+                yield from (rows(0), rows(1))
+            at = int(chunks[start])
+            for learned, column in _sides([batch.slice(start, stop - start)]):
+                raw, offs = H.text_buffers(column)
+                for lo, hi in H.row_chunks(offs):
+                    words, _ = H.word_hashes(raw, offs[lo : hi + 1])
+                    gram, keep = _strings(symbol_stream(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+                    for kind, found in ((0, gram[keep]), (1, words)):
+                        keys, n = np.unique(found, return_counts=True)
+                        held[kind].append((keys, n * learned))
+                        if sum(len(k) for k, _ in held[kind]) > most[kind]:
+                            held[kind] = [_merge(held[kind])]
+                            most[kind] = max(3_000_000, 2 * len(held[kind][0][0]))
+    if at is not None:
+        yield from (rows(0), rows(1))
+
+
+def _root(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with a class of their own, and the probability of each byte without context; all other bytes share one class."""
+    share = total / max(total.sum(), 1)
+    symbols = np.flatnonzero((share >= 1e-6) | np.isin(np.arange(256), (END, GAP)))
+    rest = np.ones(256, bool)
+    rest[symbols] = False
+    size = total.sum() + 0.5 * (len(symbols) + 1)
+    p = (total + 0.5) / size
+    p[rest] = (total[rest].sum() + 0.5) / size / max(int(rest.sum()), 1)
+    return symbols, p
+
+
+def _grow(strings: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarray], lengths: range, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct strings (the last symbol after a context of the greatest length), their probabilities, and how many contexts are retained.
+
+    `strings` ascend and hold all strings of their contexts; `below` has the strings and probabilities of the length before `lengths`.
+    """
+    known, p, retained = *below, 0
+    for k in lengths:
+        own, inverse = np.unique(strings & _U((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        count = np.bincount(inverse, n, len(own))
+        up = p[np.searchsorted(known, own & _U((1 << (8 * k)) - 1))]
+        _, context = np.unique(own >> _U(8), return_inverse=True)
+        every = np.bincount(context, count)
+        smooth = (count + WEIGHT * up) / (every[context] + WEIGHT)
+        # Symbols that are in no row are unseen there: each has its share of the shorter context's, in proportion.
+        unseen = WEIGHT / (every + WEIGHT)
+        divergence = np.bincount(context, smooth * np.log(smooth / up)) + unseen * np.maximum(1 - np.bincount(context, up), 0) * np.log(unseen)
+        keeps = (every >= max(least, 1)) & (every * divergence >= GAIN)
+        known, p, retained = own, np.where(keeps[context], smooth, up), retained + int(keeps.sum())
+    return known, p, retained
 
 
 @dataclass
@@ -129,12 +241,11 @@ class Tree:
 
 
 def build_tree(counts: np.ndarray) -> Tree:
-    """From rows (length, context, symbol, n) of all candidate contexts; the empty one has length 0."""
+    """From rows (length, context, symbol, n) of all candidate contexts; the empty one has length 0. For one machine and small tables."""
     total = np.zeros(256)
     root_rows = counts[counts[:, 0] == 0]
     total[root_rows[:, 2]] = root_rows[:, 3]
-    share = total / max(total.sum(), 1)
-    symbols = np.flatnonzero((share >= 1e-6) | np.isin(np.arange(256), (END, GAP)))
+    symbols, _ = _root(total)
     a = len(symbols) + 1  # the last class: all other bytes
     classes = np.full(256, a - 1, np.int64)
     classes[symbols] = np.arange(a - 1)
@@ -160,7 +271,7 @@ def build_tree(counts: np.ndarray) -> Tree:
             continue
         up = index[k - 1, c & ((1 << (8 * (k - 1))) - 1)]
         smooth = (own + WEIGHT * prob[up]) / (own.sum() + WEIGHT)
-        if (smooth * np.log(smooth / prob[up])).sum() >= DIVERGENCE:
+        if own.sum() * (smooth * np.log(smooth / prob[up])).sum() >= GAIN:
             retained.append((k, c))
             prob[i] = smooth
         else:
@@ -205,14 +316,11 @@ def stream_scores(tree: Tree, stream: np.ndarray, lanes: int = 2048) -> np.ndarr
 
 @dataclass
 class Base:
-    """Counts of the frequent words, and what the add-0.1 estimate needs."""
+    """What the add-0.1 estimate and the discounted one need beside a word's count."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
     tokens: int
     distinct: int
     texts: int
-
     singles: int = 0
     doubles: int = 0
 
@@ -235,35 +343,66 @@ class Base:
         return TREE_SHARE + (1 - TREE_SHARE) * self.discount * self.distinct / self.tokens if self.tokens else 1.0
 
 
-def _score(batches: Iterator[pa.RecordBatch], tree: Tree, base: Base) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        raw, offs = H.text_buffers(batch.column("text"))
-        for lo, hi in H.row_chunks(offs):
-            own, cut = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-            n = hi - lo
-            words, wo = H.word_hashes(own, cut)
-            at = np.searchsorted(base.hashes, words)
-            at[at == len(base.hashes)] = 0
-            known = base.hashes[at] == words if len(base.hashes) else np.zeros(len(words), bool)
-            c = np.where(known, base.counts[at], 0) if len(base.hashes) else np.zeros(len(words), np.int64)
-            rows = symbol_stream(own, cut)
-            run = np.concatenate([[0.0], np.cumsum(stream_scores(tree, rows.symbols).astype(np.float64))])
-            tree_log = run[rows.word_stop] - run[rows.word]
-            end_log = run[rows.end + 1] - run[rows.end]
-            sums = [np.concatenate([[0.0], np.cumsum(np.where(known, x, 0.0))]) for x in (base.log(c), base.mixed(c, tree_log), known)]
-            plain, score, seen = (x[wo[1:]] - x[wo[:-1]] for x in sums)
-            rest = np.flatnonzero(~known)
-            lists = pa.array(np.searchsorted(rest, wo).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(n)), batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(np.diff(wo) + 1),
-                    pa.array(seen.astype(np.int64) + int(base.texts > 0)), pa.array(plain + base.log(base.texts)), pa.array(score + base.mixed(base.texts, end_log)),
-                    pa.ListArray.from_arrays(lists, pa.array(words[rest].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(tree_log[rest].astype(np.float32))),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "rest_log"],
-            )
-            row += n
+def _build(group: pa.Table, low: tuple[np.ndarray, np.ndarray], least: float, buckets: int) -> pa.Table:
+    """A bucket's answers: to each chunk the total counts of its words, or the log10 probabilities of its strings; then totals of the bucket (no chunk)."""
+    sizes = group["size"].to_pylist()
+    key = np.concatenate([_unpacked(k, n) for k, n in zip(group["keys"].to_pylist(), sizes, strict=True)])
+    n = np.concatenate([_unpacked(c, n) for c, n in zip(group["counts"].to_pylist(), sizes, strict=True)]).view(np.int64)
+    keys, inverse = np.unique(key, return_inverse=True)
+    total = np.bincount(inverse, n, len(keys)).astype(np.int64)
+    words = group["bucket"][0].as_py() >= buckets
+    cuts = np.cumsum([0, *sizes])
+    if words:
+        seen, each = total[total > 0], total[inverse]
+        sums = {"distinct": len(seen), "tokens": int(seen.sum()), "singles": int((seen == 1).sum()), "doubles": int((seen == 2).sum())}
+        values = [_packed(each[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    else:
+        _, p, retained = _grow(keys, total, low, range(LOW + 1, DEPTH + 1), least)
+        sums, each = {"contexts": retained}, np.log10(p).astype(np.float32)[inverse]
+        values = [each[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    columns = {
+        "chunk": [*group["chunk"].to_pylist(), *(None for _ in sums)], "words": [words] * (len(sizes) + len(sums)), "size": [*sizes, *sums.values()],
+        "keys": [*group["keys"].to_pylist(), *(None for _ in sums)], "answers": [*values, *(None for _ in sums)], "what": [*(None for _ in sizes), *sums],
+    }
+    return pa.table(columns, pa.schema([("chunk", pa.int64()), ("words", pa.bool_()), ("size", pa.int64()), ("keys", pa.binary()), ("answers", pa.binary()), ("what", pa.string())]))
+
+
+def _answered(answers: pa.Table, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's words and their counts, or its strings and their log10 probabilities, ascending."""
+    keys, values = [np.zeros(0, _U)], [np.zeros(0, np.int64 if words else np.float32)]
+    for r in answers.to_pylist():
+        if r["words"] == words:
+            keys.append(_unpacked(r["keys"], r["size"]))
+            values.append(_unpacked(r["answers"], r["size"]).view(np.int64) if words else np.frombuffer(r["answers"], np.float32))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _score(rows: pa.Table, answers: pa.Table, base: Base) -> pa.Table:
+    """The scores of a chunk's rows."""
+    (hashes, counts), (grams, logs) = _answered(answers, True), _answered(answers, False)
+    raw, offs = H.text_buffers(pa.concat_arrays([c.cast(pa.large_string()) for c in rows["text"].chunks]))
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for lo, hi in H.row_chunks(offs):
+        own, cut = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        words, wo = H.word_hashes(own, cut)
+        c = counts[np.searchsorted(hashes, words)] if len(words) else np.zeros(0, np.int64)
+        stream = symbol_stream(own, cut)
+        gram, keep = _strings(stream)
+        distinct, inverse = np.unique(gram[keep], return_inverse=True)
+        each = np.zeros(len(stream.symbols))
+        each[np.flatnonzero(keep) + DEPTH] = logs[np.searchsorted(grams, distinct)][inverse]
+        run = np.concatenate([[0.0], np.cumsum(each)])
+        tree_log = run[stream.word_stop] - run[stream.word]
+        end_log = run[stream.end + 1] - run[stream.end]
+        plain, score, seen = (x[wo[1:]] - x[wo[:-1]] for x in (np.concatenate([[0.0], np.cumsum(v)]) for v in (base.log(c), base.mixed(c, tree_log), c > 0)))
+        for part, x in zip(parts, (np.diff(wo) + 1, seen.astype(np.int64) + int(base.texts > 0), plain + base.log(base.texts), score + base.mixed(base.texts, end_log)), strict=True):
+            part.append(x)
+    out = [np.concatenate(x) if x else np.zeros(0) for x in parts]
+    return pa.table(
+        {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(out[0].astype(np.int64)), "n_known": pa.array(out[1].astype(np.int64)), "base_score": pa.array(out[2]), "score": pa.array(out[3])}
+    )
 
 
 def score_texts(docs: DataFrame, held_out, least: float = LEAST) -> DataFrame:
@@ -271,53 +410,27 @@ def score_texts(docs: DataFrame, held_out, least: float = LEAST) -> DataFrame:
 
     `held_out` is a boolean expression; the other rows are learned from.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, key long, n long")
-    stats = hold(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-
-    words = stats.filter("kind = 0").select("key", "n")
-    texts = stats.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
-    level = F.floor(F.log2("n") * 8).cast("int")
-    levels = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # 512 at most
-    singles, doubles = (sum(r.words for r in levels if r.level == k) for k in (0, 8))
-    distinct, tokens, cut, taken = sum(r.words for r in levels), sum(r.tokens for r in levels), 1 << 62, 0
-    for r in levels:
-        if taken + r.words > FREQUENT:
-            break
-        taken, cut = taken + r.words, r.least
-    frequent = words.filter(F.col("n") >= cut).orderBy("key").toPandas()
-    hashes = frequent["key"].to_numpy(np.int64).view(_U)
-    order = np.argsort(hashes)
-    base = Base(hashes[order], frequent["n"].to_numpy(np.int64)[order], tokens + texts, distinct + (texts > 0), texts, singles, doubles)
-
-    grams = stats.filter("kind = 1").select("key", "n")
-    by_length = grams.select("n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("k"), "key")
-    context = F.shiftrightunsigned("key", 8).bitwiseAND(_mask(F.col("k")))
-    follow = hold(by_length.groupBy("k", context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol")).agg(F.sum("n").alias("n")), "follow")
-    symbols = follow.filter("k = 0").agg(F.sum("n")).first()[0] or 0
-    often = follow.groupBy("k", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(least * symbols, 1)).drop("all")
-    often = sized(hold(often, "contexts"))  # (DEPTH + 1) / least rows at most
-    kept = follow.join(often, ["k", "context"]).select("k", "context", "symbol", "n").toPandas()
-    tree = build_tree(kept.to_numpy(np.int64))
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, rest_log array<float>"
-    scored = hold(rows.mapInArrow(lambda it: _score(it, tree, base), schema), "scored")
-    n, z = F.coalesce("n", F.lit(0)), base.tokens + 0.1 * (base.distinct + 1)
-    each = scored.select("row", F.explode(F.arrays_zip("rest", "rest_log")).alias("x")).select("row", F.col("x.rest").alias("key"), F.col("x.rest_log").cast("double").alias("tree"))
-    mixed = F.log10((1 - TREE_SHARE) * F.greatest(n - base.discount, F.lit(0.0)) / base.tokens + base.tree_weight * F.pow(F.lit(10.0), "tree")) if base.tokens else F.col("tree")
-    rare = each.join(words.filter(F.col("n") < cut), "key", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10((n + 0.1) / z)).alias("more"), F.sum(mixed).alias("more_score"), F.count_if(n > 0).alias("known"))
-    out = scored.drop("rest", "rest_log").join(rare, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(base.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-        F.lit(len(tree.retained)).cast("long").alias("n_contexts"),
-    )
-
-
-def _mask(k):
-    """The low 8 * k bits."""
-    return F.get(F.array(*(F.lit((1 << (8 * i)) - 1).cast("long") for i in range(DEPTH + 1))), k)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = hold(rows.mapInArrow(_deal, "chunk long, doc_id long, held_out boolean, text string"), "chunks")
+    size = rows.agg(F.count_if(~F.col("held_out")).alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    texts, buckets = size["texts"], max((size["bytes"] or 0) // BUCKET, 64)
+
+    ends = rows.select("held_out", "text").mapInArrow(_ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # bounded by the alphabet
+    last, count = ends["key"].to_numpy(np.int64).view(_U), ends["n"].to_numpy(np.int64)
+    _, start = _root(np.bincount((last & _U(255)).astype(np.int64), count, 256))
+    *low, retained = _grow(last, count, (np.arange(256, dtype=_U), start), range(1, LOW + 1), least)
+
+    counted = rows.select("chunk", "held_out", "text").mapInArrow(lambda it: _count(it, buckets), "chunk long, bucket long, size long, keys binary, counts binary")
+    asked = counted.groupBy("bucket").applyInArrow(lambda g: _build(g, tuple(low), least, buckets), "chunk long, words boolean, size long, keys binary, answers binary, what string")
+    answers = hold(asked, "answers")
+    sums = {r.what: r.n for r in answers.filter("what is not null").groupBy("what").agg(F.sum("size").alias("n")).collect()}
+    base = Base(sums.get("tokens", 0) + texts, sums.get("distinct", 0) + (texts > 0), texts, sums.get("singles", 0), sums.get("doubles", 0))
+    contexts = 1 + retained + sums.get("contexts", 0)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    asked_by = answers.filter("what is null").select("chunk", "words", "size", "keys", "answers")
+    scored = rows.groupBy("chunk").cogroup(asked_by.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, base), schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(base.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts).cast("long").alias("n_contexts"))
 
 
 def op1_suffix_tree(documents: DataFrame) -> DataFrame:
