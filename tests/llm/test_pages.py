@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from tideline.llm import wrappers
 
 PAGE = (
@@ -38,3 +40,21 @@ def test_pages_table(spark):
     assert next(r.text for r in out if r.page_id == 3).startswith("Head 3 One & 3 two bolder end")
     assert next(r.text for r in out if r.page_id == 21) == "" and next(r.text for r in out if r.page_id == 23) == "deep"
     assert wrappers.main_texts(df.limit(0)).count() == 0
+
+
+def test_only_attributes_mark_what_is_left_out():
+    kept = [
+        '<div style="overflow:hidden">a</div>', '<p title="A hidden gem">a</p>', '<p data-role="banner">a</p>', '<p><a href="/p?id=menu">a</a></p>', "<p><a href=/p?id=menu>a</a></p>",
+        '<div class="content no-sidebar">a</div>', '<p data-x="role=banner class=ad">a</p>',
+    ]
+    for block in kept:
+        assert wrappers.extract(f"<article><h1>h</h1>{block}</article>") == "h a", block
+    gone = ['<div hidden>a</div>', "<div class='x' hidden=hidden>a</div>", '<div aria-hidden = "true">a</div>', '<p ROLE="note banner">a</p>', "<p id=sidebar-2>a</p>", '<p class="post site-footer">a</p>']
+    for block in gone:
+        assert wrappers.extract(f"<article><h1>h</h1>{block}</article>") == "h", block
+
+
+def test_a_place_is_not_left_out_for_its_neighbour():
+    page = '<article><h1>h{0}</h1><div role="complementary">aside {0}</div><p>p{0}</p><div>content {0}</div></article>'
+    w = wrappers.infer([page.format(k) for k in range(8)])
+    assert w["out"] == [] and wrappers.extract(page.format(9), json.dumps(w)) == "h9 p9 content 9"

@@ -3,8 +3,8 @@
 A page becomes a tree by a lenient reading of its tag stream. Runs of siblings that repeat fold into repeated groups. The
 folded pages of a host are aligned one after another: what matches is merged, tags that only some pages have become
 optional groups, texts that differ become slots, texts that never differ stay template text. From the wrapper of a host come
-the place of the article, the places to leave out, and the template texts inside the article. Each page is then read whole
-against the wrapper of its host; a place that the wrapper has not seen is judged by its own tags and names.
+the template texts inside the article. Each page is then read whole against the wrapper of its host. An element is left out by
+its own tag, names and role: one that these do not mark shows that its place is not left out on all pages.
 
 A wrapper is inferred from `SAMPLE` pages of its host, those that come first by a hash; every page is extracted.
 
@@ -47,10 +47,13 @@ NAMES = set(
     "sidebar side related recommended recommendations more-links menu nav navbar navigation pagination pager header masthead footer copyright legal "
     "widget widgets toolbar tags disqus rail teaser teasers".split()
 )
+#: First parts of names that say what an element does not have.
+WITHOUT = set("no not non without hide has with".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: An attribute from its start, with its value; so no value is read as a name.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 
 
 @dataclass
@@ -69,20 +72,29 @@ class Node:
         return f"{self.tag}.{self.name}" if self.name else self.tag
 
 
+def _furniture(word: str) -> bool:
+    """Whether a class or id name is one of `NAMES`, or such a name with more parts; 'no-sidebar' and its like say the contrary."""
+    parts = re.split(r"[-_]+", re.sub(r"\d+", "", word))
+    return word in NAMES or (parts[0] not in WITHOUT and not NAMES.isdisjoint(parts))
+
+
 def _attributes(tag: str, text: str) -> tuple[str, bool]:
     """A name for the element (its first class or id without digits), and whether it is to be left out."""
-    name, out = "", tag in LEFT_OUT
+    name, out, seen = "", tag in LEFT_OUT, set()
     for m in _ATTRIBUTE.finditer(text) if text else ():
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if kind in seen:  # the first of a name counts
+            continue
+        seen.add(kind)
         if kind in ("class", "id"):
             words = value.split()
             if words and (not name or kind == "class"):
                 name = re.sub(r"\d+", "", words[0])
             if tag not in ("body", "html", *MAIN):
-                out = out or any(w in NAMES or (set(re.split(r"[-_]+", re.sub(r"\d+", "", w))) & NAMES) for w in words)
+                out = out or any(_furniture(w) for w in words)
         elif kind == "role":
-            out = out or value in ROLES
-        elif kind == "hidden" or value == "true":
+            out = out or any(w in ROLES for w in value.split())
+        elif kind == "hidden" or (kind == "aria-hidden" and value.strip() == "true"):
             out = out or tag not in ("body", "html")
     return name, out
 
@@ -219,7 +231,7 @@ def infer(pages: list[str]) -> dict:
     whole = trees[0]
     for tree in trees[1:]:
         whole = _merge(whole, tree)
-    main, out, template, slots = [], [], [], 0
+    main, out, stays, template, slots = [], [], set(), [], 0
 
     def walk(node: Node, path: str, inside: bool, loose: bool) -> None:
         """`loose`: below a repeated or optional group, where a text that agrees may do so by chance."""
@@ -230,6 +242,7 @@ def infer(pages: list[str]) -> dict:
                 if k.out:
                     out.append(here)
                     continue
+                stays.add(here)
                 if k.tag in MAIN and not inside:
                     main.append(here)
                 walk(k, here, inside or k.tag in MAIN, (loose or k.repeated or k.optional) and k.tag not in MAIN)
@@ -242,23 +255,23 @@ def infer(pages: list[str]) -> dict:
     # Template texts are a minor part of an article; where all texts agree, the pages are copies and say nothing.
     if len(distinct) < TEMPLATE_FROM or len(template) > slots:
         template = []
-    return {"expression": expression(whole), "main": main, "out": out, "template": template}
+    return {"expression": expression(whole), "main": main, "out": [p for p in out if p not in stays], "template": template}
 
 
 _EMPTY = {"expression": "", "main": [], "out": [], "template": []}
 
 
 @lru_cache(maxsize=4096)
-def _loaded(wrapper: str | None) -> tuple[frozenset, frozenset]:
+def _loaded(wrapper: str | None) -> frozenset:
     w = json.loads(wrapper) if wrapper else _EMPTY
-    return frozenset(w["out"]), frozenset((p, t) for p, t in w["template"])
+    return frozenset((p, t) for p, t in w["template"])
 
 
 def extract(page: str | None, wrapper: str | None = None) -> str:
     """The article's text: its blocks with single spaces, joined by one."""
     if not page:
         return ""
-    out, template = _loaded(wrapper)
+    template = _loaded(wrapper)
     root = parse(page)
     blocks: list[tuple[bool, str, float]] = []  # inside the article, text, share of linked text
     parts: list[str] = []
@@ -285,7 +298,7 @@ def extract(page: str | None, wrapper: str | None = None) -> str:
                 linked += len(node) if link else 0
             continue
         here = f"{path}/{node.key}" if node is not root else ""
-        if node.out or here in out:
+        if node.out:
             if node.tag not in INLINE:
                 flush(inside)
             continue
