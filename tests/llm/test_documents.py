@@ -281,3 +281,18 @@ def test_tree_grows_by_evidence_not_by_share():
     for n in (64, 10**9):
         _, p, retained = suffix_tree._grow(strings, np.array([64, n]), below, range(5, 6), suffix_tree.LEAST)
         assert retained == 2 and p[0] > 0.8
+
+
+def test_pseudonyms_beside_other_digits_and_other_dates(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"{iban} EUR", f"ID12 {card}", "on 12/31/1990", "on 3/4/1990", "on 03/04/1990", "no 31/31/1990", "1234 5678 9012 3456 78"]
+    out = [r for r in pseudonyms.op5_pseudonyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [r.kinds for r in out] == [["card"]] * 3 + [["iban"], ["card"]] + [["date"]] * 3 + [[], []]
+    assert all(card not in r.text and iban not in r.text for r in out) and out[8].text == texts[8] and out[9].text == texts[9]
+    assert out[0].text.endswith(" 12/27") and out[1].text.endswith(" 123") and out[2].text.startswith("12 ") and out[3].text.endswith(" EUR") and out[4].text.startswith("ID12 ")
+    alike = {out[0].text[:19], out[1].text[:19], out[2].text[3:], out[4].text[5:]}
+    digits = [int(c) for c in reversed(out[1].text[:19].replace(" ", ""))]
+    assert len(alike) == 1 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    a, b = out[6].text[3:].split("/"), out[7].text[3:].split("/")
+    assert list(map(int, a)) == list(map(int, b)) != [3, 4, 1990] and len(b[0]) == len(b[1]) == 2
+    assert out[5].text != texts[5] and 1 <= int(out[5].text[3:].split("/")[0]) <= 12

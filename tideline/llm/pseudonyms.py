@@ -9,9 +9,12 @@ permutation is walked on until it is one.
 Everything is DataFrame expressions within one row: no shuffle, no Python on the executors.
 
 Kinds: card (13 to 19 digits, Luhn), number (15 to 16 digits, grouped or not, that no Luhn check confirms), iban (mod 97),
-ssn, phone (international or with an area code), ip (four octets), date (ISO or day and month first), email (user part;
+ssn, phone (international or with an area code), ip (four octets), date (ISO, or day and month first in one or two digits; the month before the day only where the day cannot be first), email (user part;
 the domain becomes example.com's), secret (hexadecimal runs of 32 and more: each digit permuted in hexadecimal).
 
+A run of groups that is no valid card or IBAN may hold one beside other digits or letters: then the longest valid run of
+whole groups in it is replaced, and the rest stays.
+
 Defined results: a null text stays null, an empty one empty. Digits outside these formats stay. Repeated rows are treated alike.
 """
 
@@ -30,7 +33,7 @@ KINDS: dict[str, str] = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "date": r"(?<![\d\-/.])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[/.](?:0[1-9]|1[0-2])[/.](?:19|20)\d\d)(?![\d])",
+    "date": r"(?<![\d\-/.])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[/.](?:0?[1-9]|[12]\d|3[01])[/.](?:19|20)\d\d)(?![\d])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\dA-Za-z])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z])",
     "phone": r"(?<![\dA-Za-z+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\dA-Za-z])",
@@ -115,10 +118,40 @@ def _is_iban(s: Column) -> Column:
     return _mod97(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))) == 1
 
 
+def _day(match: Column) -> Column:
+    flat = F.translate(match, "/.", "--")
+    return F.coalesce(F.try_to_date(match, "yyyy-MM-dd"), F.try_to_date(flat, "d-M-yyyy"), F.try_to_date(flat, "M-d-yyyy"))
+
+
+def inner_run(match: Column) -> Column:
+    """(before, run, after): the longest run of whole groups in a card's or IBAN's match that is a valid card or IBAN, the first of equal ones; else null."""
+    cut = lambda groups, a, n: F.array_join(F.slice(groups, a, n), "")
+
+    def valid(run: Column) -> Column:
+        card = run.rlike(rf"\A(?:{KINDS['card']})\z")
+        iban = run.rlike(rf"\A(?:{KINDS['iban']})\z")
+        return F.when(card, _is_luhn(run)).when(iban, _is_iban(run)).otherwise(False)
+
+    def search(groups: Column) -> Column:
+        size = F.size(groups)
+
+        def from_(a: Column) -> Column:
+            def one(n: Column) -> Column:
+                run = F.regexp_replace(cut(groups, a, n), r"[ \-]$", "")
+                rest = F.substr(cut(groups, a, size), F.length(run) + 1)
+                return F.struct(F.length(run).alias("size"), (-a).alias("first"), cut(groups, F.lit(1), a - 1).alias("before"), run.alias("run"), rest.alias("after"))
+
+            return F.transform(F.sequence(F.lit(1), size - a + 1), one)
+
+        return F.array_max(F.filter(F.flatten(F.transform(F.sequence(F.lit(1), size), from_)), lambda x: valid(x["run"])))
+
+    return F.when(match.rlike(rf"\A(?:{KINDS['card']}|{KINDS['iban']})\z"), _let(F.split(match, r"(?<=[ \-])"), search))
+
+
 def kind_of(match: Column) -> Column:
     """The kind of a match of `ANY`, null where its value is not valid."""
     whole = lambda k: match.rlike(rf"\A(?:{KINDS[k]})\z")
-    day = F.coalesce(F.try_to_date(match, "yyyy-MM-dd"), F.try_to_date(F.translate(match, "/.", "--"), "dd-MM-yyyy"))
+    day = _day(match)
     return (
         F.when(whole("email"), "email").when(whole("secret"), "secret").when(whole("iban") & _is_iban(match), "iban").when(whole("ip"), "ip")
         .when(whole("date") & day.isNotNull(), "date").when(whole("ssn") & ~match.rlike(r"^(?:000|666|9\d\d)|-00-|-0000$"), "ssn")
@@ -149,9 +182,16 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     ip = _let(permute_below(address, F.lit(1 << 32), f"{key}/ip"), lambda v: F.concat_ws(".", *((F.floor(v / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0))))
     iso = match.rlike(r"^\d{4}")
     first, days = F.lit("1900-01-01").cast("date"), 73414  # to the end of 2100
-    day = F.when(iso, F.try_to_date(match, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(match, "/.", "--"), "dd-MM-yyyy"))
-    moved = F.date_add(first, permute_below(F.datediff(day, first).cast("bigint"), F.lit(days), f"{key}/date").cast("int"))
-    date = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(put_digits(match, F.date_format(moved, "ddMMyyyy")))
+    moved = F.date_add(first, permute_below(F.datediff(_day(match), first).cast("bigint"), F.lit(days), f"{key}/date").cast("int"))
+    short, month_first = match.rlike(r"^\d[/.]|[/.]\d[/.]"), F.try_to_date(F.translate(match, "/.", "--"), "d-M-yyyy").isNull()
+
+    def noted(at: Column) -> Column:
+        padded = F.when(month_first, F.date_format(at, "MM-dd-yyyy")).otherwise(F.date_format(at, "dd-MM-yyyy"))
+        brief = F.when(month_first, F.date_format(at, "M-d-yyyy")).otherwise(F.date_format(at, "d-M-yyyy"))
+        marks, parts = F.regexp_replace(match, "[0-9]", ""), F.split(F.when(short, brief).otherwise(padded), "-")
+        return F.concat(F.get(parts, F.lit(0)), F.substr(marks, F.lit(1), F.lit(1)), F.get(parts, F.lit(1)), F.substr(marks, F.lit(2), F.lit(1)), F.get(parts, F.lit(2)))
+
+    date = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(_let(moved, noted))
     flat = F.replace(match, F.lit(" "), F.lit(""))
     account = F.substr(flat, F.lit(5))
     digits = _digits(account)
@@ -174,7 +214,10 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = F.col(text)
     found = F.when(whole.rlike(HINT), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = df.withColumn("__found", found)
-    as_pairs = F.transform("__found", lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("value"))))
+    # Of a match that is no value itself, the run within it; a match that is one is all run.
+    within = lambda m, k: F.coalesce(F.when(k.isNull(), inner_run(m)), F.struct(F.lit(0).alias("size"), F.lit(0).alias("first"), F.lit("").alias("before"), m.alias("run"), F.lit("").alias("after")))
+    paired = lambda r: _let(kind_of(r["run"]), lambda k: F.struct(k.alias("kind"), F.concat(r["before"], pseudonym(r["run"], k, key), r["after"]).alias("value")))
+    as_pairs = F.transform("__found", lambda m: _let(_let(kind_of(m), lambda k: within(m, k)), paired))
     marked = marked.withColumn("__pairs", F.when(F.size("__found") > 0, as_pairs).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
     pieces = F.split(whole, ANY, -1)
     joined = F.array_join(F.zip_with(pieces, "__pairs", lambda piece, pair: F.concat(piece, F.coalesce(pair["value"], F.lit("")))), "")
