@@ -210,3 +210,11 @@ def test_streams(spark, tmp_path):
     q = live.sliding_limits(stream, "user_id", 3600, 2).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select * from limits").count() == events.count()
+
+
+def test_dense_topk_in_blocks(spark, monkeypatch):
+    rows = spark.range(40).select(F.col("id").alias("item"), F.array(*(F.sin(F.col("id") * k + k) for k in (1, 2, 3))).alias("vector"))
+    asked = rows.withColumnRenamed("item", "query")
+    whole = sorted(map(tuple, R.dense_topk(rows, asked, 3).collect()))
+    monkeypatch.setattr(R, "QUERY_BOUND", 7)
+    assert sorted(map(tuple, R.dense_topk(rows, asked, 3).collect())) == whole and len(whole) == 120

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,18 +26,22 @@ def norm(a: Column) -> Column:
 def dense_topk(items: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """query, item, score, rank: the `k` items of the highest cosine for each query.
 
-    `items` (item, vector) stays where it lies; `queries` (query, vector) is a stated set, broadcast within `QUERY_BOUND`
-    rows. What is `allowed` is filtered before ranking. Ties go to the lesser item. Ranking keeps `k` rows of each query in
+    `items` (item, vector) stays where it lies; `queries` (query, vector) is dealt by a hash of its id into blocks of
+    about `QUERY_BOUND` rows at most, each broadcast. What is `allowed` is filtered before ranking. Ties go to the lesser item. Ranking keeps `k` rows of each query in
     each task before the shuffle.
     """
     stored = items if allowed is None else items.filter(allowed)
     stored = stored.select("item", F.col("vector").alias("__v"), norm(F.col("vector")).alias("__n"))
     asked = queries.select("query", F.col("vector").alias("__q"), norm(F.col("vector")).alias("__m"))
-    if asked.limit(QUERY_BOUND + 1).count() > QUERY_BOUND:
-        raise ValueError(f"more than {QUERY_BOUND} queries; pass them in blocks")
+    blocks = -(-asked.count() // QUERY_BOUND)
+    block = F.pmod(F.xxhash64("query"), F.lit(max(blocks, 1)))
     score = dot(F.col("__v"), F.col("__q")) / (F.col("__n") * F.col("__m"))
-    scored = stored.join(F.broadcast(asked), F.col("__n") > 0).filter("__m > 0").select("query", "item", F.round(score, 6).alias("score"))
-    return ranked(scored, k)
+
+    def one(some: DataFrame) -> DataFrame:
+        scored = stored.join(F.broadcast(some), F.col("__n") > 0).filter("__m > 0").select("query", "item", F.round(score, 6).alias("score"))
+        return ranked(scored, k)
+
+    return one(asked) if blocks <= 1 else reduce(DataFrame.unionByName, [one(asked.filter(block == b)) for b in range(blocks)])
 
 
 def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
