@@ -77,10 +77,12 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % by
 
 
-#: Rows of narrow key tables that are broadcast at most; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of narrow key tables that are broadcast at most, and bytes of their wide columns; a larger table is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a held table of a few narrow columns, marked for broadcast where its counted size is within `rows`."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, *wide: str) -> DataFrame:
+    """`df`, a held table, marked for broadcast where its counted rows, and the bytes of its `wide` columns, are within the bounds."""
+    weights = [F.sum(F.octet_length(F.to_json(F.col(c)) if dict(df.dtypes)[c].startswith("array") else F.col(c))).alias(c) for c in wide]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *weights).first()
+    return F.broadcast(df) if found["n"] <= rows and sum(found[c] or 0 for c in wide) <= BROADCAST_BYTES else df
