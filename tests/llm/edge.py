@@ -33,26 +33,30 @@ def rows():
     return out + [(100 + k, prose(rng, 60 + k), rng.choice(["en", "de"]), rng.choice("abc"), 60) for k in range(40)]
 
 
-def components(texts: dict[int, str | None], width: int, percent: int) -> dict[int, int]:
-    sets = {}
-    for i, t in texts.items():
+def components(rows: list[tuple], width: int, percent: int) -> list:
+    """For each (id, text) the least id of its group, over all pairs of rows; an id of None comes last."""
+    sets = []
+    for _, t in rows:
         w = words(t)
-        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            union = len(sets[a] | sets[b])
-            if union and 100 * len(sets[a] & sets[b]) >= percent * union:
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            low, high = sorted((len(sets[a]), len(sets[b])))
+            if low and 100 * low >= percent * high and (common := len(sets[a] & sets[b])) and 100 * common >= percent * (low + high - common):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {i: find(i) for i in sets}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = find(k)
+        least[r] = i if least.get(r) is None else min(least[r], least[r] if i is None else i)
+    return [least[find(k)] for k in range(len(rows))]
 
 
 def quality_counts(text):

@@ -40,20 +40,70 @@ def test_quality_keeps_columns_whatever_their_names(docs):
     assert 11 in {r.doc_id for r in out.collect()}
 
 
-def test_near_duplicates_match_brute_force(docs, none):
-    texts = {i: t for i, t, *_ in edge.rows() if i != 11}
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in superminhash.near_duplicates(docs.filter("doc_id <> 11"), 4, 80).collect()}
-    want = edge.components(texts, 4, 80)
-    assert {i: g[1] for i, g in got.items()} == want
-    assert all(g[2] == (g[1] == i) for i, g in got.items())
-    assert superminhash.near_duplicates(none, 4, 80).count() == 0
-
-
-def test_repeated_ids_do_not_break_near_duplicates(docs):
-    rows = superminhash.near_duplicates(docs.unionByName(docs.filter("doc_id = 1")), 4, 80).collect()
-    assert len(rows) == len(edge.rows()) + 1
-    kept = superminhash.keep_first(docs.withColumn("rep", F.lit(1)), 4, 80)
-    assert "rep" in kept.columns and {1} == {r.doc_id for r in kept.filter("doc_id < 4").collect()}
+def near_rows(df):
+    return Counter((r.doc_id, r.component_id, r.kept) for r in superminhash.near_duplicates(df, 4, 80).collect())
+
+
+def wanted_rows(rows):
+    return Counter((i, c, i == c) for (i, _), c in zip(rows, edge.components(rows, 4, 80), strict=True))
+
+
+def test_near_duplicates_match_brute_force(spark, docs, none):
+    assert near_rows(docs) == wanted_rows([(i, t) for i, t, *_ in edge.rows()])
+    assert superminhash.near_duplicates(none, 4, 80).count() == 0 and superminhash.keep_first(none).count() == 0
+    rng = __import__("random").Random(5)
+    a, b = edge.prose(rng, 120), edge.prose(rng, 120)
+    near = lambda t, k: " ".join("x" if j == k else w for j, w in enumerate(t.split()))
+    # Two texts of one id, null ids in a group and alone, a group of null ids.
+    rows = [(1, a), (1, b), (5, near(a, 9)), (7, near(a, 80)), (6, near(b, 11)), (8, near(b, 70)), (None, near(a, 50)), (None, edge.prose(rng, 99)), (None, "q w e r t"), (None, "Q w e r t"), (1, a), (None, None)]
+    assert near_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == wanted_rows(rows)
+
+
+def family(rng, n, size=150, change=(1, 60)):
+    """Texts that leave an origin in some words each, so that many pairs lie about the threshold."""
+    origin = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        t = list(rng.choice([origin, out[-1] if out else origin]))
+        for _ in range(rng.randint(*change) // 10):
+            t[rng.randrange(size)] = f"v{rng.randrange(10**6)}"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("small", [superminhash.SMALL, 4])
+def test_links_about_the_threshold_match_all_pairs(spark, monkeypatch, small):
+    """Buckets with many components, by pairs and by prefixes: the groups of all pairs of 600 texts."""
+    monkeypatch.setattr(superminhash, "SMALL", small)
+    rng = __import__("random").Random(11)
+    rows = list(enumerate(t for _ in range(6) for t in family(rng, 60) + family(rng, 40, change=(10, 40))))
+    got = near_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == wanted_rows(rows) and 50 < sum(1 for (i, c, _) in got if i == c) < 500
+
+
+def test_prefixes_meet_at_the_threshold(spark):
+    rng = __import__("random").Random(3)
+    sets = [rng.sample(range(60), rng.randint(1, 50)) for _ in range(60)]
+    sets += [[x for x in s if rng.random() > 0.1] or [1] for s in sets]
+    found = superminhash.prefixes(spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "cid long, shingles array<long>"), 80).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.token, set()).add(r.cid)
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a]), set(sets[b])
+            if 100 * len(x & y) >= 80 * len(x | y):
+                assert any({a, b} <= s for s in by.values()), (a, b)
+
+
+def test_one_row_of_a_group_stays(docs):
+    odd = docs.unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 4")).withColumn("rep", F.lit(1)).withColumn("h", F.lit("mine")).withColumn("again", F.lit(2)).withColumn("row", F.lit(3))
+    kept = superminhash.keep_first(odd, 4, 80)
+    assert kept.columns == odd.columns
+    out = kept.collect()
+    assert Counter(r.doc_id for r in out if r.doc_id in (1, 2, 3)) == {1: 1} and {(r.rep, r.h, r.again, r.row) for r in out} == {(1, "mine", 2, 3)}
+    # Rows without a shingle stay as they are, and so do both texts of an id.
+    assert Counter(r.doc_id for r in out if r.doc_id in (4, 5, 6, 11)) == {4: 2, 5: 1, 6: 1, 11: 2}
 
 
 def test_signatures_estimate_similarity():

@@ -6,12 +6,14 @@ against independent minima. They are dealt rank by rank to all shingles of a bat
 soon as each of its components has a value, since later ranks can only be larger.
 
 Documents with equal shingle sets are one class. Classes that share a band are candidates: first against the most
-central member of their bucket, then, in buckets that still hold several components, across components. Candidates are
-confirmed on the full sets, read again from the texts. No more than one bucket's links to its centre are made, and
-pairs only where components differ, so a large group of copies costs as many pairs as it has members.
+central member of their bucket, then, in buckets that still hold several components, against the most central member outside
+the first one's component, then across components: by pairs in small buckets, in large ones by prefixes. (Of two sets
+at the threshold, the few rarest shingles of one meet those of the other.) Candidates are confirmed on the full sets, read again
+from the texts. A large group of copies so costs as many pairs as it has members, and a large group that is alike below the threshold few.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing. A text with fewer
-words than a shingle is one shingle. Repeated rows of a doc_id give one row each. Null ids are allowed and sort first.
+words than a shingle is one shingle. Repeated rows of a doc_id give one row each; where they differ in text, each is linked by its own.
+Null ids are allowed: a group has the least id that is not null, if any.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ COMPONENTS, BANDS, BAND = 256, 24, 4
 #: correlated ranks), and 18 with one of 3.8 among the first six words; these bounds are five deviations above.
 WORDS = 2 * COMPONENTS // 16
 MOST_DIFFERENT, FIRST_WORDS, MOST_FIRST = 140, 6, 38
+#: Members of a bucket up to which its pairs across components are made as they are.
+SMALL = 64
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -87,7 +91,7 @@ def distinct_shingles(words: np.ndarray, offs: np.ndarray, width: int) -> tuple[
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("fp", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("fp", pa.list_(pa.int64()))])
     for batch in batches:
         raw, offs = H.text_buffers(batch.column("text"))
         for lo, hi in H.row_chunks(offs):
@@ -103,13 +107,13 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             sums = [np.concatenate([np.zeros(1, _U), np.cumsum(f(sh))]) for f in (lambda v: v, lambda v: H.mix(v ^ _U(0x5851F42D4C957F2D)))]
             d1, d2 = ((s[so[1:]] - s[so[:-1]]).view(np.int64) for s in sums)
             fixed = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(d1), pa.array(d2), fixed(key), fixed(fp)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h")), pa.array(n), pa.array(d1), pa.array(d2), fixed(key), fixed(fp)], schema=schema)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (distinct shingles), d1 and d2 (sums over the set: equal sets have equal ones), band keys and fingerprint."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _sketch_batches(it, width), "doc_id long, n long, d1 long, d2 long, bands array<long>, fp array<long>")
+    """doc_id, h (hash of the text), n (distinct shingles), d1 and d2 (sums over the set: equal sets have equal ones), band keys and fingerprint."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(lambda it: _sketch_batches(it, width), "doc_id long, h long, n long, d1 long, d2 long, bands array<long>, fp array<long>")
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -130,16 +134,39 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the held table `pairs` (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    sides = {}
-    for c in ("a", "b"):
-        wanted = sized(hold(pairs.select(F.col(c).alias("doc_id")).distinct(), "wanted"))
-        sides[c] = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    full = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "text_a", "text_b")
+def _texts(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """cid and text, once for each class in the table `cids` (cid)."""
+    wanted = sized(hold(classes.join(cids.distinct(), "cid", "left_semi").select("cid", "rep"), "wanted"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("h") == F.col("rep.h"))).select("cid", "text")
+    return found.dropDuplicates(["cid"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the held table `pairs` (a, b; classes) whose full shingle sets have 100 * intersection >= percent * union."""
+    side = lambda c: _texts(docs, classes, pairs.select(F.col(c).alias("cid"))).select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(lambda it: _verify_batches(it, width, percent), "a long, b long")
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offs = H.text_buffers(batch.column("text"))
+        for lo, hi in H.row_chunks(offs):
+            sh, so = distinct_shingles(*H.word_hashes(raw, offs[lo : hi + 1]), width)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(lo, hi - lo), pa.ListArray.from_arrays(so.astype(np.int32), pa.array(sh.view(np.int64)))], names=["cid", "shingles"])
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """cid and token, for the rarest shingles of each of `sets` (cid, shingles): as many as make two sets at the threshold share one."""
+    tokens = sets.select("cid", F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    ranked = tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("all"))
+    n = F.size("all")
+    head = ranked.select("cid", F.explode(F.slice("all", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("x"))
+    return head.filter("x.times > 1").select("cid", "x.token")
+
+
 def _differing(x: Column, y: Column) -> Column:
     """How many of 16 components differ between two words of fingerprints."""
     z = x.bitwiseXOR(y)
@@ -163,58 +190,95 @@ def _alike(percent: int) -> Column:
     return sizes & (first <= MOST_FIRST) & (every <= MOST_DIFFERENT)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _centres(members: DataFrame, tag: str) -> DataFrame:
+    """a (the most central class of a bucket) and b (another one there) of `members` (key, cid, size); the class that shares the largest buckets is the likely origin of others."""
+    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    ranked = members.join(central, "cid").select("key", "cid", F.struct("weight", (-F.col("cid")).alias("low")).alias("rank"))
+    centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
+    return hold(members.join(centres, "key"), tag)
 
-    Shingles are `width` words in lower case (A-Z); sets with 100 * intersection >= percent * union are linked.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n, component and top (hash of the text that stands for the group) for each row of `docs`."""
     sketch = hold(sketches(docs, width), "sketch")
-    filled = sketch.filter("n > 0 and doc_id is not null")
-    classes = hold(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "doc_id").filter("d1 = e1 and d2 = e2")
-    reps = hold(reps.dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "fp"), "reps")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
+    classes = sketch.filter("n > 0").groupBy("d1", "d2").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    classes = hold(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    banded = classes.select("cid", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = hold(banded.join(shared, "key"), "members")
-    # The member that shares the largest buckets is the likely origin of the others.
-    central = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    ranked = members.join(central, "rep").select("key", "rep", F.struct("weight", (-F.col("rep")).alias("low")).alias("rank"))
-    centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
-    spokes = members.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    tall = reps.select(F.col("doc_id").alias("rep"), "n", "fp", "bands")
-    side = lambda c: tall.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
-    candidates = spokes.join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b")
-    candidates = hold(candidates, "candidates")
-    links = hold(verified(candidates, docs, width, percent).distinct(), "links")
+    members = _centres(hold(banded.join(shared, "key"), "members"), "centred")
+    tall = classes.select("cid", "n", "fp")
+    side = lambda c: tall.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
+
+    def tried(spokes: DataFrame) -> DataFrame:
+        return hold(spokes.distinct().join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b"), "candidates")
+
+    candidates = tried(members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")))
+    links = hold(verified(candidates, docs, classes, width, percent), "links")
     found = connected(links)
 
-    # Buckets that still hold several components: members of different ones are candidates as well.
-    placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    spread = hold(placed.join(mixed, "key").join(tall, "rep"), "spread")
-    half = lambda c: spread.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("rep", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"), ("bands", "bands_"))))
+    # Buckets that still hold several components: their first centre has met all, so another component's most central class comes next.
+    def open_buckets(found: DataFrame) -> DataFrame:
+        placed = members.select("key", "cid", "size", "centre").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        return hold(placed.join(mixed, "key"), "open")
+
+    left = open_buckets(found)
+    first = left.filter("cid = centre").select("key", F.col("root").alias("first"))
+    second = _centres(left.join(first, "key").filter("root <> first").select("key", "cid", "size", "root"), "second").filter("cid = centre").select("key", "centre", F.col("root").alias("beside"))
+    met = left.select("key", "cid", "root").join(second, "key").filter("root <> beside").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
+    more = tried(met.join(candidates, ["a", "b"], "left_anti"))
+    again = hold(verified(more, docs, classes, width, percent), "links")
+    if not again.isEmpty():
+        links = links.unionByName(again)
+        found = connected(links)
+        left = open_buckets(found)
+    done = candidates.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    small = left.filter(F.col("size") <= SMALL).select("key", "cid", "root")
+    large = left.filter(F.col("size") > SMALL).select("cid", "root").distinct()
+    sets = _texts(docs, classes, large.select("cid")).mapInArrow(lambda it: _set_batches(it, width), "cid long, shingles array<long>")
+    by_prefix = prefixes(hold(sets, "sets"), percent).join(large, "cid").select(F.col("token").alias("key"), "cid", "root")
+    spread = hold(small.unionByName(by_prefix).join(tall, "cid"), "spread")
+    half = lambda c: spread.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"))))
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike(percent)
-    # A pair is made in the first bucket that it shares, once.
-    shared_first = F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
-    across = half("a").join(half("b"), "key").filter(apart & shared_first).select("a", "b")
-    tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untried = hold(across.join(tried, ["a", "b"], "left_anti"), "untried")
-    more = hold(verified(untried, docs, width, percent), "more")
-    if not more.isEmpty():
-        found = connected(links.unionByName(more))
+    across = half("a").join(half("b"), "key").filter(apart).select("a", "b").distinct()
+    untried = hold(across.join(done, ["a", "b"], "left_anti"), "untried")
+    last = hold(verified(untried, docs, classes, width, percent), "more")
+    if not last.isEmpty():
+        found = connected(links.unionByName(last))
+
+    # The group of a class: the least id and, of that id, the text that stays.
+    roots = found.withColumnRenamed("node", "cid").unionByName(found.select(F.col("root").alias("cid"), "root").distinct())
+    named = hold(classes.select("cid", "d1", "d2", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named")
+    tops = named.groupBy("root").agg(F.min("rep").alias("top"))
+    groups = named.join(tops, "root").select("d1", "d2", "top")
+    out = sketch.select("doc_id", "h", "n", "d1", "d2").join(groups, ["d1", "d2"], "left")
+    linked = F.col("n") > 0
+    return out.select("doc_id", "h", "n", F.when(linked, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("component"), F.when(linked, F.col("top.h")).alias("top"))
 
-    roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = sketch.join(roots, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Shingles are `width` words in lower case (A-Z); sets with 100 * intersection >= percent * union are linked.
+    """
+    rows = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` of which `near_duplicates` keeps one for each group, with the columns of `docs`.
+    """The rows of `docs`, with its columns, of which one stays for each group: of its least id, of these the least text hash, of equal rows any.
 
-    Rows that repeat a doc_id are one document and stay together, once each.
+    Rows without a shingle are in no group and stay.
     """
-    kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept"))).select(*docs.columns)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    rows = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("h") == F.col("top")))
+    kept = rows.filter(stays).groupBy("doc_id", "h").agg(((F.max("n") > 0) & (F.count(F.lit(1)) > 1)).alias("again"))
+    kept = sized(hold(kept.select(F.col("doc_id").alias("id"), F.col("h").alias("text_hash"), "again"), "kept"))
+    chosen = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))).select("doc_id", "h", "row", "again")
+    # Most texts occur once with their id; only others are shuffled to leave one.
+    repeated = chosen.filter("again").dropDuplicates(["doc_id", "h"])
+    return chosen.filter("not again").select("row.*").unionByName(repeated.select("row.*"))
