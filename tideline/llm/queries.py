@@ -37,7 +37,7 @@ def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.op5_pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms.op5_pseudonyms(table(spark, sf_dir, "documents"), key="a key of these tables")
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
