@@ -3,19 +3,15 @@
 A text is its lower-cased (A-Z) words, closed by a gap each and, at last, an end symbol. Candidate contexts are the byte
 strings of up to `DEPTH` symbols that precede at least `LEAST` training symbols, a number that does not depend on the corpus:
 so the tree grows with it. A candidate is retained where its next-symbol distribution diverges from the one of its longest
-retained suffix by `GAIN` nats over all its occurrences. Distributions are smoothed towards that suffix's. A position is
-scored by its longest retained context.
+retained suffix by `GAIN` nats over all its occurrences. Distributions are smoothed towards that suffix's, which counts as
+`SMOOTH` observations for each kind of symbol that followed. A position is scored by its longest retained context, and a
+text's probability is the product over its symbols.
 
 The tree has no bound, so no task and not the driver holds it. Texts are dealt into chunks of about `PIECE` bytes. Each chunk
 sends its distinct words and its distinct strings of `DEPTH` + 1 symbols, with their training counts, to buckets: a string by the
 three symbols before its last. A bucket so has every context that ends in these whole, builds that part of the tree, and sends to
-each chunk the probabilities of the strings it asked for. Only strings of three symbols, which the alphabet bounds, go to all.
-Strings travel as packed arrays, one row for each chunk and bucket.
-`build_tree` and `stream_scores` are the same model for one machine; the tests compare the two.
-
-The tree's distribution over whole tokens (a word's bytes and its gap, or the end) makes up `TREE_SHARE` of a token's
-probability. The rest is that of the token counts under absolute discounting: what is taken off them is shared out as the
-tree has it. So an unseen word costs what its spelling costs. Word counts for the base cover all training words.
+each chunk the probabilities of the strings it asked for, in the order asked, to 1/4096 of a power of ten. Only strings of three
+symbols, which the alphabet bounds, go to all. Strings travel as packed arrays, one row for each chunk and bucket.
 
 Defined results: a null or empty text is its end token alone. With no training text, known counts are 0 and the base is
 that of an empty count table. Rows that repeat a doc_id are scored each.
@@ -23,6 +19,7 @@ that of an empty count table. Rows that repeat a doc_id are scored each.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,21 +32,21 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .shared import hold, remainder
 
-DEPTH = 5
+DEPTH = 7
 #: Training symbols that a context precedes at least.
-LEAST = 16
+LEAST = 2
 #: Divergence in nats, summed over a context's occurrences, from which it is retained.
-GAIN = 8.0
-#: Observations that the shorter context's distribution counts as.
-WEIGHT = 8.0
-#: Share of the tree in a token's probability; the rest is that of the discounted counts, which the tree smooths as well.
-TREE_SHARE = 0.8
+GAIN = 2.0
+#: Observations that the shorter context's distribution counts as, for each kind of next symbol.
+SMOOTH = 2.0
 #: Bytes of text in a chunk, about; a longer text is one of its own.
 PIECE = 16 << 20
 #: Bytes of text for which there is one bucket of strings and one of words.
 BUCKET = 12 << 20
 #: Symbols of the contexts that all tasks have.
 LOW = 2
+#: Steps to a power of ten in which probabilities are sent.
+STEPS = 4096
 
 END, GAP = 0xFF, 0x20
 _U = np.uint64
@@ -127,6 +124,16 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(_U).reshape(-1), dtype=_U)
 
 
+def _packed_small(values: np.ndarray) -> bytes:
+    """Whole numbers, mostly small, byte by byte of these, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype(_U).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_small(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).reshape(-1)
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of `LOW` + 1 symbols with their counts in training rows."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -159,8 +166,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     def rows(kind: int) -> pa.RecordBatch:
         keys, counts = _merge(held[kind])
         held[kind], most[kind] = [], 3_000_000
-        place = (keys if kind else H.mix((keys >> _U(8)) & _U((1 << (8 * (LOW + 1))) - 1))) % _U(buckets)
-        order = np.argsort(place, kind="stable")  # keys ascend in each bucket
+        place, order = _asked(keys, bool(kind), buckets)
         keys, counts, place = keys[order], counts[order], place[order]
         cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
         pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -220,169 +226,91 @@ def _grow(strings: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarra
         up = p[np.searchsorted(known, own & _U((1 << (8 * k)) - 1))]
         _, context = np.unique(own >> _U(8), return_inverse=True)
         every = np.bincount(context, count)
-        smooth = (count + WEIGHT * up) / (every[context] + WEIGHT)
+        weight = SMOOTH * np.maximum(np.bincount(context, count > 0), 1)
+        smooth = (count + weight[context] * up) / (every + weight)[context]
         # Symbols that are in no row are unseen there: each has its share of the shorter context's, in proportion.
-        unseen = WEIGHT / (every + WEIGHT)
+        unseen = weight / (every + weight)
         divergence = np.bincount(context, smooth * np.log(smooth / up)) + unseen * np.maximum(1 - np.bincount(context, up), 0) * np.log(unseen)
         keeps = (every >= max(least, 1)) & (every * divergence >= GAIN)
         known, p, retained = own, np.where(keeps[context], smooth, up), retained + int(keeps.sum())
     return known, p, retained
 
 
-@dataclass
-class Tree:
-    """The automaton: symbol classes of bytes, next states, log10 probabilities, retained contexts as (length, bytes)."""
-
-    classes: np.ndarray
-    move: np.ndarray
-    logp: np.ndarray
-    retained: list[tuple[int, int]]
-    width: int
-
-
-def build_tree(counts: np.ndarray) -> Tree:
-    """From rows (length, context, symbol, n) of all candidate contexts; the empty one has length 0. For one machine and small tables."""
-    total = np.zeros(256)
-    root_rows = counts[counts[:, 0] == 0]
-    total[root_rows[:, 2]] = root_rows[:, 3]
-    symbols, _ = _root(total)
-    a = len(symbols) + 1  # the last class: all other bytes
-    classes = np.full(256, a - 1, np.int64)
-    classes[symbols] = np.arange(a - 1)
-    rare = 256 - len(symbols)
-    index: dict[tuple[int, int], int] = {(0, 0): 0}
-    states = [(0, 0)]
-    rows_of: dict[tuple[int, int], list] = {}
-    for k, c, s, n in counts.tolist():
-        rows_of.setdefault((k, c), []).append((s, n))
-    for k, c in sorted(rows_of):
-        if k and all(classes[(c >> (8 * i)) & 255] < a - 1 for i in range(k)) and (k - 1, c & ((1 << (8 * (k - 1))) - 1)) in index:
-            index[k, c] = len(states)
-            states.append((k, c))
-    prob = np.empty((len(states), a))
-    move = np.zeros((len(states), a), np.int32)
-    retained = [(0, 0)]
-    for i, (k, c) in enumerate(states):
-        own = np.zeros(a)
-        for s, n in rows_of.get((k, c), ()):
-            own[classes[s]] += n
-        if k == 0:
-            prob[0] = (own + 0.5) / (own.sum() + 0.5 * a)
-            continue
-        up = index[k - 1, c & ((1 << (8 * (k - 1))) - 1)]
-        smooth = (own + WEIGHT * prob[up]) / (own.sum() + WEIGHT)
-        if own.sum() * (smooth * np.log(smooth / prob[up])).sum() >= GAIN:
-            retained.append((k, c))
-            prob[i] = smooth
-        else:
-            prob[i] = prob[up]
-    for i, (k, c) in enumerate(states):
-        if k:
-            move[i] = move[index[k - 1, c & ((1 << (8 * (k - 1))) - 1)]]
-        if k < DEPTH:
-            for j, s in enumerate(symbols):
-                if (child := index.get((k + 1, (c << 8) | int(s)))) is not None:
-                    move[i, j] = child
-    prob[:, a - 1] /= max(rare, 1)
-    return Tree(classes.astype(np.uint8), move.reshape(-1), np.log10(prob).astype(np.float32).reshape(-1), retained, a)
-
-
-def stream_scores(tree: Tree, stream: np.ndarray, lanes: int = 2048) -> np.ndarray:
-    """log10 probability of each symbol after those before it (the first `DEPTH` are context only)."""
-    x = tree.classes[stream].astype(np.int64)
-    n = len(x)
-    step = max(-(-n // lanes), 1)
-    m = -(-n // step)
-    wide = np.zeros(m * step, np.int64)
-    wide[:n] = x
-    wide = wide.reshape(m, step)
-    state = np.zeros(m, np.int64)
-    width = tree.width
-    warm = np.zeros((m, DEPTH), np.int64)
-    for k in range(DEPTH):
-        at = np.arange(m) * step - DEPTH + k
-        warm[:, k] = np.where(at >= 0, x[np.maximum(at, 0)], -1)
-    for k in range(DEPTH):
-        sym = warm[:, k]
-        state = np.where(sym >= 0, tree.move[state * width + np.maximum(sym, 0)], 0)
-    out = np.empty((step, m), np.float32)
-    columns = np.ascontiguousarray(wide.T)
-    for k in range(step):
-        at = state * width + columns[k]
-        out[k] = tree.logp[at]
-        state = tree.move[at].astype(np.int64)
-    return out.T.reshape(-1)[:n]
-
-
 @dataclass
 class Base:
-    """What the add-0.1 estimate and the discounted one need beside a word's count."""
+    """What the add-0.1 estimate needs beside a token's count."""
 
     tokens: int
     distinct: int
     texts: int
-    singles: int = 0
-    doubles: int = 0
 
     def log(self, c: np.ndarray | int) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
-    @property
-    def discount(self) -> float:
-        """Taken off each count and given to the tree, as in absolute discounting."""
-        return self.singles / (self.singles + 2 * self.doubles) if self.singles and self.doubles else 0.5
-
-    def mixed(self, c: np.ndarray | int, tree_log: np.ndarray) -> np.ndarray:
-        """log10 probability of tokens seen `c` times, to which the tree gives `tree_log`."""
-        if not self.tokens:
-            return tree_log
-        return np.log10((1 - TREE_SHARE) * np.maximum(c - self.discount, 0.0) / self.tokens + self.tree_weight * 10.0**tree_log)
 
-    @property
-    def tree_weight(self) -> float:
-        return TREE_SHARE + (1 - TREE_SHARE) * self.discount * self.distinct / self.tokens if self.tokens else 1.0
+def _total(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket and their counts; asks are unpacked one after another."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    more = 0
+    for n, k, c in zip(*(group[x].to_pylist() for x in ("size", "keys", "counts")), strict=True):
+        held.append((_unpacked(k, n), _unpacked(c, n).view(np.int64)))
+        more += n
+        if more > max(2_000_000, len(held[0][0])):
+            held, more = [_merge(held)], 0
+    return _merge(held)
 
 
 def _build(group: pa.Table, low: tuple[np.ndarray, np.ndarray], least: float, buckets: int) -> pa.Table:
-    """A bucket's answers: to each chunk the total counts of its words, or the log10 probabilities of its strings; then totals of the bucket (no chunk)."""
-    sizes = group["size"].to_pylist()
-    key = np.concatenate([_unpacked(k, n) for k, n in zip(group["keys"].to_pylist(), sizes, strict=True)])
-    n = np.concatenate([_unpacked(c, n) for c, n in zip(group["counts"].to_pylist(), sizes, strict=True)]).view(np.int64)
-    keys, inverse = np.unique(key, return_inverse=True)
-    total = np.bincount(inverse, n, len(keys)).astype(np.int64)
+    """A bucket's answers: to each chunk the total counts of its words, or the log10 probabilities of its strings, as asked; then totals of the bucket (no chunk)."""
+    keys, total = _total(group)
     words = group["bucket"][0].as_py() >= buckets
-    cuts = np.cumsum([0, *sizes])
     if words:
-        seen, each = total[total > 0], total[inverse]
-        sums = {"distinct": len(seen), "tokens": int(seen.sum()), "singles": int((seen == 1).sum()), "doubles": int((seen == 2).sum())}
-        values = [_packed(each[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        seen = total[total > 0]
+        sums, each = {"distinct": len(seen), "tokens": int(seen.sum())}, total
     else:
         _, p, retained = _grow(keys, total, low, range(LOW + 1, DEPTH + 1), least)
-        sums, each = {"contexts": retained}, np.log10(p).astype(np.float32)[inverse]
-        values = [each[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        sums, each = {"contexts": retained}, np.minimum(np.rint(np.log10(p) * -STEPS), 65535).astype(np.int64)
+    values = [_packed_small(each[np.searchsorted(keys, _unpacked(k, n))]) for k, n in zip(group["keys"].to_pylist(), group["size"].to_pylist(), strict=True)]
+    # A chunk that was read by several tasks asks several times; only there the keys go back as well.
+    times = Counter(group["chunk"].to_pylist())
+    own = [k if times[c] > 1 else None for c, k in zip(group["chunk"].to_pylist(), group["keys"].to_pylist(), strict=True)]
     columns = {
-        "chunk": [*group["chunk"].to_pylist(), *(None for _ in sums)], "words": [words] * (len(sizes) + len(sums)), "size": [*sizes, *sums.values()],
-        "keys": [*group["keys"].to_pylist(), *(None for _ in sums)], "answers": [*values, *(None for _ in sums)], "what": [*(None for _ in sizes), *sums],
+        "chunk": [*group["chunk"].to_pylist(), *(None for _ in sums)], "bucket": [*group["bucket"].to_pylist(), *(None for _ in sums)], "size": [*group["size"].to_pylist(), *sums.values()],
+        "keys": [*own, *(None for _ in sums)], "answers": [*values, *(None for _ in sums)], "what": [*(None for _ in values), *sums],
     }
-    return pa.table(columns, pa.schema([("chunk", pa.int64()), ("words", pa.bool_()), ("size", pa.int64()), ("keys", pa.binary()), ("answers", pa.binary()), ("what", pa.string())]))
+    return pa.table(columns, pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("answers", pa.binary()), ("what", pa.string())]))
+
 
+def _asked(keys: np.ndarray, words: bool, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each of a chunk's distinct keys, and the order in which they are asked: by bucket, then as they are."""
+    place = ((keys if words else H.mix((keys >> _U(8)) & _U((1 << (8 * (LOW + 1))) - 1))) % _U(buckets)).astype(np.int64)
+    return place, np.argsort(place, kind="stable")
 
-def _answered(answers: pa.Table, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's words and their counts, or its strings and their log10 probabilities, ascending."""
-    keys, values = [np.zeros(0, _U)], [np.zeros(0, np.int64 if words else np.float32)]
+
+def _answered(keys: np.ndarray, answers: pa.Table, words: bool, buckets: int) -> np.ndarray:
+    """For a chunk's distinct keys, ascending, their counts or log10 probabilities."""
+    out = np.zeros(len(keys), np.int64 if words else np.float64)
+    place, order = _asked(keys, words, buckets)
+    cuts = np.searchsorted(place[order], np.arange(buckets + 1))
     for r in answers.to_pylist():
-        if r["words"] == words:
-            keys.append(_unpacked(r["keys"], r["size"]))
-            values.append(_unpacked(r["answers"], r["size"]).view(np.int64) if words else np.frombuffer(r["answers"], np.float32))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key)
-    return key[order], value[order]
+        if (r["bucket"] >= buckets) == words:
+            at = r["bucket"] - (buckets if words else 0)
+            where = order[cuts[at] : cuts[at + 1]] if r["keys"] is None else np.searchsorted(keys, _unpacked(r["keys"], r["size"]))
+            value = _unpacked_small(r["answers"], r["size"])
+            out[where] = value if words else value / -STEPS
+    return out
 
 
-def _score(rows: pa.Table, answers: pa.Table, base: Base) -> pa.Table:
+def _score(rows: pa.Table, answers: pa.Table, base: Base, buckets: int) -> pa.Table:
     """The scores of a chunk's rows."""
-    (hashes, counts), (grams, logs) = _answered(answers, True), _answered(answers, False)
     raw, offs = H.text_buffers(pa.concat_arrays([c.cast(pa.large_string()) for c in rows["text"].chunks]))
+    found: dict[bool, list] = {True: [], False: []}
+    for lo, hi in H.row_chunks(offs):
+        gram, keep = _strings(symbol_stream(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+        for kind, x in ((True, H.word_hashes(raw, offs[lo : hi + 1])[0]), (False, gram[keep])):
+            found[kind].append(np.unique(x))
+    hashes, grams = (np.unique(np.concatenate([*found.pop(kind), np.zeros(0, _U)])) for kind in (True, False))
+    counts, logs = _answered(hashes, answers, True, buckets), _answered(grams, answers, False, buckets)
     parts: list[list[np.ndarray]] = [[], [], [], []]
     for lo, hi in H.row_chunks(offs):
         own, cut = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
@@ -391,13 +319,11 @@ def _score(rows: pa.Table, answers: pa.Table, base: Base) -> pa.Table:
         stream = symbol_stream(own, cut)
         gram, keep = _strings(stream)
         distinct, inverse = np.unique(gram[keep], return_inverse=True)
-        each = np.zeros(len(stream.symbols))
-        each[np.flatnonzero(keep) + DEPTH] = logs[np.searchsorted(grams, distinct)][inverse]
-        run = np.concatenate([[0.0], np.cumsum(each)])
-        tree_log = run[stream.word_stop] - run[stream.word]
-        end_log = run[stream.end + 1] - run[stream.end]
-        plain, score, seen = (x[wo[1:]] - x[wo[:-1]] for x in (np.concatenate([[0.0], np.cumsum(v)]) for v in (base.log(c), base.mixed(c, tree_log), c > 0)))
-        for part, x in zip(parts, (np.diff(wo) + 1, seen.astype(np.int64) + int(base.texts > 0), plain + base.log(base.texts), score + base.mixed(base.texts, end_log)), strict=True):
+        each = np.zeros(len(stream.symbols) + 1)
+        each[np.flatnonzero(keep) + DEPTH + 1] = logs[np.searchsorted(grams, distinct)][inverse]
+        run = np.cumsum(each)
+        plain, seen = (x[wo[1:]] - x[wo[:-1]] for x in (np.concatenate([[0.0], np.cumsum(v)]) for v in (base.log(c), c > 0)))
+        for part, x in zip(parts, (np.diff(wo) + 1, seen.astype(np.int64) + int(base.texts > 0), plain + base.log(base.texts), run[stream.end + 1] - run[stream.first]), strict=True):
             part.append(x)
     out = [np.concatenate(x) if x else np.zeros(0) for x in parts]
     return pa.table(
@@ -421,15 +347,15 @@ def score_texts(docs: DataFrame, held_out, least: float = LEAST) -> DataFrame:
     *low, retained = _grow(last, count, (np.arange(256, dtype=_U), start), range(1, LOW + 1), least)
 
     counted = rows.select("chunk", "held_out", "text").mapInArrow(lambda it: _count(it, buckets), "chunk long, bucket long, size long, keys binary, counts binary")
-    asked = counted.groupBy("bucket").applyInArrow(lambda g: _build(g, tuple(low), least, buckets), "chunk long, words boolean, size long, keys binary, answers binary, what string")
+    asked = counted.groupBy("bucket").applyInArrow(lambda g: _build(g, tuple(low), least, buckets), "chunk long, bucket long, size long, keys binary, answers binary, what string")
     answers = hold(asked, "answers")
     sums = {r.what: r.n for r in answers.filter("what is not null").groupBy("what").agg(F.sum("size").alias("n")).collect()}
-    base = Base(sums.get("tokens", 0) + texts, sums.get("distinct", 0) + (texts > 0), texts, sums.get("singles", 0), sums.get("doubles", 0))
+    base = Base(sums.get("tokens", 0) + texts, sums.get("distinct", 0) + (texts > 0), texts)
     contexts = 1 + retained + sums.get("contexts", 0)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    asked_by = answers.filter("what is null").select("chunk", "words", "size", "keys", "answers")
-    scored = rows.groupBy("chunk").cogroup(asked_by.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, base), schema)
+    asked_by = answers.filter("what is null").select("chunk", "bucket", "size", "keys", "answers")
+    scored = rows.groupBy("chunk").cogroup(asked_by.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, base, buckets), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(base.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts).cast("long").alias("n_contexts"))
 
 
