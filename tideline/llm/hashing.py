@@ -27,6 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; by sorting, as `np.unique` hashes large arrays and is slow at that."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) <= n:
         size = max(n + 1, 2 * CHUNK)

@@ -304,23 +304,21 @@ def _answered(keys: np.ndarray, answers: pa.Table, words: bool, buckets: int) ->
 def _score(rows: pa.Table, answers: pa.Table, base: Base, buckets: int) -> pa.Table:
     """The scores of a chunk's rows."""
     raw, offs = H.text_buffers(pa.concat_arrays([c.cast(pa.large_string()) for c in rows["text"].chunks]))
-    found: dict[bool, list] = {True: [], False: []}
-    for lo, hi in H.row_chunks(offs):
-        gram, keep = _strings(symbol_stream(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
-        for kind, x in ((True, H.word_hashes(raw, offs[lo : hi + 1])[0]), (False, gram[keep])):
-            found[kind].append(np.unique(x))
-    hashes, grams = (np.unique(np.concatenate([*found.pop(kind), np.zeros(0, _U)])) for kind in (True, False))
-    counts, logs = _answered(hashes, answers, True, buckets), _answered(grams, answers, False, buckets)
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+    pieces = []
     for lo, hi in H.row_chunks(offs):
         own, cut = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         words, wo = H.word_hashes(own, cut)
-        c = counts[np.searchsorted(hashes, words)] if len(words) else np.zeros(0, np.int64)
         stream = symbol_stream(own, cut)
         gram, keep = _strings(stream)
-        distinct, inverse = np.unique(gram[keep], return_inverse=True)
+        grams, place = np.unique(gram[keep], return_inverse=True)
+        pieces.append((H.distinct(words), grams, place.astype(np.int32), keep, stream, words, wo))
+    hashes, grams = (H.distinct(np.concatenate([*(p[k] for p in pieces), np.zeros(0, _U)])) for k in (0, 1))
+    counts, logs = _answered(hashes, answers, True, buckets), _answered(grams, answers, False, buckets)
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for _, own, place, keep, stream, words, wo in pieces:
+        c = counts[np.searchsorted(hashes, words)] if len(words) else np.zeros(0, np.int64)
         each = np.zeros(len(stream.symbols) + 1)
-        each[np.flatnonzero(keep) + DEPTH + 1] = logs[np.searchsorted(grams, distinct)][inverse]
+        each[np.flatnonzero(keep) + DEPTH + 1] = logs[np.searchsorted(grams, own)][place]
         run = np.cumsum(each)
         plain, seen = (x[wo[1:]] - x[wo[:-1]] for x in (np.concatenate([[0.0], np.cumsum(v)]) for v in (base.log(c), c > 0)))
         for part, x in zip(parts, (np.diff(wo) + 1, seen.astype(np.int64) + int(base.texts > 0), plain + base.log(base.texts), run[stream.end + 1] - run[stream.first]), strict=True):

@@ -84,7 +84,7 @@ def signatures(hashes: np.ndarray, offs: np.ndarray, m: int = COMPONENTS) -> np.
 def distinct_shingles(words: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each row, ascending."""
     sh, so = H.shingles(words, offs, width)
-    parts = [np.unique(sh[so[d] : so[d + 1]]) for d in range(len(so) - 1)]
+    parts = [H.distinct(sh[so[d] : so[d + 1]]) for d in range(len(so) - 1)]
     out = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=out[1:])
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), out
