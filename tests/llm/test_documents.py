@@ -71,10 +71,10 @@ def family(rng, n, size=150, change=(1, 60)):
     return [" ".join(t) for t in out]
 
 
-@pytest.mark.parametrize("small", [superminhash.SMALL, 4])
-def test_links_about_the_threshold_match_all_pairs(spark, monkeypatch, small):
+@pytest.mark.parametrize("beside", [superminhash.BESIDE, 0])
+def test_links_about_the_threshold_match_all_pairs(spark, monkeypatch, beside):
     """Buckets with many components, by pairs and by prefixes: the groups of all pairs of 600 texts."""
-    monkeypatch.setattr(superminhash, "SMALL", small)
+    monkeypatch.setattr(superminhash, "BESIDE", beside)
     rng = __import__("random").Random(11)
     rows = list(enumerate(t for _ in range(6) for t in family(rng, 60) + family(rng, 40, change=(10, 40))))
     got = near_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))

@@ -6,9 +6,9 @@ against independent minima. They are dealt rank by rank to all shingles of a bat
 soon as each of its components has a value, since later ranks can only be larger.
 
 Documents with equal shingle sets are one class. Classes that share a band are candidates: first against the most
-central member of their bucket, then, in buckets that still hold several components, against the most central member outside
-the first one's component, then across components: by pairs in small buckets, in large ones by prefixes. (Of two sets
-at the threshold, the few rarest shingles of one meet those of the other.) Candidates are confirmed on the full sets, read again
+central member of their bucket, then, in buckets that still hold several components, across components: a few members beside the
+main component meet all of the bucket, and where there are many, pairs are made by prefixes instead. (Of two sets at the threshold,
+the few rarest shingles of one meet those of the other.) Candidates are confirmed on the full sets, read again
 from the texts. A large group of copies so costs as many pairs as it has members, and a large group that is alike below the threshold few.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing. A text with fewer
@@ -38,8 +38,8 @@ COMPONENTS, BANDS, BAND = 256, 24, 4
 #: correlated ranks), and 18 with one of 3.8 among the first six words; these bounds are five deviations above.
 WORDS = 2 * COMPONENTS // 16
 MOST_DIFFERENT, FIRST_WORDS, MOST_FIRST = 140, 6, 38
-#: Members of a bucket up to which its pairs across components are made as they are.
-SMALL = 64
+#: Members of a bucket beside its main component up to which they are paired with all of it as they are.
+BESIDE = 32
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -190,12 +190,11 @@ def _alike(percent: int) -> Column:
     return sizes & (first <= MOST_FIRST) & (every <= MOST_DIFFERENT)
 
 
-def _centres(members: DataFrame, tag: str) -> DataFrame:
-    """a (the most central class of a bucket) and b (another one there) of `members` (key, cid, size); the class that shares the largest buckets is the likely origin of others."""
-    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
-    ranked = members.join(central, "cid").select("key", "cid", F.struct("weight", (-F.col("cid")).alias("low")).alias("rank"))
-    centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
-    return hold(members.join(centres, "key"), tag)
+def _beside(placed: DataFrame) -> DataFrame:
+    """`placed` (key, cid, root) with the component that most members of a bucket are in, and how many are in others."""
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    return placed.join(most.select("key", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("beside")), "key")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -207,47 +206,35 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     banded = classes.select("cid", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = _centres(hold(banded.join(shared, "key"), "members"), "centred")
+    members = hold(banded.join(shared, "key"), "members")
+    # The member that shares the largest buckets is the likely origin of the others.
+    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    ranked = members.join(central, "cid").select("key", "cid", F.struct("weight", (-F.col("cid")).alias("low")).alias("rank"))
+    centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
     tall = classes.select("cid", "n", "fp")
     side = lambda c: tall.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
 
-    def tried(spokes: DataFrame) -> DataFrame:
-        return hold(spokes.distinct().join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b"), "candidates")
-
-    candidates = tried(members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")))
+    spokes = members.join(centres, "key").filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    candidates = hold(spokes.join(side("b"), "b").join(side("a"), "a").filter(_alike(percent)).select("a", "b"), "candidates")
     links = hold(verified(candidates, docs, classes, width, percent), "links")
     found = connected(links)
 
-    # Buckets that still hold several components: their first centre has met all, so another component's most central class comes next.
-    def open_buckets(found: DataFrame) -> DataFrame:
-        placed = members.select("key", "cid", "size", "centre").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        return hold(placed.join(mixed, "key"), "open")
-
-    left = open_buckets(found)
-    first = left.filter("cid = centre").select("key", F.col("root").alias("first"))
-    second = _centres(left.join(first, "key").filter("root <> first").select("key", "cid", "size", "root"), "second").filter("cid = centre").select("key", "centre", F.col("root").alias("beside"))
-    met = left.select("key", "cid", "root").join(second, "key").filter("root <> beside").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
-    more = tried(met.join(candidates, ["a", "b"], "left_anti"))
-    again = hold(verified(more, docs, classes, width, percent), "links")
-    if not again.isEmpty():
-        links = links.unionByName(again)
-        found = connected(links)
-        left = open_buckets(found)
-    done = candidates.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    small = left.filter(F.col("size") <= SMALL).select("key", "cid", "root")
-    large = left.filter(F.col("size") > SMALL).select("cid", "root").distinct()
-    sets = _texts(docs, classes, large.select("cid")).mapInArrow(lambda it: _set_batches(it, width), "cid long, shingles array<long>")
-    by_prefix = prefixes(hold(sets, "sets"), percent).join(large, "cid").select(F.col("token").alias("key"), "cid", "root")
-    spread = hold(small.unionByName(by_prefix).join(tall, "cid"), "spread")
-    half = lambda c: spread.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"))))
-    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike(percent)
-    across = half("a").join(half("b"), "key").filter(apart).select("a", "b").distinct()
-    untried = hold(across.join(done, ["a", "b"], "left_anti"), "untried")
-    last = hold(verified(untried, docs, classes, width, percent), "more")
-    if not last.isEmpty():
-        found = connected(links.unionByName(last))
+    # Buckets that still hold several components: their centre has met all, members of different components have not.
+    placed = members.select("key", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    left = _beside(hold(placed.join(mixed, "key"), "open"))
+    few = left.filter(F.col("beside") <= BESIDE).select("key", "cid", "root")
+    many = hold(left.filter(F.col("beside") > BESIDE).select("cid", "root").distinct(), "many")
+    sets = _texts(docs, classes, many.select("cid")).mapInArrow(lambda it: _set_batches(it, width), "cid long, shingles array<long>")
+    by_prefix = prefixes(hold(sets, "sets"), percent).join(many, "cid").select(F.col("token").alias("key"), "cid", "root")
+    spread = hold(_beside(few.unionByName(by_prefix)).filter("beside > 0").join(tall, "cid"), "spread")
+    half = lambda rows, c: rows.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"))))
+    met = half(spread.filter("root <> main"), "a").join(half(spread, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & _alike(percent))
+    pair = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    untried = hold(pair(met).distinct().join(pair(candidates), ["a", "b"], "left_anti"), "untried")
+    more = hold(verified(untried, docs, classes, width, percent), "more")
+    if not more.isEmpty():
+        found = connected(links.unionByName(more))
 
     # The group of a class: the least id and, of that id, the text that stays.
     roots = found.withColumnRenamed("node", "cid").unionByName(found.select(F.col("root").alias("cid"), "root").distinct())
