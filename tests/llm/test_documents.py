@@ -172,8 +172,33 @@ def test_mix_meets_targets(spark, docs, none):
     again = cube_mix.op4_cube_mix(many.repartition(7)).toPandas()
     assert out.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
     assert cube_mix.op4_cube_mix(docs).count() == len(edge.rows()) and cube_mix.op4_cube_mix(none).count() == 0
-    mixed = cube_mix.mix(docs.withColumn("size", F.lit("own")))
-    assert mixed.columns[-1] == "size" and {r.size for r in mixed.select("size").distinct().collect()} == {"own"}
+    mixed = cube_mix.mix(docs.withColumn("size", F.lit("own")).withColumn("row", F.lit(1)).withColumn("h", F.lit(2)))
+    assert mixed.columns[-3:] == ["size", "row", "h"] and {r.size for r in mixed.select("size").distinct().collect()} == {"own"}
+
+
+def test_mix_of_repeated_ids_meets_targets(spark):
+    """Three texts to an id, null ids, one row repeated thousands of times: each source's taken words are those of plain arithmetic."""
+    rng = __import__("random").Random(4)
+    rows = [(k % 1000 if k % 7 else None, f"{k} " * rng.randint(1, 60), "en", rng.choice("xyz"), k) for k in range(3000)] + [(5, "same words", "en", "z", 1)] * 9000
+    df = spark.createDataFrame(rows, edge.DOCUMENTS)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    target, weight, open_, left = {}, dict(zip("xyz", (3, 1, 2), strict=True)), set("xyz"), 1.5 * sum(size.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in full} if full else share
+        left -= sum(2 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    counts = []
+    for out in (cube_mix.mix(df), cube_mix.mix(df.repartition(5))):
+        got = out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+        assert all(abs(r.n - target[r.source]) <= 60 for r in got), (got, target)
+        counts.append(Counter(map(tuple, out.collect())))
+    assert counts[0] == counts[1] and max(n / Counter(rows)[r] for r, n in counts[0].items()) <= 2
+    decided = cube_mix.decide(df).collect()
+    assert len(decided) == len(rows) and {r.source: round(r.target, 3) for r in decided} == {s: round(t, 3) for s, t in target.items()}
 
 
 def test_base_scores_match_brute_force(docs, none):

@@ -7,8 +7,8 @@ bounded size in parallel; each block leaves two open documents at most, these me
 open documents of a source are rounded to the side that is nearest in words.
 
 Defined results: null and empty texts have size 0 and add nothing. Sources rank by code point, null last. A source of
-size 0 has target 0. An empty table gives an empty one. Each row is a unit of its own, also where rows repeat. The order
-of units comes from a keyed hash of doc_id, so reruns agree.
+size 0 has target 0. An empty table gives an empty one. Each row is a unit of its own, also where ids or whole rows repeat.
+The order of units comes from a keyed hash of id, content and the number of the copy, so reruns agree, however the rows lie.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import random
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import hold, sized, word_count
@@ -101,14 +101,25 @@ def _flight(key: int, last: bool):
     return run
 
 
-def decide(docs: DataFrame, key: int = 20240501, percent: int = 150) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times that the document is taken) for each row of `docs`."""
-    units = hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
+def _units(docs: DataFrame, content: Column) -> DataFrame:
+    """doc_id, source, size, content, nth: rows that are alike in these are counted, and numbered from 1."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), content.alias("content"))
+    alike = rows.groupBy("doc_id", "source", "size", "content").agg(F.count(F.lit(1)).alias("n"))
+    blocks = alike.withColumn("from", F.explode(F.sequence(F.lit(1), "n", F.lit(BLOCK).cast("long"))))
+    return blocks.select("doc_id", "source", "size", "content", F.explode(F.sequence("from", F.least("n", F.col("from") + BLOCK - 1))).alias("nth"))
+
+
+def decide(docs: DataFrame, key: int = 20240501, percent: int = 150, content: Column | None = None) -> DataFrame:
+    """doc_id, source, size, content, source_size, target, copies (times that the document is taken) for each row of `docs`.
+
+    `content` is a hash that tells rows of one id apart, by default that of the text.
+    """
+    units = hold(_units(docs, F.xxhash64("text") if content is None else content), "sizes")
     aims = sized(hold(targets(units, percent), "targets").withColumnRenamed("source", "of"), 100_000)
     ratio = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size"), 12)).otherwise(F.lit(0.0))
     dealt = units.join(aims, F.col("source").eqNullSafe(F.col("of"))).withColumn("base", F.floor(ratio).cast("int")).withColumn("pi", ratio - F.col("base"))
-    dealt = dealt.withColumn("order", F.xxhash64("doc_id", F.lit(key)))
-    columns = "doc_id long, source string, size long, source_size long, target double, base int, pi double, order long, docs long, block long"
+    dealt = dealt.withColumn("order", F.xxhash64("doc_id", "content", "nth", F.lit(key)))
+    columns = "doc_id long, source string, size long, content long, source_size long, target double, base int, pi double, order long, docs long, block long"
     blocks = F.ceil(F.col("docs") / BLOCK)
     first = dealt.withColumn("block", F.pmod(F.xxhash64("order"), blocks)).select(*(c.split()[0] for c in columns.split(", ")))
     settled = []
@@ -127,15 +138,17 @@ def decide(docs: DataFrame, key: int = 20240501, percent: int = 150) -> DataFram
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("pi").cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "content", "source_size", "target", (F.col("base") + F.col("pi").cast("int")).alias("copies"))
 
 
 def mix(docs: DataFrame, key: int = 20240501, percent: int = 150) -> DataFrame:
-    """The rows of `docs`, with its columns, as many times as the mix takes them. Rows that repeat a doc_id share its largest number."""
-    anchor = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    chosen = decide(docs, key, percent).filter("copies > 0").groupBy(anchor.alias("__id")).agg(F.max("copies").alias("__copies"))
-    chosen = sized(hold(chosen, "chosen"))
-    return docs.join(chosen, anchor == F.col("__id")).withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__copies")))).select(*docs.columns)
+    """The rows of `docs`, with its columns, as many times as the mix takes them. Of rows alike in all columns, one stands for all."""
+    content = F.xxhash64(*docs.columns)
+    rows = docs.select(content.alias("h"), F.struct("*").alias("row"))
+    taken = decide(docs, key, percent, content).groupBy("content").agg(F.sum("copies").alias("copies"), (F.count(F.lit(1)) > 1).alias("again")).filter("copies > 0")
+    chosen = rows.join(sized(hold(taken, "taken")), F.col("h") == F.col("content")).select("h", "row", "copies", "again")
+    once = chosen.filter("not again").unionByName(chosen.filter("again").dropDuplicates(["h"]))
+    return once.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op4_cube_mix(documents: DataFrame) -> DataFrame:
