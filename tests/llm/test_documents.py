@@ -315,24 +315,32 @@ def test_permutations_are_one_to_one(spark):
 
 
 def test_training_order_round_trip(spark, docs, none, tmp_path):
-    few = docs.filter("doc_id <> 9")
-    out = training_order.sequences(few, length=32, shard=16)
-    rows = out.collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    manifest = training_order.write_shards(out, str(tmp_path), length=32).collect()
-    assert sum(r.rows for r in manifest) == len(rows)
-    by_slot = {r.slot: np.frombuffer(r.tokens, "<u2") for r in rows}
-    part = training_order.read_slots(str(tmp_path), 7, 21, length=32, shard=16)
-    assert all((part[k] == by_slot[7 + k]).all() for k in range(21))
+    """All documents, the very long one too: the stream is the documents in the order of their hashes, whatever the partitions."""
+    many = docs.unionByName(docs.filter("doc_id in (1, 7)")).unionByName(spark.createDataFrame([(None, "no id", "", "", 0)] * 3, edge.DOCUMENTS))
+    out = training_order.sequences(many, length=32, shard=16, shards=3)
+    rows = sorted(out.collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(len(rows))) and all((r.shard, r.place) == divmod(r.slot, 16) for r in rows)
+    again = {r.slot: r for r in training_order.sequences(many.repartition(9), length=32, shard=16, shards=3).collect()}
+    assert all(again[r.slot] == r for r in rows)
     with open(training_order.tokenizer_path(), "rb") as f:
-        decode = training_order._encoder(f.read()).decode
-    stream = Counter()
-    for r in rows:
-        stream[tuple(r.doc_ids)] += r.n_tokens
-    assert {i for r in rows for i in r.doc_ids} == {i for i, *_ in edge.rows() if i != 9}
+        codec = training_order._encoder(f.read())
+    hashed = many.select("doc_id", "text", F.xxhash64(F.lit(7), "doc_id", "text").alias("h")).collect()
+    stream = [x for r in sorted(hashed, key=lambda r: r.h) for x in [*codec.encode_ordinary(r.text or ""), 50256]]
+    number = training_order.permute(np.arange(len(rows)), len(rows), 7)
+    slots = [np.frombuffer(rows[int(s)].tokens, "<u2") for s in number]
+    assert np.concatenate(slots)[: len(stream)].tolist() == stream and len(rows) == -(-len(stream) // 32) and (np.concatenate(slots)[len(stream) :] == 50256).all()
+    assert sum(r.n_tokens for r in rows) == len(stream) and {i for r in rows for i in r.doc_ids} == {r.doc_id for r in hashed}
+
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        manifest = training_order.write_shards(out, folder).collect()
+        assert sum(r.rows for r in manifest) == len(rows) and all(r.first_slot == 16 * r.shard and r.bytes == 64 * r.rows for r in manifest)
+        part = training_order.read_slots(folder, 7, 41, length=32, shard=16)
+        assert all((part[k] == np.frombuffer(rows[7 + k].tokens, "<u2")).all() for k in range(41))
+        end = training_order.read_slots(folder, len(rows) - 2, 9, length=32, shard=16)
+        assert len(end) == 2
     one = training_order.sequences(spark.createDataFrame([(1, "Héllo  <|endoftext|> wörld", "", "", 0)], edge.DOCUMENTS), length=64).collect()[0]
     ids = np.frombuffer(one.tokens, "<u2")[: one.n_tokens]
-    assert ids[-1] == 50256 and decode(ids[:-1].tolist()) == "Héllo  <|endoftext|> wörld"
+    assert ids[-1] == 50256 and codec.decode(ids[:-1].tolist()) == "Héllo  <|endoftext|> wörld"
     assert training_order.sequences(none).count() == 0
 
 

@@ -1,26 +1,27 @@
 """Training-order materialisation: documents to token ids, packed sequences, and a keyed permutation to global slots.
 
-Texts become ids of a given public tokenizer, an end id follows each, and each input partition packs its stream into
-sequences of a fixed length. The packed table is written once, so its order is settled. A sequence's index is its place in
-that table, its slot a keyed Feistel permutation of the index: two halves of nearly equal size that add hashes of each
-other, walked again where the result lies outside. Range partitions then hold fixed-stride shards in slot order. Any reader
-can go to slot s at byte (s mod shard size) * stride of shard s div shard size, and resume there.
+Texts become ids of a given public tokenizer, an end id follows each. All documents form one stream, in the order of a keyed
+hash of id and text, and the stream is cut into sequences of a fixed length: so sequences and slots hang on the documents and the key
+alone, not on files or tasks. Where a document starts comes from sums over hash ranges; only narrow rows are sorted for that.
+A sequence's slot is a keyed Feistel permutation of its number: two halves of nearly equal size that add hashes of each
+other, walked again where the result lies outside. Pieces of documents go to range partitions of the slots, are joined there
+to sequences, and stand in slot order. `write_shards` writes them as fixed-stride files: any reader can go to slot s at byte
+(s mod shard size) * stride of shard s div shard size, and resume there.
 
 Defined results: a null or empty text is its end id alone. Special strings in a text are ordinary text. The last sequence
-of a partition is filled up with end ids, `n_tokens` is its true number. An empty table gives no sequence. Rows that repeat
-are packed as they come.
+of the stream is filled up with end ids, `n_tokens` is its true number. An empty table gives no sequence. Rows that repeat
+come one after another.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from .shared import hold, sized
 
 SEQUENCE = 1024
-SHARD = 8192
+#: Sequences of a shard, and shards of a partition.
+SHARD, SHARDS = 1024, 16
+#: Bits of the hash by which starts are summed in ranges.
+RANGES = 12
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # a fixed value, that of the vocabulary
 
 _encoders: dict[str, object] = {}
@@ -51,37 +55,68 @@ def _encoder(ranks: bytes):
     return _encoders[key]
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("local", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.binary())])
-
-
-def _pack(batches: Iterator[pa.RecordBatch], ranks: bytes, length: int, end: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    encode, part, local = _encoder(ranks).encode_ordinary, TaskContext.get().partitionId(), 0
-    room, filled, ids = np.full(length, end, dtype), 0, []
-    rows: list[tuple[int, list, bytes]] = []
+def _tokenise(batches: Iterator[pa.RecordBatch], ranks: bytes, end: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """part (the task), h, nth (row of that hash in the task), doc_id, n, tokens of each document."""
+    encode, part = _encoder(ranks).encode_ordinary, TaskContext.get().partitionId()
+    seen: dict[int, int] = {}
+    for batch in batches:
+        rows: list[bytes] = []
+        nth = []
+        for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
+            seen[h] = seen.get(h, -1) + 1
+            nth.append(seen[h])
+            rows.append(np.array([*encode(text.as_py() or ""), end], dtype).tobytes())
+        size = np.dtype(dtype).itemsize
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(rows), pa.int64()), batch.column("h"), pa.array(nth, pa.int64()), batch.column("doc_id"), pa.array([len(r) // size for r in rows], pa.int64()), pa.array(rows, pa.binary())],
+            names=["part", "h", "nth", "doc_id", "n", "tokens"],
+        )
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int, total: int, key: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """The pieces of documents (doc_id, n, tokens, at) by sequence: slot, at (in the sequence), doc_id, tokens."""
+    size = np.dtype(dtype).itemsize
+    for batch in batches:
+        at, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("at", "n"))
+        pieces = (at + n - 1) // length - at // length + 1
+        of = np.repeat(np.arange(len(n)), pieces)
+        number = at[of] // length + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo, hi = np.maximum(number * length, at[of]), np.minimum((number + 1) * length, (at + n)[of])
+        tokens = batch.column("tokens").to_pylist()
+        slot = permute(number, total, key).astype(np.int64)
+        for k in range(0, len(of), 4096):  # a long document has many pieces
+            some = slice(k, k + 4096)
+            cut = [tokens[d][size * (x - a) : size * (y - a)] for d, x, y, a in zip(of[some], lo[some], hi[some], at[of[some]], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[some]), pa.array((lo - number * length)[some]), batch.column("doc_id").take(pa.array(of[some])), pa.array(cut, pa.binary())], names=["slot", "at", "doc_id", "tokens"])
+
+
+def _join(batches: Iterator[pa.RecordBatch], length: int, shard: int, end: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of slot and place to whole sequences."""
+    size, fill = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
+    slot, ids, room, rows = None, [], [], []
+
+    def close() -> None:
+        data = b"".join(room)
+        rows.append((slot, slot // shard, slot % shard, len(data) // size, list(dict.fromkeys(ids)), data + fill * (length - len(data) // size)))
 
     def batch() -> pa.RecordBatch:
-        nonlocal rows, local
-        n, at = len(rows), local
-        out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], schema=_PACKED)
-        rows, local = [], at + n
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["slot", "shard", "place", "n_tokens", "doc_ids", "tokens"])
+        rows.clear()
         return out
 
     for table in batches:
-        for doc, text in zip(table.column("doc_id"), table.column("text"), strict=True):
-            doc, stream = doc.as_py(), np.array([*encode(text.as_py() or ""), end], dtype)
-            while len(stream):
-                n = min(length - filled, len(stream))
-                room[filled : filled + n] = stream[:n]
-                filled, stream = filled + n, stream[n:]
-                if not ids or ids[-1] != doc:
-                    ids.append(doc)
-                if filled == length:
-                    rows.append((length, ids, room.tobytes()))
-                    room[:], filled, ids = end, 0, []
-                    if len(rows) == 1024:
-                        yield batch()
-    if filled:
-        rows.append((filled, ids, room.tobytes()))
+        for s, doc, tokens in zip(*(table.column(c).to_pylist() for c in ("slot", "doc_id", "tokens")), strict=True):
+            if s != slot:
+                if slot is not None:
+                    close()
+                slot, ids, room = s, [], []
+            ids.append(doc)
+            room.append(tokens)
+            if len(rows) >= 1024:
+                yield batch()
+    if slot is not None:
+        close()
     yield batch()
 
 
@@ -107,58 +142,71 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 8) -> np.ndarray:
     return out
 
 
-def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard: int = SHARD, key: int = 7, end: int = 50256) -> DataFrame:
-    """slot, shard, place (in the shard), n_tokens, doc_ids, tokens (little-endian ids, `length` of them), in slot order by partition."""
-    spark = docs.sparkSession
+def _starts(tokens: DataFrame) -> DataFrame:
+    """h, part, at: where the documents of a hash and task start in the stream; those of one hash follow each other by task."""
+    parts = tokens.groupBy("h", "part").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    hashes = hold(parts.groupBy("h").agg((F.sum("rows") * F.max("n")).alias("size"), F.sum("rows").alias("rows")).withColumn("range", F.shiftright("h", 64 - RANGES)), "hashes")
+    run = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = hashes.groupBy("range").agg(F.sum("size").alias("size")).select("range", run(Window.orderBy("range")).alias("first"))  # 2 ** RANGES rows at most
+    inside = hashes.withColumn("in_range", run(Window.partitionBy("range").orderBy("h"))).join(F.broadcast(ranges), "range")
+    first = inside.select(F.col("h").alias("of"), (F.col("first") + F.col("in_range")).alias("start"))
+    return parts.join(first, F.col("h") == F.col("of")).select("h", "part", (F.col("start") + F.col("before") * F.col("n")).alias("start"))
+
+
+def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard: int = SHARD, key: int = 7, end: int = 50256, shards: int = SHARDS) -> DataFrame:
+    """slot, shard, place (in the shard), n_tokens, doc_ids, tokens (little-endian ids, `length` of them), in slot order by partition.
+
+    A partition holds `shards` shards of `shard` sequences.
+    """
     with open(path or tokenizer_path(), "rb") as f:
         ranks = f.read()
     dtype = "<u2" if end < 1 << 16 else "<u4"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = hold(rows.mapInArrow(lambda it: _pack(it, ranks, length, end, dtype), "part int, local long, n_tokens int, doc_ids array<long>, tokens binary"), "packed")
-    parts = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task of the packing
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = hold(parts.select("part", "n", before.alias("before")), "offsets")
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), total, key).astype(np.int64))
-
-    placed = packed.join(sized(offsets.select("part", "before")), "part").withColumn("slot", slot(F.col("before") + F.col("local")))
-    placed = placed.select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("place"), "n_tokens", "doc_ids", "tokens")
-    shards = max(-(-total // shard), 1)
-    if shards == 1 and total == 0:
-        return placed
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(key), F.col("doc_id").cast("long"), "text").alias("h"), "text")
+    tokens = hold(rows.mapInArrow(lambda it: _tokenise(it, ranks, end, dtype), "part long, h long, nth long, doc_id long, n long, tokens binary"), "tokens")
+    all_ = tokens.agg(F.sum("n")).first()[0] or 0
+    total = -(-all_ // length)
+    starts = sized(hold(_starts(tokens.select("part", "h", "n")), "starts")).withColumnsRenamed({"h": "of", "part": "task"})
+    placed = tokens.join(starts, (F.col("h") == F.col("of")) & (F.col("part") == F.col("task"))).select("doc_id", "n", "tokens", (F.col("start") + F.col("nth") * F.col("n")).alias("at"))
+    pieces = placed.mapInArrow(lambda it: _cut(it, length, total, key, dtype), "slot long, at long, doc_id long, tokens binary")
     # Slots are dense, so the bounds of the ranges are known and need no sampling.
-    return placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    parts = max(-(-total // (shard * shards)), 1)
+    dealt = pieces.repartitionById(parts, F.floor(F.col("slot") / (shard * shards)).cast("int")).sortWithinPartitions("slot", "at")
+    return dealt.mapInArrow(lambda it: _join(it, length, shard, end, dtype), "slot long, shard long, place long, n_tokens int, doc_ids array<long>, tokens binary")
+
+
+def _at(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address (a local or mounted folder, hdfs, s3, gs) and the path in it."""
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
-def write_shards(rows: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
-    """Writes each shard of `sequences()` as a file of fixed stride in `folder`, a path that all executors share.
+def write_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard of `sequences()` as a file of fixed stride in `folder`, which all executors share, and returns shard, first_slot, rows, bytes, sha256.
 
-    A file is written beside its place and renamed, so a task that is run again replaces it whole. Returns shard,
-    first_slot, rows, bytes, sha256 for each.
+    A file is written beside its place and moved there, so a task that is run again replaces it whole.
     """
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        done, current, out, digest, n, first = [], None, None, None, 0, 0
+        files, root = _at(folder)
+        files.create_dir(root, recursive=True)
+        done, current, out, digest, n, first, size = [], None, None, None, 0, 0, 0
 
         def close() -> None:
             out.close()
-            os.replace(out.name, f"{folder}/shard-{current:06d}.bin")
-            done.append((current, first, n, n * stride, digest.hexdigest()))
+            files.move(f"{root}/_shard-{current:06d}-{attempt}", f"{root}/shard-{current:06d}.bin")
+            done.append((current, first, n, size, digest.hexdigest()))
 
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for slot, shard, tokens in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "tokens")), strict=True):
                 if shard != current:
                     if out:
                         close()
-                    current, stride, digest, n, first = shard, len(tokens), hashlib.sha256(), 0, slot
-                    out = open(f"{folder}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}", "wb")  # noqa: SIM115
+                    current, digest, n, first, size = shard, hashlib.sha256(), 0, slot, 0
+                    out = files.open_output_stream(f"{root}/_shard-{shard:06d}-{attempt}")
                 out.write(tokens)
                 digest.update(tokens)
-                n += 1
+                n, size = n + 1, size + len(tokens)
         if out:
             close()
         if done:
@@ -169,11 +217,11 @@ def write_shards(rows: DataFrame, folder: str, length: int = SEQUENCE) -> DataFr
 
 def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, shard: int = SHARD, dtype: str = "<u2") -> np.ndarray:
     """The token ids of `count` slots from `first` on, by seeking."""
-    stride, out = length * np.dtype(dtype).itemsize, []
+    (files, root), stride, out = _at(folder), length * np.dtype(dtype).itemsize, []
     while count > 0:
         at = first % shard
         n = min(count, shard - at)
-        with open(f"{folder}/shard-{first // shard:06d}.bin", "rb") as f:
+        with files.open_input_file(f"{root}/shard-{first // shard:06d}.bin") as f:
             f.seek(at * stride)
             data = f.read(n * stride)
         out.append(np.frombuffer(data, dtype).reshape(-1, length))
