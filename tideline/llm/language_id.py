@@ -7,8 +7,9 @@ suffix at a back-off cost kept in a second such array. A text's language is the
 The score is the share of that language in a softmax of the length-normalised entropies, whose temperature is fitted on
 training texts left out of the counts; below the calibrated threshold the prediction is marked as rejected.
 
-The models are fitted on a bounded sample of labelled rows: the `SAMPLE` texts of each language that come first by a hash of
-the id, in expectation, of which a fifth fits temperature and threshold. Every text is scored whole. Distinct words of a
+The models are fitted on a bounded sample of labelled rows: of each language the texts of up to `SHORT` characters that come first by
+a hash of id and text, `SAMPLE` of them or as many as have `SAMPLE_CHARS` characters, `FEWEST` at least; longer ones only where there are
+fewer of these. A fifth of them fits temperature and threshold. Every text is scored whole. Distinct words of a
 batch are scored once.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and not rejected. Without any learned language
@@ -32,6 +33,8 @@ from .shared import remainder
 ORDER = 5
 #: Labelled texts of each language that the models are fitted on, and characters of them that are counted.
 SAMPLE, SAMPLE_CHARS = 1500, 1_500_000
+#: Length up to which a labelled text is preferred, so that no few texts use up the characters, and texts that a language has at least.
+SHORT, FEWEST = 50_000, 20
 #: Precision that the rejection threshold is set for.
 PRECISION = 0.995
 
@@ -282,21 +285,24 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 def learn(docs: DataFrame, held_out: Column) -> Model:
     """Fits the model on rows with a text and a lang, but for `held_out` ones; see the module for the sample's bound."""
     labelled = docs.filter(~held_out & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    labelled = labelled.withColumn("long", F.length("text") > SHORT)
+    sizes = labelled.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n"), F.sum(F.when(~F.col("long"), F.length("text"))).alias("chars"), F.count_if("long").alias("n_long"))
     rows = sizes.orderBy("lang").collect()  # one for each language
     model_rows, check_rows, truth = {}, [], []
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     if rows:
-        share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE / r["n"], SAMPLE_CHARS / max(r["chars"], 1)))) for r in rows))
-        sample = labelled.filter(draw < share).select("doc_id", "lang", "text").orderBy("doc_id", "text").toPandas()
-        fold = sample["doc_id"].fillna(0).astype("int64").map(lambda i: (i * 2654435761 >> 7) % 5)
-        for r in rows:
-            own = sample[sample["lang"] == r["lang"]]
-            seen = own[fold[own.index] != 0] if (fold[own.index] != 0).any() else own
-            if len(seen):
-                model_rows[r["lang"]] = pa.array(seen["text"].tolist(), pa.string())
-        held = sample[fold == 0]
-        check_rows, truth = held["text"].tolist(), held["lang"].tolist()
+        # Twice as many as are wanted, so that hardly ever too few come; the rest is cut below.
+        short = {r["lang"]: min(1.0, 2 * SAMPLE / max(r["n"], 1), max(2 * SAMPLE_CHARS, 3 * FEWEST * SHORT) / max(r["chars"] or 0, 1)) for r in rows}
+        far = {r["lang"]: min(1.0, 3 * FEWEST / max(r["n_long"], 1)) if r["n"] < FEWEST else 0.0 for r in rows}
+        share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.when(F.col("long"), F.lit(far[r["lang"]])).otherwise(F.lit(short[r["lang"]]))) for r in rows))
+        sample = labelled.withColumn("draw", draw).filter(F.col("draw") < share).select("lang", "text", "long", "draw").orderBy("lang", "long", "draw", "text").toPandas()
+        for lang, own in sample.groupby("lang", sort=True):
+            total, n = own["text"].str.len().cumsum(), np.arange(len(own))
+            own = own["text"][((n < SAMPLE) & (total <= SAMPLE_CHARS)) | (n < FEWEST)].tolist()
+            seen = [t for k, t in enumerate(own) if k % 5] or own
+            model_rows[lang] = pa.array(seen, pa.string())
+            check_rows += own[::5]
+            truth += [lang] * len(own[::5])
     model = fit(model_rows)
     if check_rows and model.languages:
         calibrate(model, pa.array(check_rows, pa.string()), truth)
