@@ -81,7 +81,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     candidates = hold(candidates, "candidates")
     hit = sized(hold(candidates.select("doc_id").distinct(), "hit"))
     texts = docs.join(hit, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("w"))
-    pairs = candidates.join(texts, "doc_id").join(sized(index, 10_000), "item_id")
+    pairs = candidates.join(texts, "doc_id").join(sized(index, 10_000, "shingles"), "item_id")
     own = _by_width(shingle_texts, width)
     exact = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", own)).cast("long").alias("n_found"))
     exact = exact.filter(100 * F.col("n_found") >= percent * F.col("n_shingles"))
