@@ -103,15 +103,14 @@ def _pool(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterator[pa
     for batch in batches:
         for lo, hi, rows, cut in _chunks(batch):
             n = hi - lo
-            out = np.zeros((n, 2 * DIMS + 2), np.float32)
+            out = np.zeros((n, 2 * DIMS), np.float32)
             for d in range(n):
                 own = rows[cut[d] : cut[d + 1]]
                 if len(own):
                     kinds, count = np.unique(own, return_counts=True)
                     v = vectors[kinds]
                     out[d, :DIMS] = (count / len(own)) @ v
-                    out[d, DIMS : 2 * DIMS] = v.mean(axis=0)
-                    out[d, 2 * DIMS :] = np.log1p(len(own)), np.log(len(kinds) / len(own))
+                    out[d, DIMS:] = v.mean(axis=0)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), lists], names=["doc_id", "held_out", "features"])
 
@@ -172,7 +171,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
 
 def _predict(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 2 * DIMS + 2))
+        x = np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 2 * DIMS))
         score = net.probability(x)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -184,9 +183,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataF
     pooled = hold(rows.mapInArrow(lambda it: _pool(it, vectors), "doc_id long, held_out boolean, features array<float>"), "pooled")
     usable = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out)
     share = min(1.0, SAMPLE / max(usable.count(), 1))
-    sample = usable.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = usable.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id", "quality"), F.lit(1_000_000)) < share * 1_000_000)
     taught = pooled.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "features").orderBy("doc_id", "quality").toPandas()  # `SAMPLE` rows
-    x = np.array(taught["features"].tolist(), float).reshape(len(taught), 2 * DIMS + 2)
+    x = np.array(taught["features"].tolist(), float).reshape(len(taught), 2 * DIMS)
     net = train(x, taught["quality"].to_numpy(int))
     return pooled.mapInArrow(lambda it: _predict(it, net), "doc_id long, held_out boolean, score double, predicted int")
 
