@@ -431,3 +431,21 @@ def test_pseudonyms_match_plain_python(spark):
     assert a == b and out[-14].text.startswith("password=") and out[-15].text.startswith('token = "') and out[-10].text.startswith("AKIA")
     kept = pseudonyms.pseudonymise(spark.createDataFrame([(1, "10.0.0.1", "f", "p")], "doc_id long, text string, found0 string, pairs0 string"), "k")
     assert kept.columns == ["doc_id", "text", "found0", "pairs0", "pii"] and kept.first().found0 == "f" and kept.first().pairs0 == "p"
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rng = __import__("random").Random(6)
+    parts = {"aa": ["pelo", "marta", "sin", "cora"], "bb": ["strum", "knich", "zwort", "bluf"]}
+    rows = [(k, edge.prose(rng, 40, parts["aa"]), "aa", "s", 1) for k in range(200)] + [(300 + k, edge.prose(rng, 40_000, parts["bb"]), "bb", "s", 1) for k in range(6)] + [(None, edge.prose(rng, 30, parts["bb"]), "bb", "s", 1)] * 3
+    out = {r.doc_id: r for r in language_id.op2_language_id(spark.createDataFrame(rows, edge.DOCUMENTS)).collect()}
+    assert all(out[300 + k].lang_pred == "bb" for k in range(6)) and out[3].lang_pred == "aa" and out[None].lang_pred == "bb"
+
+
+def test_other_scripts_and_languages_are_kept(spark):
+    rng = __import__("random").Random(6)
+    russian = " ".join(rng.choice(["слово", "дело", "время", "жизнь", "рука", "город", "вода"]) + str(k) for k in range(120))
+    polish = " ".join(rng.choice(["w", "na", "się", "miasto", "rzeka", "człowiek", "dzień"]) + ("" if k % 3 else f"a{k}") for k in range(120))
+    chinese = " ".join("".join(rng.choice("天地人山水火木金土日月") for _ in range(30)) for _ in range(40))
+    junk = " ".join(f"zq{k}x" for k in range(120))
+    out = quality_rules.op10_quality_rules(spark.createDataFrame([(1, russian), (2, polish), (3, chinese), (4, junk)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in out} == {1: True, 2: True, 3: True, 4: False}

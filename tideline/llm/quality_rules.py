@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Defined results: a null, empty or white-space text has no words, all counts 0, and fails (`too_few_words`). Ties and
-repeated rows are judged row by row. Very long texts cost O(n log n) in their words. Columns of the input whose
+repeated rows are judged row by row. Stop words and word lengths say nothing about a text that is mostly in other letters than Latin ones. Very long texts cost O(n log n) in their words. Columns of the input whose
 names clash with those added are replaced.
 """
 
@@ -18,34 +18,42 @@ from .shared import WORD, words
 WINDOW = 8
 NO_SYMBOLS = r"[^#*$%&|<>]+"
 
-#: Common short words of English, French, Spanish and German.
+#: What is no letter of another script than Latin (fixed values): the Latin blocks, marks, punctuation and symbols.
+LATIN = r"[\x{0}-\x{36F}\x{1E00}-\x{1EFF}\x{2000}-\x{2BFF}\x{3000}-\x{303F}\x{FF00}-\x{FF65}]+"
+
+#: Common short words of English, French, Spanish, German, Italian, Portuguese, Dutch, Polish, Czech, Swedish, Danish, Norwegian,
+#: Finnish, Hungarian, Romanian, Turkish, Indonesian and Vietnamese.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
     "au aux avec ce dans de des du elle en est et il la le les ou par pas pour que qui sur un une "
     "con del el es las lo los mas no para por se su una y "
-    "auf das dem den der die ein eine für ist mit nicht sich und von zu"
+    "auf das dem den der die ein eine für ist mit nicht sich und von zu "
+    "che di non sono del della nel um uma não com dos das ao het een van niet dat op met te "
+    "i w na się nie jest do z že je v s och att det som på er ikke og til å "
+    "ja on ei että ez az egy hogy și în cu nu bir ve bu için ile yang dan di untuk dengan là và của có không"
 ).split()
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row of the table: a text of `from_words` words or more fails where `measure` is not within [least, most]."""
+    """A row of the table: a text of `from_words` words or more fails where `measure` is not within [least, most]; if `latin`, only one mostly in Latin letters."""
 
     name: str
     measure: str
     least: float | None = None
     most: float | None = None
     from_words: int = 0
+    latin: bool = False
 
 
 #: Measures are the keys of `measures()`. Where `from_words` is set, shorter texts are exempt, since ratios of few words say little.
 RULES = (
     Rule("too_few_words", "n_words", least=20),
     Rule("repeated_windows", "repeat_share", most=0.30),
-    Rule("word_length", "mean_word_chars", least=2.0, most=15.0),
+    Rule("word_length", "mean_word_chars", least=2.0, most=15.0, latin=True),
     Rule("symbols", "symbols_per_word", most=0.20),
     Rule("duplicate_lines", "dup_line_share", most=0.45, from_words=20),
-    Rule("stop_words", "stop_word_share", least=0.01, from_words=80),
+    Rule("stop_words", "stop_word_share", least=0.01, from_words=80, latin=True),
     Rule("exclamations", "exclamations_per_word", most=0.30, from_words=20),
     Rule("long_lines_cut", "ellipsis_line_share", most=0.30, from_words=20),
 )
@@ -100,6 +108,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": _repeat_words(F.col("__tokens")).cast("long"),
             "n_lines": n_lines.cast("long"),
             "n_stop_words": F.size(F.filter("__tokens", lambda w: w.isin(*STOP_WORDS, *(x.capitalize() for x in STOP_WORDS)))).cast("long"),
+            "n_other_letters": F.length(F.regexp_replace(whole, LATIN, "")).cast("long"),
             "n_exclamations": (F.length(whole) - F.length(F.replace(whole, F.lit("!"), F.lit("")))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter("__lines", lambda line: line.endswith("...") | line.endswith("…"))).cast("long"),
         }
@@ -129,10 +138,11 @@ def _fails(rule: Rule, by: dict[str, Column]) -> Column:
         bad = bad | (x < rule.least)
     if rule.most is not None:
         bad = bad | (x > rule.most)
-    return bad & (F.col("n_words") >= rule.from_words)
+    bad = bad & (F.col("n_words") >= rule.from_words)
+    return bad & (2 * F.col("n_other_letters") < F.col("word_chars")) if rule.latin else bad
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_exclamations", "n_ellipsis_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_other_letters", "n_exclamations", "n_ellipsis_lines")
 
 
 def _settled(df: DataFrame) -> DataFrame:

@@ -71,10 +71,11 @@ ORACLES: dict[str, str] = {
     "op3_containment": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5),
+bk AS (SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM bk) WHERE len(w) >= k),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM bk),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY 1),
-f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, round(n_found / CAST(n_shingles AS DOUBLE), 6) AS containment FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
 """,
     "op10_quality_rules": rf"""
@@ -85,11 +86,11 @@ r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM x
 c AS (SELECT doc_id, CAST(sum(least(8, i - coalesce(p, -8))) AS BIGINT) AS n_repeat_words FROM r GROUP BY 1),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(w), 1) AS n, greatest(len(l), 1) AS nl,
-  len(list_filter(w, lambda y: list_contains([{_STOP}], y))) AS n_stop, length(t) - length(replace(t, '!', '')) AS n_bang,
+  len(list_filter(w, lambda y: list_contains([{_STOP}], y))) AS n_stop, length(regexp_replace(t, '{quality_rules.LATIN}', '', 'g')) AS n_other, length(t) - length(replace(t, '!', '')) AS n_bang,
   len(list_filter(l, lambda y: ends_with(y, '...') OR ends_with(y, '…'))) AS n_cut FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
 v AS (SELECT *, list_filter([CASE WHEN n_words < 20 THEN 'too_few_words' END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated_windows' END,
-  CASE WHEN word_chars / n < 2.0 OR word_chars / n > 15.0 THEN 'word_length' END, CASE WHEN n_symbols / n > 0.2 THEN 'symbols' END,
-  CASE WHEN n_words >= 20 AND n_dup_lines / nl > 0.45 THEN 'duplicate_lines' END, CASE WHEN n_words >= 80 AND n_stop / n < 0.01 THEN 'stop_words' END,
+  CASE WHEN (word_chars / n < 2.0 OR word_chars / n > 15.0) AND 2 * n_other < word_chars THEN 'word_length' END, CASE WHEN n_symbols / n > 0.2 THEN 'symbols' END,
+  CASE WHEN n_words >= 20 AND n_dup_lines / nl > 0.45 THEN 'duplicate_lines' END, CASE WHEN n_words >= 80 AND n_stop / n < 0.01 AND 2 * n_other < word_chars THEN 'stop_words' END,
   CASE WHEN n_words >= 20 AND n_bang / n > 0.3 THEN 'exclamations' END, CASE WHEN n_words >= 20 AND n_cut / nl > 0.3 THEN 'long_lines_cut' END], lambda z: z IS NOT NULL) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, len(failed) = 0 AS kept,
   CASE WHEN len(failed) > 0 THEN array_to_string(failed, ',') ELSE '' END AS failed_rules FROM v
