@@ -33,8 +33,8 @@ def rows():
     return out + [(100 + k, prose(rng, 60 + k), rng.choice(["en", "de"]), rng.choice("abc"), 60) for k in range(40)]
 
 
-def components(rows: list[tuple], width: int, percent: int) -> list:
-    """For each (id, text) the least id of its group, over all pairs of rows; an id of None comes last."""
+def groups(rows: list[tuple], width: int, percent: int) -> list[int]:
+    """For each (id, text) the first row of its group, over all pairs of rows."""
     sets = []
     for _, t in rows:
         w = words(t)
@@ -52,11 +52,15 @@ def components(rows: list[tuple], width: int, percent: int) -> list:
             if low and 100 * low >= percent * high and (common := len(sets[a] & sets[b])) and 100 * common >= percent * (low + high - common):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        r = find(k)
+    return [find(k) for k in range(len(rows))]
+
+
+def components(rows: list[tuple], width: int, percent: int) -> list:
+    """For each (id, text) the least id of its group; an id of None comes last."""
+    of, least = groups(rows, width, percent), {}
+    for (i, _), r in zip(rows, of, strict=True):
         least[r] = i if least.get(r) is None else min(least[r], least[r] if i is None else i)
-    return [least[find(k)] for k in range(len(rows))]
+    return [least[r] for r in of]
 
 
 def quality_counts(text):
