@@ -88,7 +88,8 @@ def test_prefixes_meet_at_the_threshold(spark):
     found = superminhash.prefixes(spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "cid long, shingles array<long>"), 80).collect()
     by = {}
     for r in found:
-        by.setdefault(r.token, set()).add(r.cid)
+        for token in r["keys"]:
+            by.setdefault(token, set()).add(r.cid)
     for a in range(len(sets)):
         for b in range(a):
             x, y = set(sets[a]), set(sets[b])

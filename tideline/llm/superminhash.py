@@ -158,13 +158,13 @@ def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """cid and token, for the rarest shingles of each of `sets` (cid, shingles): as many as make two sets at the threshold share one."""
+    """cid and keys, the rarest shingles of each of `sets` (cid, shingles): as many as make two sets at the threshold share one."""
     tokens = sets.select("cid", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     ranked = tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("all"))
     n = F.size("all")
-    head = ranked.select("cid", F.explode(F.slice("all", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("x"))
-    return head.filter("x.times > 1").select("cid", "x.token")
+    head = F.slice("all", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return ranked.select("cid", F.filter(head, lambda x: x["times"] > 1)["token"].alias("keys"))
 
 
 def _differing(x: Column, y: Column) -> Column:
@@ -223,13 +223,17 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     placed = members.select("key", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     left = _beside(hold(placed.join(mixed, "key"), "open"))
-    few = left.filter(F.col("beside") <= BESIDE).select("key", "cid", "root")
+    few = left.filter(F.col("beside") <= BESIDE).select("key", "cid", "root").join(classes.select("cid", F.col("bands").alias("keys")), "cid")
     many = hold(left.filter(F.col("beside") > BESIDE).select("cid", "root").distinct(), "many")
     sets = _texts(docs, classes, many.select("cid")).mapInArrow(lambda it: _set_batches(it, width), "cid long, shingles array<long>")
-    by_prefix = prefixes(hold(sets, "sets"), percent).join(many, "cid").select(F.col("token").alias("key"), "cid", "root")
+    by_prefix = prefixes(hold(sets, "sets"), percent).join(many, "cid").select(F.explode("keys").alias("key"), "cid", "root", "keys")
     spread = hold(_beside(few.unionByName(by_prefix)).filter("beside > 0").join(tall, "cid"), "spread")
-    half = lambda rows, c: rows.select("key", *(F.col(old).alias(f"{new}{c}") for old, new in (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"))))
-    met = half(spread.filter("root <> main"), "a").join(half(spread, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & _alike(percent))
+    names = (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"), ("keys", "keys_"))
+    half = lambda rows, c: rows.select("key", "main", *(F.col(old).alias(f"{new}{c}") for old, new in names))
+    # A pair is made once in a bucket, and in the first bucket that it shares.
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    once = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key")
+    met = half(spread.filter("root <> main"), "a").join(half(spread, "b").drop("main"), "key").filter(apart & _alike(percent) & once)
     pair = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     untried = hold(pair(met).distinct().join(pair(candidates), ["a", "b"], "left_anti"), "untried")
     more = hold(verified(untried, docs, classes, width, percent), "more")
