@@ -31,13 +31,13 @@ def cost_usd(model: Column, tokens_in: Column, tokens_out: Column, mode: Column,
     return ((tokens_in + cached) * rate_in + tokens_out * rate_out) / 1_000_000 * F.when(mode == "batch", BATCH).otherwise(1.0)
 
 
-def running_total(df: DataFrame, amount: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def running_total(df: DataFrame, amount: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Adds `total`: exact running sums in order."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("total", F.sum(F.col(amount).cast("decimal(18,6)")).over(w))
 
 
-def daily_and_week(df: DataFrame, amount: str, day: Column, by: Sequence[str] = ()) -> DataFrame:
+def daily_and_week(df: DataFrame, amount: str, day: Column, by: Sequence[str]) -> DataFrame:
     """For each day: its sum, and that of the seven days that end with it."""
     days = df.groupBy(*by, day.alias("day")).agg(F.sum(F.col(amount).cast("decimal(18,6)")).alias("spent"))
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
@@ -68,7 +68,7 @@ def latest_feedback(exchanges: DataFrame, feedback: DataFrame, key: str = "excha
     return exchanges.join(last, key, "left")
 
 
-def triage(df: DataFrame, verdict: str = "verdict", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+def triage(df: DataFrame, by: Sequence[str], verdict: str = "verdict", seq: str = "seq") -> DataFrame:
     """Adds `place`: those marked down first, each part in its order."""
     order = Window.partitionBy(*by).orderBy(F.col(verdict).eqNullSafe(F.lit("down")).desc(), seq)
     return df.withColumn("place", F.row_number().over(order))
@@ -111,7 +111,7 @@ def once(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
-def least_recently_used(df: DataFrame, used: str, tie: str, most: int, by: Sequence[str] = ()) -> DataFrame:
+def least_recently_used(df: DataFrame, used: str, tie: str, most: int, by: Sequence[str]) -> DataFrame:
     """The `most` entries that were used last."""
     w = Window.partitionBy(*by).orderBy(F.col(used).desc(), F.col(tie))
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).drop("__k")

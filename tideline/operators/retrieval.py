@@ -116,16 +116,23 @@ def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
 def nearest_by_tokens(catalogue: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:
     """request, id, overlap, place: the entries that share most word tokens with each request, ties by id, never none.
 
-    `catalogue` is a stated table of entries (id, text), broadcast within a counted bound.
+    `catalogue` is a stated table of entries (id, text), dealt into blocks of about `QUERY_BOUND` rows, each broadcast; each block gives its `limit` best.
     """
     token = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
     entries = catalogue.select("id", token(F.col("text")).alias("__e"))
-    if entries.limit(QUERY_BOUND + 1).count() > QUERY_BOUND:
-        raise ValueError("the catalogue is too large to offer from")
-    pairs = requests.select("request", token(F.col("text")).alias("__r")).join(F.broadcast(entries), F.col("__r").isNotNull())
-    scored = pairs.select("request", "id", F.size(F.array_intersect("__r", "__e")).alias("overlap"))
+    asked = requests.select("request", token(F.col("text")).alias("__r"))
+    blocks = max(-(-entries.count() // QUERY_BOUND), 1)
     w = Window.partitionBy("request").orderBy(F.col("overlap").desc(), "id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    best = lambda scored: scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+
+    def one(some: DataFrame) -> DataFrame:
+        pairs = asked.join(F.broadcast(some), F.col("__r").isNotNull())
+        return best(pairs.select("request", "id", F.size(F.array_intersect("__r", "__e")).alias("overlap")))
+
+    if blocks == 1:
+        return one(entries)
+    parts = [one(entries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return best(reduce(DataFrame.unionByName, parts).drop("place"))
 
 
 def overlapping_spans(sentences: DataFrame, citations: DataFrame, width: int = 512) -> DataFrame:

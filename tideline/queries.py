@@ -138,8 +138,7 @@ DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS
 COSINE = f"{DOT.format(a='i.embedding', b='q.embedding')} / (sqrt({DOT.format(a='i.embedding', b='i.embedding')}) * sqrt({DOT.format(a='q.embedding', b='q.embedding')}))"
 DENSE = f"""SELECT query, item, score, rank FROM (SELECT q.vec_id AS query, i.vec_id AS item, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id
  ORDER BY round({COSINE}, 6) DESC, i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
-SPARSE_BASE = """tok AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents), tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM tok
- WHERE regexp_full_match(term, '[a-z]{7,}') GROUP BY 1, 2)"""
+SPARSE_BASE = """tok AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents), tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM tok GROUP BY 1, 2)"""
 
 
 def dense(spark, sf, k=10):
@@ -148,7 +147,7 @@ def dense(spark, sf, k=10):
 
 
 def term_weights(spark, sf):
-    terms = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term")).filter(F.col("term").rlike("^[a-z]{7,}$"))
+    terms = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
@@ -165,13 +164,13 @@ def sparse_topk(spark, sf):
 
 
 @query(f"""WITH d AS ({DENSE}), b AS (SELECT query, item, rank FROM (SELECT q.vec_id AS query, i.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id
- ORDER BY abs(q.label - i.label), i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0) WHERE rank <= 10),
+ ORDER BY i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 20 = 0) WHERE rank <= 10),
  f AS (SELECT query, item, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM (SELECT query, item, rank FROM d UNION ALL SELECT query, item, rank FROM b) GROUP BY 1, 2)
  SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
-    asked = rows.filter("item % 20 = 0").select(F.col("item").alias("query"), F.col("label").alias("asked"))
-    near = R.ranked(rows.join(F.broadcast(asked), F.lit(True)).select("query", "item", (-F.abs(F.col("label") - F.col("asked"))).cast("double").alias("score")), 10)
+    asked = rows.filter("item % 20 = 0").select(F.col("item").alias("query"), "label")
+    near = R.ranked(rows.join(asked, "label").select("query", "item", F.lit(1.0).alias("score")), 10)
     return R.fuse([dense(spark, sf), near], 10)
 
 
@@ -213,13 +212,13 @@ def rerank_windows(spark, sf):
     return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding, label % 3 AS profile FROM embeddings WHERE vec_id % 2 = 0), q AS (SELECT vec_id, embedding, label % 3 AS profile FROM embeddings WHERE vec_id % 20 = 1),
+@query(f"""WITH e AS (SELECT vec_id, embedding, label % 3 AS profile FROM embeddings WHERE vec_id % 20 <> 0), q AS (SELECT vec_id, embedding, label % 3 AS profile FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT q.vec_id AS question, i.vec_id AS entry, round({COSINE}, 6) AS cosine FROM q JOIN e i ON q.profile = i.profile)
  SELECT question, entry, cosine FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY cosine DESC, entry) AS k FROM s WHERE cosine >= 0.2) WHERE k = 1""")
 def semantic_cache_hit(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("version"), (F.col("label") % 3).alias("profile"))
-    entries = rows.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("entry"), F.col("vec_id").alias("recency"), F.col("embedding").alias("entry_vector"), "version", "profile")
-    asked = rows.filter("vec_id % 20 = 1").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"), "version", "profile")
+    entries = rows.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry"), F.col("vec_id").alias("recency"), F.col("embedding").alias("entry_vector"), "version", "profile")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"), "version", "profile")
     return R.cache_match(entries, asked, 0.2)
 
 
@@ -465,12 +464,13 @@ def span_overlap_join(spark, sf):
     return R.overlapping_spans(s, c, 128)
 
 
-@query("""SELECT o.o_orderkey, max(e.event_id) FILTER (WHERE e.ts <= o.o_ts) AS event_id FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '1970-01-01' + to_days(CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) % 30 AS INTEGER)) AS o_ts FROM orders) o
- LEFT JOIN (SELECT user_id, event_id, TIMESTAMP '1970-01-01' + to_days(CAST(event_id % 30 AS INTEGER)) AS ts0, event_id % 30 AS d, TIMESTAMP '1970-01-01' + to_days(CAST(event_id % 30 AS INTEGER)) AS ts FROM events WHERE event_id % 30 = 7) e ON e.user_id = o.o_custkey GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, hour(ts) AS start, max(event_id) AS event_id FROM events GROUP BY 1, 2),
+ o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) % 24 AS at FROM orders),
+ j AS (SELECT o_orderkey, event_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY start DESC) AS k FROM o LEFT JOIN e ON e.user_id = o.o_custkey AND e.start <= o.at)
+ SELECT o_orderkey, event_id FROM j WHERE k = 1""")
 def asof_sentence(spark, sf):
-    # All events here stand at day 7, so the last at or before a point is that day's greatest id, or none.
-    events = table(spark, sf, "events").filter("event_id % 30 = 7").groupBy(F.col("user_id").alias("answer"), F.lit(7).alias("start")).agg(F.max("event_id").alias("index"))
-    points = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("answer"), (day_number("o_orderdate") % 30).cast("int").alias("at"))
+    events = table(spark, sf, "events").groupBy(F.col("user_id").alias("answer"), F.hour("ts").alias("start")).agg(F.max("event_id").alias("index"))
+    points = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("answer"), (day_number("o_orderdate") % 24).cast("int").alias("at"))
     return R.asof_sentence(points, events).select("o_orderkey", F.col("index").alias("event_id"))
 
 
@@ -601,10 +601,10 @@ def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.split_sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
-@query(r"""SELECT doc_id, md5(replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), 'ﬁ', 'fi')) AS digest, trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) AS question FROM documents""")
+@query(r"""SELECT doc_id, md5(replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), 'ﬁ', 'fi')) AS digest, trim(regexp_replace(text, '\s+', ' ', 'g')) AS question FROM documents""")
 def normalise(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalise_text(text)).alias("digest"), T.normalise_question(F.substring(text, 1, 200)).alias("question"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalise_text(text)).alias("digest"), T.normalise_question(text).alias("question"))
 
 
 @query(r"""SELECT conv_id, turn, list_aggregate(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z'']+')), ['not', 'never', 'no', 'will', 'would', 'could', 'might', 'may', 'is'])), 'string_agg', ',') AS profile FROM conversations""")
@@ -617,10 +617,10 @@ def chart_slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.chart_slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 600) WHEN 2 THEN '' END AS excerpt FROM documents WHERE length(text) <= 100000""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 600) WHEN 1 THEN substr(text, 1, 300) WHEN 2 THEN substr(text, 1, 300) END AS excerpt FROM documents""")
 def bounded_excerpt(spark, sf):
-    context = F.when(F.col("doc_id") % 4 == 0, "open").when(F.col("doc_id") % 4 == 1, "excerpt").when(F.col("doc_id") % 4 == 2, "link").otherwise("unknown")
-    return table(spark, sf, "documents").filter(F.length("text") <= 100_000).select("doc_id", T.bounded_excerpt(F.col("text"), context).alias("excerpt"))
+    context = F.element_at(F.array(*map(F.lit, (*T.EXCERPT, "unknown"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", T.bounded_excerpt(F.col("text"), context).alias("excerpt"))
 
 
 @query()
@@ -658,11 +658,24 @@ def licence_url(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.licence_of_url(url).alias("licence"))
 
 
-@query("""SELECT conv_id, turn, 'It is ' || CASE conv_id % 3 WHEN 0 THEN 'very likely' WHEN 1 THEN 'not likely' ELSE 'unlikely' END || ' with high confidence' AS sentence,
- CASE conv_id % 3 WHEN 0 THEN 'very likely,high confidence' WHEN 1 THEN 'high confidence' ELSE 'unlikely,high confidence' END AS markers FROM conversations""")
+#: What a turn says after its own words, by a hash of it: calibrated phrases alone, negated, quoted in each way, over a line end, hyphenated.
+CLAIMS = (
+    "it is very likely so", "it is not very likely so", 'they say "likely" here', "they say “very likely, with high confidence” here", "the ‘unlikely’ case", "a 'likely' case of the panel's likely ones",
+    "an \"open\nlikely\" end", "a most-likely and Virtually Certain one", "cannot be said to be likely, with low confidence and Low Confidence", "about as likely as not; more likely than not", "nothing",
+)
+_CLAIMED = "CASE (conv_id * 31 + turn) % 11 " + " ".join(f"WHEN {k} THEN '{c.replace(chr(39), chr(39) * 2)}'" for k, c in enumerate(CLAIMS)) + " END"
+_PHRASES = "|".join(T.CALIBRATED)
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, text || '. ' || {_CLAIMED} AS sentence FROM conversations),
+ b AS (SELECT *, regexp_replace(regexp_replace(sentence, '"[^"\n]*"|“[^”\n]*”|‘[^’\n]*’', chr(1), 'g'), '(^|[^\w])''[^''\n]*''([^\w]|$)', '\1' || chr(1) || '\2', 'g') AS bare FROM s),
+ f AS (SELECT *, regexp_extract_all(lower(bare), '(?:\b(?:not|cannot|never)\b(?:\s+\w+){{0,2}}\s+|(?:^|[^\w\-]))(?:{_PHRASES})\b') AS found FROM b),
+ k AS (SELECT conv_id, turn, sentence, list_transform(list_filter(found, lambda m: NOT (regexp_matches(m, '^(not|cannot|never)\b') AND regexp_matches(m, '(^|[^\w])(more likely than not|extremely likely|very likely|likely)$') AND NOT ends_with(m, 'about as likely as not'))),
+  lambda m: regexp_extract(m, '({_PHRASES})$', 1)) AS names FROM f)
+ SELECT conv_id, turn, sentence, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ',') AS markers FROM k""")
 def confidence_markers(spark, sf):
-    words = F.element_at(F.array(F.lit("very likely"), F.lit("not likely"), F.lit("unlikely")), (F.col("conv_id") % 3 + 1).cast("int"))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("It is "), words, F.lit(" with high confidence")).alias("sentence"))
+    claim = F.element_at(F.array(*map(F.lit, CLAIMS)), ((F.col("conv_id") * 31 + F.col("turn")) % 11 + 1).cast("int"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit(". "), claim).alias("sentence"))
     return rows.withColumn("markers", F.array_join(T.confidence_markers(F.col("sentence")), ","))
 
 

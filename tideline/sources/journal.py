@@ -56,9 +56,12 @@ def harvest(df: DataFrame, forbidden: set[str]) -> DataFrame:
     return df.filter(~F.coalesce("exclude_from_harvest", F.lit(True))).select(*(c for c in EXCHANGE_KEYS if c in df.columns))
 
 
-def run_record(rows: DataFrame, order: list[str]) -> str:
-    """A small result as sorted, indented JSON, the same on every run."""
-    return json.dumps([r.asDict(recursive=True) for r in rows.orderBy(*order).collect()], sort_keys=True, indent=2, default=str) + "\n"
+def run_record(rows: DataFrame, order: list[str], most: int = 10_000) -> str:
+    """A small result as sorted, indented JSON, the same on every run; more than `most` rows are no record but a table, and an error."""
+    found = rows.orderBy(*order).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write them as a table")
+    return json.dumps([r.asDict(recursive=True) for r in found], sort_keys=True, indent=2, default=str) + "\n"
 
 
 def write_atomically(path: str, data: bytes) -> None:
