@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import answers as A
 from .operators import evaluation as E
 from .operators import operations as O
 from .operators import records as D
@@ -716,3 +717,124 @@ def structure_repair(spark, sf):
 def sentence_span_table(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("s", T.split_sentences(F.col("text")))
     return rows.select("conv_id", "turn", F.posexplode(T.sentence_spans(F.col("text"), F.col("s"))).alias("n", "span")).select("conv_id", "turn", "n", "span.start", "span.end")
+
+
+# ---- answers -------------------------------------------------------------------------------------------------------
+
+
+#: Answers made of whole conversations: a turn is a heading, a plain paragraph, or ends in a quotation or a sentence of talk.
+TALK = ("Hope this helps!", "The passages say so.", "They cover it.", "It is a striking rise.", "Yes, indeed.", "The premise is off.", "It is 3 of them.", "Rivers rose.")
+_TALK = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TALK)) + " END"
+ANSWERS = f"""a AS (SELECT conv_id, string_agg(CASE turn % 4 WHEN 0 THEN '## ' || text WHEN 1 THEN text || '. He said "So it is." ' || {_TALK} ELSE text || '. ' || {_TALK} END, chr(10) || ' ' || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)"""
+_ABBREVIATIONS = ", ".join(f"'{a}'" for a in T.ABBREVIATIONS)
+SEAMS = rf"""{ANSWERS}, p AS (SELECT conv_id, text, list_filter(regexp_split_to_array(text, '\n[^\S\n]*\n\s*'), lambda x: x <> '') AS p FROM a),
+ g AS (SELECT conv_id, text, unnest(string_split(array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i = len(p) OR regexp_matches(x, '{A.STRUCTURE}') OR regexp_matches(p[i + 1], '{A.STRUCTURE}') THEN chr(2) ELSE chr(10) || chr(10) END), ''), chr(2))) AS g,
+  generate_subscripts(string_split(array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i = len(p) OR regexp_matches(x, '{A.STRUCTURE}') OR regexp_matches(p[i + 1], '{A.STRUCTURE}') THEN chr(2) ELSE chr(10) || chr(10) END), ''), chr(2)), 1) AS gi FROM p),
+ q AS (SELECT conv_id, gi, unnest(string_split(regexp_replace(g, '([.!?]["''”’])\s+([A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2))) AS q, generate_subscripts(string_split(regexp_replace(g, '([.!?]["''”’])\s+([A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2)), 1) AS qi FROM g),
+ c AS (SELECT conv_id, gi, qi, string_split(regexp_replace(trim(q, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM q),
+ j AS (SELECT conv_id, gi, qi, string_split(array_to_string(list_transform(c, lambda x: x || CASE WHEN list_contains([{_ABBREVIATIONS}], lower(rtrim(regexp_extract(x, '(\S+)\s*$', 1), '.'))) THEN ' ' ELSE chr(1) END), ''), chr(1)) AS j FROM c),
+ s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY gi, qi, ji) - 1 AS n, trim(x) AS sentence FROM (SELECT conv_id, gi, qi, unnest(j) AS x, generate_subscripts(j, 1) AS ji FROM j) WHERE trim(x) <> '')"""
+
+
+def answers(spark, sf):
+    talk = F.element_at(F.array(*map(F.lit, TALK)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("## "), "text")).when(F.col("turn") % 4 == 1, F.concat("text", F.lit('. He said "So it is." '), talk)).otherwise(F.concat("text", F.lit(". "), talk))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))), lambda x: x["t"])
+    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("answer")).agg(F.array_join(turns, "\n \n").alias("text"))
+
+
+def _listed(some):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in some) + "]"
+
+
+def _holds(some):
+    return "(" + " OR ".join(f"contains(low, '{x.replace(chr(39), chr(39) * 2)}')" for x in some) + ")"
+
+
+@query(rf"""WITH {SEAMS}, w AS (SELECT *, lower(sentence) AS low, regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}'']+') AS w, regexp_matches(sentence, '\d') AS digit FROM s)
+ SELECT conv_id, n, sentence, NOT (list_contains({_listed(A.FURNITURE)}, trim(rtrim(trim(low), '.!?'))) OR starts_with(trim(low), '{A.FOOTER}') OR {_holds(A.META)} OR (list_contains({_listed(A.SUBJECTS)}, w[1]) AND list_has_any(w, {_listed(A.COVERAGE)}))
+  OR {_holds(A.REFERRAL)} OR (NOT digit AND list_has_any(w, {_listed(A.COPULAS)}) AND list_has_any(w, {_listed(A.EVALUATIVE)})) OR (NOT digit AND ((len(w) > 0 AND list_has_all({_listed(A.AFFIRMATIONS)}, w)) OR {_holds(A.STANCES)}))) AS factual FROM w""")
+def answer_segments(spark, sf):
+    return A.answer_sentences(answers(spark, sf)).select(F.col("answer").alias("conv_id"), F.col("n").cast("long").alias("n"), "sentence", "factual")
+
+
+@query(rf"""WITH {ANSWERS}, l AS (SELECT conv_id, lower(text) || ' ' AS low FROM (SELECT conv_id, text || ' It is very likely, unlikely, blikely and more likely than not.' AS text FROM a)),
+ f AS (SELECT conv_id, unnest(regexp_extract_all(low, '(?:^|[^\p{{L}}])({"|".join(sorted(T.CALIBRATED, key=len, reverse=True))})(?:[^\p{{L}}])', 1)) AS term FROM l) SELECT conv_id, term, count(*) AS n FROM f GROUP BY 1, 2""")
+def term_anchors(spark, sf):
+    rows = answers(spark, sf).withColumn("text", F.concat("text", F.lit(" It is very likely, unlikely, blikely and more likely than not.")))
+    each = rows.select(F.col("answer").alias("conv_id"), F.col("text"), F.explode(A.term_anchors(F.col("text"), T.CALIBRATED)).alias("a"))
+    whole = each.filter(F.lower(F.substr("text", F.col("a.start") + 1, F.col("a.end") - F.col("a.start"))) == F.col("a.term"))
+    return whole.groupBy("conv_id", "a.term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH d AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'The passages do not cover this. ' WHEN 1 THEN '[decline]' || chr(10) || 'The sources given don''t address it. ' WHEN 2 THEN 'The passages answer the first half. They do not cover ' ELSE '' END || text AS t FROM conversations),
+ f AS (SELECT conv_id, turn, regexp_extract(CASE WHEN starts_with(t, '[decline]') THEN substr(t, 11) ELSE t END, '^(?s:.*?)(?:[.?!](\s|$)|$)', 0) AS f FROM d)
+ SELECT conv_id, turn, regexp_matches(f, '(?i)\b(passages?|sources?|excerpts?|documents?|material|context|texts?|library|information|evidence)\b') AND regexp_matches(f, '(?i)\b(don''t|do not|doesn''t|does not|didn''t|did not|can''t|cannot|couldn''t|could not|won''t|will not|not|no|never|neither|nothing|none)\b')
+  AND regexp_matches(f, '(?i)\b(answers?|addresses|address|covers?|mentions?|discuss|discusses|contains?|speaks?|says?|touch|touches|bears?|includes?|provides?|describes?|explains?|tell|answering|addressing)\b') AS declined FROM f""")
+def decline_prose(spark, sf):
+    k = F.col("conv_id") % 4
+    lead = F.when(k == 0, "The passages do not cover this. ").when(k == 1, "[decline]\nThe sources given don't address it. ").when(k == 2, "The passages answer the first half. They do not cover ").otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", A.decline_in_prose(F.concat(lead, "text"), "[decline]").alias("declined"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS answer, l_linenumber AS sentence, l_suppkey % 5 AS document, l_returnflag AS reason FROM lineitem WHERE l_quantity > 40)
+ SELECT answer, row_number() OVER (PARTITION BY answer ORDER BY sentence, document, reason) - 1 AS seq, 'badge' AS event, sentence, document, reason FROM o WHERE answer % 3 = 0
+ UNION ALL SELECT answer, 0, 'validation_degraded', NULL, NULL, 'timeout' FROM (SELECT DISTINCT answer FROM o WHERE answer % 3 = 1)""")
+def badge_events(spark, sf):
+    flags = table(spark, sf, "lineitem").filter("l_quantity > 40").groupBy(F.col("l_orderkey").alias("answer")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("sentence"), (F.col("l_suppkey") % 5).alias("document"), F.col("l_returnflag").alias("reason"))).alias("unverified"))
+    outcomes = flags.withColumn("validated", F.col("answer") % 3 == 0).withColumn("degraded_reason", F.when(F.col("answer") % 3 == 1, "timeout"))
+    return A.badge_events(outcomes)
+
+
+@query("""SELECT l_orderkey AS answer, coalesce(array_to_string(list_sort(list_distinct(list(l_linenumber) FILTER (WHERE l_quantity > 25))), ','), '') AS sentences FROM lineitem GROUP BY 1""")
+def entailed_sentences(spark, sf):
+    verdicts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("sentence"), (F.col("l_quantity") > 25).alias("supported"))
+    return A.entailed_sentences(verdicts).select("answer", F.array_join("sentences", ",").alias("sentences"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'document' AS type, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE coalesce(source, CAST(doc_id AS VARCHAR)) END AS title, text AS body,
+ 'chunk_id=' || doc_id || '; source=' || coalesce(source, 'None') || '; lang=' || coalesce(lang, 'None') || '; n=' || n_chars AS context FROM documents""")
+def citation_blocks(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("body"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("attribution"), F.lit("").alias("title"), "source", "lang", "n_chars")
+    return A.citation_blocks(rows, {"chunk_id": "chunk_id", "source": "source", "lang": "lang", "n": "n_chars"})
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM conversations)
+ SELECT conv_id, turn, len(list_filter(c, lambda x: trim(x) <> '')) AS n FROM c""")
+def plain_sentences(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(A.plain_sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query(r"""SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')), 1, 200)) AS line FROM documents""")
+def one_line(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", A.one_line(F.col("text")).alias("line"))
+
+
+@query("""SELECT doc_id, k - 1 AS n, s AS body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)""")
+def headline_statements(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("statements"))
+    return A.headline_chunks(rows, 10_000_000).select("doc_id", F.col("n").cast("long").alias("n"), "body")
+
+
+@query("""WITH g AS (SELECT l_suppkey AS run, l_linenumber % 3 AS arm, CASE WHEN l_quantity < 45 THEN 'passed' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'blocked' END AS status, l_tax FROM lineitem),
+ a AS (SELECT run, arm, bool_and(status = 'passed') AS p, bool_or(status = 'failed') AS f FROM g GROUP BY 1, 2), b AS (SELECT run, max(l_tax) > 0.07 AS budget FROM g GROUP BY 1)
+ SELECT run, NOT bool_or(p) AND bool_or(f) AND bool_or(budget) AS allowed FROM a JOIN b USING (run) GROUP BY 1""")
+def arm_escalation(spark, sf):
+    status = F.when(F.col("l_quantity") < 45, "passed").when(F.col("l_returnflag") == "A", "failed").otherwise("blocked")
+    gates = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("run"), (F.col("l_linenumber") % 3).alias("arm"), status.alias("status"), "l_tax")
+    return A.escalation_allowed(gates, "run", F.max("l_tax") > 0.07)
+
+
+@query("""SELECT c_nationkey AS arm, sum(c_acctbal) AS projected, sum(c_acctbal) + (SELECT sum(o_totalprice) FROM orders WHERE o_orderkey % 97 = 0) < 1e7 AS affordable FROM customer GROUP BY 1""")
+def arm_affordable(spark, sf):
+    arms = table(spark, sf, "customer").select(F.col("c_nationkey").alias("arm"), F.col("c_acctbal").alias("cost"))
+    return A.affordable(arms, table(spark, sf, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_totalprice").alias("cost")), 1e7)
+
+
+@query("""WITH p AS (SELECT l_orderkey AS answer, l_linenumber AS place, l_suppkey % 5 AS document FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY answer, document ORDER BY place) AS k FROM p),
+ b AS (SELECT DISTINCT l_orderkey AS answer, l_suppkey % 5 AS document FROM lineitem WHERE l_quantity > 40)
+ SELECT o.answer, place, o.document, CASE WHEN place % 2 = 0 THEN 'titled' ELSE CAST(o.document AS VARCHAR) END AS title, b.answer IS NOT NULL AS badged FROM o LEFT JOIN b ON o.answer = b.answer AND o.document = b.document WHERE k = 1""")
+def sources_panel(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("place"), (F.col("l_suppkey") % 5).alias("document"), "l_quantity")
+    passages = rows.select("answer", "place", "document", F.when(F.col("place") % 2 == 0, "titled").otherwise("").alias("title"), F.lit(None).cast("string").alias("attribution"), F.lit("u").alias("url"))
+    return A.sources_panel(passages, rows.filter("l_quantity > 40").select("answer", "document", F.lit("badge").alias("event"))).drop("url")
