@@ -71,7 +71,7 @@ def family(rng, n, size=150, change=(1, 60)):
     return [" ".join(t) for t in out]
 
 
-@pytest.mark.parametrize("beside", [superminhash.BESIDE, 0])
+@pytest.mark.parametrize("beside", [superminhash.BESIDE, 8, 0])
 def test_links_about_the_threshold_match_all_pairs(spark, monkeypatch, beside):
     """Buckets with many components, by pairs and by prefixes: the groups of all pairs of 600 texts."""
     monkeypatch.setattr(superminhash, "BESIDE", beside)

@@ -38,8 +38,9 @@ COMPONENTS, BANDS, BAND = 256, 24, 4
 #: correlated ranks), and 18 with one of 3.8 among the first six words; these bounds are five deviations above.
 WORDS = 2 * COMPONENTS // 16
 MOST_DIFFERENT, FIRST_WORDS, MOST_FIRST = 140, 6, 38
-#: Members of a bucket beside its main component up to which they are paired with all of it as they are.
-BESIDE = 32
+#: Members of a bucket beside its main component up to which they are paired with all of it as they are: what a member costs is so many
+#: comparisons of fingerprints at most, a millisecond or so.
+BESIDE = 2048
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
