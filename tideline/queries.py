@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.canonical import request_hash, spec_hash
 from .operators import answers as A
+from .operators import catalogue as C
 from .operators import evaluation as E
 from .operators import operations as O
 from .operators import records as D
@@ -17,6 +19,7 @@ from .operators import series as S
 from .operators import structure as X
 from .operators.blocks import exploded, html_blocks, mark_furniture, section_paths, split_references
 from .operators.chunking import chunk_documents
+from .sources.journal import event_frames
 from .sources.tables import daily_events, day_number, monthly, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -838,3 +841,214 @@ def sources_panel(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("place"), (F.col("l_suppkey") % 5).alias("document"), "l_quantity")
     passages = rows.select("answer", "place", "document", F.when(F.col("place") % 2 == 0, "titled").otherwise("").alias("title"), F.lit(None).cast("string").alias("attribution"), F.lit("u").alias("url"))
     return A.sources_panel(passages, rows.filter("l_quantity > 40").select("answer", "document", F.lit("badge").alias("event"))).drop("url")
+
+
+# ---- manifests, hashes and statements --------------------------------------------------------------------------------
+
+
+def manifest(spark, sf):
+    """Suppliers as the datasets of a manifest."""
+    k = F.col("s_suppkey")
+    context = F.when(k % 3 != 0, "open").otherwise("permission-on-file")
+    return table(spark, sf, "supplier").select(k.cast("string").alias("id"), F.when(k % 7 != 0, F.col("s_acctbal") > 0).alias("in_chart_pack"), context.alias("permitted_context"))
+
+
+def part_pairs(spark, sf):
+    """Pairs of suppliers, some of which do not exist."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("pair"), (k % 100 + 1).cast("string").alias("first"), (k * 7 % 120 + 1).cast("string").alias("second"))
+
+
+PACK = """pack AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey % 3 <> 0 AS open FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 7 <> 0),
+ p AS (SELECT p_partkey AS pair, CAST(p_partkey % 100 + 1 AS VARCHAR) AS a, CAST(p_partkey * 7 % 120 + 1 AS VARCHAR) AS b FROM part)"""
+
+
+@query(f"""WITH {PACK}, m AS (SELECT pair, a AS id FROM p UNION SELECT pair, b FROM p)
+ SELECT pair, string_agg('not in the pack: ' || id, '; ' ORDER BY id) AS reason FROM m WHERE id NOT IN (SELECT id FROM pack) GROUP BY pair""")
+def blocked_pairs(spark, sf):
+    return C.blocked_pairs(part_pairs(spark, sf), C.pack_members(manifest(spark, sf)))
+
+
+@query(f"""WITH {PACK}, o AS (SELECT id FROM pack WHERE open) SELECT 'dataset' AS kind, id FROM o
+ UNION ALL SELECT 'pair', CAST(pair AS VARCHAR) FROM p WHERE a IN (SELECT id FROM o) AND b IN (SELECT id FROM o)""")
+def catalogue_offer(spark, sf):
+    datasets, pairs = C.offered(manifest(spark, sf), part_pairs(spark, sf))
+    return datasets.select(F.lit("dataset").alias("kind"), "id").unionByName(pairs.select(F.lit("pair").alias("kind"), F.col("pair").cast("string").alias("id")))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_brand, p_size % 20 AS month, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE p_type END AS note,
+  CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN lower(replace(p_brand, '#', '-')) || '.' || p_partkey ELSE lower(replace(p_brand, '#', '-')) END AS id FROM part),
+ n AS (SELECT id, count(*) AS n FROM p GROUP BY 1)
+ SELECT p_partkey, id, nullif(array_to_string([CASE WHEN note IS NULL OR trim(note) = '' THEN 'note: missing' END, CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#21') THEN 'p_brand: unknown value ' || p_brand END,
+  CASE WHEN NOT regexp_full_match(id, '[a-z0-9][a-z0-9._-]{0,63}') THEN 'id: not of its form' END, CASE WHEN month NOT BETWEEN 1 AND 12 THEN 'day: no date' END, CASE WHEN n > 1 THEN 'id: repeated' END], '; '), '') AS violations FROM p JOIN n USING (id)""")
+def manifest_violations(spark, sf):
+    brand, size, key = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.col("p_size"), F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", "p_brand", F.when(size % 4 == 0, None).when(size % 4 == 1, "  ").otherwise(F.col("p_type")).alias("note"),
+        F.format_string("2020-%02d-01", size % 20).alias("day"),
+        F.when(key % 3 == 0, F.col("p_name")).when(key % 3 == 1, F.concat(brand, F.lit("."), key.cast("string"))).otherwise(brand).alias("id"),
+    )
+    checks = [C.required("note"), C.one_of("p_brand", ("Brand#11", "Brand#12", "Brand#21")), C.matches("id", C.ID), C.is_date("day")]
+    return C.violations(rows, checks).select("p_partkey", "id", F.nullif(F.array_join("violations", "; "), F.lit("")).alias("violations"))
+
+
+@query("SELECT o_orderkey AS path FROM orders WHERE NOT (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 20))")
+def ship_check(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    declared = lines.select(F.col("l_orderkey").alias("path"), F.when(F.col("l_returnflag") == "R", "open").alias("permitted_context"), (F.col("l_quantity") > 20).alias("redistributable"))
+    return C.unshipped(table(spark, sf, "orders").select(F.col("o_orderkey").alias("path")), declared)
+
+
+@query("SELECT c_mktsegment, c_nationkey, coalesce(bool_or(c_acctbal > 5000 AND c_custkey % 9 = 0), false) AS blocked FROM customer GROUP BY 1, 2")
+def launch_dependency(spark, sf):
+    rows = table(spark, sf, "customer").withColumns({"ingest": F.col("c_acctbal") > 5000, "pending": F.col("c_custkey") % 9 == 0})
+    return rows.groupBy("c_mktsegment", "c_nationkey").agg(C.launch_check(rows, "pending").alias("blocked"))
+
+
+@query("SELECT l_suppkey AS pair, min(year(l_shipdate) - l_linenumber) AS start, max(year(l_shipdate) + l_linenumber) AS \"end\" FROM lineitem GROUP BY 1")
+def coverage_union(spark, sf):
+    year, n = F.year("l_shipdate"), F.col("l_linenumber")
+    return C.coverage_union(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pair"), (year - n).alias("start"), (year + n).alias("end")))
+
+
+@query("""SELECT l_orderkey AS key, l_returnflag || CASE WHEN count(DISTINCT v) = 1 THEN ' ' || min(v) ELSE '' END AS label
+ FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus || (l_suppkey % 2) END AS v FROM lineitem) GROUP BY l_orderkey, l_returnflag""")
+def agreed_version(spark, sf):
+    version = F.when(F.col("l_linenumber") % 2 == 0, F.concat("l_linestatus", (F.col("l_suppkey") % 2).cast("string")))
+    return C.agreed_version(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("token"), version.alias("version")))
+
+
+@query("""SELECT c_custkey, CASE WHEN sum(o_totalprice) < 1500000 THEN 'normal' ELSE 'paused' END AS mode FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
+def spend_modes(spark, sf):
+    orders = table(spark, sf, "orders")
+    spent = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    return table(spark, sf, "customer").join(spent, "c_custkey", "left").select("c_custkey", O.spend_mode(F.col("spent"), 1_500_000).alias("mode"))
+
+
+@query("SELECT event_id, user_id + event_id AS input, event_id % 10 AS output, 1 AS kind FROM events")
+def usage_merge(spark, sf):
+    user, event = F.col("user_id"), F.col("event_id")
+    a = F.create_map(F.lit("input"), user, F.col("event_type"), F.lit(1).cast("long"))
+    merged = O.merge_usage(a, F.create_map(F.lit("input"), event, F.lit("output"), event % 10))
+    return table(spark, sf, "events").select("event_id", "event_type", merged.alias("m")).select("event_id", F.col("m")["input"].alias("input"), F.col("m")["output"].alias("output"), F.col("m")[F.col("event_type")].alias("kind"))
+
+
+@query("""WITH s AS (SELECT user_id, sum(abs(value)) / 3600 AS v FROM events GROUP BY 1)
+ SELECT user_id, round(v * 0.7 * 1.1 * 0.287 + 1e-9, 5) AS low, round(v * 2.2 * 1.13 * 0.384 + 1e-9, 5) AS central, round(v * 3.8 * 1.2 * 0.45 + 1e-9, 5) AS high FROM s""")
+def session_energy(spark, sf):
+    each = table(spark, sf, "events").select("user_id", O.local_wh(F.abs("value")).alias("wh"))
+    sums = each.groupBy("user_id").agg(O.sum_range("wh").alias("wh")).select("user_id", O.grams_co2e(F.col("wh")).alias("g"))
+    return sums.select("user_id", *(nudged(F.col("g")[b], 5).alias(b) for b in O.BOUNDS))
+
+
+@query("SELECT conv_id AS answer, coalesce(arg_max(role, turn) = 'assistant', false) AS complete FROM conversations GROUP BY 1")
+def transcripts_complete(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("seq"), F.col("role").alias("event"))
+    return D.transcript_complete(rows, ("assistant",))
+
+
+@query("""SELECT p_partkey, sha256('{"p_name":"' || p_name || '","p_type":"' || p_type || '","size":' || p_size || '}') AS spec, sha256('{"model":"' || p_brand || '","n":{"size":' || p_size || '}}') AS request FROM part""")
+def canonical_hashes(spark, sf):
+    size = F.col("p_size").cast("double").alias("size")
+    spec = F.to_json(F.struct("p_type", size, F.struct(F.col("p_partkey").alias("made")).alias("_meta"), "p_name"))
+    request = F.to_json(F.struct(F.struct(size, F.lit("k").alias("Api_Key")).alias("n"), F.lit("k").alias("Authorization"), F.col("p_brand").alias("model")))
+    return table(spark, sf, "part").select("p_partkey", spec_hash(spec).alias("spec"), request_hash(request).alias("request"))
+
+
+#: Fixed value: Unicode white space besides what SQL's own class has.
+_BLANK = r"\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '[^{_BLANK}]+')) AS estimate, sha256(text) AS hash,
+ len(regexp_extract_all(text, '[^{_BLANK}]+')) >= 12 AND regexp_matches(rtrim(text, ' '), '[.!?](\r\n|[\n\r])?$') AS prose FROM documents""")
+def text_measures(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(text).alias("estimate"), T.content_hash(text).alias("hash"), T.looks_like_prose(text).alias("prose"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey, p_name || chr(10) || CASE p_size % 3 WHEN 0 THEN '| --- | :--: |' WHEN 1 THEN '| - x |' ELSE '| |' END || chr(10) || p_type AS cells FROM part)
+ SELECT p_partkey, array_to_string(list_filter(string_split(cells, chr(10)), lambda r: NOT (regexp_full_match(r, '[\s|:-]*') AND contains(r, '-'))), chr(10)) AS body FROM c""")
+def separator_rows(spark, sf):
+    middle = F.element_at(F.array(*map(F.lit, ("| --- | :--: |", "| - x |", "| |"))), F.col("p_size") % 3 + 1)
+    return table(spark, sf, "part").select("p_partkey", T.strip_separator_rows(F.concat_ws("\n", "p_name", middle, "p_type")).alias("body"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || ' → ' || p_brand || ' → ' || p_type END AS header FROM part")
+def context_headers(spark, sf):
+    path = F.when(F.col("p_size") % 3 != 0, F.array("p_brand", "p_type"))
+    return table(spark, sf, "part").select("p_partkey", T.context_header(F.col("p_name"), path).alias("header"))
+
+
+#: What a document says behind its own text about its licence.
+STATED = (
+    "Creative Commons Attribution 4.0", "CC BY-NC-ND", "cc by-sa", "Creative Commons, non-commercial, share-alike", "creative commons NoDerivatives", "Attribution only", "CC-BY noncommercial", "nothing",
+)
+_STATED = "[" + ", ".join(f"'{s}'" for s in STATED) + "]"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, lower(text || ' ' || {_STATED}[doc_id % 8 + 1]) AS low FROM documents),
+ f AS (SELECT doc_id, regexp_matches(low, 'creative commons|\bcc[ -]by') AS cc, regexp_matches(low, 'non-?commercial|\bnc\b') AS nc, regexp_matches(low, 'no-?deriv|\bnd\b') AS nd,
+  regexp_matches(low, 'share-?alike|\bsa\b') AS sa, regexp_matches(low, 'attribution|\bby\b|cc[ -]by') AS att FROM s)
+ SELECT doc_id, CASE WHEN NOT cc THEN NULL WHEN nc THEN 'cc-by-nc' || CASE WHEN nd THEN '-nd' WHEN sa THEN '-sa' ELSE '' END WHEN nd THEN 'cc-by-nd' WHEN sa THEN 'cc-by-sa' WHEN att THEN 'cc-by' END AS licence FROM f""")
+def stated_licences(spark, sf):
+    stated = F.element_at(F.array(*map(F.lit, STATED)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", T.statement_licence(F.concat_ws(" ", "text", stated)).alias("licence"))
+
+
+@query(r"SELECT p_partkey, regexp_full_match('10.' || p_partkey * 37 || CASE WHEN p_size % 5 = 0 THEN '/' ELSE '/' || p_brand END || CASE WHEN p_size % 7 = 0 THEN ' x' ELSE '' END, '10\.\d{4,9}/\S+') AS ok FROM part")
+def doi_form(spark, sf):
+    size = F.col("p_size")
+    tail = F.concat(F.when(size % 5 == 0, "/").otherwise(F.concat(F.lit("/"), "p_brand")), F.when(size % 7 == 0, " x").otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", T.is_doi(F.concat(F.lit("10."), (F.col("p_partkey") * 37).cast("string"), tail)).alias("ok"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '[decline]' || chr(10) WHEN 1 THEN '[decline] ' ELSE '' END || text AS a FROM conversations)
+ SELECT conv_id, turn, trim(split_part(a, chr(10), 1)) = '[decline]' AS declined,
+ CASE WHEN trim(split_part(a, chr(10), 1)) = '[decline]' THEN CASE WHEN contains(a, chr(10)) THEN trim(substr(a, strpos(a, chr(10)) + 1)) ELSE '' END ELSE a END AS text FROM d""")
+def decline_markers(spark, sf):
+    k = F.col("conv_id") % 3
+    answer = F.concat(F.when(k == 0, "[decline]\n").when(k == 1, "[decline] ").otherwise(""), "text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.decline(answer, "[decline]").alias("d")).select("conv_id", "turn", "d.*")
+
+
+@query(f"""SELECT c_custkey, sha256(from_hex('{bytes(b ^ 0x5C for b in b'salt'.ljust(64, bytes(1))).hex()}') || from_hex(sha256(from_hex('{bytes(b ^ 0x36 for b in b'salt'.ljust(64, bytes(1))).hex()}') || encode(c_name)))) AS address FROM customer""")
+def hashed_addresses(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.lower(T.hmac_sha256(F.col("c_name"), b"salt")).alias("address"))
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS day, 'As of ' || strftime(CAST(o_orderdate AS DATE), '%-d %B %Y') || ', there were ' || format('{:,}', CAST(sum(floor(o_totalprice)) AS BIGINT)) || ' orders' AS fact FROM orders GROUP BY 1""")
+def fact_sentences(spark, sf):
+    days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.floor("o_totalprice")).alias("n"))
+    return days.select("day", T.fact_sentence(F.col("day"), F.col("n"), F.lit("orders")).alias("fact"))
+
+
+@query("""SELECT n_regionkey, 'Not here.' || chr(10) || 'Ask about:' || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS text FROM nation GROUP BY 1""")
+def refusal_texts(spark, sf):
+    topics = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("topics"))
+    return topics.select("n_regionkey", T.refusal_text(["Not here.", "Ask about:"], F.col("topics")).alias("text"))
+
+
+@query("""SELECT p_partkey, coalesce(array_to_string([CASE WHEN p_size % 3 = 0 THEN 'model' END, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'version' END], ','), '') AS fields FROM part""")
+def stale_fields(spark, sf):
+    size, name = F.col("p_size"), F.col("p_name")
+    published = F.create_map(F.lit("model"), name, F.lit("version"), F.when(size % 5 != 0, F.col("p_brand")))
+    current = F.create_map(F.lit("model"), F.when(size % 3 == 0, "other").otherwise(name), F.lit("version"), F.when(size % 7 == 0, "other").otherwise(F.col("p_brand")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(T.differing_fields(published, current, ["model", "version"]), ",").alias("fields"))
+
+
+@query(r"SELECT page_id, regexp_matches(lower(ltrim(substr(CASE WHEN page_id % 3 = 0 THEN 'year,value' ELSE '  ' END || coalesce(html, ''), 1, 512), ' ')), '^(<!doctype html|<html|<head|<body)') AS is_html FROM pages")
+def html_as_data(spark, sf):
+    content = F.concat(F.when(F.col("page_id") % 3 == 0, "year,value").otherwise("  "), F.coalesce("html", F.lit("")))
+    return table(spark, sf, "pages").select("page_id", T.looks_like_html(content).alias("is_html"))
+
+
+@query("""SELECT conv_id, turn, role AS event, replace(text, chr(10), ' ') || chr(10) || turn AS data FROM conversations UNION ALL SELECT conv_id, turn, 'done', '' FROM conversations""")
+def stream_frames(spark, sf):
+    sent = F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\ndata: "), F.col("turn").cast("string"), F.lit("\n\nevent: done\ndata: \n\n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(event_frames(sent)).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@query("""SELECT x, lower, upper FROM (SELECT CAST(p_size AS BIGINT) AS x, min(p_retailprice) FILTER (WHERE p_size % 4 <> 0) AS lower, max(p_retailprice) AS upper FROM part GROUP BY 1) WHERE x < 40 AND lower IS NOT NULL""")
+def uncertainty_band(spark, sf):
+    sizes = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("x")).agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("upper"))
+    return S.band(sizes.withColumn("lower", F.when(F.col("x") % 4 != 0, F.col("low"))), 40)
