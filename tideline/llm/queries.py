@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, cube_mix, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
+from . import containment, cube_mix, filter_audit, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.op9_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_superminhash": op8_superminhash,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)
@@ -94,5 +99,21 @@ v AS (SELECT *, list_filter([CASE WHEN n_words < 20 THEN 'too_few_words' END, CA
   CASE WHEN n_words >= 20 AND n_bang / n > 0.3 THEN 'exclamations' END, CASE WHEN n_words >= 20 AND n_cut / nl > 0.3 THEN 'long_lines_cut' END], lambda z: z IS NOT NULL) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, len(failed) = 0 AS kept,
   CASE WHEN len(failed) > 0 THEN array_to_string(failed, ',') ELSE '' END AS failed_rules FROM v
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o(filter_order, used) AS (SELECT CAST('' AS VARCHAR), 0 UNION ALL SELECT filter_order || letter, used + bit FROM o, f WHERE used & bit = 0),
+s AS (SELECT filter_order, step, bit, CAST(coalesce((SELECT sum(g.bit) FROM f g WHERE position(g.letter IN filter_order) < step), 0) AS INTEGER) AS before
+  FROM (SELECT filter_order FROM o WHERE length(filter_order) = 5), (SELECT unnest([1, 2, 3, 4, 5]) AS step), f WHERE filter_order[step] = letter),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(least < t.doc_id, false) AS INTEGER) AS mask
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
 """,
 }
