@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, cube_mix, filter_audit, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, training_order, wrappers
+from . import containment, cube_mix, filter_audit, language_id, pseudonyms, quality_model, quality_rules, suffix_tree, superminhash, toxicity, training_order, whitening, wrappers
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.op9_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op11_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op12_whitening(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +75,8 @@ QUERIES: dict[str, Query] = {
     "op8_superminhash": op8_superminhash,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
