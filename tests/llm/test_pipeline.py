@@ -21,7 +21,7 @@ STAGES = dict(pipeline.STAGES)
 def rows():
     rng = random.Random(9)
     item = edge.prose(rng, 40)
-    out = edge.rows() + [(1, edge.rows()[0][1], "en", "a", 1), (700, f"{edge.prose(rng, 80)} {item} {edge.prose(rng, 80)}", "en", "b", 2), (None, edge.prose(rng, 70), None, None, None), (None, edge.prose(rng, 70), "en", "a", 3)]
+    out = edge.rows() + [(1, edge.rows()[0][1], "en", "a", 1), (700, f"{edge.prose(rng, 80)} {item} {edge.prose(rng, 80)}", "en", "b", 2), (None, edge.prose(rng, 70), None, None, None), (None, f"{edge.prose(rng, 90)} {item} {edge.prose(rng, 30)}", "en", "a", 4), (702, edge.prose(rng, 75), "en", "a", 5), (702, f"{edge.prose(rng, 85)} {item}", "en", "a", 5), (None, edge.prose(rng, 70), "en", "a", 3)]
     return out, item
 
 

@@ -11,7 +11,8 @@ shuffled.
 
 Defined results: words are runs of letters and digits in lower case. Null, empty and wordless texts or items match
 nothing. An item of fewer than `width` words is one shingle of all its words, found where they stand in a row.
-Items of equal text are reported each; rows that repeat a doc_id count as one document with the highest containment.
+Items of equal text are reported each. In `contained_items` rows that repeat a doc_id count as one document with the highest containment, and
+rows without one are left out; `decontaminate` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -69,8 +70,12 @@ def minima(items: DataFrame, percent: int) -> DataFrame:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_found, containment: items of which `percent` of the shingles are in the document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    """doc_id, item_id, n_shingles (of the item), n_found, containment: items of which `percent` of the shingles are in the document. Rows without an id are left out."""
+    return _search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"), items, width, percent)
+
+
+def _search(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
+    """`contained_items` for a doc_id of any type that is never null."""
     index = hold(item_table(items, width), "items")
     widths = [r[0] for r in index.select("width").distinct().collect()]  # `width` values at most
     probes = sized(hold(minima(index, percent), "minima"))
@@ -90,6 +95,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with its columns, that contain no item."""
-    bad = hold(contained_items(docs, items, width, percent).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(sized(bad), F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of `docs`, with its columns, that contain no item. Each row is judged by its own text (told apart by SHA-256), whatever its id: null and repeated ids stay or go by row."""
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    bad = hold(_search(docs.select(key.alias("doc_id"), "text"), items, width, percent).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
+    return docs.join(sized(bad), key == F.col("__bad"), "left_anti")
