@@ -345,6 +345,23 @@ def test_training_order_round_trip(spark, docs, none, tmp_path):
     assert training_order.sequences(none).count() == 0
 
 
+def test_colliding_hashes_keep_all_tokens(spark):
+    """Starts of documents of which many share a hash, in several tasks: one after another, without gap or overlap."""
+    rng = np.random.default_rng(6)
+    rows = [(int(part), int(h) << 59, int(n)) for part, h, n in zip(rng.integers(0, 4, 300), rng.integers(-6, 6, 300), rng.integers(1, 6, 300), strict=True)]
+    starts = {(r.h, r.n, r.part): r.start for r in training_order._starts(spark.createDataFrame(rows, "part long, h long, n long")).collect()}
+    spans = sorted((starts[h, n, part], starts[h, n, part] + n * k) for (part, h, n), k in Counter(rows).items())
+    assert spans[0][0] == 0 and spans[-1][1] == sum(n for _, _, n in rows) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_contamination_is_judged_by_row(spark):
+    rng = __import__("random").Random(8)
+    item, clean = edge.prose(rng, 40), [edge.prose(rng, 60) for _ in range(3)]
+    rows = [(None, f"{clean[0]} {item}"), (1, f"{item} {clean[1]}"), (2, clean[1]), (2, f"{clean[2]} {item}"), (3, clean[2]), (None, clean[0]), (4, None), (3, clean[2])]
+    out = containment.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert Counter(map(tuple, out)) == Counter([rows[2], rows[4], rows[5], rows[6], rows[7]])
+
+
 def test_tree_over_buckets_matches_plain_python(docs):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     rows = [(i, t or "") for i, t, *_ in edge.rows()]

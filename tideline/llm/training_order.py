@@ -56,16 +56,17 @@ def _encoder(ranks: bytes):
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], ranks: bytes, end: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    """part (the task), h, nth (row of that hash in the task), doc_id, n, tokens of each document."""
+    """part (the task), h, nth (row of that hash and length in the task), doc_id, n, tokens of each document."""
     encode, part = _encoder(ranks).encode_ordinary, TaskContext.get().partitionId()
-    seen: dict[int, int] = {}
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         rows: list[bytes] = []
         nth = []
         for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
-            seen[h] = seen.get(h, -1) + 1
-            nth.append(seen[h])
-            rows.append(np.array([*encode(text.as_py() or ""), end], dtype).tobytes())
+            ids = np.array([*encode(text.as_py() or ""), end], dtype)
+            seen[h, len(ids)] = seen.get((h, len(ids)), -1) + 1
+            nth.append(seen[h, len(ids)])
+            rows.append(ids.tobytes())
         size = np.dtype(dtype).itemsize
         yield pa.RecordBatch.from_arrays(
             [pa.array([part] * len(rows), pa.int64()), batch.column("h"), pa.array(nth, pa.int64()), batch.column("doc_id"), pa.array([len(r) // size for r in rows], pa.int64()), pa.array(rows, pa.binary())],
@@ -143,15 +144,18 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 8) -> np.ndarray:
 
 
 def _starts(tokens: DataFrame) -> DataFrame:
-    """h, part, at: where the documents of a hash and task start in the stream; those of one hash follow each other by task."""
-    parts = tokens.groupBy("h", "part").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hashes = hold(parts.groupBy("h").agg((F.sum("rows") * F.max("n")).alias("size"), F.sum("rows").alias("rows")).withColumn("range", F.shiftright("h", 64 - RANGES)), "hashes")
+    """h, n, part, start: where the documents of a hash, length and task start in the stream; those of one hash and length follow each other by task.
+
+    The length is part of the order, so texts whose hashes collide still get places of their own.
+    """
+    parts = tokens.groupBy("h", "n", "part").agg(F.count(F.lit(1)).alias("rows"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("h", "n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    hashes = hold(parts.groupBy("h", "n").agg((F.sum("rows") * F.col("n")).alias("size")).withColumn("range", F.shiftright("h", 64 - RANGES)), "hashes")
     run = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = hashes.groupBy("range").agg(F.sum("size").alias("size")).select("range", run(Window.orderBy("range")).alias("first"))  # 2 ** RANGES rows at most
-    inside = hashes.withColumn("in_range", run(Window.partitionBy("range").orderBy("h"))).join(F.broadcast(ranges), "range")
-    first = inside.select(F.col("h").alias("of"), (F.col("first") + F.col("in_range")).alias("start"))
-    return parts.join(first, F.col("h") == F.col("of")).select("h", "part", (F.col("start") + F.col("before") * F.col("n")).alias("start"))
+    inside = hashes.withColumn("in_range", run(Window.partitionBy("range").orderBy("h", "n"))).join(F.broadcast(ranges), "range")
+    first = inside.select(F.col("h").alias("of"), F.col("n").alias("long"), (F.col("first") + F.col("in_range")).alias("start"))
+    return parts.join(first, (F.col("h") == F.col("of")) & (F.col("n") == F.col("long"))).select("h", "n", "part", (F.col("start") + F.col("before") * F.col("n")).alias("start"))
 
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard: int = SHARD, key: int = 7, end: int = 50256, shards: int = SHARDS) -> DataFrame:
@@ -166,8 +170,8 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE,
     tokens = hold(rows.mapInArrow(lambda it: _tokenise(it, ranks, end, dtype), "part long, h long, nth long, doc_id long, n long, tokens binary"), "tokens")
     all_ = tokens.agg(F.sum("n")).first()[0] or 0
     total = -(-all_ // length)
-    starts = sized(hold(_starts(tokens.select("part", "h", "n")), "starts")).withColumnsRenamed({"h": "of", "part": "task"})
-    placed = tokens.join(starts, (F.col("h") == F.col("of")) & (F.col("part") == F.col("task"))).select("doc_id", "n", "tokens", (F.col("start") + F.col("nth") * F.col("n")).alias("at"))
+    starts = sized(hold(_starts(tokens.select("part", "h", "n")), "starts")).withColumnsRenamed({"h": "of", "n": "long", "part": "task"})
+    placed = tokens.join(starts, (F.col("h") == F.col("of")) & (F.col("n") == F.col("long")) & (F.col("part") == F.col("task"))).select("doc_id", "n", "tokens", (F.col("start") + F.col("nth") * F.col("n")).alias("at"))
     pieces = placed.mapInArrow(lambda it: _cut(it, length, total, key, dtype), "slot long, at long, doc_id long, tokens binary")
     # Slots are dense, so the bounds of the ranges are known and need no sampling.
     parts = max(-(-total // (shard * shards)), 1)
