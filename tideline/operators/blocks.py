@@ -110,28 +110,31 @@ def read_page(page: str | None) -> tuple[str | None, list[dict]]:
     return title, reader.blocks
 
 
-def reason(container: str | None) -> str | None:
-    return next((r for p, r in REASONS if container and re.search(p, container)), None)
-
-
-def html_blocks(pages: DataFrame, keep_boilerplate: bool = False) -> DataFrame:
-    """page_id, title, blocks for each page (page_id, html); blocks in named furniture go unless they are kept."""
+def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """page_id, title, blocks for each page (`key`, html): all blocks of content, in order; boilerplate is judged afterwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, titles, lists = [], [], []
             for row in batch.to_pylist():
                 title, blocks = read_page(row["html"])
-                ids.append(row["page_id"])
+                ids.append(row[key])
                 titles.append(title)
-                lists.append([b for b in blocks if keep_boilerplate or not reason(b["container"])])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(titles, pa.string()), pa.array(lists, pa.list_(_BLOCK))], names=["page_id", "title", "blocks"])
+                lists.append(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(titles, pa.string()), pa.array(lists, pa.list_(_BLOCK))], names=[key, "title", "blocks"])
+
+    rows = pages.select(F.col(key).cast("long").alias(key) if key == "page_id" else F.col(key), "html")
+    return rows.mapInArrow(run, BLOCK_DDL if key == "page_id" else BLOCK_DDL.replace("page_id long", f"{key} {dict(rows.dtypes)[key]}"))
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, BLOCK_DDL)
+def exploded(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    return blocks.select(key, "title", F.posexplode("blocks").alias("pos", "b")).select(key, "title", "pos", "b.*")
 
 
-def exploded(blocks: DataFrame) -> DataFrame:
-    return blocks.select("page_id", "title", F.posexplode("blocks").alias("pos", "b")).select("page_id", "title", "pos", "b.*")
+def collected(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """`exploded` undone: title and blocks of each page, in order."""
+    block = F.struct("pos", F.struct("type", "text", "level", "caption", "container").alias("b"))
+    return rows.groupBy(key).agg(F.first("title", True).alias("title"), F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]).alias("blocks"))
 
 
 def mark_furniture(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -166,17 +169,52 @@ def split_references(rows: DataFrame) -> DataFrame:
 
 
 def boilerplate_reason(container: Column) -> Column:
+    """What the name of a block's container says it is, or null."""
     out = F.when(container.isNull(), F.lit(None).cast("string"))
     for pattern, name in REASONS:
         out = out.when(container.rlike(pattern), name)
     return out
 
 
-def boilerplate_audit(rows: DataFrame) -> DataFrame:
-    """For each page: how many blocks go, and why, in order."""
-    named = rows.withColumn("reason", boilerplate_reason(F.col("container"))).filter("reason is not null")
+# Headings that are nothing but the label of a rail of links.
+RELATED_LABEL = r"(?i)^(?:related(?:\s+(?:content|stories|articles|topics|links|resources|reading))?|more\s+(?:from|on|stories)|see\s+also|you\s+may\s+also\s+like|explore\s+more)\s*$"
+SOCIAL_LABEL, LABEL_WORDS = r"(?i)^(?:follow|connect|stay connected|find us)\b", 5
+
+
+def rail_label(text: Column) -> Column:
+    """The reason that a heading gives to the list below it, where the heading is a label as a whole; else null."""
+    return F.when(text.rlike(RELATED_LABEL), "related").when(text.rlike(SOCIAL_LABEL) & (F.regexp_count(text, F.lit(r"\S+")) <= LABEL_WORDS), "social")
+
+
+def mark_boilerplate(rows: DataFrame, key: str = "page_id", backend: str | None = None) -> DataFrame:
+    """Adds `reason` to blocks (key, pos, type, text, container): why a block is boilerplate, or null where it stays.
+
+    A heading opens a rail if it is a label, and closes any; so does a block that is no list item or whose container gives
+    a reason of its own. List items are judged by their container, or else by the rail that is open. So the state before a block is what
+    the last block that sets it has set, a window over the page's blocks. In doubt a block stays. Where `backend` names a column, only rows
+    of the backend 'html' are judged.
+    """
+    heading, item = F.col("type").isin("title", "heading"), F.col("type") == "list_item"
+    own = boilerplate_reason(F.col("container"))
+    opened = F.when(heading, rail_label(F.col("text")))
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sets = F.coalesce(heading | ~item | own.isNotNull(), F.lit(True))
+    rail = F.last(F.when(sets, F.struct(opened.alias("reason"))), ignorenulls=True).over(before)["reason"]
+    reason = F.when(heading, opened).otherwise(F.coalesce(own, F.when(item, rail)))
+    return rows.withColumn("reason", reason if backend is None else F.when(F.col(backend) == "html", reason))
+
+
+def without_boilerplate(rows: DataFrame, key: str = "page_id", backend: str | None = None) -> DataFrame:
+    """The blocks that stay, as they were."""
+    return mark_boilerplate(rows, key, backend).filter("reason is null").drop("reason")
+
+
+def boilerplate_audit(marked: DataFrame, key: str = "page_id") -> DataFrame:
+    """Of marked blocks, for each page: how many go, how many of each reason, and each as 'reason: text' in order."""
+    named = marked.filter("reason is not null")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason", "text"))), lambda x: F.concat_ws(": ", x["reason"], x["text"]))
-    return named.groupBy("page_id").agg(F.count(F.lit(1)).alias("dropped"), lines.alias("lines"))
+    reasons = sorted({r for _, r in REASONS})
+    return named.groupBy(key).agg(F.count(F.lit(1)).alias("dropped"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in reasons), lines.alias("lines"))
 
 
 # Words that mark a paragraph about rights, headings above such ones, and words of a page's own statement.

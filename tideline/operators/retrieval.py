@@ -1,61 +1,17 @@
-"""Dense and sparse scoring, fusion, rerank windows and cuts, cache matches, and the difference of index snapshots."""
+"""Fusion, rerank windows and cuts, the difference of index snapshots, interval and as-of joins; scores are in `scoring`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scoring import ranked
+
 #: Constant of reciprocal rank fusion. The store that fuses leaves it open, so it is a parameter everywhere.
 RRF = 60
 CUT, RETRIEVE = 12, 40
-#: Rows of a query table that one pass scores against all items.
-QUERY_BOUND = 50_000
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def dense_topk(items: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
-    """query, item, score, rank: the `k` items of the highest cosine for each query.
-
-    `items` (item, vector) stays where it lies; `queries` (query, vector) is dealt by a hash of its id into blocks of
-    about `QUERY_BOUND` rows at most, each broadcast. What is `allowed` is filtered before ranking. Ties go to the lesser item. Ranking keeps `k` rows of each query in
-    each task before the shuffle.
-    """
-    stored = items if allowed is None else items.filter(allowed)
-    stored = stored.select("item", F.col("vector").alias("__v"), norm(F.col("vector")).alias("__n"))
-    asked = queries.select("query", F.col("vector").alias("__q"), norm(F.col("vector")).alias("__m"))
-    blocks = -(-asked.count() // QUERY_BOUND)
-    block = F.pmod(F.xxhash64("query"), F.lit(max(blocks, 1)))
-    score = dot(F.col("__v"), F.col("__q")) / (F.col("__n") * F.col("__m"))
-
-    def one(some: DataFrame) -> DataFrame:
-        scored = stored.join(F.broadcast(some), F.col("__n") > 0).filter("__m > 0").select("query", "item", F.round(score, 6).alias("score"))
-        return ranked(scored, k)
-
-    return one(asked) if blocks <= 1 else reduce(DataFrame.unionByName, [one(asked.filter(block == b)) for b in range(blocks)])
-
-
-def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, item, score, rank by the sum of weight products over shared terms; both tables have (item or query, term, weight)."""
-    joined = items.join(queries.withColumnRenamed("weight", "__w"), "term")
-    scored = joined.groupBy("query", "item").agg(F.round(F.sum(F.col("weight") * F.col("__w")), 6).alias("score"))
-    return ranked(scored, k)
-
-
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "item")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def fuse(channels: Sequence[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of ranked channels."""
     each = channels[0].select("query", "item", "rank")
@@ -83,18 +39,6 @@ def window_bounds(tokens: Column, budget: int) -> Column:
     return F.when(tokens <= budget, whole).otherwise(F.concat(head, tail))
 
 
-def cache_match(entries: DataFrame, questions: DataFrame, threshold: float = 0.99) -> DataFrame:
-    """question, entry, cosine: the best entry of equal version and veto profile, from the threshold on.
-
-    The first in recency order wins among equals. Only pairs of equal version and profile are scored.
-    """
-    pair = questions.join(entries, ["version", "profile"])
-    cosine = dot(F.col("vector"), F.col("entry_vector")) / (norm(F.col("vector")) * norm(F.col("entry_vector")))
-    hits = pair.withColumn("cosine", F.round(cosine, 6)).filter(F.col("cosine") >= threshold)
-    best = hits.groupBy("question").agg(F.max(F.struct("cosine", (-F.col("recency")).alias("r"), "entry")).alias("x"))
-    return best.select("question", "x.entry", "x.cosine")
-
-
 def snapshot_diff(stored: DataFrame, incoming: DataFrame, key: str = "id", content: str = "hash", payload: str = "payload") -> DataFrame:
     """key and action: insert, embed (content changed), refresh (payload changed only), keep, delete."""
     a = stored.select(key, F.col(content).alias("__h0"), F.col(payload).alias("__p0"), F.lit(True).alias("__old"))
@@ -109,30 +53,13 @@ def snapshot_diff(stored: DataFrame, incoming: DataFrame, key: str = "id", conte
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
-def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The keys that two sets which should be disjoint have in common, each once."""
+    return a.select(key).join(b.select(key), key, "left_semi").distinct()
 
-def nearest_by_tokens(catalogue: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:
-    """request, id, overlap, place: the entries that share most word tokens with each request, ties by id, never none.
 
-    `catalogue` is a stated table of entries (id, text), dealt into blocks of about `QUERY_BOUND` rows, each broadcast; each block gives its `limit` best.
-    """
-    token = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    entries = catalogue.select("id", token(F.col("text")).alias("__e"))
-    asked = requests.select("request", token(F.col("text")).alias("__r"))
-    blocks = max(-(-entries.count() // QUERY_BOUND), 1)
-    w = Window.partitionBy("request").orderBy(F.col("overlap").desc(), "id")
-    best = lambda scored: scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
-
-    def one(some: DataFrame) -> DataFrame:
-        pairs = asked.join(F.broadcast(some), F.col("__r").isNotNull())
-        return best(pairs.select("request", "id", F.size(F.array_intersect("__r", "__e")).alias("overlap")))
-
-    if blocks == 1:
-        return one(entries)
-    parts = [one(entries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)) for b in range(blocks)]
-    return best(reduce(DataFrame.unionByName, parts).drop("place"))
+def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def overlapping_spans(sentences: DataFrame, citations: DataFrame, width: int = 512) -> DataFrame:

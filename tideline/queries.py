@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import nested as N
 from .functions import text as T
 from .functions.canonical import request_hash, spec_hash
 from .operators import answers as A
@@ -15,11 +16,16 @@ from .operators import evaluation as E
 from .operators import operations as O
 from .operators import records as D
 from .operators import retrieval as R
+from .operators import scoring as K
 from .operators import series as S
 from .operators import structure as X
-from .operators.blocks import exploded, html_blocks, mark_furniture, section_paths, split_references
+from .operators import validation as V
+from .operators.blocks import boilerplate_audit, exploded, html_blocks, mark_boilerplate, mark_furniture, section_paths, split_references, without_boilerplate
 from .operators.chunking import chunk_documents
-from .sources.journal import event_frames
+from .plans import ingest as G
+from .sources import appends
+from .sources.journal import append_log, event_frames, read_appended_log, read_log, remaining
+from .sources.scratch import scratch
 from .sources.tables import daily_events, day_number, monthly, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,7 +153,7 @@ SPARSE_BASE = """tok AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) A
 
 def dense(spark, sf, k=10):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    return R.dense_topk(vectors, vectors.filter("item % 20 = 0").withColumnRenamed("item", "query"), k)
+    return K.dense_topk(vectors, vectors.filter("item % 20 = 0").withColumnRenamed("item", "query"), k)
 
 
 def term_weights(spark, sf):
@@ -155,6 +161,11 @@ def term_weights(spark, sf):
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def sparse(spark, sf, k=10):
+    weights = term_weights(spark, sf)
+    return K.sparse_topk(weights.withColumnRenamed("doc_id", "item"), weights.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), k)
+
+
 @query(DENSE)
 def cosine_topk(spark, sf):
     return dense(spark, sf)
@@ -163,19 +174,15 @@ def cosine_topk(spark, sf):
 @query(f"""WITH {SPARSE_BASE}, s AS (SELECT q.doc_id AS query, i.doc_id AS item, round(sum(q.weight * i.weight), 6) AS score FROM tf q JOIN tf i ON q.term = i.term
  WHERE q.doc_id % 20 = 0 GROUP BY 1, 2) SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 10""")
 def sparse_topk(spark, sf):
-    weights = term_weights(spark, sf)
-    return R.sparse_topk(weights.withColumnRenamed("doc_id", "item"), weights.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), 10)
+    return sparse(spark, sf)
 
 
-@query(f"""WITH d AS ({DENSE}), b AS (SELECT query, item, rank FROM (SELECT q.vec_id AS query, i.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id
- ORDER BY i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 20 = 0) WHERE rank <= 10),
+@query(f"""WITH {SPARSE_BASE}, d AS ({DENSE}), s AS (SELECT q.doc_id AS query, i.doc_id AS item, round(sum(q.weight * i.weight), 6) AS score FROM tf q JOIN tf i ON q.term = i.term
+ WHERE q.doc_id % 20 = 0 GROUP BY 1, 2), b AS (SELECT query, item, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 10),
  f AS (SELECT query, item, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM (SELECT query, item, rank FROM d UNION ALL SELECT query, item, rank FROM b) GROUP BY 1, 2)
  SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
-    asked = rows.filter("item % 20 = 0").select(F.col("item").alias("query"), "label")
-    near = R.ranked(rows.join(asked, "label").select("query", "item", F.lit(1.0).alias("score")), 10)
-    return R.fuse([dense(spark, sf), near], 10)
+    return R.fuse([dense(spark, sf), sparse(spark, sf)], 10)
 
 
 @query(f"""WITH d AS ({DENSE}) SELECT query, item, score2 AS score, rank, place, passes FROM (SELECT query, item, rank, round(score, 1) AS score2,
@@ -223,7 +230,7 @@ def semantic_cache_hit(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("version"), (F.col("label") % 3).alias("profile"))
     entries = rows.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry"), F.col("vec_id").alias("recency"), F.col("embedding").alias("entry_vector"), "version", "profile")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"), "version", "profile")
-    return R.cache_match(entries, asked, 0.2)
+    return K.cache_match(entries, asked, 0.2)
 
 
 DIFF = """a AS (SELECT doc_id AS id, sha256(text) AS hash, source AS payload FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash,
@@ -254,7 +261,7 @@ def nearest_token_overlap(spark, sf):
     label = F.concat_ws(" ", "p_brand", "p_type")
     entries = part.select(label.alias("id"), label.alias("text")).distinct()
     asked = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("request"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return R.nearest_by_tokens(entries, asked)
+    return K.nearest_by_tokens(entries, asked)
 
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------
@@ -448,12 +455,35 @@ def salt_rotation(spark, sf):
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def disjoint_split(spark, sf):
     docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
-    return docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+    return R.in_both(docs.join(labels.filter("quality = 1"), "doc_id", "left_semi"), labels.filter("toxic = 1"), "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def planned_not_completed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return remaining(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def appended_log(spark, sf):
+    """Events as five batches of log lines; every batch is tried twice, one writer dies before its commit, and the small batches are made one."""
+    rows, path = table(spark, sf, "events").select("event_id", "user_id", "event_type"), scratch(spark, "log")
+    schema = "event_id long, user_id long, event_type string"
+    for k in (0, 1, 2, 3, 4, 3, 1):
+        append_log(rows.filter(F.col("event_id") % 5 == k), path, f"part-{k}", {"ip"})
+    rows.filter("event_id % 7 = 0").write.json(f"{path}/data/attempt=dead")
+    appends.compact(spark, path, schema, "all", 4, "json")
+    return read_appended_log(spark, path, schema)
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id DESC) AS k FROM events) WHERE k > 1")
+def torn_logs(spark, sf):
+    """Events as log files, eight or fewer, whose last lines are cut in the middle; the whole lines are read."""
+    rows, path = table(spark, sf, "events").withColumn("file", F.col("user_id") % 8), scratch(spark, "torn")
+    last = rows.groupBy("file").agg(F.max("event_id").alias("event_id")).withColumn("cut", F.lit(True))
+    line = F.to_json(F.struct("event_id", "value"))
+    lines = rows.withColumn("l", line).join(F.broadcast(last), ["file", "event_id"], "left").select("file", "event_id", F.when(F.col("cut"), F.expr("left(l, length(l) div 2)")).otherwise(F.col("l")).alias("value"))
+    lines.repartition(8, "file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    return read_log(spark, path, "event_id long, value double")[0]
 
 
 SPANS = """s AS (SELECT l_orderkey AS answer, l_linenumber AS sentence, CAST(l_quantity * 10 AS BIGINT) AS a, CAST(l_quantity * 10 AS BIGINT) + 60 AS b FROM lineitem WHERE l_linenumber <= 3),
@@ -576,9 +606,13 @@ def cheapest_passing_arm(spark, sf):
     return E.cheapest_passing(arms.select(F.col("label").alias("arm"), (F.col("vec_id") % 400 != 0).alias("passed"), "cost"))
 
 
-@query("""SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source NOT IN ('src0', 'src1')""")
+@query(f"""SELECT query, item, score, rank FROM (SELECT q.vec_id AS query, i.vec_id AS item, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY round({COSINE}, 6) DESC, i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND i.label IN (0, 2, 3) AND i.label <> 3) WHERE rank <= 5""")
 def source_type_filter(spark, sf):
-    return table(spark, sf, "documents").filter(F.col("lang").isin("en", "de") & ~F.col("source").isin("src0", "src1")).select("doc_id")
+    """Types to take, less types to leave out, before anything is ranked."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), F.col("label").alias("kind"))
+    permitted = F.col("kind").isin(0, 2, 3) & ~F.col("kind").isin(3)
+    return K.dense_topk(rows, rows.filter("item % 20 = 0").withColumnRenamed("item", "query"), 5, permitted)
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
@@ -627,10 +661,56 @@ def bounded_excerpt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.bounded_excerpt(F.col("text"), context).alias("excerpt"))
 
 
-@query()
+#: The blocks of pages in SQL: furniture out, then cut at the tags that open a block; a block ends at the first tag that closes one.
+_NO_FURNITURE = "coalesce(html, '')"
+for _tag in ("script", "style", "nav", "header", "footer"):
+    _NO_FURNITURE = rf"regexp_replace({_NO_FURNITURE}, '(?is)<{_tag}\b.*?</{_tag}>', '', 'g')"
+BLOCKS = rf"""p AS (SELECT page_id, string_split(regexp_replace(regexp_replace({_NO_FURNITURE}, '(?i)<(p|li|h[1-6])\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(p|li|h[1-6])>', chr(3), 'g'), chr(1)) AS parts FROM pages),
+ u AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM p),
+ v AS (SELECT page_id, k, lower(split_part(part, chr(2), 1)) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(split_part(part, chr(2), 2), chr(3), 1), '<!--.*?-->|<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM u WHERE k > 1),
+ b AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' WHEN 'h1' THEN 'title' ELSE 'heading' END AS type, text,
+  CASE WHEN tag[1] = 'h' THEN CAST(tag[2] AS INTEGER) - 1 END AS level FROM v WHERE text <> '')"""
+
+
+@query(f"WITH {BLOCKS} SELECT page_id, pos, type, text, level, CAST(NULL AS VARCHAR) AS caption FROM b")
 def html_block_stream(spark, sf):
-    blocks = html_blocks(table(spark, sf, "pages"))
-    return blocks.select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.*")
+    return exploded(html_blocks(table(spark, sf, "pages"))).select("page_id", "pos", "type", "text", "level", "caption")
+
+
+#: Blocks of customers' pages: some orders are headings, of which some are labels, some stand in named containers.
+_DIGIT = "CAST(floor(o_totalprice) AS BIGINT) % 20"
+_RAIL_TYPE = f"CASE WHEN {_DIGIT} < 5 THEN 'heading' WHEN {_DIGIT} < 18 THEN 'list_item' ELSE 'text' END"
+_RAIL_TEXT = f"CASE WHEN {_DIGIT} = 0 THEN 'Related stories' WHEN {_DIGIT} = 1 THEN 'Follow us on all sites' WHEN {_DIGIT} = 2 THEN 'Follow the ' || o_orderpriority || ' of this long year' ELSE 'Related ' || o_orderpriority END"
+_RAIL_CONTAINER = "CASE WHEN o_orderkey % 11 = 0 THEN 'footer-menu' WHEN o_orderkey % 13 = 0 THEN 'cookie-bar related' WHEN o_orderkey % 17 = 0 THEN 'content' END"
+RAILS = rf"""r AS (SELECT o_custkey AS page_id, o_orderkey AS pos, {_RAIL_TYPE} AS type, {_RAIL_TEXT} AS text, {_RAIL_CONTAINER} AS container FROM orders),
+ o AS (SELECT *, CASE WHEN container LIKE '%cookie%' THEN 'cookie' WHEN container LIKE '%menu%' THEN 'menu' END AS own, CASE WHEN type = 'heading' AND text = 'Related stories' THEN 'related' WHEN type = 'heading' AND text = 'Follow us on all sites' THEN 'social' END AS opened FROM r),
+ g AS (SELECT *, count(*) FILTER (type <> 'list_item' OR own IS NOT NULL) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM o),
+ m AS (SELECT page_id, pos, type, text, container, CASE WHEN type = 'heading' THEN opened WHEN own IS NOT NULL THEN own WHEN type = 'list_item' THEN max(opened) FILTER (type <> 'list_item' OR own IS NOT NULL) OVER (PARTITION BY page_id, run) END AS reason FROM g)"""
+
+
+def rail_blocks(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("pos"), F.expr(_RAIL_TYPE).alias("type"), F.expr(_RAIL_TEXT).alias("text"), F.expr(_RAIL_CONTAINER).alias("container"))
+
+
+@query(f"WITH {RAILS} SELECT page_id, pos, type, text, container FROM m WHERE reason IS NULL")
+def boilerplate_filter(spark, sf):
+    return without_boilerplate(rail_blocks(spark, sf))
+
+
+@query(f"""WITH {RAILS} SELECT page_id, count(*) AS dropped, count(*) FILTER (reason = 'cookie') AS n_cookie, count(*) FILTER (reason = 'menu') AS n_menu, count(*) FILTER (reason = 'related') AS n_related,
+ count(*) FILTER (reason = 'social') AS n_social, string_agg(reason || ': ' || text, chr(10) ORDER BY pos) AS lines FROM m WHERE reason IS NOT NULL GROUP BY 1""")
+def boilerplate_drops(spark, sf):
+    return boilerplate_audit(mark_boilerplate(rail_blocks(spark, sf))).select("page_id", "dropped", "n_cookie", "n_menu", "n_related", "n_social", F.array_join("lines", "\n").alias("lines"))
+
+
+@query(f"""WITH {BLOCKS}, n AS (SELECT page_id, count(*) AS n_blocks FROM b GROUP BY 1)
+ SELECT p.page_id, CASE WHEN n_blocks > 1 THEN 'ingested' ELSE 'quarantined' END AS status, coalesce(n_blocks, 0) AS n_blocks, 0 AS n_dropped FROM pages p LEFT JOIN n ON p.page_id = n.page_id""")
+def ingest_documents(spark, sf):
+    """All pages through the staged ingest, begun twice: the second run finds everything done."""
+    out = scratch(spark, "ingest")
+    G.ingest(spark, f"{sf}/pages.parquet", out)
+    G.ingest(spark, f"{sf}/pages.parquet", out)
+    return G.documents(spark, out).select("page_id", "status", "n_blocks", F.col("n_dropped").cast("int").alias("n_dropped"))
 
 
 @query()
@@ -1052,3 +1132,76 @@ def stream_frames(spark, sf):
 def uncertainty_band(spark, sf):
     sizes = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("x")).agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("upper"))
     return S.band(sizes.withColumn("lower", F.when(F.col("x") % 4 != 0, F.col("low"))), 40)
+
+
+# ---- nested values, validation and marks ---------------------------------------------------------------------------
+
+
+_PART_JSON = "json_object('name', p_name, 'of', json_object('brand', p_brand, 'kinds', json_array(p_type, json_object('box', p_name || chr(34), 'size', p_size), json_array(json_array(p_brand), json_array()))), 'none', NULL)"
+
+
+@query(f"SELECT p_partkey, t.fullkey AS path, t.atom ->> '$' AS text FROM part, json_tree({_PART_JSON}) AS t WHERE t.type = 'VARCHAR'")
+def json_string_leaves(spark, sf):
+    kinds = F.concat(F.lit("["), F.to_json(F.array("p_type")), F.lit(","), F.to_json(F.struct(F.concat("p_name", F.lit('"')).alias("box"), F.col("p_size").alias("size"))), F.lit(",["), F.to_json(F.array("p_brand")), F.lit(",[]]]"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    text = F.concat(F.lit('{"name":'), quoted("p_name"), F.lit(',"of":{"brand":'), quoted("p_brand"), F.lit(',"kinds":'), F.regexp_replace(F.regexp_replace(kinds, r"^\[\[", "["), r"\],\{", ",{"), F.lit('},"none":null}'))
+    return N.json_strings(table(spark, sf, "part").select("p_partkey", text.alias("json")), "p_partkey", "json")
+
+
+def _leaf(x):
+    return f"CASE WHEN {x} IS NULL THEN sha256('n') ELSE sha256('v' || {x}) END"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber) AS arms, max(o_orderpriority) AS corpus, max(o_custkey) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+ SELECT o_orderkey, sha256('o' || 'arms:' || sha256('a' || array_to_string(list_sort(list_transform(arms, lambda x: {_leaf('x')})), '')) || 'corpus:' || {_leaf('corpus')} || 'k:' || {_leaf('k')}) AS fingerprint,
+ array_to_string(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'corpus' END, CASE WHEN o_orderkey % 4 = 0 THEN 'arms[]' END, CASE WHEN o_orderkey % 5 = 0 THEN 'k' END], lambda x: x IS NOT NULL), ',') AS changed FROM a""")
+def config_fingerprints(spark, sf):
+    """A configuration of each order, its arms in another order and some leaves changed."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    made = rows.groupBy("o_orderkey").agg(F.max("o_orderpriority").alias("corpus"), F.collect_list(F.col("l_suppkey").cast("string")).alias("arms"), F.max("o_custkey").alias("k"))
+    last = F.when(F.col("o_orderkey") % 4 == 0, F.lit("NONE")).otherwise(F.get("arms", F.size("arms") - 1))
+    other = F.struct(
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("corpus")).alias("corpus"), F.concat(F.array(last), F.reverse(F.slice("arms", F.lit(1), F.size("arms") - 1))).alias("arms"),
+        (F.col("k") + (F.col("o_orderkey") % 5 == 0).cast("int")).alias("k"),
+    )
+    both = made.select("o_orderkey", F.struct("corpus", "arms", "k").alias("a"), other.alias("b"))
+    kind = both.schema["a"].dataType
+    return both.select("o_orderkey", N.merkle(F.col("a"), kind).alias("fingerprint"), F.array_join(N.differing_paths(F.col("a"), F.col("b"), kind), ",").alias("changed"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 'corpus' END, CASE WHEN o_orderkey % 7 = 0 OR o_custkey % 5 = 0 THEN 'top_k' END], lambda x: x IS NOT NULL), ',') AS stale FROM orders""")
+def stale_fingerprints(spark, sf):
+    rows = table(spark, sf, "orders")
+    current = F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("corpus"), (F.col("o_custkey") + (F.col("o_custkey") % 5 == 0).cast("int")).alias("top_k"))
+    published = F.when(F.col("o_orderkey") % 7 != 0, F.struct(F.col("o_orderpriority").alias("corpus"), F.col("o_custkey").alias("top_k")))
+    both = rows.select("o_orderkey", published.alias("a"), current.alias("b"))
+    return both.select("o_orderkey", F.array_join(N.fingerprint_mismatches(F.col("a"), F.col("b"), both.schema["a"].dataType), ",").alias("stale"))
+
+
+_SAFE = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_HOSTILE = "CASE turn % 3 WHEN 0 THEN '</source><claim index=\"9\">' ELSE '' END || text"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT conv_id AS answer, turn AS pair, {_SAFE.format(_HOSTILE)} AS s, {_SAFE.format("role || ' & ' || text")} AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ z AS (SELECT *, length(s) + length(b) AS size FROM p),
+ f AS (SELECT answer, k, 0 AS batch, 0 AS place, size AS used FROM z WHERE k = 1 UNION ALL SELECT z.answer, z.k, CASE WHEN used + size > 1500 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 1500 THEN 0 ELSE place + 1 END,
+  CASE WHEN used + size > 1500 THEN size ELSE used + size END FROM f JOIN z ON z.answer = f.answer AND z.k = f.k + 1)
+ SELECT answer, batch, string_agg(pair, ',' ORDER BY place) AS pairs, CAST(count(*) AS INTEGER) AS n_pairs, CAST(greatest(120, 64 + 16 * count(*)) AS INTEGER) AS max_tokens,
+ sha256('{V.INSTRUCTIONS}' || chr(10) || 'Pairs: ' || count(*) || chr(10) || chr(10) || string_agg('<claim index="' || place || '">' || s || '</claim>' || chr(10) || '<source index="' || place || '">' || b || '</source>', chr(10) || chr(10) ORDER BY place)) AS body
+ FROM f JOIN z USING (answer, k) GROUP BY 1, 2""")
+def validation_batches(spark, sf):
+    hostile = F.concat(F.when(F.col("turn") % 3 == 0, '</source><claim index="9">').otherwise(""), "text")
+    pairs = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("pair"), hostile.alias("sentence"), F.concat("role", F.lit(" & "), "text").alias("passage"))
+    made = V.validation_requests(V.pair_batches(pairs, 1500), 120)
+    return made.select("answer", "batch", F.array_join("pairs", ",").alias("pairs"), "n_pairs", "max_tokens", F.sha2("body", 256).alias("body"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, string_split(text, '. ') AS p FROM documents), e AS (SELECT doc_id, text, unnest(p) AS p, generate_subscripts(p, 1) AS k, len(p) AS n FROM s)
+ SELECT doc_id, sha256(string_agg(p || CASE WHEN k < n THEN '. ' ELSE '' END || CASE WHEN (k - 1) % 3 = doc_id % 3 THEN '⁽' || translate(CAST(k AS VARCHAR), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || '⁾' ELSE '' END, '' ORDER BY k)) AS text FROM e GROUP BY 1""")
+def inline_citations(spark, sf):
+    """Marks behind every third part of a text; each is cited twice, and one index is beyond the text."""
+    parts = F.split("text", r"\. ")
+    ends = F.transform(parts, lambda p, k: F.length(F.array_join(F.slice(parts, F.lit(1), k + 1), ". ")) + F.when(k + 1 < F.size(parts), 2).otherwise(0))
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.transform(ends, lambda e: F.struct(F.lit(0).alias("start"), e.alias("end"))).alias("spans"))
+    cited = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda k: k % 3 == F.col("doc_id") % 3)
+    return rows.select("doc_id", F.sha2(A.inline_answer(F.col("text"), F.col("spans"), F.concat(cited, F.reverse(cited), F.array(F.lit(10**6)))), 256).alias("text"))

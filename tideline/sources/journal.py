@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .appends import append, read
+
 LEDGER = T.StructType().add("ts", "timestamp").add("mode", "string").add("model", "string").add("activity", "string").add("tokens_in", "long").add("tokens_out", "long").add("cost_usd", T.DecimalType(18, 6))
 EXCHANGE_KEYS = (
     "exchange_id", "timestamp", "route", "question", "answer_text", "retrieved_chunk_ids", "citations", "validation", "usage", "exclude_from_harvest", "cached_from", "feedback",
@@ -75,15 +77,34 @@ def write_atomically(path: str, data: bytes) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON-line logs, and the broken last lines of files (a write cut off). A broken line before the last is an error when it is read."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lines = whole.select("file", F.size("lines").alias("of"), F.posexplode("lines").alias("n", "line"))
+    """Rows of JSON-line logs, and the broken last lines of files (file, line): writes cut off. A broken line before a file's last is an error when rows are read.
+
+    Files are split like any text: a line's place in its file is the start of its block and its order in the task, so the last line of a file is a
+    maximum that each task takes of its own blocks. Lines of white space count as none.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), F.col("value").alias("line")).filter(F.col("line").rlike(r"\S"))
     parsed = F.from_json("line", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    read = lines.withColumn("r", parsed).withColumn("broken", F.col("r._broken").isNotNull())
-    stop = F.raise_error(F.concat(F.lit("broken line "), F.col("n").cast("string"), F.lit(" in "), F.col("file"))).cast("boolean")
-    checked = read.filter(F.when(F.col("broken") & (F.col("n") < F.col("of") - 1), stop).otherwise(~F.col("broken")))
-    torn = read.filter(F.col("broken") & (F.col("n") == F.col("of") - 1)).select("file", "line")
-    return checked.select("r.*").drop("_broken"), torn
+    marked = lines.withColumn("r", parsed).withColumn("broken", F.col("r._broken").isNotNull())
+    bad = F.col("broken")
+    tails = marked.groupBy("file").agg(F.max("at").alias("last"), F.max(F.when(bad, F.struct("at", "line"))).alias("cut"), F.count_if(bad).alias("broken")).filter("broken > 0")
+    tails = tails.withColumn("torn", F.col("cut.at") == F.col("last"))
+    stop = F.raise_error(F.concat(F.lit("a broken line before the last in "), F.col("file"))).cast("boolean")
+    nothing = tails.filter(F.when(F.col("broken") > F.col("torn").cast("int"), stop).otherwise(False)).select(F.lit(None).cast(marked.schema["r"].dataType).alias("r"))
+    rows = marked.filter(~bad).select("r").unionByName(nothing).select("r.*").drop("_broken")
+    return rows, tails.filter("torn").select("file", "cut.line")
+
+
+def append_log(records: DataFrame, path: str, batch: str, forbidden: set[str] = frozenset()) -> bool:
+    """Adds records to a log as lines of JSON, once for each name of a batch. A forbidden name at any depth refuses the whole batch before anything is written."""
+    if bad := forbidden_paths(records.schema, set(forbidden)):
+        raise ValueError(f"forbidden names: {bad}")
+    return append(records, path, batch, "json")
+
+
+def read_appended_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of all committed batches; a broken line is an error, as a committed file is whole."""
+    return read(spark, path, schema, form="json", mode="FAILFAST")
 
 
 def read_ledger_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
