@@ -13,6 +13,7 @@ from .functions.canonical import request_hash, spec_hash
 from .operators import answers as A
 from .operators import catalogue as C
 from .operators import evaluation as E
+from .operators import gates as W
 from .operators import operations as O
 from .operators import records as D
 from .operators import retrieval as R
@@ -22,10 +23,12 @@ from .operators import structure as X
 from .operators import validation as V
 from .operators.blocks import boilerplate_audit, exploded, html_blocks, mark_boilerplate, mark_furniture, section_paths, split_references, without_boilerplate
 from .operators.chunking import chunk_documents
+from .plans import artefacts as P
 from .plans import ingest as G
-from .sources import appends
+from .sources import appends, landing
 from .sources.journal import append_log, event_frames, read_appended_log, read_log, remaining
 from .sources.scratch import scratch
+from .sources.series_files import load_pack
 from .sources.tables import daily_events, day_number, monthly, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1205,3 +1208,194 @@ def inline_citations(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text", F.transform(ends, lambda e: F.struct(F.lit(0).alias("start"), e.alias("end"))).alias("spans"))
     cited = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda k: k % 3 == F.col("doc_id") % 3)
     return rows.select("doc_id", F.sha2(A.inline_answer(F.col("text"), F.col("spans"), F.concat(cited, F.reverse(cited), F.array(F.lit(10**6)))), 256).alias("text"))
+
+
+# ---- gates ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH c AS (SELECT q.vec_id AS query, i.vec_id AS item, round({COSINE}, 6) AS score FROM embeddings q JOIN embeddings i ON q.label = i.label AND i.vec_id % 3 = q.vec_id % 3 WHERE q.vec_id % 20 = 0 AND q.vec_id % 3 > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM c), g AS (SELECT query, max(score) AS top, bool_and(score >= 0.9) AS every, string_agg(item, ',' ORDER BY rank) AS items FROM r WHERE rank <= 4 GROUP BY 1)
+ SELECT q.vec_id AS query, CASE WHEN top >= 0.9 THEN 'passages' ELSE 'refusal' END AS outcome, coalesce(top, 0) AS top_score, coalesce(top >= 0.9 AND NOT every, false) AS partial_support, CASE WHEN top >= 0.9 THEN items ELSE '' END AS items
+ FROM embeddings q LEFT JOIN g ON q.vec_id = g.query WHERE q.vec_id % 20 = 0""")
+def served_passages(spark, sf):
+    """Candidates of the query's own kind, checked, cut and held against the threshold; a third of the queries finds none."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source_type"), (F.col("vec_id") % 3).alias("k"))
+    asked = rows.filter("item % 20 = 0").withColumnRenamed("item", "query")
+    kinds = [r[0] for r in rows.select("source_type").distinct().orderBy("source_type").limit(100).collect()]
+    found = [
+        K.dense_topk(rows, asked.filter((F.col("source_type") == kind) & (F.col("k") == k)), 4, (F.col("source_type") == kind) & (F.col("k") == k)).withColumn("source_type", F.lit(kind)) for kind in kinds for k in (1, 2)
+    ]
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    out = W.served(asked, W.checked_candidates(candidates.drop("rank"), kinds), 4, 0.9)
+    return out.select("query", "outcome", "top_score", "partial_support", F.array_join(F.transform("passages", lambda p: p["item"]), ",").alias("items"))
+
+
+_CONTEXT = "CASE doc_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'non-commercial-educational' WHEN 2 THEN 'permission-on-file' WHEN 3 THEN 'Open' END"
+
+
+@query(f"""WITH d AS (SELECT *, {_CONTEXT} AS context FROM documents)
+ SELECT source AS answer, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id WHEN doc_id % 3 = 1 THEN lang ELSE CAST(doc_id AS VARCHAR) END AS title, CASE context WHEN 'open' THEN 'A' WHEN 'non-commercial-educational' THEN 'B' WHEN 'permission-on-file' THEN 'C' END AS tier,
+ CASE context WHEN 'open' THEN substr(text, 1, {T.EXCERPT['open']}) WHEN 'non-commercial-educational' THEN substr(text, 1, {T.EXCERPT['non-commercial-educational']}) WHEN 'permission-on-file' THEN substr(text, 1, {T.EXCERPT['permission-on-file']}) END AS excerpt,
+ coalesce(CASE context WHEN 'open' THEN length(text) > {T.EXCERPT['open']} WHEN 'non-commercial-educational' THEN length(text) > {T.EXCERPT['non-commercial-educational']} WHEN 'permission-on-file' THEN length(text) > {T.EXCERPT['permission-on-file']} END, false) AS truncated,
+ row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM d""")
+def sources_events(spark, sf):
+    docs = table(spark, sf, "documents")
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, "")
+    rows = docs.select(
+        F.col("source").alias("answer"), F.col("doc_id").alias("place"), "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), title.alias("title"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("attribution"), F.lit("https://x.example").alias("url"),
+        F.lit("evidence").alias("source_type"), F.expr(_CONTEXT).alias("context"), F.col("text").alias("body"),
+    )
+    each = W.sources_event(rows).select("answer", F.posexplode("sources").alias("place", "e"))
+    return each.select("answer", "e.doc_id", "e.title", "e.tier", "e.excerpt", "e.truncated", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT source AS answer, doc_id, text AS text, 'chunk_id: ' || doc_id || chr(10) || 'section: ' || lang || chr(10) || 'source_type: evidence' || chr(10) || 'consensus_position: ' || chr(10) || 'parse_backend: html' || chr(10) || 'degraded_fallback: ' || (n_chars > 3000) || chr(10) || 'needs_hand_review: false' AS context FROM documents""")
+def document_context_blocks(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("source").alias("answer"), F.col("doc_id").alias("place"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("header"), F.lit("evidence").alias("source_type"), F.lit(None).cast("string").alias("consensus"), F.lit("html").alias("backend"),
+        (F.col("n_chars") > 3000).alias("degraded"), F.lit(None).cast("boolean").alias("review"), F.col("doc_id").cast("string").alias("attribution"), F.col("text").alias("body"),
+    )
+    each = W.document_blocks(rows, 10**9).select("answer", F.explode("documents").alias("d"))
+    return each.select("answer", F.col("d.title").cast("long").alias("doc_id"), "d.text", "d.context")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN '10.' || (p_partkey + 1000) || '/a~b%2Ac/' || replace(p_name, ' ', '%3B%3C') || '%23%C3%A9' END AS path, CASE p_size % 3 WHEN 0 THEN 'HTTPS://x.example/' || p_partkey END AS url FROM part""")
+def quoted_addresses(spark, sf):
+    doi = F.concat(F.lit("10."), (F.col("p_partkey") + 1000).cast("string"), F.lit("/a~b*c/"), F.replace("p_name", F.lit(" "), F.lit(";<")), F.lit("#é"), F.when(F.col("p_size") % 4 > 0, "").otherwise(" x"))
+    scheme = F.element_at(F.array(F.lit("HTTPS"), F.lit("http"), F.lit("file")), (F.col("p_size") % 3 + 1).cast("int"))
+    url = F.concat(scheme, F.lit("://x.example/"), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", W.quoted_doi(doi).alias("path"), W.https_only(url).alias("url"))
+
+
+@query("""SELECT c_custkey, c_custkey % 5 <> 1 AND length(trim(note)) >= 15 AND trim(note) <> c_name AS good FROM (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'read the licence page' WHEN 1 THEN 'ok' WHEN 2 THEN ' ' || c_name || ' ' ELSE 'checked ' || c_custkey END AS note FROM customer)""")
+def signoffs(spark, sf):
+    k = F.col("c_custkey")
+    note = F.when(k % 4 == 0, "read the licence page").when(k % 4 == 1, "ok").when(k % 4 == 2, F.concat(F.lit(" "), "c_name", F.lit(" "))).otherwise(F.concat(F.lit("checked "), k.cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", W.plausible_signoff(F.when(k % 5 == 1, " OK ").otherwise(F.col("c_name")), note).alias("good"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'pending' ELSE 'complete' END AS status FROM customer")
+def audit_statuses(spark, sf):
+    packet = F.concat(F.lit("# Packet of "), "c_name", F.lit("\n\nsevere: no\nowner_severity_audit: "), F.when(F.col("c_custkey") % 3 == 0, "pending").otherwise("complete 2026-01-01"), F.lit("\nowner_severity_audit: later\n"))
+    return table(spark, sf, "customer").select("c_custkey", W.audit_status(packet).alias("status"))
+
+
+_GOLD = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'no_answer' WHEN 1 THEN 'multi_passage' WHEN 2 THEN 'chart' ELSE 'single' END AS category, CASE o_custkey % 7 WHEN 0 THEN 'other' WHEN 1 THEN 'gate' ELSE 'calibration' END AS subset,
+ CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'retrieval_refusal' END AS expected_route, CASE WHEN o_custkey % 3 = 0 THEN 'all_gold' END AS recall_semantics, CASE WHEN o_custkey % 4 < 2 THEN 's' END AS spec, CASE WHEN o_custkey % 6 = 0 THEN 'r' END AS refusal FROM orders
+ UNION ALL SELECT o_orderkey, 'no_answer', 'gate', 'retrieval_refusal', NULL, NULL, NULL FROM orders WHERE o_orderkey % 40 = 0"""
+
+
+@query(f"""WITH g AS ({_GOLD}) SELECT id, 'unknown subset' AS violation FROM g WHERE category = 'no_answer' AND subset = 'other' UNION ALL SELECT id, 'unknown route' FROM g WHERE category = 'no_answer' AND expected_route IS NULL
+ UNION ALL SELECT id, 'no recall semantics' FROM g WHERE category = 'multi_passage' AND recall_semantics IS NULL UNION ALL SELECT id, 'needs a specification or a refusal' FROM g WHERE category = 'chart' AND (spec IS NULL) = (refusal IS NULL)
+ UNION ALL SELECT NULL, 'only ' || n || ' items in the gate' FROM (SELECT count(DISTINCT id) AS n FROM g WHERE category = 'no_answer' AND expected_route = 'retrieval_refusal' AND subset = 'gate') WHERE n < 1000000
+ UNION ALL SELECT id, 'in gate and calibration' FROM g WHERE category = 'no_answer' AND expected_route = 'retrieval_refusal' GROUP BY id HAVING count(DISTINCT subset) > 1""")
+def gold_set_violations(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_custkey")
+    category = F.element_at(F.array(*map(F.lit, ("no_answer", "multi_passage", "chart", "single"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    items = o.select(
+        F.col("o_orderkey").alias("id"), category.alias("category"), F.when(k % 7 == 0, "other").when(k % 7 == 1, "gate").otherwise("calibration").alias("subset"), F.when(k % 5 != 0, "retrieval_refusal").alias("expected_route"),
+        F.when(k % 3 == 0, "all_gold").alias("recall_semantics"), F.when(k % 4 < 2, "s").alias("spec"), F.when(k % 6 == 0, "r").alias("refusal"),
+    )
+    none = F.lit(None).cast("string")
+    twice = o.filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("id"), F.lit("no_answer").alias("category"), F.lit("gate").alias("subset"), F.lit("retrieval_refusal").alias("expected_route"), none.alias("recall_semantics"), none.alias("spec"), none.alias("refusal"))
+    return W.gold_violations(items.unionByName(twice), 1_000_000)
+
+
+@query("SELECT p_partkey, p_size % 4 IN (0, 1) AS ranged FROM part")
+def ranged_specs(spark, sf):
+    k = F.col("p_size") % 4
+    text = F.when(k == 0, '{"series": [], "time_range_ce": null}').when(k == 1, '{"panels": {"a": {"x": 1}, "b": {"time_range_ce": {"start": 1}}}}').when(k == 2, F.concat(F.lit('{"title": "time_range_ce", "panels": {"a": {"deep": {"time_range_ce": 1}}}, "n": '), F.col("p_partkey").cast("string"), F.lit("}"))).otherwise("[1")
+    return table(spark, sf, "part").select("p_partkey", W.ranged(text).alias("ranged"))
+
+
+@query("""SELECT path FROM (SELECT 'd/' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.md' WHEN 2 THEN '.Data.CSV.gz' WHEN 3 THEN '.json' WHEN 4 THEN '' ELSE '.txt' END AS path, doc_id FROM documents) WHERE (doc_id % 6 IN (0, 3, 5) AND doc_id % 5 > 0 AND NOT (doc_id % 6 = 3 AND doc_id % 5 = 1)) OR doc_id % 6 = 2""")
+def stray_data_files(spark, sf):
+    """Documents as files, a fifth of them with a marker in the first line, some of the JSON ones in an envelope."""
+    k = F.col("doc_id")
+    ending = F.element_at(F.array(*map(F.lit, (".csv", ".md", ".Data.CSV.gz", ".json", "", ".txt"))), (k % 6 + 1).cast("int"))
+    envelope = '{"_meta": {"provenance": "recorded", "content_signoff": {"who": "a"}}, "x": 1}'
+    content = F.when(k % 5 == 0, F.concat(F.lit("# MADE UP DATA\n"), "text")).when((k % 6 == 3) & (k % 5 == 1), envelope).otherwise(F.concat(F.lit("first\n# MADE UP DATA\n"), "text"))
+    return W.stray_data(table(spark, sf, "documents").select(F.concat(F.lit("d/"), k.cast("string"), ending).alias("path"), content.alias("content")), ["MADE UP DATA"])
+
+
+# ---- charts and files ----------------------------------------------------------------------------------------------
+
+_CHART = {
+    "type": "line", "title": "t", "x_range": [0, 40000],
+    "series": [{"id": "views", "dataset": "view", "transforms": [{"op": "rolling_mean", "window_years": 3}]}, {"id": "clicks", "dataset": "click", "transforms": [{"op": "anomaly_vs_baseline"}]}, {"id": "plain", "dataset": "view", "transforms": []}, {"id": "runs", "dataset": "click", "transforms": [{"op": "resample", "window_years": 4}]}],
+}
+_SETS = {name: {"unit": "u", "attribution": name, "licence": "open"} for name in ("view", "click")}
+_POINTS = f"""d AS ({DAILY}), w AS (SELECT series, x, avg(value) OVER f AS m, count(*) OVER f AS n FROM d WINDOW f AS (PARTITION BY series ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ r AS (SELECT series, x, value, floor((row_number() OVER (PARTITION BY series ORDER BY x, value) - 1) / 4) AS run FROM d),
+ p AS (SELECT 'views' AS series, CAST(x AS DOUBLE) AS x, m AS value FROM w WHERE series = 'view' AND n = 3 UNION ALL SELECT 'clicks', x, value - avg(value) OVER () FROM d WHERE series = 'click' UNION ALL SELECT 'plain', x, value FROM d WHERE series = 'view'
+  UNION ALL SELECT 'runs', avg(x), avg(value) FROM r WHERE series = 'click' GROUP BY run HAVING count(*) = 4)"""
+
+
+def event_pack(spark, sf):
+    return daily_events(spark, sf).select(F.col("series").alias("dataset"), F.lit(None).cast("string").alias("entity"), F.col("x").cast("double").alias("x"), "value")
+
+
+@query(f"WITH {_POINTS} SELECT series, round(x, 9) AS x, CASE series WHEN 'plain' THEN 'pass_through' ELSE 'post_transform' END AS kind, round(value + 1e-9, 4) AS expected, true AS faithful FROM p")
+def chart_faithfulness(spark, sf):
+    out = P.faithfulness(_CHART, event_pack(spark, sf), _SETS)
+    return out.select("series", "x", "kind", nudged("expected", 4).alias("expected"), "faithful")
+
+
+@query(f"""WITH {_POINTS} SELECT x, round(max(value) FILTER (series = 'views') + 1e-9, 4) AS views, round(max(value) FILTER (series = 'clicks') + 1e-9, 4) AS clicks, round(max(value) FILTER (series = 'plain') + 1e-9, 4) AS plain, round(max(value) FILTER (series = 'runs') + 1e-9, 4) AS runs
+ FROM p GROUP BY 1""")
+def chart_csv_table(spark, sf):
+    """The chart's file, written and read again as any reader of CSV with comments would."""
+    path = scratch(spark, "chart")
+    P.write_csv(_CHART, event_pack(spark, sf), _SETS, path, "2026-01-01", "https://x.example")
+    rows = spark.read.schema("year_ce double, views double, clicks double, plain double, runs double").option("header", True).option("comment", "#").option("enforceSchema", False).csv(path)
+    return rows.select(F.col("year_ce").alias("x"), *(nudged(c, 4).alias(c) for c in ("views", "clicks", "plain", "runs")))
+
+
+@query("""WITH f AS (SELECT source AS name, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+ SELECT name, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS BIGINT) AS bytes FROM f""")
+def landed_files(spark, sf):
+    """One file of each source's texts, pinned, landed elsewhere and looked at again there."""
+    out, docs = scratch(spark, "landing"), table(spark, sf, "documents").filter("source is not null and text is not null")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", F.col("text").alias("value")).write.partitionBy("source").text(f"{out}/from")
+    where = spark.read.text(f"{out}/from").select(F.col("source").cast("string").alias("name"), F.col("_metadata.file_path").alias("source")).distinct()
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    pins = docs.groupBy(F.col("source").alias("name")).agg(F.sha2(F.concat(content, F.lit("\n")), 256).alias("sha256")).join(where, "name")
+    done = landing.land(pins.withColumn("target", F.concat(F.lit(f"{out}/to/"), "name")), f"{out}/journal")
+    seen = landing.verified(done.select("name", F.col("target").alias("source"), "sha256"))
+    return seen.filter("ok").select("name", F.col("actual").alias("sha256"), "bytes")
+
+
+def _text_file(rows, head, path):
+    """Lines `head`, then rows (at, line) by `at`, as one file."""
+    first = rows.sparkSession.createDataFrame([(0, float(k), line) for k, line in enumerate(head)], "part int, at double, value string")
+    first.unionByName(rows.select(F.lit(1).alias("part"), F.col("at").cast("double").alias("at"), F.col("line").alias("value"))).repartition(1).sortWithinPartitions("part", "at").select("value").write.text(path)
+
+
+@query("""WITH o AS (SELECT year(o_orderdate) AS y, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1), a AS (SELECT CAST(l_quantity AS BIGINT) AS age, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
+ c AS (SELECT o_orderpriority AS entity, year(o_orderdate) AS y, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2)
+ SELECT 'co2' AS dataset, NULL AS entity, CAST(y AS DOUBLE) AS x, n AS value, NULL AS lower, NULL AS upper FROM o UNION ALL SELECT 'met', NULL, y, -n / 4, n / 8 - 1, n / 8 FROM o UNION ALL SELECT 'giss', NULL, y, n / 4, NULL, NULL FROM o WHERE y % 3 > 0 AND y < 1997
+ UNION ALL SELECT 'ice', NULL, 1950 - age, n / 2, NULL, NULL FROM a UNION ALL SELECT 'temp', NULL, 1950 - age, n, n - 1, n + 1 FROM a UNION ALL SELECT 'owid', entity, y, n, NULL, NULL FROM c WHERE y % 4 > 0""")
+def series_pack(spark, sf):
+    """A file in each published form, made of counts of the tables, through the readers to one long pack."""
+    out, o = scratch(spark, "pack"), table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    years, count = o.groupBy("y").agg(F.count(F.lit(1)).alias("n")), lambda c: F.col(c).cast("string")
+    ages = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    line = lambda *parts, sep=",": F.concat_ws(sep, *(p if not isinstance(p, str) else F.lit(p) for p in parts)).alias("line")
+    text = lambda c: c.cast("string")
+    n = F.col("n")
+    _text_file(years.select(F.col("y").alias("at"), line(count("y"), count("n"), "0.1")), ["# a comment", "#", "year,mean,unc"], f"{out}/co2")
+    _text_file(years.select(F.col("y").alias("at"), line(count("y"), text(-n / 4), text(n / 8 - 1), text(n / 8))), ["Time,Anomaly (deg C),Lower confidence limit (2.5%),Upper confidence limit (97.5%)"], f"{out}/met")
+    months = "Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec"
+    whole = F.when(F.col("y") % 3 > 0, text(n / 4)).otherwise("***")
+    _text_file(years.select(F.col("y").alias("at"), line(count("y"), *["0"] * 12, whole, *["0"] * 5)), ["Land-Ocean: Global Means", f"Year,{months},J-D,D-N,DJF,MAM,JJA,SON"], f"{out}/giss")
+    _text_file(ages.select(F.col("age").alias("at"), line(count("age"), text(n / 2), "0", sep="\t")), ["# ice", "age_gas_calBP\tco2_ppm\tco2_1s_ppm"], f"{out}/ice")
+    _text_file(ages.select(F.col("age").alias("at"), line(count("age"), text(n), text(n - 1), text(n + 1), "x")), ["ages,global_median,global_5,global_95,other"], f"{out}/temp")
+    kinds = o.groupBy("o_orderpriority", "y").agg(F.count(F.lit(1)).alias("n"))
+    _text_file(kinds.select(F.col("y").alias("at"), line(F.col("o_orderpriority"), count("y"), "X", F.when(F.col("y") % 4 > 0, text(n)).otherwise(""))), ["country,year,iso_code,co2"], f"{out}/owid")
+    entries = {
+        "co2": {"reader": "gml_co2", "file": "co2", "value": "co2_ppm"}, "met": {"reader": "hadcrut5", "file": "met", "value": "temp_anomaly_c"}, "giss": {"reader": "gistemp", "file": "giss", "value": "temp_anomaly_c", "partial_years": "drop", "retrieved_at": "1997-05-01"},
+        "ice": {"reader": "bereiter", "file": "ice", "value": "co2_ppm"}, "temp": {"reader": "kaufman", "file": "temp", "value": "temp_anomaly_c"}, "owid": {"reader": "owid", "file": "owid", "value": "co2_mt"},
+    }
+    return load_pack(spark, entries, out)
