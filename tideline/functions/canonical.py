@@ -51,3 +51,38 @@ def request_hash(payload: Column) -> Column:
         return rows.map(lambda t: digest(t, CREDENTIALS), na_action="ignore")
 
     return run(payload)
+
+
+# Parts of a key, between hyphens or underscores, that say that its value opens something.
+SECRET_WORDS = frozenset({"token", "secret", "apikey", "password", "passwd", "cookie", "credential", "credentials", "authorization", "bearer", "auth"})
+#: Texts that are a secret whatever their key.
+SECRET_TEXT = r"(?i:\bbearer\s+\S+|x-api-key|authorization)|\bAKIA[0-9A-Z]{16}\b|\bhf_[A-Za-z0-9]{20,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-(?:ant-|[A-Za-z0-9]{20,})"
+
+
+def opens_something(key: str) -> bool:
+    """Whether a key names a credential: a part of it is such a word as a whole, or it ends in `key` after another part."""
+    parts = key.lower().replace("_", "-").split("-")
+    return not SECRET_WORDS.isdisjoint(parts) or (parts[-1] == "key" and len(parts) > 1)
+
+
+def scrubbed(value):
+    """`value` without the entries whose key names a credential, at any depth."""
+    if isinstance(value, dict):
+        return {k: scrubbed(v) for k, v in value.items() if not opens_something(k)}
+    return [scrubbed(v) for v in value] if isinstance(value, list) else value
+
+
+def scrub(payload: Column) -> Column:
+    """JSON text without credentials, keys sorted; null where it is no JSON, so that nothing unread is passed on."""
+
+    def one(text: str) -> str | None:
+        try:
+            return json.dumps(scrubbed(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(one, na_action="ignore")
+
+    return run(payload)

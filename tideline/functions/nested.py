@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .canonical import SECRET_TEXT
 from .text import let
 
 
@@ -29,6 +30,11 @@ def json_strings(rows: DataFrame, key: str, column: str) -> DataFrame:
     return at.select(key, "path", F.variant_get("v", "$", "string").alias("text"))
 
 
+def secret_paths(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path of every string in the JSON texts of `column` that is a secret by its own form; what it says is not repeated."""
+    return json_strings(rows, key, column).filter(F.col("text").rlike(SECRET_TEXT)).select(key, "path")
+
+
 def merkle(value: Column, kind: T.DataType) -> Column:
     """A hash of a nested value, made of the hashes of its parts: fields go by name, and elements of arrays and entries of maps count in any order.
 

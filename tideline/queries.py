@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import nested as N
 from .functions import text as T
-from .functions.canonical import request_hash, spec_hash
+from .functions.canonical import request_hash, scrub, spec_hash
 from .operators import answers as A
 from .operators import catalogue as C
+from .operators import citations as Q
 from .operators import evaluation as E
 from .operators import gates as W
 from .operators import operations as O
@@ -24,6 +25,7 @@ from .operators import validation as V
 from .operators.blocks import boilerplate_audit, exploded, html_blocks, mark_boilerplate, mark_furniture, section_paths, split_references, without_boilerplate
 from .operators.chunking import chunk_documents
 from .plans import artefacts as P
+from .plans import first_party as Y
 from .plans import ingest as G
 from .sources import appends, landing
 from .sources.journal import append_log, event_frames, read_appended_log, read_log, remaining
@@ -787,7 +789,7 @@ def starter_exact_match(spark, sf):
     return rows.join(starters, "q").select("conv_id", "turn", "starter")
 
 
-@query()
+@query(f"WITH {BLOCKS} SELECT page_id, pos, type, '' AS path, false AS reference FROM b WHERE level IS NULL OR level = 0")
 def section_walk(spark, sf):
     rows = split_references(section_paths(mark_furniture(exploded(html_blocks(table(spark, sf, "pages"))))))
     return rows.select("page_id", "pos", "type", F.array_join("path", " > ").alias("path"), "reference")
@@ -799,7 +801,11 @@ def structure_repair(spark, sf):
     return X.attach_captions(X.front_matter(X.repair_levels(rows))).select("page_id", "pos", "type", "level", "caption", "dropped")
 
 
-@query()
+@query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM conversations),
+ j AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(array_to_string(list_transform(c, lambda x: x || CASE WHEN list_contains([{', '.join(f"'{a}'" for a in T.ABBREVIATIONS)}], lower(rtrim(regexp_extract(x, '(\S+)\s*$', 1), '.'))) THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM t),
+ f AS (SELECT conv_id, turn, text, s, 0 AS n, CAST(strpos(text, s[1]) - 1 AS INTEGER) AS start FROM j WHERE len(s) > 0
+  UNION ALL SELECT conv_id, turn, text, s, n + 1, CAST(start + length(s[n + 1]) + strpos(substr(text, start + length(s[n + 1]) + 1), s[n + 2]) - 1 AS INTEGER) FROM f WHERE n + 1 < len(s))
+ SELECT conv_id, turn, n, start, CAST(start + length(s[n + 1]) AS INTEGER) AS "end" FROM f""")
 def sentence_span_table(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("s", T.split_sentences(F.col("text")))
     return rows.select("conv_id", "turn", F.posexplode(T.sentence_spans(F.col("text"), F.col("s"))).alias("n", "span")).select("conv_id", "turn", "n", "span.start", "span.end")
@@ -1399,3 +1405,88 @@ def series_pack(spark, sf):
         "ice": {"reader": "bereiter", "file": "ice", "value": "co2_ppm"}, "temp": {"reader": "kaufman", "file": "temp", "value": "temp_anomaly_c"}, "owid": {"reader": "owid", "file": "owid", "value": "co2_mt"},
     }
     return load_pack(spark, entries, out)
+
+
+# ---- citations and first-party entries -----------------------------------------------------------------------------
+
+_SAID = """s AS (SELECT conv_id AS answer, turn AS n, turn // 4 AS paragraph, length(text) % 3 <> 0 AS factual, length(text) % 5 < 3 AS attached, length(text) % 7 < 6 AS supported FROM conversations),
+ o AS (SELECT DISTINCT conv_id AS answer, conv_id % 4 <> 0 AS validated FROM conversations)"""
+
+
+def cited_answers(spark, sf):
+    """Outcomes, sentences, citations and verdicts of conversations taken for answers."""
+    n, rows = F.length("text"), table(spark, sf, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("n"), "text")
+    outcomes = rows.select("answer").distinct().select("answer", (F.col("answer") % 4 != 0).alias("validated"), F.lit("timeout").alias("degraded_reason"))
+    sentences = rows.select("answer", "n", F.floor(F.col("n") / 4).alias("paragraph"), (n % 3 != 0).alias("factual"))
+    cited = rows.filter(n % 5 < 3).select("answer", F.col("n").alias("sentence"))
+    verdicts = rows.filter(n % 5 < 3).select("answer", F.col("n").alias("pair"), F.col("n").alias("sentence"), (F.col("n") % 3).alias("document"), (n % 7 < 6).alias("supported"))
+    return outcomes, sentences, cited.unionByName(cited), verdicts
+
+
+@query(f"""WITH {_SAID} SELECT answer, validated, count(*) FILTER (factual) AS factual, CASE WHEN validated THEN count(*) FILTER (factual AND attached AND supported) ELSE 0 END AS supported,
+ string_agg(n || ':' || paragraph || ':' || CAST(factual AS INT) || ':' || CAST(attached AS INT), ' ' ORDER BY n) AS sentences, CASE WHEN validated THEN coalesce(string_agg(n || ':' || CAST(supported AS INT), ' ' ORDER BY n) FILTER (attached), '') END AS verdicts,
+ CASE WHEN NOT validated THEN 'timeout' END AS degraded_reason FROM s JOIN o USING (answer) GROUP BY 1, 2""")
+def validation_record_table(spark, sf):
+    out = Q.validation_records(*cited_answers(spark, sf))
+    bit = lambda b: b.cast("int").cast("string")
+    said = F.transform("sentences", lambda x: F.concat_ws(":", x["n"].cast("string"), x["paragraph"].cast("string"), bit(x["factual"]), bit(x["attached"])))
+    judged = F.transform("verdicts", lambda x: F.concat_ws(":", x["pair"].cast("string"), bit(x["supported"])))
+    return out.select("answer", "validated", "factual", "supported", F.array_join(said, " ").alias("sentences"), F.array_join(judged, " ").alias("verdicts"), "degraded_reason")
+
+
+@query(f"""WITH {_SAID}, a AS (SELECT * FROM s JOIN o USING (answer) WHERE answer % 9 > 0), v AS (SELECT count(*) FILTER (supported) AS n, count(*) AS d FROM a WHERE validated AND attached),
+ u AS (SELECT count(*) FILTER (NOT attached) AS n, count(*) AS d FROM a WHERE factual), b AS (SELECT *, CASE WHEN factual AND NOT (coalesce(lag(factual) OVER w, false) AND lag(paragraph) OVER w = paragraph) THEN 1 ELSE 0 END AS starts FROM a WINDOW w AS (PARTITION BY answer ORDER BY n)),
+ g AS (SELECT answer, n, factual, validated AND attached AND supported AS good, sum(starts) OVER (PARTITION BY answer ORDER BY n ROWS UNBOUNDED PRECEDING) AS grp FROM b), h AS (SELECT bool_or(good) AS good FROM g WHERE factual GROUP BY answer, grp), c AS (SELECT count(*) FILTER (good) AS n, count(*) AS d FROM h),
+ x AS (SELECT (SELECT count(*) FROM s WHERE n % 10 = 3) + count(*) FILTER (NOT good) AS n FROM (SELECT answer, bool_or(validated AND attached AND supported) AS good FROM a GROUP BY 1)), r AS (SELECT count(*) AS d FROM o)
+ SELECT 'citation_entailment_precision' AS name, CASE WHEN d > 0 AND n >= 0.95 * d THEN 'passed' ELSE 'failed' END AS status, n AS numerator, d AS denominator, CAST(0.95 AS DOUBLE) AS threshold FROM v
+ UNION ALL SELECT 'uncited_factual_rate', CASE WHEN d = 0 OR n <= 0.35 * d THEN 'passed' ELSE 'failed' END, n, d, 0.35 FROM u UNION ALL SELECT 'verified_claim_group_coverage', CASE WHEN d > 0 AND n >= 0.75 * d THEN 'passed' ELSE 'failed' END, n, d, 0.75 FROM c
+ UNION ALL SELECT 'citation_invariants', CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END, n, d, 0 FROM x, r""")
+def citation_gate_family(spark, sf):
+    records = Q.validation_records(*cited_answers(spark, sf))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("n"))
+    spans = rows.select("answer", F.when(F.col("n") % 5 > 0, F.col("n")).alias("start"), F.when(F.col("n") % 10 == 3, F.col("n")).otherwise(F.col("n") + 4).alias("end"))
+    return Q.gate_family(records, spans, rows.filter("answer % 9 = 0").select("answer").distinct())
+
+
+@query("""WITH e AS (SELECT o_custkey AS answer, o_orderkey AS place, o_orderkey % 7 AS sentence, o_orderkey % 3 AS document FROM orders), b AS (SELECT DISTINCT o_custkey AS answer, o_orderkey % 7 AS sentence, o_orderkey % 3 AS document FROM orders WHERE o_totalprice > 150000)
+ SELECT e.answer, place, e.sentence, e.document, e.sentence + 1 AS number, b.answer IS NOT NULL AS badged FROM e LEFT JOIN b ON e.answer = b.answer AND e.sentence = b.sentence AND e.document = b.document""")
+def citation_chips(spark, sf):
+    k = F.col("o_orderkey")
+    entries = table(spark, sf, "orders").select(F.col("o_custkey").alias("answer"), k.alias("place"), (k % 7).alias("sentence"), (k % 3).alias("document"), "o_totalprice")
+    badges = entries.select("answer", "sentence", "document", F.when(F.col("o_totalprice") > 150000, "badge").otherwise("other").alias("event"))
+    return Q.chips(entries.drop("o_totalprice"), badges)
+
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""WITH n AS (SELECT c_nationkey, count(*) AS n, min(c_name) AS who FROM customer GROUP BY 1), e AS (SELECT n_name AS name, n, who FROM nation JOIN n ON n_nationkey = c_nationkey)
+ SELECT 'voices:' || name AS doc_id, name AS title, '<html><body><h2>1 ' || name || '</h2>' || chr(10) || '<p>' || {_ESCAPED.format("'Of <' || name || '> & more'")} || '</p>' || chr(10) || '<p>First.</p>' || chr(10) || '<p>Second part.</p>' || chr(10)
+ || '<p>As of 1 March 2024, there were ' || format('{{:,}}', n) || ' customers</p>' || chr(10) || '<p>' || who || ' — buys (https://p.example)</p>' || chr(10) || '<p>Find out more — site: https://a.example; map: https://b.example.</p></body></html>' AS html FROM e""")
+def first_party_pages(spark, sf):
+    counts = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_name").alias("who"))
+    rows = table(spark, sf, "nation").join(counts, F.col("n_nationkey") == F.col("c_nationkey"))
+    link = lambda label, url: F.struct(F.lit(label).alias("label"), F.lit(url).alias("url"))
+    entries = rows.select(
+        F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("c").alias("category"), F.lit("https://x.example").alias("canonical_url"), F.concat(F.lit("Of <"), "n_name", F.lit("> & more")).alias("one_liner"), F.lit(" First.\n\n\n\nSecond\n part. ").alias("prose"),
+        F.array(link("site", "https://a.example"), link("map", "https://b.example")).alias("links"), F.array(F.struct(F.lit("k").alias("key"), F.lit("customers").alias("label"), F.col("n").cast("double").alias("value"), F.lit("2024-03-01").alias("as_of"), F.lit("u").alias("source_url"))).alias("facts"),
+        F.array(F.struct(F.col("who").alias("name"), F.lit("buys").alias("one_liner"), F.lit("https://p.example").alias("link"))).alias("people"),
+    )
+    return Y.page(Y.entry_violations(entries).filter(F.size("violations") == 0))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '$.headers.Authorization' ELSE '$.messages[1].text' END AS path FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AND o_orderkey % 3 > 0
+ UNION ALL SELECT o_orderkey, '$.messages[1].text' FROM orders WHERE o_orderkey % 15 = 0""")
+def secret_places(spark, sf):
+    k = F.col("o_orderkey")
+    header = F.when(k % 3 == 0, "Bearer abc").otherwise("none")
+    text = F.when(k % 5 == 0, F.concat(F.lit("see AKIA"), F.lpad(k.cast("string"), 16, "0"))).otherwise(F.concat(F.lit("see "), k.cast("string")))
+    payload = F.to_json(F.struct(F.struct(header.alias("Authorization")).alias("headers"), F.array(F.struct(F.lit("a").alias("text")), F.struct(text.alias("text"))).alias("messages")))
+    return N.secret_paths(table(spark, sf, "orders").select("o_orderkey", payload.alias("j")), "o_orderkey", "j")
+
+
+@query("""SELECT o_orderkey, '{"max-tokens":' || o_custkey || ',"messages":[{"text":"' || o_orderpriority || '"}]}' AS payload FROM orders""")
+def scrubbed_payloads(spark, sf):
+    secret = F.struct(F.lit("x").alias("text"), F.lit("y").alias("session_key")).alias("cookie")
+    payload = F.to_json(F.struct(F.lit("s").alias("X-Api-Key"), F.col("o_custkey").alias("max-tokens"), F.array(F.struct(F.col("o_orderpriority").alias("text"), F.lit("t").alias("gateway_token"))).alias("messages"), secret))
+    return table(spark, sf, "orders").select("o_orderkey", scrub(payload).alias("payload"))
