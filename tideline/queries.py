@@ -22,13 +22,13 @@ from .operators import scoring as K
 from .operators import series as S
 from .operators import structure as X
 from .operators import validation as V
-from .operators.blocks import boilerplate_audit, exploded, html_blocks, mark_boilerplate, mark_furniture, section_paths, split_references, without_boilerplate
+from .operators.blocks import RIGHTS_HEADINGS, RIGHTS_WORDS, TRIGGERS, boilerplate_audit, exploded, html_blocks, mark_boilerplate, mark_furniture, rights_statements, section_paths, split_references, without_boilerplate
 from .operators.chunking import chunk_documents
 from .plans import artefacts as P
 from .plans import first_party as Y
 from .plans import ingest as G
 from .sources import appends, landing
-from .sources.journal import append_log, event_frames, read_appended_log, read_log, remaining
+from .sources.journal import append_log, event_frames, get_one, harvest, put_specs, read_appended_log, read_ledger_csv, read_log, remaining
 from .sources.scratch import scratch
 from .sources.series_files import load_pack
 from .sources.tables import daily_events, day_number, monthly, table
@@ -795,7 +795,10 @@ def section_walk(spark, sf):
     return rows.select("page_id", "pos", "type", F.array_join("path", " > ").alias("path"), "reference")
 
 
-@query()
+@query(rf"""WITH {BLOCKS}, z AS (SELECT *, max(CASE WHEN type = 'title' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS below, len(regexp_extract_all(text, '\S*\d\S*')) AS numbers, len(regexp_extract_all(text, '{X.ADDRESSES}')) AS addresses,
+  length(text) - length(replace(text, ',', '')) AS commas FROM b)
+ SELECT page_id, pos, type, level, CAST(NULL AS VARCHAR) AS caption, CASE WHEN type = 'title' THEN NULL WHEN below = 0 THEN 'leading' WHEN regexp_matches(text, '{X.SUPERSCRIPTS}') OR (regexp_matches(text, '{X.INSTITUTION}') AND (numbers >= 2 OR addresses >= 2 OR (commas >= 3 AND numbers >= 1)))
+  OR NOT (len(regexp_extract_all(text, '\S+')) >= 12 AND regexp_matches(rtrim(text), '[.!?]$')) THEN 'affiliation' WHEN regexp_matches(text, '{X.BACK_MATTER}') THEN 'statement' END AS dropped FROM z""")
 def structure_repair(spark, sf):
     rows = exploded(html_blocks(table(spark, sf, "pages")))
     return X.attach_captions(X.front_matter(X.repair_levels(rows))).select("page_id", "pos", "type", "level", "caption", "dropped")
@@ -803,9 +806,9 @@ def structure_repair(spark, sf):
 
 @query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM conversations),
  j AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(array_to_string(list_transform(c, lambda x: x || CASE WHEN list_contains([{', '.join(f"'{a}'" for a in T.ABBREVIATIONS)}], lower(rtrim(regexp_extract(x, '(\S+)\s*$', 1), '.'))) THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM t),
- f AS (SELECT conv_id, turn, text, s, 0 AS n, CAST(strpos(text, s[1]) - 1 AS INTEGER) AS start FROM j WHERE len(s) > 0
-  UNION ALL SELECT conv_id, turn, text, s, n + 1, CAST(start + length(s[n + 1]) + strpos(substr(text, start + length(s[n + 1]) + 1), s[n + 2]) - 1 AS INTEGER) FROM f WHERE n + 1 < len(s))
- SELECT conv_id, turn, n, start, CAST(start + length(s[n + 1]) AS INTEGER) AS "end" FROM f""")
+ f AS (SELECT conv_id, turn, text, s, 0 AS n, strpos(text, s[1]) AS p, 0 AS upto FROM j WHERE len(s) > 0
+  UNION ALL SELECT conv_id, turn, text, s, n + 1, strpos(substr(text, CASE WHEN p > 0 THEN upto + p + length(s[n + 1]) ELSE upto + 1 END), s[n + 2]), CASE WHEN p > 0 THEN upto + p - 1 + length(s[n + 1]) ELSE upto END FROM f WHERE n + 1 < len(s))
+ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) - 1 AS INTEGER) AS n, CAST(upto + p - 1 AS INTEGER) AS start, CAST(upto + p - 1 + length(s[n + 1]) AS INTEGER) AS "end" FROM f WHERE p > 0""")
 def sentence_span_table(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("s", T.split_sentences(F.col("text")))
     return rows.select("conv_id", "turn", F.posexplode(T.sentence_spans(F.col("text"), F.col("s"))).alias("n", "span")).select("conv_id", "turn", "n", "span.start", "span.end")
@@ -1490,3 +1493,75 @@ def scrubbed_payloads(spark, sf):
     secret = F.struct(F.lit("x").alias("text"), F.lit("y").alias("session_key")).alias("cookie")
     payload = F.to_json(F.struct(F.lit("s").alias("X-Api-Key"), F.col("o_custkey").alias("max-tokens"), F.array(F.struct(F.col("o_orderpriority").alias("text"), F.lit("t").alias("gateway_token"))).alias("messages"), secret))
     return table(spark, sf, "orders").select("o_orderkey", scrub(payload).alias("payload"))
+
+
+# ---- more sources and predicates -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS activity, CAST(o_custkey AS BIGINT) AS tokens FROM orders")
+def ledger_file(spark, sf):
+    """Orders as a ledger of CSV with comments between its rows."""
+    path, o = scratch(spark, "ledger"), table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("at"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_custkey").cast("string")).alias("line"))
+    notes = o.filter("o_orderkey % 10 = 0").select((F.col("o_orderkey") + 0.5).alias("at"), F.concat(F.lit("# reviewed after "), F.col("o_orderkey").cast("string")).alias("line"))
+    _text_file(rows.unionByName(notes), ["id,activity,tokens"], path)
+    return read_ledger_csv(spark, path, "id long, activity string, tokens long")
+
+
+@query("""SELECT DISTINCT sha256('{"priority":"' || o_orderpriority || '","day":' || day(o_orderdate) || '}') AS hash, '{"priority":"' || o_orderpriority || '","day":' || day(o_orderdate) || '}' AS spec FROM orders""")
+def spec_store(spark, sf):
+    """Specifications put in three overlapping parts; each stays once under its hash, and is found by it."""
+    spec = F.concat(F.lit('{"priority":"'), "o_orderpriority", F.lit('","day":'), F.dayofmonth("o_orderdate").cast("string"), F.lit("}"))
+    specs, path = table(spark, sf, "orders").select("o_orderkey", spec.alias("spec")).withColumn("hash", F.sha2("spec", 256)), scratch(spark, "specs")
+    for k in (0, 1, 0, 2):
+        put_specs(specs.filter(F.col("o_orderkey") % 3 == k).select("hash", "spec"), path)
+    stored = spark.read.parquet(path)
+    one = stored.first()
+    assert get_one(stored, "hash", one["hash"])["spec"] == one["spec"]
+    return stored.select("hash", "spec")
+
+
+@query("""SELECT event_id AS exchange_id, event_type AS route, 'q' || user_id AS question FROM events WHERE event_id % 4 > 1""")
+def harvested_exchanges(spark, sf):
+    k = F.col("event_id")
+    rows = table(spark, sf, "events").select(k.alias("exchange_id"), F.col("event_type").alias("route"), F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question"), F.when(k % 4 == 0, F.lit(True)).when(k % 4 > 1, F.lit(False)).alias("exclude_from_harvest"), "value")
+    return harvest(rows, {"ip"}).drop("exclude_from_harvest")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey % 3 = 1 AND o_orderkey % 8 = 0""")
+def gold_gate_items(spark, sf):
+    k = F.col("o_orderkey")
+    items = table(spark, sf, "orders").select(k.alias("id"), F.when(k % 4 == 0, "no_answer").otherwise("single").alias("category"), F.when(F.col("o_custkey") % 3 == 1, "gate").when(k % 4 == 0, "calibration").alias("subset"), F.when(k % 8 == 0, "retrieval_refusal").otherwise("canned_out_of_scope").alias("expected_route"))
+    return A.gold_subset(items, "gate").select("id")
+
+
+@query("SELECT event_id, event_id % 3 = 0 OR event_type = 'view' AND event_id % 2 = 0 AS refused FROM events")
+def authoritative_refusals(spark, sf):
+    k = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", D.authoritative_refusal(F.when(k % 3 == 0, F.lit(True)), F.when(k % 5 > 0, F.lit(None).cast("boolean")).otherwise(F.lit(False)) | ((F.col("event_type") == "view") & (k % 2 == 0))).alias("refused"))
+
+
+@query("SELECT doc_id, doc_id % 4 < 2 AS garbled FROM documents")
+def garbled_texts(spark, sf):
+    k = F.col("doc_id") % 4
+    return table(spark, sf, "documents").select("doc_id", T.degenerate(F.when(k == 0, F.concat("text", F.lit("\ufeff"))).when(k == 1, F.concat(F.lit("Ａ"), "text")).otherwise(F.col("text"))).alias("garbled"))
+
+
+_AFFILIATED = rf"""len(regexp_extract_all(text, '\S*\d\S*')) AS numbers, len(regexp_extract_all(text, '{X.ADDRESSES}')) AS addresses, length(text) - length(replace(text, ',', '')) AS commas FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1 University of ' || text ELSE text END AS text FROM documents)"""
+
+
+@query(rf"""SELECT doc_id, regexp_matches(text, '{X.SUPERSCRIPTS}') OR (regexp_matches(text, '{X.INSTITUTION}') AND (numbers >= 2 OR addresses >= 2 OR (commas >= 3 AND numbers >= 1))) AS affiliation FROM (SELECT doc_id, text, {_AFFILIATED})""")
+def affiliations(spark, sf):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("1 University of "), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", X.is_affiliation(text).alias("affiliation"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Rights' ELSE 'About' END AS heading, pos, line FROM d WHERE regexp_matches(lower(line), '{TRIGGERS}')),
+ r AS (SELECT *, CASE WHEN regexp_matches(lower(heading), '{RIGHTS_HEADINGS}') THEN 0 WHEN regexp_matches(lower(line), '{RIGHTS_WORDS}') THEN 1 ELSE 2 END AS rank FROM a)
+ SELECT doc_id AS page_id, pos, heading, line AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, pos) AS k FROM r) WHERE k = 1""")
+def rights_paragraphs(spark, sf):
+    """The lines of documents as paragraphs below one heading each; of those about licences, the one that speaks for the document."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "Rights").otherwise("About").alias("head"), F.split("text", "\n").alias("lines"))
+    lines = docs.select("page_id", F.posexplode("lines").alias("pos", "text")).select("page_id", "pos", F.lit("text").alias("type"), "text")
+    heads = docs.select("page_id", F.lit(-1).alias("pos"), F.lit("heading").alias("type"), F.col("head").alias("text"))
+    return rights_statements(lines.unionByName(heads)).select("page_id", F.col("pos").cast("long").alias("pos"), "heading", "text")
