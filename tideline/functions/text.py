@@ -55,7 +55,7 @@ def split_sentences(text: Column) -> Column:
     parts = F.split(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), r"(?<=[.!?])\s+(?=[A-Z])")
     last_word = lambda s: F.lower(F.rtrim(F.regexp_extract(s, r"(\S+)\s*$", 1), F.lit(".")))
     glue = F.transform(parts, lambda part: F.concat(part, F.when(last_word(part).isin(*ABBREVIATIONS), " ").otherwise("\x01")))
-    return F.filter(F.transform(F.split(F.array_join(glue, ""), "\x01"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.array_join(glue, ""), "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def count_tokens(text: Column) -> Column:
