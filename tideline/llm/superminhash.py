@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .components import connected
-from .shared import hold, sized
+from .shared import hold, sized, tidy
 
 #: Length of a signature, of which each document has two. The first `BANDS * BAND` components of the first one make the bands:
 #: 24 of 4 miss a pair at similarity 0.8 with probability 0.5904 ** 24 = 3e-6.
@@ -114,7 +114,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, h (hash of the text), n (distinct shingles), d1 and d2 (sums over the set: equal sets have equal ones), band keys and fingerprint."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(lambda it: _sketch_batches(it, width), "doc_id long, h long, n long, d1 long, d2 long, bands array<long>, fp array<long>")
+    return rows.mapInArrow(tidy(lambda it: _sketch_batches(it, width)), "doc_id long, h long, n long, d1 long, d2 long, bands array<long>, fp array<long>")
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     """Those of the held table `pairs` (a, b; classes) whose full shingle sets have 100 * intersection >= percent * union."""
     side = lambda c: _texts(docs, classes, pairs.select(F.col(c).alias("cid"))).select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(lambda it: _verify_batches(it, width, percent), "a long, b long")
+    return full.mapInArrow(tidy(lambda it: _verify_batches(it, width, percent)), "a long, b long")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     left = _beside(hold(placed.join(mixed, "key"), "open"))
     few = left.filter(F.col("beside") <= BESIDE).select("key", "cid", "root").join(classes.select("cid", F.col("bands").alias("keys")), "cid")
     many = hold(left.filter(F.col("beside") > BESIDE).select("cid", "root").distinct(), "many")
-    sets = _texts(docs, classes, many.select("cid")).mapInArrow(lambda it: _set_batches(it, width), "cid long, shingles array<long>")
+    sets = _texts(docs, classes, many.select("cid")).mapInArrow(tidy(lambda it: _set_batches(it, width)), "cid long, shingles array<long>")
     by_prefix = prefixes(hold(sets, "sets"), percent).join(many, "cid").select(F.explode("keys").alias("key"), "cid", "root", "keys")
     spread = hold(_beside(few.unionByName(by_prefix)).filter("beside > 0").join(tall, "cid"), "spread")
     names = (("cid", ""), ("root", "root_"), ("n", "n_"), ("fp", "fp_"), ("keys", "keys_"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hold, sized
+from .shared import hold, sized, tidy
 
 SEQUENCE = 1024
 #: Sequences of a shard, and shards of a partition.
@@ -167,16 +167,16 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE,
         ranks = f.read()
     dtype = "<u2" if end < 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(key), F.col("doc_id").cast("long"), "text").alias("h"), "text")
-    tokens = hold(rows.mapInArrow(lambda it: _tokenise(it, ranks, end, dtype), "part long, h long, nth long, doc_id long, n long, tokens binary"), "tokens")
+    tokens = hold(rows.mapInArrow(tidy(lambda it: _tokenise(it, ranks, end, dtype)), "part long, h long, nth long, doc_id long, n long, tokens binary"), "tokens")
     all_ = tokens.agg(F.sum("n")).first()[0] or 0
     total = -(-all_ // length)
     starts = sized(hold(_starts(tokens.select("part", "h", "n")), "starts")).withColumnsRenamed({"h": "of", "n": "long", "part": "task"})
     placed = tokens.join(starts, (F.col("h") == F.col("of")) & (F.col("n") == F.col("long")) & (F.col("part") == F.col("task"))).select("doc_id", "n", "tokens", (F.col("start") + F.col("nth") * F.col("n")).alias("at"))
-    pieces = placed.mapInArrow(lambda it: _cut(it, length, total, key, dtype), "slot long, at long, doc_id long, tokens binary")
+    pieces = placed.mapInArrow(tidy(lambda it: _cut(it, length, total, key, dtype)), "slot long, at long, doc_id long, tokens binary")
     # Slots are dense, so the bounds of the ranges are known and need no sampling.
     parts = max(-(-total // (shard * shards)), 1)
     dealt = pieces.repartitionById(parts, F.floor(F.col("slot") / (shard * shards)).cast("int")).sortWithinPartitions("slot", "at")
-    return dealt.mapInArrow(lambda it: _join(it, length, shard, end, dtype), "slot long, shard long, place long, n_tokens int, doc_ids array<long>, tokens binary")
+    return dealt.mapInArrow(tidy(lambda it: _join(it, length, shard, end, dtype)), "slot long, shard long, place long, n_tokens int, doc_ids array<long>, tokens binary")
 
 
 def _at(folder: str) -> tuple[pafs.FileSystem, str]:
