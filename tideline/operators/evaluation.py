@@ -31,10 +31,24 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return per.withColumn("ndcg", F.col("__dcg") / ideal).drop("__dcg")
 
 
-def arm_means(metrics: DataFrame) -> DataFrame:
+def rerank_benchmark(candidates: DataFrame, scores: DataFrame, gold: DataFrame, cut: int, k: int) -> DataFrame:
+    """model and the means of `retrieval_metrics` when each model's scores (model, query, item, score) put the candidates (query, item, rank) in order, and the `cut` best stay.
+
+    All models and queries are ranked in one pass. A candidate that a model has no score for comes last; ties stay in the order of `rank`.
+    """
+    models = F.broadcast(scores.select("model").distinct())  # one row for each model
+    of = lambda df: df.withColumn("query", F.struct("model", "query"))
+    scored = candidates.join(models, F.lit(True)).join(scores, ["model", "query", "item"], "left")
+    order = Window.partitionBy("model", "query").orderBy(F.col("score").desc_nulls_last(), "rank")
+    kept = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cut)
+    each = retrieval_metrics(of(kept).select("query", "item", "rank"), of(gold.select("query", "item").join(models, F.lit(True))).select("query", "item"), k)
+    return arm_means(each.withColumn("model", F.col("query.model")), "model")
+
+
+def arm_means(metrics: DataFrame, *by: str) -> DataFrame:
     """Means over the queries; 0 where there are none."""
     mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
-    return metrics.agg(F.count(F.lit(1)).alias("queries"), mean("recall_any").alias("recall_any"), mean("recall_all").alias("recall_all"), mean("mrr").alias("mrr"), mean("ndcg").alias("ndcg"))
+    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), mean("recall_any").alias("recall_any"), mean("recall_all").alias("recall_all"), mean("mrr").alias("mrr"), mean("ndcg").alias("ndcg"))
 
 
 def gate(rows: DataFrame, name: str, hit: Column, passes, threshold: float | None, of: Column | None = None, empty: str = "blocked") -> DataFrame:

@@ -30,6 +30,7 @@ from .plans import ingest as G
 from .sources import appends, landing
 from .sources.journal import append_log, event_frames, get_one, harvest, put_specs, read_appended_log, read_ledger_csv, read_log, remaining
 from .sources.scratch import scratch
+from .sources.scroll import paged, scroll
 from .sources.series_files import load_pack
 from .sources.tables import daily_events, day_number, monthly, table
 
@@ -1565,3 +1566,30 @@ def rights_paragraphs(spark, sf):
     lines = docs.select("page_id", F.posexplode("lines").alias("pos", "text")).select("page_id", "pos", F.lit("text").alias("type"), "text")
     heads = docs.select("page_id", F.lit(-1).alias("pos"), F.lit("heading").alias("type"), F.col("head").alias("text"))
     return rights_statements(lines.unionByName(heads)).select("page_id", F.col("pos").cast("long").alias("pos"), "heading", "text")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 256 AS page FROM events")
+def collection_pages(spark, sf):
+    return paged(table(spark, sf, "events").select("event_id"), 256, "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 256")
+def collection_scroll(spark, sf):
+    """The page that follows a key; its size is the feature."""
+    return scroll(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 256, 700)
+
+
+@query(f"""WITH d AS ({DENSE}), g AS (SELECT q.vec_id AS query, i.vec_id AS item FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 20 = 0 AND i.vec_id % 7 = 0),
+ m AS (SELECT unnest(['fused', 'other', 'none']) AS model), s AS (SELECT model, query, item, rank, CASE model WHEN 'fused' THEN -rank WHEN 'other' THEN (item * 7919) % 101 END AS score FROM d, m),
+ r AS (SELECT model, query, item, row_number() OVER (PARTITION BY model, query ORDER BY score DESC NULLS LAST, rank) AS rank FROM s), h AS (SELECT m.model, g.query, g.item, r.rank FROM g CROSS JOIN m LEFT JOIN r ON r.model = m.model AND r.query = g.query AND r.item = g.item AND r.rank <= 6),
+ e AS (SELECT model, query, coalesce(bool_or(rank <= 4), false) AS recall_any, bool_and(coalesce(rank <= 4, false)) AS recall_all, coalesce(1.0 / min(rank), 0.0) AS mrr,
+  coalesce(sum(1.0 / log2(rank + 1)) FILTER (WHERE rank <= 4), 0.0) / list_sum(list_transform(range(1, CAST(least(count(*), 4) AS BIGINT) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg FROM h GROUP BY 1, 2)
+ SELECT model, count(*) AS queries, round(avg(CAST(recall_any AS INT)), 6) AS recall_any, round(avg(CAST(recall_all AS INT)), 6) AS recall_all, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM e GROUP BY 1""")
+def reranker_benchmark(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
+    gold = rows.filter("item % 7 = 0").join(rows.filter("item % 20 = 0").select(F.col("item").alias("query"), "label"), "label").select("query", "item")
+    found = dense(spark, sf)
+    score = lambda name, c: found.select(F.lit(name).alias("model"), "query", "item", c.cast("double").alias("score"))
+    scores = score("fused", -F.col("rank")).unionByName(score("other", (F.col("item") * 7919) % 101)).unionByName(score("none", F.lit(None)))
+    out = E.rerank_benchmark(found.drop("score"), scores, gold, 6, 4)
+    return out.select("model", "queries", *(F.round(c, 6).alias(c) for c in ("recall_any", "recall_all", "mrr", "ndcg")))
