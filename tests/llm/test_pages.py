@@ -142,3 +142,14 @@ def test_the_table_is_read_by_wrappers_of_all_its_pages(spark):
     w = compiled([r[2] for r in rows[:60]])
     assert got == {i: wrappers.extract(h, w if u and "hot" in u else None) for i, u, h in rows}
     assert got[5] == f"T5 {words(5, 30)} {words(6, 25)} {words(7, 20)}" and len(got[200].split()) == 200001
+
+
+def test_copies_are_no_evidence_however_they_lie(spark):
+    """Three pages of a host and twelve copies of a fourth, in one task and in eight: the same texts, those of four pages."""
+    rows = [(k, f"http://few.example/{k}", PAGE.format(f"{k} {words(k, 40)}", "")) for k in range(3)] + [(10 + k, "http://few.example/x", PAGE.format(f"9 {words(9, 40)}", "")) for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    w = compiled([r[2] for r in rows[:4]])
+    want = {i: wrappers.extract(h, w) for i, _, h in rows}
+    for dealt in (df.coalesce(1), df.repartition(8), df.repartition(3, "page_id")):
+        assert {r.page_id: r.text for r in wrappers.main_texts(dealt).collect()} == want
+    assert wrappers.learn_wrappers(df).count() == 1 and wrappers.learn_wrappers(df.filter("page_id > 0")).count() == 0

@@ -480,9 +480,8 @@ def host_of(url: Column) -> Column:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each host of a task with the wrapper of its distinct pages there."""
+    """Each host of a task with the wrapper of its pages there, which are distinct."""
     held: dict[str, Part] = {}
-    seen: set[int] = set()
     group = TaskContext.get().partitionId() % GROUPS
 
     def rows() -> pa.RecordBatch:
@@ -490,8 +489,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            if page and (mark := hash((host, page))) not in seen:
-                seen.add(mark)
+            if page:
                 own = fold(parse(page))
                 held[host] = _merge(held[host], own, False) if host in held else own
         if len(held) > HELD:
@@ -508,9 +506,18 @@ def _merged(parts: pd.Series) -> Part:
     return whole
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """host and html of `rows` without copies of a page of a host, wherever they lie: only hashes of pages are shuffled, and those that repeat say which row stays."""
+    marked = rows.select("host", "html", F.xxhash64("html").alias("h"), F.length("html").alias("n"), F.monotonically_increasing_id().alias("at"))
+    again = marked.groupBy("host", "h", "n").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first")).filter("rows > 1")
+    again = shared.sized(shared.hold(again.select(F.col("host").alias("of"), F.col("h").alias("h0"), F.col("n").alias("n0"), "first"), "copies"))
+    both = marked.join(again, (F.col("host") == F.col("of")) & (F.col("h") == F.col("h0")) & (F.col("n") == F.col("n0")), "left")
+    return both.filter("first is null or at = first").select("host", "html")
+
+
 def learn_wrappers(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON of `compiled`) for each host of `pages` (url, html) that tells something."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").filter("html is not null")
+    rows = _once(pages.select(host_of(F.col("url")).alias("host"), "html").filter("html is not null"))
     parts = rows.mapInArrow(_parts, "host string, group int, part string")
     some = parts.groupBy("host", "group").applyInPandas(lambda g: pd.DataFrame({"host": [g["host"].iloc[0]], "part": [json.dumps(_merged(g["part"]).row())]}), "host string, part string")
     done = some.groupBy("host").applyInPandas(lambda g: pd.DataFrame({"host": [g["host"].iloc[0]], "wrapper": [json.dumps(compiled(_merged(g["part"])))]}), "host string, wrapper string")
