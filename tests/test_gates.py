@@ -159,3 +159,40 @@ def test_chart_files_carry_their_captions(spark, pack, tmp_path):
     assert x == sorted(x) and lines[7] == "0.0,0.0,," and next(r for r in lines[7:] if r.startswith("60.0,")).endswith(",,")
     short = P.caption_lines(SPEC, SETS, "d", "s", short=True, pairs=pairs)
     assert short[:4] == ["Data: Old, Cores", "Data: new", "Data: Many", "Entity shown: World (not all entities in this source)"] and len(short) == 5
+
+
+def test_a_chart_is_a_document_with_named_data(spark, pack, tmp_path):
+    spec = SPEC | {"series": [*SPEC["series"][:2], {"id": "raw", "dataset": "new", "transforms": []}], "annotations": [{"x": 20, "text": "here"}]}
+    banded = pack.withColumns({"lower": F.when(F.col("dataset") == "new", F.col("value") - 1), "upper": F.when(F.col("dataset") == "new", F.col("value") + 1)})
+    assert [v.path for v in chartspec.violations(spec | {"annotations": [{"x": 1}]}, SETS)] == [v.path for v in chartspec.violations(spec | {"annotations": "x"}, SETS)] == ["$.annotations"]
+    out = P.artefact(spec, banded, SETS, f"file://{tmp_path}", "2026-01-02", "https://x.example")
+    doc = out["document"]
+    titles = [axis["layer"][-1]["encoding"]["y"]["title"] for axis in doc["layer"][:2]]
+    assert titles == ["degC_anomaly", "degF_anomaly"] and doc["resolve"] == {"scale": {"y": "independent"}} and doc["title"]["subtitle"] == out["captions"]
+    assert [layer["data"]["name"] for layer in doc["layer"][0]["layer"]] == ["bounds", "points"] and "strokeDash" in doc["layer"][0]["layer"][1]["encoding"] and "strokeDash" not in doc["layer"][1]["layer"][0]["encoding"]
+    assert doc["layer"][0]["layer"][0]["transform"] == [{"filter": {"field": "series", "oneOf": ["raw"]}}] and doc["layer"][2]["data"]["values"] == [{"x": 50, "text": ""}, {"x": 20, "text": "here"}]
+    points = spark.read.json(f"file://{tmp_path}/points").collect()
+    assert len(points) == chartspec.compile_spec(spec, pack, SETS).count() and spark.read.json(f"file://{tmp_path}/bounds").count() == 61
+    raw = sorted((r.x, r.value) for r in points if r.series == "raw")
+    way = "rises" if raw[-1][1] > raw[0][1] else "falls"
+    assert f"raw {way} from {raw[0][1]:g} in 40 to {raw[-1][1]:g} in 100." in out["alt_text"] and out["extents"]["raw"] == (min(v for _, v in raw), max(v for _, v in raw))
+    assert out["spec_hash"] == P.artefact(spec | {"_meta": {"a": 1}}, banded, SETS, f"file://{tmp_path}/again", "2026-01-02", "https://x.example")["spec_hash"] and json.dumps(doc)
+
+
+def test_frames_survive_any_data(spark):
+    from tideline.sources.journal import event_frames, event_text
+
+    rows = [(1, "a", "x\ny"), (2, "b", ""), (3, "c\nd", "event: z\r\n\rdata: q"), (4, None, "only data"), (5, "e", None), (6, "f", "\n\n")]
+    df = spark.createDataFrame(rows, "id int, event string, data string").withColumn("sent", event_text(F.col("event"), F.col("data")))
+    got = {r.id: [(f.event, f.data) for f in r.f] for r in df.select("id", event_frames(F.col("sent")).alias("f")).collect()}
+    assert got == {1: [("a", "x\ny")], 2: [("b", "")], 3: [("c d", "event: z\n\ndata: q")], 4: [("", "only data")], 5: [("e", "")], 6: [("f", "\n\n")]}
+    assert all(r.sent.endswith("\n\n") and "\n\n" not in r.sent[:-2] for r in df.collect())
+
+
+def test_items_are_planned_once(spark, tmp_path):
+    from tideline.plans import ingest
+
+    items = spark.createDataFrame([(1, None), (2, True), (3, False)], "item int, blocked boolean")
+    plan = lambda rows: rows.select("item", F.lit("p").alias("plan"))
+    run = lambda some, batch: sorted(r.item for r in ingest.run_items(some, f"file://{tmp_path}/j", plan, "item int, plan string", batch).collect())
+    assert run(items.filter("item = 1"), "a") == [1] and run(items, "b") == [1, 3] and run(items, "b") == [1, 3] and run(items, "c") == [1, 3]

@@ -53,6 +53,73 @@ def write_csv(spec: Mapping[str, Any], pack: DataFrame, datasets: Mapping[str, M
     first.unionByName(rows).repartition(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
 
 
+MARKS = {"line": {"type": "line"}, "area": {"type": "area", "opacity": 0.6}, "bar": {"type": "bar"}, "scatter": {"type": "point", "filled": True}}
+
+
+def chart_document(spec: Mapping[str, Any], datasets: Mapping[str, Mapping[str, Any]], captions: Sequence[str], bands: Sequence[str] = ()) -> dict[str, Any]:
+    """The chart as a layered document without its rows, which are named data: `points` (series, x, value, segment) and, for the series in `bands`, `bounds` (series, x, lower, upper).
+
+    Series of one unit share an axis; of two units each gets its own, titled by it. A splice has a rule where its sides meet, and annotations (x, text) stand at their x. The captions are the title's lines below.
+    """
+    units: dict[str, list[str]] = {}
+    for one in spec["series"]:
+        name = one["splice"]["instrumental"] if "splice" in one else one["dataset"]
+        unit = next((t["to_unit"] for t in reversed(one.get("transforms", [])) if t["op"] == "unit_conversion"), datasets[name].get("unit", ""))
+        units.setdefault(unit, []).append(one["id"])
+    x = {"field": "x", "type": "quantitative", "title": "Year", "axis": {"format": "d"}} | ({"scale": {"domain": list(spec["x_range"])}} if spec.get("x_range") else {})
+    color = {"field": "series", "type": "nominal", "scale": {"domain": [one["id"] for one in spec["series"]]}, "title": None}
+    only = lambda ids: [{"filter": {"field": "series", "oneOf": list(ids)}}]
+    axes = []
+    for k, (unit, ids) in enumerate(units.items()):
+        y = {"type": "quantitative", "title": unit, "axis": {"orient": "right" if k else "left"}}
+        layers = []
+        if own := [i for i in ids if i in bands]:
+            layers.append({"data": {"name": "bounds"}, "transform": only(own), "mark": {"type": "area", "opacity": 0.2}, "encoding": {"x": x, "y": y | {"field": "lower"}, "y2": {"field": "upper"}, "color": color}})
+        encoding = {"x": x, "y": y | {"field": "value"}, "color": color}
+        if any("splice" in one and one["id"] in ids for one in spec["series"]):
+            encoding["strokeDash"] = {"field": "segment", "type": "nominal", "title": None}
+        layers.append({"data": {"name": "points"}, "transform": only(ids), "mark": MARKS[spec["type"]], "encoding": encoding})
+        axes.append({"layer": layers})
+    rules = [{"x": one["splice"]["year"], "text": ""} for one in spec["series"] if "splice" in one] + [{"x": a["x"], "text": a["text"]} for a in spec.get("annotations", [])]
+    if rules:
+        place = {"x": {"field": "x", "type": "quantitative"}}
+        axes.append({"data": {"values": rules}, "layer": [{"mark": {"type": "rule", "strokeDash": [2, 2]}, "encoding": place}, {"mark": {"type": "text", "align": "left", "dx": 4, "baseline": "top", "y": 4}, "encoding": place | {"text": {"field": "text"}}}]})
+    document = {"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "title": {"text": spec.get("title", ""), "subtitle": list(captions)}, "datasets": {"points": [], "bounds": []}, "layer": axes}
+    return document | ({"resolve": {"scale": {"y": "independent"}}} if len(units) > 1 else {})
+
+
+def artefact(spec: Mapping[str, Any], pack: DataFrame, datasets: Mapping[str, Mapping[str, Any]], path: str, accessed: str, site: str, **caption: Any) -> dict[str, Any]:
+    """A chart as files in the folder `path`, none of which passes its rows through the driver, and what is known of it.
+
+    `csv` holds the table, `points` and `bounds` the rows as lines of JSON (a document's named data), by series and x. Returned are the document without rows, its hash, a sentence for each series (its first and last point
+    and which way it went), and the extent of each series.
+    """
+    rows, ids = compile_spec(spec, pack, datasets), [one["id"] for one in spec["series"]]
+    captions = caption_lines(spec, datasets, accessed, site, **caption)
+    write_csv(spec, pack, datasets, f"{path}/csv", accessed, site, **caption)
+    rows.select("series", "x", "value", "segment").repartition("series").sortWithinPartitions("series", "x").write.mode("overwrite").json(f"{path}/points")
+    banded = [one["id"] for one in spec["series"] if "dataset" in one and not one.get("transforms")] if {"lower", "upper"} <= set(pack.columns) else []
+    bounds = None
+    for one in (o for o in spec["series"] if o["id"] in banded):
+        own = S.band(pack.filter((F.col("dataset") == one["dataset"]) & (F.lit(True) if not datasets[one["dataset"]].get("entity") else F.col("entity") == datasets[one["dataset"]]["entity"]))).withColumn("series", F.lit(one["id"]))
+        bounds = own if bounds is None else bounds.unionByName(own)
+    if bounds is not None:
+        inside = S.clip(bounds, *spec["x_range"]) if spec.get("x_range") else bounds
+        inside.select("series", "x", "lower", "upper").repartition("series").sortWithinPartitions("series", "x").write.mode("overwrite").json(f"{path}/bounds")
+        banded = [r[0] for r in inside.select("series").distinct().collect()]  # one row for each series of the chart
+    ends = S.trend(rows).join(S.extents(rows), "series").join(rows.groupBy("series").agg(F.min("x").alias("from"), F.max("x").alias("to")), "series").collect()
+    known = {r["series"]: r for r in ends}
+    said = []
+    for i in ids:
+        if (r := known.get(i)) is not None:
+            way = r["trend"] if r["trend"] != "is unchanged" else "is unchanged,"
+            said.append(f"{i} {way} from {r['first']:g} in {r['from']:g} to {r['last']:g} in {r['to']:g}.")
+    return {
+        "document": chart_document(spec, datasets, captions, banded), "spec_hash": digest(json.dumps(spec), frozenset({"_meta"})), "alt_text": " ".join(said), "captions": captions,
+        "extents": {i: (known[i]["low"], known[i]["high"]) for i in ids if i in known},
+    }
+
+
 # ---- the second reckoning ------------------------------------------------------------------------------------------
 
 

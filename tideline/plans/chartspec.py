@@ -16,7 +16,7 @@ from ..operators import series as S
 
 CHART_TYPES = frozenset({"line", "area", "bar", "scatter"})
 PARAMETERS = {"resample": {"window_years"}, "rolling_mean": {"window_years"}, "anomaly_vs_baseline": set(), "unit_conversion": {"to_unit"}}
-MAX_WINDOW, MAX_BYTES, MAX_META = 100, 8192, 2048
+MAX_WINDOW, MAX_BYTES, MAX_META, MAX_NOTE = 100, 8192, 2048, 120
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def parse(text: str) -> dict:
 def violations(spec: Mapping[str, Any], datasets: Mapping[str, Mapping[str, Any]]) -> list[Violation]:
     """All that is wrong. Errors of structure stop the search for errors of meaning."""
     out: list[Violation] = []
-    known = {"id", "type", "title", "series", "x_range", "_meta"}
+    known = {"id", "type", "title", "series", "x_range", "annotations", "_meta"}
     out += [Violation(f"$.{k}", "unknown key") for k in spec if k not in known]
     if spec.get("type") not in CHART_TYPES:
         out.append(Violation("$.type", f"not one of {sorted(CHART_TYPES)}"))
@@ -109,6 +109,9 @@ def violations(spec: Mapping[str, Any], datasets: Mapping[str, Mapping[str, Any]
         units.add(unit)
     if len(units) > 2:
         out.append(Violation("$.series", "more than two units"))
+    notes = spec.get("annotations", [])
+    if not isinstance(notes, list) or not all(isinstance(a, Mapping) and set(a) == {"x", "text"} and _number(a["x"]) and isinstance(a["text"], str) and len(a["text"]) <= MAX_NOTE for a in notes):
+        out.append(Violation("$.annotations", f"each needs a number x and a text of {MAX_NOTE} characters at most"))
     r = spec.get("x_range")
     if r is not None and (not isinstance(r, list) or len(r) != 2 or not all(map(_number, r)) or r[0] >= r[1]):
         out.append(Violation("$.x_range", "two ascending numbers are needed"))

@@ -110,3 +110,15 @@ def blocks(spark: SparkSession, out: str) -> DataFrame:
 
 def chunks(spark: SparkSession, out: str) -> DataFrame:
     return appends.read(spark, f"{out}/chunks", CHUNKS)
+
+
+def run_items(items: DataFrame, out: str, plan: Callable[[DataFrame], DataFrame], schema: str, batch: str, key: str = "item") -> DataFrame:
+    """Plans the items (`key`, blocked) that are neither blocked nor done, as one batch of the journal `out`, and returns what all runs have planned.
+
+    `plan` maps such items to rows of `schema`, which has `key`. A batch's name is used once: a run that died before its commit is made anew, one that was committed is not.
+    """
+    spark = items.sparkSession
+    done = appends.read(spark, out, schema).select(key)
+    waiting = items.filter(~F.coalesce("blocked", F.lit(False))).join(done, key, "left_anti")
+    appends.append(plan(waiting), out, batch)
+    return appends.read(spark, out, schema)

@@ -28,7 +28,7 @@ from .plans import artefacts as P
 from .plans import first_party as Y
 from .plans import ingest as G
 from .sources import appends, landing
-from .sources.journal import append_log, event_frames, get_one, harvest, put_specs, read_appended_log, read_ledger_csv, read_log, remaining
+from .sources.journal import append_log, event_frames, event_text, get_one, harvest, put_specs, read_appended_log, read_ledger_csv, read_log, remaining
 from .sources.scratch import scratch
 from .sources.scroll import paged, scroll
 from .sources.series_files import load_pack
@@ -1593,3 +1593,29 @@ def reranker_benchmark(spark, sf):
     scores = score("fused", -F.col("rank")).unionByName(score("other", (F.col("item") * 7919) % 101)).unionByName(score("none", F.lit(None)))
     out = E.rerank_benchmark(found.drop("score"), scores, gold, 6, 4)
     return out.select("model", "queries", *(F.round(c, 6).alias(c) for c in ("recall_any", "recall_all", "mrr", "ndcg")))
+
+
+@query("""SELECT conv_id, turn, role AS event, text AS data FROM conversations""")
+def sent_frames(spark, sf):
+    """Frames as they are sent, and read again."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", event_text(F.col("role"), F.col("text")).alias("sent"))
+    return rows.select("conv_id", "turn", F.explode(event_frames(F.col("sent"))).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@query("""SELECT o_orderkey AS item, 'plan of ' || o_orderpriority AS plan FROM orders WHERE o_orderkey % 7 > 0""")
+def chart_path_run(spark, sf):
+    """Items planned in two runs and one that finds nothing left; a seventh of them is blocked."""
+    out, items = scratch(spark, "charts"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 7 == 0).alias("blocked"), "o_orderpriority")
+    plan = lambda rows: rows.select("item", F.concat(F.lit("plan of "), "o_orderpriority").alias("plan"))
+    G.run_items(items.filter("item % 3 > 0"), out, plan, "item long, plan string", "first")
+    G.run_items(items, out, plan, "item long, plan string", "second")
+    return G.run_items(items, out, plan, "item long, plan string", "second")
+
+
+@query(f"WITH {_POINTS} SELECT series, round(x, 9) AS x, round(value + 1e-9, 4) AS value FROM p")
+def chart_documents(spark, sf):
+    """The points of a chart's document, read from the files that it names."""
+    path = scratch(spark, "artefact")
+    P.artefact(_CHART, event_pack(spark, sf), _SETS, path, "2026-01-01", "https://x.example")
+    rows = spark.read.schema("series string, x double, value double").json(f"{path}/points")
+    return rows.select("series", F.round("x", 9).alias("x"), nudged("value", 4).alias("value"))

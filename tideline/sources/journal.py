@@ -141,6 +141,13 @@ def event_frames(text: Column) -> Column:
     return F.transform(frames, lambda f: F.struct(F.regexp_extract(f, r"(?m)^event: ?(.*)$", 1).alias("event"), F.array_join(F.regexp_extract_all(f, F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n").alias("data")))
 
 
+def event_text(event: Column, data: Column) -> Column:
+    """A frame of a server-sent stream: the event's name on one line (its line ends become spaces), each line of the data behind its own mark, and the blank line that ends it."""
+    name = F.regexp_replace(event, r"\r\n|\r|\n", " ")
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(data, F.lit("")), r"\r\n?", "\n"), "\n"), lambda x: F.concat(F.lit("data: "), x))
+    return F.concat(F.when(name.isNotNull() & (name != ""), F.concat(F.lit("event: "), name, F.lit("\n"))).otherwise(""), F.array_join(lines, "\n"), F.lit("\n\n"))
+
+
 def gate_report(gates: DataFrame) -> str:
     """A gate table (a few rows) as Markdown, in the order of names."""
     lines = ["| gate | status | result | threshold |", "|---|---|---|---|"]
