@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.appends import Store
+from .answers import exempt_by_marker, provenance_envelope
 from .scoring import ranked
 
 
@@ -157,9 +158,7 @@ BINARY_ENDINGS = ("nc", "parquet", "xlsx", "xls", "gz", "zip", "feather", "arrow
 
 def stray_data(files: DataFrame, markers: Sequence[str]) -> DataFrame:
     """The `path` of each file (path, content) with a data ending anywhere in its name that nothing exempts: a marker in its first line or, for JSON, an envelope that says where it is from. Binary and packed files have no exemption."""
-    from .answers import exempt_by_marker, provenance_envelope
-
-    endings = F.transform(F.slice(F.split(F.lower(F.element_at(F.split("path", "/"), -1)), r"\."), F.lit(2), F.lit(100)), lambda e: e)
+    endings = F.slice(F.split(F.lower(F.element_at(F.split("path", "/"), -1)), r"\."), F.lit(2), F.lit(100))
     of = lambda some: F.arrays_overlap(endings, F.array(*map(F.lit, some)))
     content = F.col("content").cast("string")
     exempt = ~of(BINARY_ENDINGS) & (exempt_by_marker(content, tuple(markers)) | ((F.element_at(endings, -1) == "json") & provenance_envelope(content)))
