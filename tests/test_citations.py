@@ -53,7 +53,7 @@ def test_chips_are_badged_by_sentence_and_document(spark):
 def entry(**change):
     base = {
         "id": "a", "name": "Water & Co", "category": "group", "canonical_url": "https://a.example", "one_liner": "They <measure>.", "prose": "First part\nof it.\n\n  Second part. \n\n\n", "links": [{"label": "Site", "url": "https://a.example"}],
-        "facts": [{"key": "n", "label": "members", "value": 12345.0, "as_of": "2024-03-09", "source_url": "https://a.example"}], "people": [{"name": "Bo", "one_liner": "leads", "link": "https://b.example"}],
+        "facts": [{"key": "n", "label": "members", "value": 12345.5, "as_of": "2024-03-09", "source_url": "https://a.example"}], "people": [{"name": "Bo", "one_liner": "leads", "link": "https://b.example"}],
     }
     return base | change
 
@@ -69,13 +69,13 @@ def test_first_party_entries(spark):
     assert got == {(r["id"], r["name"]): want for r, want in rows}
     page = {r.doc_id: r for r in Y.page(df.filter("id in ('a', 'b')")).collect()}
     assert page["voices:a"].html == (
-        "<html><body><h2>1 Water &amp; Co</h2>\n<p>They &lt;measure&gt;.</p>\n<p>First part of it.</p>\n<p>Second part.</p>\n<p>As of 9 March 2024, there were 12,345 members</p>\n"
+        "<html><body><h2>1 Water &amp; Co</h2>\n<p>They &lt;measure&gt;.</p>\n<p>First part of it.</p>\n<p>Second part.</p>\n<p>As of 9 March 2024, there were 12,345.5 members</p>\n"
         "<p>Bo — leads (https://b.example)</p>\n<p>Find out more — Site: https://a.example.</p></body></html>"
     )
     assert "Find out" not in page["voices:b"].html
     chunks = Y.chunks(df.filter("id in ('a', 'b')")).collect()
     assert {c.doc_id for c in chunks} == {"voices:a", "voices:b"} and all(c.source_type == "voices" and c.section_path == ["1 Water & Co"] for c in chunks)
-    assert any("As of 9 March 2024, there were 12,345 members" in c.body and "They <measure>." in c.body for c in chunks)
+    assert any("As of 9 March 2024, there were 12,345.5 members" in c.body and "They <measure>." in c.body for c in chunks)
     with pytest.raises(Exception, match="as_of is no date"):
         Y.chunks(df.filter("id in ('a', 'd')")).collect()
 

@@ -270,7 +270,8 @@ def two_figures(value: Column, how: str = "point") -> Column:
 
 
 def fact_sentence(day: Column, count: Column, label: Column) -> Column:
-    return F.concat(F.lit("As of "), F.date_format(day, "d MMMM yyyy"), F.lit(", there were "), F.format_number(count, 0), F.lit(" "), label)
+    number = F.call_function("format_number", count, F.lit("#,##0.##########"))
+    return F.concat(F.lit("As of "), F.date_format(day, "d MMMM yyyy"), F.lit(", there were "), number, F.lit(" "), label)
 
 
 def refusal_text(lines: list[str], topics: Column) -> Column:

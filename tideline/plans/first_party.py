@@ -58,7 +58,7 @@ def page(entries: DataFrame) -> DataFrame:
     paragraph = lambda t: F.concat(F.lit("<p>"), escaped(t), F.lit("</p>"))
     prose = F.filter(F.transform(F.split(F.trim("prose"), "\n\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
     none = F.array().cast("array<string>")
-    facts = F.transform("facts", lambda f: fact_sentence(F.to_date(f["as_of"]), f["value"].cast("long"), f["label"]))
+    facts = F.transform("facts", lambda f: fact_sentence(F.to_date(f["as_of"]), f["value"], f["label"]))
     people = F.transform("people", lambda p: F.concat(p["name"], F.lit(" — "), p["one_liner"], F.lit(" ("), p["link"], F.lit(")")))
     links = F.array_join(F.transform("links", lambda x: F.concat(x["label"], F.lit(": "), x["url"])), "; ")
     more = F.when(F.size("links") > 0, F.array(F.concat(F.lit("Find out more — "), links, F.lit("."))))

@@ -1223,22 +1223,17 @@ def inline_citations(spark, sf):
 # ---- gates ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH c AS (SELECT q.vec_id AS query, i.vec_id AS item, round({COSINE}, 6) AS score FROM embeddings q JOIN embeddings i ON q.label = i.label AND i.vec_id % 3 = q.vec_id % 3 WHERE q.vec_id % 20 = 0 AND q.vec_id % 3 > 0),
- r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM c), g AS (SELECT query, max(score) AS top, bool_and(score >= 0.9) AS every, string_agg(item, ',' ORDER BY rank) AS items FROM r WHERE rank <= 4 GROUP BY 1)
- SELECT q.vec_id AS query, CASE WHEN top >= 0.9 THEN 'passages' ELSE 'refusal' END AS outcome, coalesce(top, 0) AS top_score, coalesce(top >= 0.9 AND NOT every, false) AS partial_support, CASE WHEN top >= 0.9 THEN items ELSE '' END AS items
+@query(f"""WITH c AS (SELECT q.vec_id AS query, i.vec_id AS item, round({COSINE}, 6) AS score FROM embeddings q, embeddings i WHERE i.label IN (0, 2) AND i.vec_id <> q.vec_id AND q.vec_id % 20 = 0 AND q.vec_id % 3 > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM c), g AS (SELECT query, max(score) AS top, bool_and(score >= 0.3) AS every, string_agg(item, ',' ORDER BY rank) AS items FROM r WHERE rank <= 4 GROUP BY 1)
+ SELECT q.vec_id AS query, CASE WHEN top >= 0.3 THEN 'passages' ELSE 'refusal' END AS outcome, coalesce(top, 0) AS top_score, coalesce(top >= 0.3 AND NOT every, false) AS partial_support, CASE WHEN top >= 0.3 THEN items ELSE '' END AS items
  FROM embeddings q LEFT JOIN g ON q.vec_id = g.query WHERE q.vec_id % 20 = 0""")
 def served_passages(spark, sf):
-    """Candidates of the query's own kind, checked, cut and held against the threshold; a third of the queries finds none."""
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source_type"), (F.col("vec_id") % 3).alias("k"))
+    """Candidates of permitted kinds, checked, cut and held against the threshold; a third of the queries finds none."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source_type"))
     asked = rows.filter("item % 20 = 0").withColumnRenamed("item", "query")
-    kinds = [r[0] for r in rows.select("source_type").distinct().orderBy("source_type").limit(100).collect()]
-    found = [
-        K.dense_topk(rows, asked.filter((F.col("source_type") == kind) & (F.col("k") == k)), 4, (F.col("source_type") == kind) & (F.col("k") == k)).withColumn("source_type", F.lit(kind)) for kind in kinds for k in (1, 2)
-    ]
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    out = W.served(asked, W.checked_candidates(candidates.drop("rank"), kinds), 4, 0.9)
+    found = K.dense_topk(rows, asked.filter("query % 3 > 0"), 5, F.col("source_type").isin("0", "2")).filter("item <> query")  # a query may find itself
+    candidates = found.join(rows.select("item", "source_type"), "item").drop("rank")
+    out = W.served(asked, W.checked_candidates(candidates, ["0", "2"]), 4, 0.3)
     return out.select("query", "outcome", "top_score", "partial_support", F.array_join(F.transform("passages", lambda p: p["item"]), ",").alias("items"))
 
 
