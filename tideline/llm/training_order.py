@@ -31,6 +31,8 @@ from .shared import hold, sized, tidy
 SEQUENCE = 1024
 #: Sequences of a shard, and shards of a partition.
 SHARD, SHARDS = 1024, 16
+#: Documents whose tokens a worker holds at once.
+ROWS = 1000
 #: Bits of the hash by which starts are summed in ranges.
 RANGES = 12
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # a fixed value, that of the vocabulary
@@ -59,7 +61,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], ranks: bytes, end: int, dtype:
     """part (the task), h, nth (row of that hash and length in the task), doc_id, n, tokens of each document."""
     encode, part = _encoder(ranks).encode_ordinary, TaskContext.get().partitionId()
     seen: dict[tuple[int, int], int] = {}
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         rows: list[bytes] = []
         nth = []
         for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
