@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from . import edge
@@ -288,6 +292,42 @@ def test_quality_model(spark, docs, none):
     assert quality_model.op9_quality_model(docs, labels.limit(0)).count() == len(edge.rows())
 
 
+def test_quality_model_in_little_memory(spark, none, monkeypatch):
+    """A very long text takes memory by its words, not several times its bytes; sums come in small batches, are those of plain Python, and no table is kept."""
+    rng = __import__("random").Random(4)
+    near = [*(t for _, t, *_ in edge.rows()), edge.prose(rng, 40).replace("t", "7,") + "\u00fc\u4e2d"]
+    place, sign = quality_model.index_vectors()
+    want = Counter()
+    for t in near:
+        found = [w.encode() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^\x20\x09-\x0D]", t or "")]
+        rows = [quality_model.word_rows(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist() for w in found]
+        assert all(len(r) == 1 for r in rows)
+        for i, (a,) in enumerate(rows):
+            for (b,) in rows[max(i - 2, 0) : i] + rows[i + 1 : i + 3]:
+                for k in range(quality_model.MARKS):
+                    want[a, int(place[b, k])] += int(sign[b, k])
+
+    def sums(texts):
+        out = list(quality_model._contexts(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+        return out, Counter({(r, k): v for b in out for k in range(quality_model.DIMS) for r, v in zip(b["row"].to_pylist(), b[f"v{k}"].to_pylist(), strict=True) if v})
+
+    assert sums(near)[1] == Counter({k: v for k, v in want.items() if v})
+    long = (edge.prose(rng, 4000) + ", 12%\n") * 250
+    tracemalloc.start()
+    out, _ = sums([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(long) > 5_000_000 and peak < 64 << 20, (len(long), peak)
+    monkeypatch.setattr(quality_model, "CHUNK", 1000, raising=False)
+    monkeypatch.setattr(quality_model, "STEP", 7, raising=False)
+    assert sums(near)[1] == Counter({k: v for k, v in want.items() if v})
+    assert max(b.nbytes for b in out) <= 1 << 20
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_, **__: pytest.fail("a table is kept"))
+    rows = [(k, edge.prose(rng, 30), "en", "s", 1) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert quality_model.op9_quality_model(spark.createDataFrame(rows, edge.DOCUMENTS), labels).count() == 60
+
+
 def test_pseudonyms_keep_format_and_links(spark, none):
     texts = [
         "card 4111 1111 1111 1111 then 4111111111111111", "born 2021-02-28 or 28.02.2021, not 2021-02-31", "ssn 123-45-6789", "iban DE89 3704 0044 0532 0130 00", "ip 10.0.0.1",

@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import hold, remainder
+from .shared import remainder, tidy
 
 ROWS, DIMS, MARKS, REACH = 1 << 15, 32, 2, 2
+#: Text bytes and words worked on at once, and rows of the table of word vectors in a batch: executors have little room beside their heap.
+CHUNK, STEP, BATCH = 1 << 18, 1 << 16, 1 << 10
 #: Labelled rows that the network learns from, at most in expectation.
 SAMPLE = 20_000
 HIDDEN, EPOCHS = 32, 120
@@ -48,26 +50,46 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def word_rows(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The row of each word of each text, and the offsets of the texts in them."""
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint16), np.zeros(len(offs), np.int64)
     kind = _KIND[raw]
     new = np.ones(len(raw), bool)
     new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
     new[offs[:-1][offs[:-1] < len(raw)]] = True
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(raw))
+    sizes = np.diff(starts, append=len(raw))
+    power = np.full(sizes.max(), H._BASE, _U)
+    power[0] = 1
+    power = np.cumprod(power)[np.arange(len(raw)) - np.repeat(starts, sizes)]
+    sums = np.add.reduceat((raw.astype(_U) + _U(1)) * power, starts)
     use = kind[starts] > 0
-    starts, ends = starts[use], ends[use]
-    power, inverse = H._power_tables(len(raw))
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum((raw.astype(_U) + _U(1)) * power[: len(raw)], out=total[1:])
-    rows = H.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U)) % _U(ROWS)
-    return rows.astype(np.int64), np.searchsorted(starts, offs)
+    return (H.mix(sums[use] + sizes[use].astype(_U)) % _U(ROWS)).astype(np.uint16), np.searchsorted(starts[use], offs)
+
+
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text of any length in pieces of about `CHUNK` bytes, cut between words; a longer word is whole."""
+    at = 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        while end < len(raw):
+            kind = _KIND[raw[at : end + 1]]
+            edges = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] % 3 == 0))
+            if len(edges):
+                end = at + int(edges[-1]) + 1
+                break
+            end = min(2 * end - at, len(raw))
+        yield raw[at:end]
+        at = end
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offs = H.text_buffers(batch.column("text"))
-    for lo, hi in H.row_chunks(offs):
-        yield lo, hi, *word_rows(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+    for lo, hi in H.row_chunks(offs, CHUNK):
+        if hi - lo > 1:
+            yield lo, hi, *word_rows(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        else:
+            parts = [word_rows(piece, np.array([0, len(piece)]))[0] for piece in _pieces(raw[offs[lo] : offs[hi]])]
+            rows = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+            yield lo, hi, rows, np.array([0, len(rows)])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,22 +97,28 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ROWS * DIMS, np.int64)
     for batch in batches:
         for _, _, rows, cut in _chunks(batch):
-            text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            for reach in range(1, REACH + 1):
-                same = text[reach:] == text[:-reach]
-                left, right = rows[:-reach][same], rows[reach:][same]
-                for a, b in ((left, right), (right, left)):
-                    for k in range(MARKS):
-                        np.add.at(total, a * DIMS + place[b, k], sign[b, k])
+            for at in range(0, len(rows), STEP):
+                part = rows[at : at + STEP + REACH].astype(np.int64)
+                text = np.searchsorted(cut, np.arange(at, at + len(part)), "right")
+                for reach in range(1, REACH + 1):
+                    n = min(STEP, len(part) - reach)
+                    if n > 0:
+                        same = text[reach : reach + n] == text[:n]
+                        left, right = part[:n][same], part[reach : reach + n][same]
+                        for a, b in ((left, right), (right, left)):
+                            for k in range(MARKS):
+                                np.add.at(total, a * DIMS + place[b, k], sign[b, k])
     wide = total.reshape(ROWS, DIMS)
     used = np.flatnonzero(wide.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(wide[used, k]) for k in range(DIMS))], names=["row", *(f"v{k}" for k in range(DIMS))])
+    for at in range(0, len(used), BATCH):
+        own = used[at : at + BATCH]
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(wide[own, k]) for k in range(DIMS))], names=["row", *(f"v{k}" for k in range(DIMS))])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """ROWS x DIMS float32 from all texts: a table of fixed size, summed on the executors before it is collected."""
     names = [f"v{k}" for k in range(DIMS)]
-    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_contexts, "row long, " + ", ".join(f"{n} long" for n in names))
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(_contexts), "row long, " + ", ".join(f"{n} long" for n in names))
     table = sums.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     out = np.zeros((ROWS, DIMS), np.float32)
     if len(table):
@@ -99,20 +127,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _features(rows: np.ndarray, cut: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(cut) - 1, 2 * DIMS), np.float32)
+    for d in range(len(out)):
+        own = rows[cut[d] : cut[d + 1]]
+        if len(own):
+            kinds, count = np.unique(own, return_counts=True)
+            v = vectors[kinds]
+            out[d, :DIMS] = (count / len(own)) @ v
+            out[d, DIMS:] = v.mean(axis=0)
+    return out
+
+
 def _pool(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, rows, cut in _chunks(batch):
-            n = hi - lo
-            out = np.zeros((n, 2 * DIMS), np.float32)
-            for d in range(n):
-                own = rows[cut[d] : cut[d + 1]]
-                if len(own):
-                    kinds, count = np.unique(own, return_counts=True)
-                    v = vectors[kinds]
-                    out[d, :DIMS] = (count / len(own)) @ v
-                    out[d, DIMS:] = v.mean(axis=0)
+            out = _features(rows, cut, vectors)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), lists], names=["doc_id", "held_out", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("quality").slice(lo, hi - lo), lists], names=["doc_id", "quality", "features"])
 
 
 @dataclass
@@ -169,25 +201,28 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
-def _predict(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 2 * DIMS))
-        score = net.probability(x)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for lo, hi, rows, cut in _chunks(batch):
+            score = net.probability(_features(rows, cut, vectors).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted for each row of `docs`; `held_out` rows teach no label."""
+    """doc_id, held_out, score (probability of label 1), predicted for each row of `docs`; `held_out` rows teach no label.
+
+    Texts are pooled where they are scored, and those of the sample once more before: no table of all pooled texts is kept.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     vectors = word_vectors(rows)
-    pooled = hold(rows.mapInArrow(lambda it: _pool(it, vectors), "doc_id long, held_out boolean, features array<float>"), "pooled")
     usable = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out)
     share = min(1.0, SAMPLE / max(usable.count(), 1))
     sample = usable.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id", "quality"), F.lit(1_000_000)) < share * 1_000_000)
-    taught = pooled.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "features").orderBy("doc_id", "quality").toPandas()  # `SAMPLE` rows
+    known = rows.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality"), "text")
+    taught = known.mapInArrow(tidy(lambda it: _pool(it, vectors)), "doc_id long, quality long, features array<float>").toPandas().sort_values(["doc_id", "quality"])  # `SAMPLE` rows; sorted here, as a sort in Spark would pool them twice
     x = np.array(taught["features"].tolist(), float).reshape(len(taught), 2 * DIMS)
     net = train(x, taught["quality"].to_numpy(int))
-    return pooled.mapInArrow(lambda it: _predict(it, net), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(lambda it: _predict(it, vectors, net)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_quality_model(documents: DataFrame, labels: DataFrame) -> DataFrame:
