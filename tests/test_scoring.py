@@ -106,3 +106,25 @@ def test_nearest_entries_are_never_none(spark, monkeypatch, terms):
     want = sorted((q, i, n, place) for q, t in asked.items() for place, (n, i) in enumerate(sorted(((len(token(t) & token(x)), i) for i, x in catalogue.items()), key=lambda x: (-x[0], x[1]))[:3], 1))
     got = K.nearest_by_tokens(spark.createDataFrame(list(catalogue.items()), "id string, text string"), spark.createDataFrame(list(asked.items()), "request long, text string"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("terms", [K.BLOCK_TERMS, 60])
+def test_sparse_blocks_shuffle_no_terms(spark, monkeypatch, terms):
+    monkeypatch.setattr(K, "BLOCK_TERMS", terms)
+    monkeypatch.setattr(K, "ROWS", 16, raising=False)
+    monkeypatch.setattr(K, "CELLS", 64, raising=False)
+    monkeypatch.setattr(K, "COMMON", 3, raising=False)
+    rng = random.Random(6)
+    # Norms differ by far, copies tie, a term repeats in a row, and some queries share terms with few rows or none.
+    docs = {k: [(f"{'ab'[k % 2]}{rng.randrange(12)}", float(rng.randint(1, 2 + k // 20))) for _ in range(rng.randint(1, 14))] for k in range(240)}
+    docs |= {300 + k: docs[239] for k in range(20)} | {400: [("alone", 2.0)], 401: [("a0", 0.0)], 402: [("rare", 1.0), ("a1", 1.0)]}
+    asked = {k: own for k, own in docs.items() if k % 5 == 0 or k > 399}
+    total = lambda own: {t: sum(w for x, w in own if x == t) for t, _ in own}
+    sums = {k: total(own) for k, own in docs.items()}
+    want = top(((q, d, sum(w * own.get(t, 0) for t, w in sums[q].items())) for q in asked for d, own in sums.items() if sums[q].keys() & own.keys()), 4)
+    long = lambda rows, key: spark.createDataFrame([(k, t, w) for k, own in rows.items() for t, w in own], f"{key} long, term string, weight double")
+    found = K.sparse_topk(long(docs, "item").repartition(3), long(asked, "query"), 4)
+    assert rows_of(found) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange") == 1 and "Aggregate" not in plan  # the best of each query, however many blocks

@@ -5,12 +5,13 @@ the whole block and passes on the best few for each query; so what is shuffled i
 hot, whatever term or profile most rows share. More queries than a block holds are dealt into several by a hash. Ties go to the lesser item.
 
 * Dense: matrix products of unit vectors.
-* Sparse: an inverted index of the batch. Terms are taken by their greatest possible contribution; once the rest together can't lift a row that has
-  none of the terms before above the query's k-th best so far, they are only looked up for the rows already met. No row of the best k is lost.
+* Sparse: rows of falling norm, as long as norm times the query's norm reaches its k-th best so far; no row of the best k is lost. Terms that many queries
+  have are a matrix product, the others an inverted index of the rows.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -20,10 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: Bytes of vectors and (query, term) rows in a block, at most in the mean.
 BLOCK_BYTES, BLOCK_TERMS = 64 << 20, 500_000
 #: Scores held at once.
 AT_ONCE = 1 << 22
+#: Sparse: rows, and scores or entries, worked on at once; columns of the matrix of common terms; kinds of rows in which floors are looked for.
+ROWS, CELLS, COMMON, KINDS = 1024, 1 << 19, 512, 64
 #: Half a unit of the sixth digit, to which scores are rounded: bounds are loosened by it.
 _SLACK = 1e-6
 
@@ -138,65 +143,226 @@ class Index:
         return met, total[met] + np.array(each)
 
 
-def _queries_by_term(block: pa.Table, weight: str | None) -> tuple[pa.Array, pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
-    """Ids, vocabulary, and each id's term numbers and weights (terms that repeat add up)."""
-    ids = pc.unique(block["query"]).cast(block["query"].type)
-    vocabulary = pc.unique(block["term"])
-    at = pc.index_in(block["query"], ids).to_numpy()
-    term = pc.index_in(block["term"], vocabulary).to_numpy()
-    values = block[weight].cast(pa.float64()).to_numpy() if weight else np.ones(len(at))
-    order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(len(ids) + 1))
-    out = []
-    for k in range(len(ids)):
-        own = order[cut[k] : cut[k + 1]]
-        kinds, place = np.unique(term[own], return_inverse=True)
-        out.append((kinds, np.bincount(place, values[own], len(kinds))))
-    return ids, vocabulary, out
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _by_row(df: DataFrame, key: str) -> DataFrame:
+    """A row for each `key`: terms, weights (of terms that repeat, their sum), norm, and the term of the greatest weight as `kind`."""
+    summed = df.select(key, "term", F.col("weight").cast("double").alias("weight")).dropna().groupBy(key, "term").agg(F.sum("weight").alias("weight"))
+    return summed.groupBy(key).agg(
+        F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.max(F.struct("weight", "term"))["term"].alias("kind")
+    )
+
+
+def _flat(table: pa.Table, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, term numbers and weights of the entries whose term is in the vocabulary."""
+    terms = table["terms"].combine_chunks()
+    number = pc.fill_null(pc.index_in(pc.list_flatten(terms), vocabulary), -1).to_numpy()
+    place, weight = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy()), pc.list_flatten(table["weights"].combine_chunks()).to_numpy()
+    known = number >= 0
+    return place[known], number[known], weight[known]
+
+
+def _heads(rows: DataFrame, k: int) -> pa.Table:
+    """Rows of great norm of the commonest kinds, BLOCK_TERMS terms at most: what most queries find good matches in."""
+    kinds = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").limit(KINDS)
+    w = Window.partitionBy("kind").orderBy(F.desc("norm"), "item")
+    first = rows.select("kind", "item", "norm", F.size("terms").alias("size")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 4 * k).join(F.broadcast(kinds), "kind").toArrow()
+    order = np.lexsort((first["place"].to_numpy(), -first["n"].to_numpy(), (first["place"].to_numpy() - 1) // k))
+    order = order[np.cumsum(first["size"].to_numpy()[order]) <= BLOCK_TERMS]
+    chosen = rows.sparkSession.createDataFrame(first.take(pa.array(order)).select(["item"]), rows.select("item").schema)
+    return rows.select("item", "terms", "weights").join(F.broadcast(chosen), "item", "left_semi").toArrow()
+
+
+def _with_floor(asked: DataFrame, heads: pa.Table, k: int) -> DataFrame:
+    """`asked` with the k-th best score among the heads, null where fewer than k of them share a term."""
+    vocabulary = pc.unique(pc.list_flatten(heads["terms"].combine_chunks()))
+    rows, terms, weights = _flat(heads, vocabulary)
+    index = Index(rows, terms, weights, heads.num_rows, len(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, own, weight = _flat(pa.Table.from_batches([batch]), vocabulary)
+            cut = np.searchsorted(at, np.arange(batch.num_rows + 1))
+            found = (index.scores(own[a:b], weight[a:b], 0.0)[1] for a, b in zip(cut, cut[1:], strict=False))
+            floor = [float(-np.sort(-np.round(x, 6))[k - 1]) if len(x) >= k else None for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.float64())], names=[*batch.schema.names, "floor"])
+        _give_back()
+
+    kinds = dict(asked.dtypes)
+    return asked.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in asked.columns) + ", floor double")
+
+
+class Block:
+    """Queries of one block, those that need the fewest rows last, against batches of rows; `pruned`: each has a floor above 0."""
+
+    def __init__(self, block: pa.Table, k: int, pruned: bool):
+        self.k, self.pruned, self.ids, self.norm = k, pruned, block["query"].combine_chunks(), block["norm"].to_numpy()
+        self.floor = block["floor"].to_numpy() if pruned else np.full(block.num_rows, -np.inf)
+        self.vocabulary = pc.unique(pc.list_flatten(block["terms"].combine_chunks()))
+        self.at, self.terms, self.weights = _flat(block, self.vocabulary)
+
+    def least(self) -> float:
+        """The norm below which a row is among the best of no query here."""
+        return float((_low(self.floor) / self.norm).min())
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Scorer(self)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank = np.empty(batch.num_rows, np.int64)
+            rank[pc.sort_indices(batch["item"]).to_numpy()] = np.arange(batch.num_rows)
+            norm, size = batch["norm"].to_numpy(), pc.list_value_length(batch["terms"]).to_numpy()
+            order, hits = np.argsort(-norm, kind="stable"), []
+            for part in _pieces(order, size):
+                which, row, score = task.scores(batch.select(["terms", "weights"]).take(pa.array(part)), norm[part], rank[part])
+                hits.append((which, part[row], score))
+            which, row, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+            keep = _firsts(which, rank[row], score, self.k)
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(which[keep])), batch["item"].take(pa.array(row[keep])), pa.array(score[keep])], names=["query", "item", "score"])
+        del task
+        _give_back()
+
+
+class _Scorer:
+    """A block within a task: its terms as a matrix and the rest, and the best scores so far."""
+
+    def __init__(self, block: Block):
+        self.block, n = block, len(block.ids)
+        self.floor, self.tops = block.floor.copy(), np.full((n, block.k), -np.inf)
+        # A product doesn't show whether a row shares a term, which counts where there is no floor.
+        size = min(COMMON, AT_ONCE // max(n, 1)) if block.pruned else 0
+        top = np.argsort(-np.bincount(block.terms, minlength=len(block.vocabulary)), kind="stable")[:size]
+        self.column = np.full(len(block.vocabulary), -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        column = self.column[block.terms]
+        common = column >= 0
+        self.matrix = np.zeros((n, len(top)))
+        self.matrix[block.at[common], column[common]] = block.weights[common]
+        self.rare = block.at[~common], block.terms[~common], block.weights[~common]
+
+    def scores(self, piece: pa.RecordBatch, norm: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and score of the rows of a piece, in order of falling norm, that may be among the best."""
+        block, n, found = self.block, len(norm), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        need = np.flatnonzero(~(norm[0] * block.norm < _low(self.floor)))
+        if not len(need):
+            return found[0]
+        active = need[-1] + 1
+        rows, terms, weights = _flat(pa.Table.from_batches([piece]), block.vocabulary)
+        matrix, (at, own, by), column = (self.matrix, self.rare, self.column[terms]) if np.isfinite(norm).all() else (self.matrix[:, :0], (block.at, block.terms, block.weights), np.full(len(terms), -1))
+        dense = np.zeros((n, matrix.shape[1]))
+        dense[rows[column >= 0], column[column >= 0]] = weights[column >= 0]
+        rest = np.flatnonzero(column < 0)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        rows, weights, start = rows[rest], weights[rest], np.searchsorted(terms[rest], np.arange(len(block.vocabulary) + 1))
+        end = np.searchsorted(at, active)
+        count = start[own[:end] + 1] - start[own[:end]]
+        met = np.flatnonzero(count)
+        at, first, by, count = at[met], start[own[met]], by[met], count[met]
+        work = np.concatenate([[0], np.cumsum(np.bincount(at, count, active) + n)])
+        a = 0
+        while a < active:
+            b = max(a + 1, int(np.searchsorted(work, work[a] + CELLS, "right")) - 1)
+            score = matrix[a:b] @ dense.T
+            x = slice(*np.searchsorted(at, [a, b]))
+            posting = np.arange(count[x].sum()) + np.repeat(first[x] - np.cumsum(count[x]) + count[x], count[x])
+            cell = np.repeat((at[x] - a) * n, count[x]) + rows[posting]
+            np.add.at(score.reshape(-1), cell, weights[posting] * np.repeat(by[x], count[x]))
+            good = score >= _low(self.floor[a:b])[:, None]
+            if not block.pruned:
+                shares = np.zeros(score.size, bool)
+                shares[cell] = True
+                good &= shares.reshape(score.shape)
+            which, row = np.nonzero(good)
+            if len(which):
+                value = np.round(score[which, row], 6)
+                keep = _firsts(which, rank[row], value, block.k)
+                found.append((which[keep] + a, row[keep], value[keep]))
+                self._raise(which[keep] + a, value[keep])
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _raise(self, which: np.ndarray, value: np.ndarray) -> None:
+        """Takes in the new scores of queries, in their order and k of each at most."""
+        k = self.block.k
+        some, begin, count = np.unique(which, return_index=True, return_counts=True)
+        fresh = np.full((len(some), k), -np.inf)
+        fresh[np.repeat(np.arange(len(some)), count), np.arange(len(which)) - np.repeat(begin, count)] = value
+        self.tops[some] = -np.sort(-np.concatenate([self.tops[some], fresh], axis=1), axis=1)[:, :k]
+        self.floor[some] = np.maximum(self.floor[some], self.tops[some, -1])
+
+
+def _low(floor: np.ndarray) -> np.ndarray:
+    return floor - np.abs(floor) * 1e-9 - 2 * _SLACK
+
+
+def _pieces(order: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """`order` in pieces of ROWS rows and about CELLS entries at most."""
+    end, a = np.cumsum(size[order]), 0
+    while a < len(order):
+        b = min(a + ROWS, max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + CELLS, "right"))))
+        yield order[a:b]
+        a = b
+
+
+def _give_back() -> None:
+    """Workers outlive their tasks, beside a heap that needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _firsts(which: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Of each `which`, in order, the k highest scores, ties to the lower place."""
+    order = np.lexsort((place, -score, which))
+    own = which[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
 def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, item, score, rank by the sum of weight products over shared terms; both tables have (item or query, term, weight).
 
-    Null ids, terms and weights are left out. An item is a row of its terms here, made of those that some query of the block has.
+    Null ids, terms and weights are left out; weights of a term that repeats add up. Rows of terms are made once and held, then read by each block. A query's floor is its k-th
+    best score among some rows; as no score is above the product of norms, rows of a norm below floor / norm of the query can't be among its best. Queries of like floors make
+    a block, and a block reads the rows that one of them may need. What is passed on reaches the floor, so it doesn't grow with the number of batches.
     """
     query, item = dict(queries.dtypes)["query"], dict(items.dtypes)["item"]
-    asked = queries.select("query", "term", "weight").dropna()
-    blocks = -(-asked.count() // BLOCK_TERMS)
     spark = items.sparkSession
-
-    def one(block: pa.Table) -> DataFrame:
-        ids, vocabulary, each = _queries_by_term(block, "weight")
-        known = spark.createDataFrame(pa.table({"term": vocabulary}))  # BLOCK_TERMS rows at most, in the mean
-        met = items.select("item", "term", "weight").dropna().join(F.broadcast(known), "term", "left_semi")
-        rows = met.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            floors: list[np.ndarray] = [np.zeros(0)] * len(each)
-            for batch in batches:
-                batch = pa.Table.from_batches([batch]).sort_by("item")
-                if not batch.num_rows:
-                    continue
-                sizes = pc.list_value_length(batch["terms"].combine_chunks()).to_numpy()
-                terms = pc.index_in(pc.list_flatten(batch["terms"].combine_chunks()), vocabulary).to_numpy()
-                index = Index(np.repeat(np.arange(len(sizes)), sizes), terms, pc.list_flatten(batch["weights"].combine_chunks()).to_numpy(), len(sizes), len(vocabulary))
-                which, place, values = [], [], []
-                for n, (own, weights) in enumerate(each):
-                    row, score = index.scores(own, weights, floors[n][-1] if len(floors[n]) == k else 0.0)
-                    score = np.round(score, 6)
-                    top = best(score, k)
-                    floors[n] = -np.sort(-np.concatenate([floors[n], score[top]]))[:k]
-                    which.append(np.full(len(top), n))
-                    place.append(row[top])
-                    values.append(score[top])
-                which, place = np.concatenate(which), np.concatenate(place)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch["item"].combine_chunks().take(pa.array(place)), pa.array(np.concatenate(values))], names=["query", "item", "score"])
-
-        return rows.mapInArrow(run, f"query {query}, item {item}, score double")
-
-    if not blocks:
+    rows = _held(_by_row(items, "item"), "rows")
+    asked = _held(_with_floor(_by_row(queries, "query").drop("kind"), _heads(rows, k), k), "asked")
+    finite = (F.col("norm") > 0) & (F.col("norm") < float("inf")) & (F.col("floor") > 0) & (F.col("floor") < float("inf"))
+    level = F.when(finite, F.greatest(F.lit(-60), F.floor(2 * F.log2(F.col("floor") / F.col("norm")))).cast("int"))
+    sizes = asked.groupBy(level.alias("level")).agg(F.sum(F.size("terms")).alias("n")).collect()
+
+    def one(found: DataFrame, pruned: bool) -> DataFrame:
+        table = found.select("query", "terms", "weights", "norm", "floor").toArrow()
+        if pruned:
+            table = table.take(pa.array(np.argsort(table["floor"].to_numpy() / table["norm"].to_numpy(), kind="stable")))
+        block = Block(table, k, pruned)
+        near = rows.select("item", "terms", "weights", "norm")
+        return (near.filter(F.col("norm") >= block.least()) if pruned else near).mapInArrow(block.run, f"query {query}, item {item}, score double")
+
+    groups: list[tuple[list[int], int]] = []  # neighbouring levels that together fill a block, and their terms
+    for r in sorted((r for r in sizes if r["level"] is not None), key=lambda r: -r["level"]):
+        if groups and groups[-1][1] + r["n"] <= BLOCK_TERMS:
+            groups[-1] = groups[-1][0] + [r["level"]], groups[-1][1] + r["n"]
+        else:
+            groups.append(([r["level"]], r["n"]))
+    parts = [(asked.filter(level.isin(levels)), n, True) for levels, n in groups] + [(asked.filter(level.isNull()), r["n"], False) for r in sizes if r["level"] is None]
+    found = []
+    for part, n, pruned in parts:
+        blocks = -(-n // BLOCK_TERMS)
+        dealt = F.pmod(F.xxhash64("query"), F.lit(blocks))
+        found += [one(part.filter(dealt == b), pruned) for b in range(blocks)]
+    if not found:
         return spark.createDataFrame([], f"query {query}, item {item}, score double, rank int")
-    return ranked(in_blocks(asked, "query", blocks, one), k)
+    return ranked(reduce(DataFrame.unionByName, found), k)
 
 
 def nearest_by_tokens(catalogue: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:

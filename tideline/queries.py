@@ -162,14 +162,15 @@ def dense(spark, sf, k=10):
     return K.dense_topk(vectors, vectors.filter("item % 20 = 0").withColumnRenamed("item", "query"), k)
 
 
-def term_weights(spark, sf):
-    terms = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def terms(spark, sf):
+    """The words of documents, each of weight 1; a document's rows come together before its words are told apart, so that only texts are shuffled."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    return docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term"), F.lit(1.0).alias("weight"))
 
 
 def sparse(spark, sf, k=10):
-    weights = term_weights(spark, sf)
-    return K.sparse_topk(weights.withColumnRenamed("doc_id", "item"), weights.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), k)
+    found = terms(spark, sf)
+    return K.sparse_topk(found.withColumnRenamed("doc_id", "item"), found.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), k)
 
 
 @query(DENSE)
