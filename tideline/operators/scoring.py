@@ -12,6 +12,7 @@ hot, whatever term or profile most rows share. More queries than a block holds a
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -29,6 +30,8 @@ BLOCK_BYTES, BLOCK_TERMS = 64 << 20, 500_000
 AT_ONCE = 1 << 22
 #: Sparse: rows, and scores or entries, worked on at once; columns of the matrix of common terms; kinds of rows in which floors are looked for.
 ROWS, CELLS, COMMON, KINDS = 1024, 1 << 19, 512, 64
+#: Bytes of a group of held rows.
+GROUP_BYTES = 1 << 20
 #: Half a unit of the sixth digit, to which scores are rounded: bounds are loosened by it.
 _SLACK = 1e-6
 
@@ -61,14 +64,19 @@ def units(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / length[good, None], rows[good]
 
 
-def best(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the lower place."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        place = np.flatnonzero(score >= least)
-    else:
-        place = np.arange(len(score))
-    return place[np.lexsort((place, -score[place]))[:k]]
+def _firsts(which: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Of each `which`, in order, the k highest scores, ties to the lower place."""
+    order = np.lexsort((place, -score, which))
+    own = which[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def raise_tops(tops: np.ndarray, which: np.ndarray, score: np.ndarray) -> None:
+    """Takes new scores, k at most for each `which` in order, into the falling k best of each."""
+    some, begin, count = np.unique(which, return_index=True, return_counts=True)
+    fresh = np.full((len(some), tops.shape[1]), -np.inf)
+    fresh[np.repeat(np.arange(len(some)), count), np.arange(len(which)) - np.repeat(begin, count)] = score
+    tops[some] = -np.sort(-np.concatenate([tops[some], fresh], axis=1), axis=1)[:, : tops.shape[1]]
 
 
 def dense_topk(items: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
@@ -86,19 +94,25 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int, allowed: Column | N
         ids = block["query"].combine_chunks().take(pa.array(rows)) if len(rows) else block["query"].combine_chunks().slice(0, 0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops = np.full((len(q), k), -np.inf)  # of this task so far; what is below isn't passed on
             for batch in batches:
                 batch = pa.Table.from_batches([batch]).sort_by("item")
                 v, at = units(batch["vector"])
                 if not len(at) or not len(q) or v.shape[1] != q.shape[1]:
                     continue
-                step = max(AT_ONCE // len(at), 1)
+                step = max(min(AT_ONCE, CELLS) // len(at), 1)
                 for lo in range(0, len(q), step):
-                    scores = np.round(q[lo : lo + step] @ v.T, 6)
-                    picks = [best(s, k) for s in scores]
-                    counts = np.array([len(p) for p in picks])
-                    place = np.concatenate(picks)
-                    which = np.repeat(np.arange(len(picks)), counts)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + which)), batch["item"].combine_chunks().take(pa.array(at[place])), pa.array(scores[which, place])], names=["query", "item", "score"])
+                    scores = q[lo : lo + step] @ v.T
+                    floor = tops[lo : lo + step, -1]
+                    if len(at) > k and not np.isfinite(floor).all():
+                        floor = np.maximum(floor, np.partition(scores, len(at) - k, axis=1)[:, len(at) - k])
+                    which, place = np.nonzero(scores >= floor[:, None] - _SLACK)
+                    value = np.round(scores[which, place], 6)
+                    keep = _firsts(which, place, value, k)
+                    which, place, value = which[keep] + lo, place[keep], value[keep]
+                    if len(which):
+                        raise_tops(tops, which, value)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch["item"].combine_chunks().take(pa.array(at[place])), pa.array(value)], names=["query", "item", "score"])
 
         return stored.mapInArrow(run, f"query {query}, item {item}, score double")
 
@@ -144,9 +158,9 @@ class Index:
 
 
 def _held(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written and read again."""
+    """`df`, written in order of norm and read again; small groups of rows, so that a filter on the norm passes over the others."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.sortWithinPartitions("norm").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -211,10 +225,11 @@ class Block:
         return float((_low(self.floor) / self.norm).min())
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = _Scorer(self)
+        task = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            task = task or _Scorer(self)
             rank = np.empty(batch.num_rows, np.int64)
             rank[pc.sort_indices(batch["item"]).to_numpy()] = np.arange(batch.num_rows)
             norm, size = batch["norm"].to_numpy(), pc.list_value_length(batch["terms"]).to_numpy()
@@ -283,19 +298,11 @@ class _Scorer:
                 value = np.round(score[which, row], 6)
                 keep = _firsts(which, rank[row], value, block.k)
                 found.append((which[keep] + a, row[keep], value[keep]))
-                self._raise(which[keep] + a, value[keep])
+                raise_tops(self.tops, which[keep] + a, value[keep])
+                self.floor[a:b] = np.maximum(self.floor[a:b], self.tops[a:b, -1])
             a = b
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _raise(self, which: np.ndarray, value: np.ndarray) -> None:
-        """Takes in the new scores of queries, in their order and k of each at most."""
-        k = self.block.k
-        some, begin, count = np.unique(which, return_index=True, return_counts=True)
-        fresh = np.full((len(some), k), -np.inf)
-        fresh[np.repeat(np.arange(len(some)), count), np.arange(len(which)) - np.repeat(begin, count)] = value
-        self.tops[some] = -np.sort(-np.concatenate([self.tops[some], fresh], axis=1), axis=1)[:, :k]
-        self.floor[some] = np.maximum(self.floor[some], self.tops[some, -1])
-
 
 def _low(floor: np.ndarray) -> np.ndarray:
     return floor - np.abs(floor) * 1e-9 - 2 * _SLACK
@@ -318,13 +325,6 @@ def _give_back() -> None:
         trim(0)
 
 
-def _firsts(which: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Of each `which`, in order, the k highest scores, ties to the lower place."""
-    order = np.lexsort((place, -score, which))
-    own = which[order]
-    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
-
-
 def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, item, score, rank by the sum of weight products over shared terms; both tables have (item or query, term, weight).
 
@@ -339,6 +339,7 @@ def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     finite = (F.col("norm") > 0) & (F.col("norm") < float("inf")) & (F.col("floor") > 0) & (F.col("floor") < float("inf"))
     level = F.when(finite, F.greatest(F.lit(-60), F.floor(2 * F.log2(F.col("floor") / F.col("norm")))).cast("int"))
     sizes = asked.groupBy(level.alias("level")).agg(F.sum(F.size("terms")).alias("n")).collect()
+    stored = rows.groupBy(F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.floor(2 * F.log2("norm"))).alias("level")).agg(F.sum(F.size("terms")).alias("n")).collect()
 
     def one(found: DataFrame, pruned: bool) -> DataFrame:
         table = found.select("query", "terms", "weights", "norm", "floor").toArrow()
@@ -346,7 +347,11 @@ def sparse_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             table = table.take(pa.array(np.argsort(table["floor"].to_numpy() / table["norm"].to_numpy(), kind="stable")))
         block = Block(table, k, pruned)
         near = rows.select("item", "terms", "weights", "norm")
-        return (near.filter(F.col("norm") >= block.least()) if pruned else near).mapInArrow(block.run, f"query {query}, item {item}, score double")
+        if pruned:
+            least = block.least()
+            n = sum(r["n"] for r in stored if r["level"] is None or least <= 0 or r["level"] >= math.floor(2 * math.log2(least)))
+            near = near.filter(F.col("norm") >= least).coalesce(n // BLOCK_TERMS + 1)  # a task costs more than the few rows of a file that are left
+        return near.mapInArrow(block.run, f"query {query}, item {item}, score double")
 
     groups: list[tuple[list[int], int]] = []  # neighbouring levels that together fill a block, and their terms
     for r in sorted((r for r in sizes if r["level"] is not None), key=lambda r: -r["level"]):
