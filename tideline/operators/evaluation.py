@@ -12,36 +12,53 @@ REFUSAL_ABOVE, FALSE_REFUSAL_BELOW = 0.90, 0.05
 ENTAILMENT_FROM, UNCITED_TO, GROUP_COVERAGE_FROM, SEVERITY_FROM = 0.95, 0.35, 0.75, 0.90
 
 
-def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """query, n_gold, recall_any, recall_all, mrr, ndcg for each query with gold.
 
-    `ranked` has query, item, rank (from 1, whole list); `gold` has query, item. nDCG is binary, its ideal has min(gold, k)
-    hits. Reciprocal rank looks at the whole list, the others at the first `k`.
+    `ranked` has query, item, rank (from 1, whole list); `gold` has query, item. With `asked` (query, group), `gold` has item, group instead: a query's gold are the items that share a
+    group with it, and they are counted, never paired with queries. nDCG is binary, its ideal has min(gold, k) hits. Reciprocal rank looks at the whole list, the others at the first `k`.
     """
-    hits = gold.select("query", "item").distinct().join(ranked.select("query", "item", "rank"), ["query", "item"], "left")
+    if asked is None:
+        each = gold.select("query", "item").distinct()
+        sizes, hits = each.groupBy("query").agg(F.count(F.lit(1)).alias("n_gold")), each.join(ranked.select("query", "item", "rank"), ["query", "item"])
+    else:
+        sizes, hits = _group_sizes(gold, asked), _group_hits(ranked, gold, asked)
     within = F.col("rank") <= k
-    per = hits.groupBy("query").agg(
-        F.count(F.lit(1)).alias("n_gold"),
-        F.coalesce(F.bool_or(within), F.lit(False)).alias("recall_any"),
-        F.bool_and(F.coalesce(within, F.lit(False))).alias("recall_all"),
-        F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.sum(F.when(within, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("__dcg"),
-    )
+    found = hits.groupBy("query").agg(F.count_if(within).alias("__in"), F.min("rank").alias("__first"), F.sum(F.when(within, 1 / F.log2(F.col("rank") + 1))).alias("__dcg"))
+    inside = F.coalesce("__in", F.lit(0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, r: acc + 1 / F.log2(r + 1))
-    return per.withColumn("ndcg", F.col("__dcg") / ideal).drop("__dcg")
+    return sizes.join(found, "query", "left").select(
+        "query", "n_gold", (inside > 0).alias("recall_any"), (inside == F.col("n_gold")).alias("recall_all"), F.coalesce(1 / F.col("__first"), F.lit(0.0)).alias("mrr"), (F.coalesce("__dcg", F.lit(0.0)) / ideal).alias("ndcg")
+    )
+
+
+def _group_sizes(gold: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, n_gold. Items and queries of the same groups count together, so that nothing is as large as a group; an item that shares several groups with a query counts once."""
+    groups = lambda df, key, name: df.select(key, "group").dropna().groupBy(key).agg(F.sort_array(F.collect_set("group")).alias(name))
+    stored = groups(gold, "item", "theirs").groupBy("theirs").agg(F.count(F.lit(1)).alias("n"))
+    own = groups(asked, "query", "own")
+    pairs = own.select("own").distinct().withColumn("group", F.explode("own")).join(stored.withColumn("group", F.explode("theirs")), "group").select("own", "theirs", "n").distinct()
+    return own.join(pairs.groupBy("own").agg(F.sum("n").alias("n_gold")), "own").select("query", "n_gold")
+
+
+def _group_hits(ranked: DataFrame, gold: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, rank of the ranked items that share a group with their query."""
+    rows = ranked.select("query", "item", "rank").join(asked.select("query", "group").distinct(), "query")
+    return rows.join(gold.select("item", "group").distinct(), ["item", "group"]).select("query", "item", "rank").distinct()
 
 
-def rerank_benchmark(candidates: DataFrame, scores: DataFrame, gold: DataFrame, cut: int, k: int) -> DataFrame:
+def rerank_benchmark(candidates: DataFrame, scores: DataFrame, gold: DataFrame, cut: int, k: int, asked: DataFrame | None = None) -> DataFrame:
     """model and the means of `retrieval_metrics` when each model's scores (model, query, item, score) put the candidates (query, item, rank) in order, and the `cut` best stay.
 
     All models and queries are ranked in one pass. A candidate that a model has no score for comes last; ties stay in the order of `rank`.
     """
     models = F.broadcast(scores.select("model").distinct())  # one row for each model
     of = lambda df: df.withColumn("query", F.struct("model", "query"))
+    each_model = lambda df, c: of(df.select("query", c).join(models, F.lit(True))).select("query", c)
     scored = candidates.join(models, F.lit(True)).join(scores, ["model", "query", "item"], "left")
     order = Window.partitionBy("model", "query").orderBy(F.col("score").desc_nulls_last(), "rank")
-    kept = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cut)
-    each = retrieval_metrics(of(kept).select("query", "item", "rank"), of(gold.select("query", "item").join(models, F.lit(True))).select("query", "item"), k)
+    kept = of(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cut)).select("query", "item", "rank")
+    each = retrieval_metrics(kept, each_model(gold, "item"), k) if asked is None else retrieval_metrics(kept, gold, k, each_model(asked, "group"))
     return arm_means(each.withColumn("model", F.col("query.model")), "model")
 
 

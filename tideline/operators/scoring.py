@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import held
 
 #: Bytes of vectors and (query, term) rows in a block, at most in the mean.
 BLOCK_BYTES, BLOCK_TERMS = 64 << 20, 500_000
@@ -158,10 +158,8 @@ class Index:
 
 
 def _held(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written in order of norm and read again; small groups of rows, so that a filter on the norm passes over the others."""
-    path = scratch(df.sparkSession, name)
-    df.sortWithinPartitions("norm").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` held in order of norm and in small groups of rows, so that a filter on the norm passes over the others."""
+    return held(df.sortWithinPartitions("norm"), name, **{"parquet.block.size": GROUP_BYTES})
 
 
 def _by_row(df: DataFrame, key: str) -> DataFrame:

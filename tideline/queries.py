@@ -29,7 +29,7 @@ from .plans import first_party as Y
 from .plans import ingest as G
 from .sources import appends, landing
 from .sources.journal import append_log, event_frames, event_text, get_one, harvest, put_specs, read_appended_log, read_ledger_csv, read_log, remaining
-from .sources.scratch import scratch
+from .sources.scratch import held, scratch
 from .sources.scroll import paged, scroll
 from .sources.series_files import load_pack
 from .sources.tables import daily_events, day_number, monthly, table
@@ -1582,12 +1582,12 @@ def collection_scroll(spark, sf):
   coalesce(sum(1.0 / log2(rank + 1)) FILTER (WHERE rank <= 4), 0.0) / list_sum(list_transform(range(1, CAST(least(count(*), 4) AS BIGINT) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg FROM h GROUP BY 1, 2)
  SELECT model, count(*) AS queries, round(avg(CAST(recall_any AS INT)), 6) AS recall_any, round(avg(CAST(recall_all AS INT)), 6) AS recall_all, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM e GROUP BY 1""")
 def reranker_benchmark(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
-    gold = rows.filter("item % 7 = 0").join(rows.filter("item % 20 = 0").select(F.col("item").alias("query"), "label"), "label").select("query", "item")
-    found = dense(spark, sf)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("group"))
+    asked = rows.filter("item % 20 = 0").withColumnRenamed("item", "query")
+    found = held(dense(spark, sf), "candidates")
     score = lambda name, c: found.select(F.lit(name).alias("model"), "query", "item", c.cast("double").alias("score"))
     scores = score("fused", -F.col("rank")).unionByName(score("other", (F.col("item") * 7919) % 101)).unionByName(score("none", F.lit(None)))
-    out = E.rerank_benchmark(found.drop("score"), scores, gold, 6, 4)
+    out = E.rerank_benchmark(found.drop("score"), scores, rows.filter("item % 7 = 0"), 6, 4, asked)
     return out.select("model", "queries", *(F.round(c, 6).alias(c) for c in ("recall_any", "recall_all", "mrr", "ndcg")))
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
 
@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_folders[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def held(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """`df`, written and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.options(compression="zstd", **options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
